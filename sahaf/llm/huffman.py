@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import Encoder, default_tokenizer
+from . import tokens as bpe
+from .tokens import default_tokenizer
 
 MAX_BITS = 20
 CHECKPOINT = 256
@@ -139,7 +140,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     file = tokenizer or default_tokenizer()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tag = Encoder(file), TaskContext.get().partitionId() << 33
+        encoder, tag = bpe.encoder(file), TaskContext.get().partitionId() << 33
         kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for b in batches:
             ids = encoder.encode(b.column(1).to_pylist())

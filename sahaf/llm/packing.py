@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
-from .tokens import Encoder, default_tokenizer
+from . import common, tokens
+from .tokens import default_tokenizer
 
 CAPACITY = 1024
 END_ID = 2
@@ -36,7 +36,7 @@ def cut(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY,
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tag = Encoder(path), TaskContext.get().partitionId() << 33
+        encoder, tag = tokens.encoder(path), TaskContext.get().partitionId() << 33
         for b in batches:
             cols: list[list] = [[], [], [], [], [], [], []]
             for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
