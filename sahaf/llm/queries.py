@@ -3,18 +3,102 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import huffman, packing
+from . import chat, huffman, packing, quality, topk, toxicity, urls
 from .common import table
 
+#: Fixed values of the queries' contract.
+RULES = [
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+]
+
+
+def op1_chat_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites are the documents' sources, and a site's paths their languages."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.learn(docs, table(spark, sf_dir, "labels")), F.col("source"), F.col("lang"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op9_token_store)}
-SQL: dict[str, str] = {}
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_role_repair, op2_best_fit_packing, op3_toxicity_machine, op6_url_filter, op8_quality_bayes, op9_token_store, op10_exact_top_k)}
+
+SQL = {
+    "op6_url_filter": r"""
+WITH RECURSIVE tags AS (
+    SELECT url, regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>') AS link,
+           regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>') AS meta
+    FROM pages WHERE contains(url, '://')
+), found AS (
+    SELECT url, regexp_extract(link, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS target FROM tags
+    UNION ALL SELECT url, regexp_extract(meta, '(?i)\burl\s*=\s*[''"]?([^"''\s>]+)', 1) FROM tags
+), absolute AS (
+    SELECT url, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN 'http:' || target
+        WHEN starts_with(target, '/') THEN regexp_extract(url, '^(?s:.*?)://[^/?#]*') || target
+        ELSE regexp_extract(url, '^(?s:.*?)://[^?#]*/') || target END AS target
+    FROM found WHERE target <> ''
+), urls AS (
+    SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT target FROM absolute)
+), split AS (
+    SELECT url, CASE WHEN contains(url, '://') THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+           CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+           regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS query
+    FROM urls
+), rules(verdict, host, path) AS (
+    VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), ruled AS (
+    SELECT s.url, s.host, s.path, CASE WHEN s.host <> '' THEN s.host || s.path || s.query END AS node, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+    FROM split s LEFT JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
+    GROUP BY ALL
+), edges AS (
+    SELECT a.node AS a, b.node AS b FROM absolute e JOIN ruled a ON a.url = e.url JOIN ruled b ON b.url = e.target
+), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges
+), taken(node) AS (
+    SELECT node FROM ruled WHERE verdict = 'block' AND node IN (SELECT a FROM both_ways)
+    UNION SELECT w.b FROM taken t JOIN both_ways w ON w.a = t.node
+)
+SELECT p.page_id, coalesce(r.host, '') AS host, coalesce(r.path, '') AS path, r.rule,
+       coalesce(r.verdict, CASE WHEN r.node IN (SELECT node FROM taken) THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages p LEFT JOIN ruled r ON r.url = p.url
+""",
+    "op10_exact_top_k": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+""",
+}

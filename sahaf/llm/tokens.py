@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Parts that a worker remembers before it starts again (about 80 MB).
-CACHE_PARTS = 400_000
+#: Parts that a worker remembers (about 60 MB); what comes later is remembered for its batch only.
+CACHE_PARTS = 300_000
 
 
 def default_tokenizer() -> str:
@@ -62,7 +62,7 @@ class Encoder:
 
     def _learn(self, keys: set[str], lead: bool) -> None:
         table = self.parts if lead else self.heads
-        safe = [k for k in keys if k and not k[0].isspace() and not k[-1].isspace()]
+        safe = [k for k in keys if k and k == k.strip()]
         if unsafe := list(keys.difference(safe)):
             self._add(table, unsafe, np.empty(0, np.uint32), np.full(len(unsafe), -1, np.int32))
         if not safe:
@@ -80,15 +80,25 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text as uint32; a null text has none."""
-        if self.n > self.cache_parts:
-            self._reset()
         split = [t.split(" ") if t else [] for t in texts]
         heads = {s[0] for s in split if s}
         parts: set[str] = set().union(*(s[1:] for s in split)) if split else set()
-        if new := heads - self.heads.keys():
-            self._learn(new, lead=False)
-        if new := parts - self.parts.keys():
-            self._learn(new, lead=True)
+        mark = self.n, self.used
+        new_heads, new_parts = heads - self.heads.keys(), parts - self.parts.keys()
+        if new_heads:
+            self._learn(new_heads, lead=False)
+        if new_parts:
+            self._learn(new_parts, lead=True)
+        out = self._gather(texts, split)
+        if self.n > self.cache_parts:
+            self.n, self.used = mark
+            for k in new_heads:
+                del self.heads[k]
+            for k in new_parts:
+                del self.parts[k]
+        return out
+
+    def _gather(self, texts: list[str | None], split: list[list[str]]) -> list[np.ndarray]:
         out = []
         for text, s in zip(texts, split, strict=True):
             if not s:
