@@ -1,7 +1,8 @@
 """Token ids on disk: canonical length-limited Huffman codes from global counts.
 
 A store is a folder of two Parquet datasets that Spark commits: `codebook` has the code length of every id (canonical
-codes follow from the lengths), `blocks` has a row per document in ascending doc_id order.  A block stands alone: its
+codes follow from the lengths), `blocks` has a row per document in ascending doc_id order, as runs (shards) of ranges
+of doc_id, each in one file.  A block stands alone: its
 codes begin at a byte, and every CHECKPOINT ids the bit offset is kept, so that all stretches of a batch of blocks are
 decoded side by side with one table lookup per id and step.
 """
@@ -26,6 +27,8 @@ from .tokens import default_tokenizer
 MAX_BITS = 20
 CHECKPOINT = 256
 END_ID = 0
+#: Ids of a range of doc_id that is written as one run of blocks, and documents that are encoded side by side.
+RANGE_TOKENS, SIDE_BY_SIDE = 4_000_000, 100
 BLOCK_FIELDS = "shard int, seq long, doc_id long, start_in_shard long, n_tokens long, payload binary, checkpoints binary"
 
 
@@ -167,22 +170,31 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     counts = {r["id"]: r["n"] for r in common.map_arrow(tokens.select("wide", "ids"), count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}  # at most a row per id of the vocabulary
     lengths = code_lengths(counts, max_bits)
     codes, bits = canonical(lengths)
+    ranges = 1 + sum(counts.values()) // RANGE_TOKENS
+    bounds = np.array(tokens.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or [] if ranges > 1 else [], dtype=np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = ids_in(b)
-            payloads, checkpoints = encode_blocks(ids, codes, bits)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array([*map(len, ids)], type=pa.int64()), common.binary_column(payloads), common.binary_column(checkpoints)], names=["doc_id", "tag", "n_tokens", "payload", "checkpoints"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, SIDE_BY_SIDE):
+                b = whole.slice(a, SIDE_BY_SIDE)
+                ids = ids_in(b)
+                payloads, checkpoints = encode_blocks(ids, codes, bits)
+                shard = [int(np.searchsorted(bounds, x)) if x is not None else 0 for x in b.column("doc_id").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(shard, type=pa.int32()), b.column("doc_id"), b.column("tag"), pa.array([*map(len, ids)], type=pa.int64()), common.binary_column(payloads), common.binary_column(checkpoints)], names=["shard", "doc_id", "tag", "n_tokens", "payload", "checkpoints"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, seq, start = TaskContext.get().partitionId(), 0, 0
+        shard, seq, start = None, 0, 0
         for b in batches:
-            n = b.column("n_tokens").to_numpy()
-            before = start + np.cumsum(n) - n
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, dtype=np.int32)), pa.array(np.arange(seq, seq + len(n))), b.column("doc_id"), pa.array(before.astype(np.int64)), b.column("n_tokens"), b.column("payload"), b.column("checkpoints")], names=["shard", "seq", "doc_id", "start_in_shard", "n_tokens", "payload", "checkpoints"])
-            seq, start = seq + len(n), start + int(n.sum())
-
-    blocks = common.map_arrow(tokens, encode, "doc_id long, tag long, n_tokens long, payload binary, checkpoints binary").repartitionByRange("doc_id", "tag").sortWithinPartitions("doc_id", "tag")
+            seqs, starts = [], []
+            for s, n in zip(b.column("shard").to_pylist(), b.column("n_tokens").to_pylist(), strict=True):
+                if s != shard:
+                    shard, seq, start = s, 0, 0
+                seqs.append(seq)
+                starts.append(start)
+                seq, start = seq + 1, start + n
+            yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(seqs, type=pa.int64()), b.column("doc_id"), pa.array(starts, type=pa.int64()), b.column("n_tokens"), b.column("payload"), b.column("checkpoints")], names=["shard", "seq", "doc_id", "start_in_shard", "n_tokens", "payload", "checkpoints"])
+
+    blocks = common.map_arrow(tokens, encode, "shard int, doc_id long, tag long, n_tokens long, payload binary, checkpoints binary").repartition("shard").sortWithinPartitions("shard", "doc_id", "tag")
     common.map_arrow(blocks, number, BLOCK_FIELDS).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(int(s), int(n)) for s, n in lengths.items()], "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     common.drop(tokens)
@@ -193,7 +205,7 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     lengths = {r["id"]: r["bits"] for r in spark.read.schema("id int, bits int").parquet(f"{path}/codebook").collect()}  # a row per id of the vocabulary
     blocks = spark.read.schema(BLOCK_FIELDS).parquet(f"{path}/blocks")
     base, total = {}, 0
-    for r in blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect():  # a row per file
+    for r in blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect():  # a row per range
         base[r["shard"]], total = total, total + r["n"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +214,7 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
             n = b.column("n_tokens").to_numpy()
             ids = decode_blocks(b.column("payload").to_pylist(), b.column("checkpoints").to_pylist(), n, look)
             start = b.column("start_in_shard").to_numpy() + np.array([base[s] for s in b.column("shard").to_pylist()], dtype=np.int64)
-            last = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], type=pa.int64()) if digest else pa.array([x.astype(np.int32) for x in ids], type=pa.list_(pa.int32()))
+            last = pa.array([zlib.crc32(x) for x in ids], type=pa.int64()) if digest else pa.array([x.astype(np.int32) for x in ids], type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(start), b.column("n_tokens"), last], names=["doc_id", "start", "n_tokens", "last"])
 
     kind = "long" if digest else "array<int>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, huffman, packing, quality, topk, toxicity, urls
+from . import chat, decontamination, huffman, neardup, packing, quality, topk, toxicity, urls
 from .common import table
 
 #: Fixed values of the queries' contract.
@@ -31,6 +31,14 @@ def op3_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.find(table(spark, sf_dir, "documents"), neardup.Similarity(width=2, percent=80))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
 
@@ -50,7 +58,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_role_repair, op2_best_fit_packing, op3_toxicity_machine, op6_url_filter, op8_quality_bayes, op9_token_store, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_chat_role_repair, op2_best_fit_packing, op3_toxicity_machine, op4_benchmark_templates, op5_chosen_path, op6_url_filter, op8_quality_bayes, op9_token_store, op10_exact_top_k)}
 
 SQL = {
     "op6_url_filter": r"""
@@ -92,8 +100,8 @@ FROM pages p LEFT JOIN ruled r ON r.url = p.url
 """,
     "op10_exact_top_k": """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
     SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
     FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id

@@ -1,16 +1,22 @@
 """Byte-level BPE ids of whole texts, at the speed of a word cache.
 
 The tokenizers library gives every id.  A text is cut at single spaces whose two neighbours are not white space: the
-pre-tokenizer always starts a new piece there, so the parts can be encoded apart.  Each part that the cache does not
-hold is encoded once by the library; a text with any other run of white space is encoded whole.
+pre-tokenizer always starts a new piece there, so the parts can be encoded apart.  numpy hashes all parts of a batch
+at once and looks them up in a table; each part that the table does not hold is encoded once by the library, and a text
+with any other run of white space is encoded whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Parts that a worker remembers (about 60 MB); what comes later is remembered for its batch only.
-CACHE_PARTS = 300_000
+#: Parts that a worker remembers (about 40 MB); what comes later is remembered for its block only.
+CACHE_PARTS = 400_000
+SLOTS = 1 << 20
+#: Bytes of text that are cut up at once.
+BLOCK = 1 << 20
+_step = 0x9E3779B97F4A7C15 | 1
+_back = pow(_step, -1, 1 << 64)
 
 
 def default_tokenizer() -> str:
@@ -20,99 +26,134 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 class Encoder:
     def __init__(self, path: str, cache_parts: int = CACHE_PARTS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache_parts = cache_parts
+        self.cache_parts = min(cache_parts, SLOTS // 2)
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # ids whose token begins with a space
         for token, i in self.tokenizer.get_vocab().items():
-            self.opens[i] = token.startswith("\u0120")
-        self._reset()
-
-    def _reset(self) -> None:
-        self.parts: dict[str, int] = {}
-        self.heads: dict[str, int] = {}
-        self.flat = np.empty(1 << 20, dtype=np.uint32)
-        self.used = 0
-        self.first = np.zeros(1 << 18, dtype=np.int64)
-        self.count = np.zeros(1 << 18, dtype=np.int32)  # -1: the part can't be cut off its text
-        self.n = 0
-
-    def _add(self, table: dict[str, int], keys: list[str], ids: np.ndarray, count: np.ndarray) -> None:
-        need = self.used + len(ids)
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(need, len(self.flat)), dtype=np.uint32)])
-        if self.n + len(keys) > len(self.first):
-            more = max(len(keys), len(self.first))
-            self.first = np.concatenate([self.first, np.zeros(more, dtype=np.int64)])
-            self.count = np.concatenate([self.count, np.zeros(more, dtype=np.int32)])
-        new = slice(self.n, self.n + len(keys))
-        self.flat[self.used : need] = ids
-        self.count[new] = count
-        real = np.maximum(count, 0)
-        self.first[new] = self.used + np.cumsum(real) - real
-        table.update(zip(keys, range(new.start, new.stop), strict=True))
-        self.used, self.n = need, new.stop
+            self.opens[i] = token.startswith("Ġ")
+        self.values = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
+        self.keys, self.numbers = np.zeros(SLOTS, dtype=np.uint64), np.zeros(SLOTS, dtype=np.int32)
+        self.flat, self.used = np.empty(1 << 20, dtype=np.uint32), 0
+        self.first, self.count, self.n = np.zeros(1 << 18, dtype=np.int64), np.zeros(1 << 18, dtype=np.int32), 0
+        self.up, self.down = _powers(_step, BLOCK + 1), _powers(_back, BLOCK + 1)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash in the table, or -1."""
+        out = np.full(len(h), -1, dtype=np.int32)
+        left, slot = np.arange(len(h)), (h >> np.uint64(44)).astype(np.int64)
+        while len(left):
+            there = self.keys[slot]
+            hit = there == h[left]
+            out[left[hit]] = self.numbers[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], (slot[on] + 1) & (SLOTS - 1)
+        return out
+
+    def _insert(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        slot = (h >> np.uint64(44)).astype(np.int64)
+        while len(h):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, pick = np.unique(slot[free], return_index=True)
+            done = free[pick]
+            self.keys[slot[done]], self.numbers[slot[done]] = h[done], numbers[done]
+            on = np.ones(len(h), dtype=bool)
+            on[done] = False
+            h, numbers, slot = h[on], numbers[on], (slot[on] + 1) & (SLOTS - 1)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: set[str], lead: bool) -> None:
-        table = self.parts if lead else self.heads
-        safe = [k for k in keys if k and k == k.strip()]
-        if unsafe := list(keys.difference(safe)):
-            self._add(table, unsafe, np.empty(0, np.uint32), np.full(len(unsafe), -1, np.int32))
-        if not safe:
-            return
-        if not lead:
-            ids = self._whole(safe)
-            self._add(table, safe, np.array([i for x in ids for i in x], np.uint32), np.array([*map(len, ids)], np.int32))
-            return
-        ids = np.array([i for x in self._whole([" " + " ".join(safe[a : a + 500]) for a in range(0, len(safe), 500)]) for i in x], np.uint32)
+    def _learn(self, parts: list[str], head: np.ndarray) -> None:
+        """Number the parts on from self.n; a count of -1 says that a part can't be cut off its text."""
+        count = np.full(len(parts), -1, dtype=np.int32)
+        safe = np.array([bool(p) and p == p.strip() for p in parts], dtype=bool)
+        inner, heads = np.flatnonzero(safe & ~head), np.flatnonzero(safe & head)
+        ids = np.array([i for a in range(0, len(inner), 500) for x in self._whole([" " + " ".join(parts[k] for k in inner[a : a + 500])]) for i in x], dtype=np.uint32)
         starts = np.flatnonzero(self.opens[ids])
-        if len(starts) == len(safe):
-            self._add(table, safe, ids, np.diff(np.append(starts, len(ids))).astype(np.int32))
-        else:  # a token with a space where no part begins: leave these parts to whole texts
-            self._add(table, safe, np.empty(0, np.uint32), np.full(len(safe), -1, np.int32))
+        if len(starts) == len(inner):  # else some token with a space stands where no part begins: leave them to whole texts
+            count[inner] = np.diff(np.append(starts, len(ids)))
+        else:
+            ids = ids[:0]
+        own = self._whole([parts[k] for k in heads])
+        count[heads] = [*map(len, own)]
+        ids = np.concatenate([ids, np.array([i for x in own for i in x], dtype=np.uint32)])
+        need = self.used + len(ids)
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(max(need, len(self.flat)), dtype=np.uint32)])
+        if self.n + len(parts) > len(self.first):
+            more = max(len(parts), len(self.first))
+            self.first, self.count = np.concatenate([self.first, np.zeros(more, dtype=np.int64)]), np.concatenate([self.count, np.zeros(more, dtype=np.int32)])
+        self.flat[self.used : need] = ids
+        order = np.concatenate([inner, heads])
+        first, real = np.zeros(len(parts), dtype=np.int64), np.maximum(count[order], 0)
+        first[order] = self.used + np.cumsum(real) - real
+        self.first[self.n : self.n + len(parts)], self.count[self.n : self.n + len(parts)] = first, count
+        self.used, self.n = need, self.n + len(parts)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text as uint32; a null text has none."""
-        split = [t.split(" ") if t else [] for t in texts]
-        heads = {s[0] for s in split if s}
-        parts: set[str] = set().union(*(s[1:] for s in split)) if split else set()
+        out, block, size = [], [], 0
+        for t in texts:
+            raw = t.encode() if t else b""
+            if block and size + len(raw) + 1 > BLOCK:
+                out += self._block(block)
+                block, size = [], 0
+            block.append(raw)
+            size += len(raw) + 1
+        return out + (self._block(block) if block else [])
+
+    def _block(self, texts: list[bytes]) -> list[np.ndarray]:
+        raw = b" " + b" ".join(texts)
+        if len(raw) > len(self.up):
+            self.up, self.down = _powers(_step, len(raw)), _powers(_back, len(raw))
+        a = np.frombuffer(raw, dtype=np.uint8)
+        space = np.flatnonzero(a == 32)
+        begin, end = space + 1, np.append(space[1:], len(raw))
+        total = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(self.values[a] * self.up[: len(raw)], out=total[1:])
+        doc = np.searchsorted(space, np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]))  # the first part of each text
+        head = np.zeros(len(space), dtype=bool)
+        head[doc] = True
+        h = _mix(_mix((total[end] - total[begin]) * self.down[np.minimum(begin, len(raw) - 1)]) + ((end - begin) * 2 + head).astype(np.uint64)) | np.uint64(1)
+        number = self._find(h)
         mark = self.n, self.used
-        new_heads, new_parts = heads - self.heads.keys(), parts - self.parts.keys()
-        if new_heads:
-            self._learn(new_heads, lead=False)
-        if new_parts:
-            self._learn(new_parts, lead=True)
-        out = self._gather(texts, split)
-        if self.n > self.cache_parts:
-            self.n, self.used = mark
-            for k in new_heads:
-                del self.heads[k]
-            for k in new_parts:
-                del self.parts[k]
-        return out
-
-    def _gather(self, texts: list[str | None], split: list[list[str]]) -> list[np.ndarray]:
-        out = []
-        for text, s in zip(texts, split, strict=True):
-            if not s:
-                out.append(np.empty(0, dtype=np.uint32))
-                continue
-            at = np.empty(len(s), dtype=np.int64)
-            at[0] = self.heads[s[0]]
-            at[1:] = np.fromiter(map(self.parts.__getitem__, s[1:]), dtype=np.int64, count=len(s) - 1)
-            n = self.count[at]
-            if n.min() < 0:
-                out.append(np.array(self._whole([text])[0], dtype=np.uint32))
-                continue
-            ends = np.cumsum(n)
-            out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.first[at] - (ends - n), n)])
+        if len(new := np.flatnonzero(number < 0)):
+            hashes, at, back = np.unique(h[new], return_index=True, return_inverse=True)
+            at = new[at]
+            self._learn([raw[x:y].decode() for x, y in zip(begin[at].tolist(), end[at].tolist(), strict=True)], head[at])
+            fresh = np.arange(mark[0], self.n, dtype=np.int32)
+            number[new] = fresh[back]
+        n = self.count[number]
+        real = np.maximum(n, 0)
+        ends = np.cumsum(real)
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.first[number] - (ends - real), real)]
+        cut = np.append(np.append(0, ends)[doc], ends[-1])
+        bad = np.logical_or.reduceat(n < 0, doc)
+        out = [ids[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        for k in np.flatnonzero(bad):
+            out[k] = np.array(self._whole([texts[k].decode()])[0] if texts[k] else [], dtype=np.uint32)
+        if len(new):
+            if self.n <= self.cache_parts:
+                self._insert(hashes, fresh)
+            else:
+                self.n, self.used = mark
         return out
 
 
