@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch; long texts make batches of tens of MB already at this size.
 BATCH_ROWS = 1000
@@ -55,7 +56,9 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    if isinstance(schema, T.StructType):
+        schema = T.StructType([T.StructField(x.name, x.dataType) for x in schema])
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(f, schema)
 
@@ -68,9 +71,13 @@ def binary_column(rows: list[bytes | None]) -> pa.Array:
     return pa.array(rows, type=pa.binary())
 
 
-def fits_broadcast(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most that many rows; reads no more than it must."""
-    return df.limit(rows + 1).count() <= rows
+#: Rows of a table of a few numbers that is broadcast at most (under 64 MB); beyond it a join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a table in the shared folder, with a broadcast hint if it has at most that many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def texts_of(docs: DataFrame) -> DataFrame:

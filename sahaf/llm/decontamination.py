@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from . import common
 
 WIDTH, STRIDE, COVERAGE = 5, 4, 0.8
-#: Rows of a table that is broadcast at most (under 64 MB); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
 #: Units that become a placeholder after a number.
 UNITS = "km kg km2 m cm mm mi ft lb lbs oz g mg l ml s ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros cent cents percent mile miles meter meters metre metres gram grams liter liters litre litres degree degrees usd eur gbp try tl mph kmh kwh mb gb".split()
 NAME = r"(?<=[\p{Ll}\p{N}][,;]? )\p{Lu}\p{Ll}+(?!\p{L})"
@@ -40,10 +38,6 @@ def _windows(tokens: str, width: int, stride: int) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(F.col(tokens), i + 1, F.lit(width))).alias("hash")))
 
 
-def _sized(df: DataFrame, key_rows: int) -> DataFrame:
-    return F.broadcast(df) if common.fits_broadcast(df, key_rows) else df
-
-
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, stride: int = STRIDE, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, coverage, position, kind, n_slots: one row per document and item of benchmark that it holds.
 
@@ -59,13 +53,13 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, stride: int
     item_windows = common.materialize(item_windows, "item-windows")
     texts = common.texts_of(docs).where("doc_id is not null and text is not null")
     doc_windows = texts.select("doc_id", template(F.col("text")).alias("tokens")).select("doc_id", F.explode(_windows("tokens", width, stride)).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"))
-    hits = doc_windows.join(_sized(item_windows, BROADCAST_ROWS), "hash").groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "windows").count()
+    hits = doc_windows.join(common.sized(item_windows), "hash").groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "windows").count()
     # Unmatched windows come in runs of `width` inside an item, so a match of that coverage leaves at least this many hits.
     lost = 1 - coverage
     least = F.floor((coverage * F.col("windows") - (stride - 1) * (lost * F.col("windows") / width + 1)) / stride)
     candidates = common.materialize(hits.where(F.col("count") >= F.greatest(least, F.lit(1))).select("doc_id", "item_id", "shift"), "candidates")
-    wanted = candidates.select("doc_id").distinct()
-    held = texts.join(_sized(wanted, BROADCAST_ROWS), "doc_id", "left_semi").select("doc_id", template(F.col("text")).alias("doc"), surface(F.col("text")).alias("doc_words"))
+    wanted = common.materialize(candidates.select("doc_id").distinct(), "wanted")
+    held = texts.join(common.sized(wanted), "doc_id", "left_semi").select("doc_id", template(F.col("text")).alias("doc"), surface(F.col("text")).alias("doc_words"))
     both = candidates.join(held, "doc_id").join(items, "item_id")
     at = F.sequence(F.lit(0), F.size("item") - 1)
     aligned = both.select("doc_id", "item_id", "shift", "item", "item_words", F.transform(at, lambda j: F.get(F.col("doc"), j + F.col("shift"))).alias("doc"), F.transform(at, lambda j: F.get(F.col("doc_words"), j + F.col("shift"))).alias("doc_words"))
@@ -84,4 +78,4 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, stride: int
 def clean(docs: DataFrame, matches: DataFrame) -> DataFrame:
     """The rows of docs without a match; rows without doc_id stay."""
     ids = common.materialize(matches.select("doc_id").distinct(), "leaks")
-    return docs.join(_sized(ids, BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(common.sized(ids), "doc_id", "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, huffman, neardup, packing, quality, topk, toxicity, urls
+from . import chat, decontamination, huffman, neardup, packing, quality, suffixes, topk, toxicity, urls
 from .common import table
 
 #: Fixed values of the queries' contract.
@@ -43,6 +43,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites are the documents' sources, and a site's paths their languages."""
     docs = table(spark, sf_dir, "documents")
@@ -58,7 +62,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_role_repair, op2_best_fit_packing, op3_toxicity_machine, op4_benchmark_templates, op5_chosen_path, op6_url_filter, op8_quality_bayes, op9_token_store, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_chat_role_repair, op2_best_fit_packing, op3_toxicity_machine, op4_benchmark_templates, op5_chosen_path, op6_url_filter, op7_suffix_arrays, op8_quality_bayes, op9_token_store, op10_exact_top_k)}
 
 SQL = {
     "op6_url_filter": r"""
