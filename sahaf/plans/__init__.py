@@ -1,5 +1,5 @@
 """The queries of the engine's own operators; importing the package registers them all."""
 
-from . import dashboard
+from . import dashboard, decisions
 
-__all__ = ["dashboard"]
+__all__ = ["dashboard", "decisions"]
