@@ -2,11 +2,12 @@
 
 Every byte that a `length`-byte string covers which starts elsewhere too is removed.  Such a string holds the same
 `GRAM`-byte anchor, the least hash of its grams, wherever it stands; strings whose anchor occurs once are no candidates.
-The candidates are cut into pieces by shorter anchors, and the pieces with equal anchors meet in one shard.  There a
-suffix array of the pieces is refined by prefix doubling of the groups that are not sorted yet (Larsson and Sadakane),
-common prefixes of neighbours come from Kasai's algorithm, run over all pieces side by side, and a start is repeated if
-it shares `length` bytes with a neighbour.  Anchors that occur very often are dealt to several shards; the sorted
-strings of those are merged by binary search.
+The candidates are cut into pieces by shorter anchors, and the pieces with equal anchors meet in one shard.  Pieces of
+equal bytes are aggregated first: each stands for all, and its starts are repeated if there are several.  Of the pieces
+that share an anchor but not all bytes a suffix array is refined by prefix doubling of the groups that are not sorted
+yet (Larsson and Sadakane), common prefixes of neighbours come from Kasai's algorithm, run over all pieces side by side,
+and a start is repeated if it shares `length` bytes with a neighbour.  Anchors that occur very often are dealt to
+several shards; the sorted strings of those are merged by binary search.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ LENGTH = 400
 #: Bytes of the anchors that filter, and of those that cut pieces.
 GRAM, CUT_GRAM = 200, 24
 #: Starts of strings that are hashed at once; suffixes of a shard; occurrences of an anchor in a shard.
-BLOCK, SHARD, OFTEN = 1 << 18, 2_000_000, 4_000
+BLOCK, SHARD, OFTEN = 1 << 18, 1_000_000, 4_000
 _step = 0x9E3779B97F4A7C15 | 1
 _values = np.random.default_rng(11).integers(1, 2**63, (2, 256), dtype=np.uint64)
 
@@ -160,23 +161,16 @@ def common_prefixes(symbols: np.ndarray, first: np.ndarray, size: np.ndarray, sa
     return out
 
 
-def repeated_starts(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the concatenated pieces: which starts are repeated, their order, their class, and the pieces' offsets.
-
-    order is the starts of whole strings as the suffix array has them; classes of equal strings are runs of it, and
-    the class array holds a number for each place of order.
-    """
+def repeated_starts(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which starts in the concatenated pieces are repeated, and the pieces' offsets."""
     size = np.array([*map(len, pieces)], dtype=np.int64)
     first = np.cumsum(size) - size
     symbols = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-    ends = np.repeat(first + size, size)
-    sa, rank = suffix_array(symbols, ends)
-    shared = common_prefixes(symbols, first, size, sa, rank)
-    long_before = shared[:-1] >= length
+    sa, rank = suffix_array(symbols, np.repeat(first + size, size))
+    long = common_prefixes(symbols, first, size, sa, rank) >= length
     hit = np.zeros(len(symbols), dtype=bool)
-    hit[sa] = long_before | np.append(long_before[1:], False)
-    whole = ends[sa] - sa >= length
-    return hit, sa[whole], np.cumsum(~long_before)[whole], first
+    hit[sa] = long[:-1] | long[1:]
+    return hit, first
 
 
 def spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -215,8 +209,6 @@ def find(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, often: int =
     found = common.map_arrow(texts.select("tk", "text"), filter_anchors, "tk long, s long, n long, h long")
     counts = found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h", (1 + F.floor(F.col("times") / often)).cast("int").alias("salts"))
     hits = common.materialize(found.join(counts, "h").groupBy("tk", "s").agg(F.first("n").alias("n"), F.first("salts").alias("salts")), "hits")
-    starts = hits.agg(F.sum("n")).first()[0] or 0
-    shards = int(1 + 4 * starts // shard)
     ranges = hits.groupBy("tk").agg(F.array_sort(F.collect_list(F.struct("s", "n", "salts"))).alias("hits")).join(classes.select("tk", "rep"), "tk")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,36 +230,56 @@ def find(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, often: int =
                             first, count, hashes = anchors(a[p : min(end, p + BLOCK) + length - 1], length, CUT_GRAM)
                             for f, n, h in zip((first + p).tolist(), count.tolist(), hashes.tolist(), strict=True):
                                 sub = hash((key, f)) % salts if salts > 1 else 0
-                                for c, v in zip(out, (h % shards, sub if salts > 1 else -1, key, f, raw[f : f + n + length - 1]), strict=True):
+                                for c, v in zip(out, (h - (1 << 64) if h >> 63 else h, sub if salts > 1 else -1, key, f, raw[f : f + n + length - 1]), strict=True):
                                     c.append(v)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(out, kinds, strict=True)], names=["shard", "sub", "tk", "s", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(out, kinds, strict=True)], names=["h", "sub", "tk", "s", "piece"])
 
     held = texts.join(ranges, "tk").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("tk", "text", "hits")
-    pieces = common.map_arrow(held, cut, "shard long, sub int, tk long, s long, piece binary")
+    pieces = common.map_arrow(held, cut, "h long, sub int, tk long, s long, piece binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
                 yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
-        for (g, sub), own in groupby(rows(), key=lambda x: x[:2]):
-            group: list[tuple] = list(own)
-            tk, s = np.array([x[2] for x in group], dtype=np.int64), np.array([x[3] for x in group], dtype=np.int64)
-            hit, order, kind, first = repeated_starts([x[4] for x in group], length)
-            marks: list[tuple] = []
-            for k, x in enumerate(group):
-                at = np.flatnonzero(hit[first[k] : first[k] + len(x[4])])
-                marks += [(x[2], a, b) for a, b in spans(at + x[3], length)]
-            yield out_batch([m[0] for m in marks], [m[1] for m in marks], [m[2] for m in marks], None, None)
-            if sub >= 0:  # other shards may hold the same strings: one row for each string here
-                lead = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]) if len(kind) else np.empty(0, dtype=int)
-                at = order[lead]
-                piece = np.searchsorted(first, at, side="right") - 1
-                symbols = np.frombuffer(b"".join(x[4] for x in group), dtype=np.uint8)
-                d = [_long_hashes(symbols, at, length, t) for t in (0, 1)]
-                place = at - first[piece] + s[piece]
-                yield out_batch(tk[piece], place, np.where(hit[at], -1, place + length), d[0], d[1])
+        waiting: list[tuple[bytes, list[tuple[int, int]]]] = []
+        size = 0
+        for (_, sub), own in groupby(rows(), key=lambda x: x[:2]):
+            members: dict[bytes, list[tuple[int, int]]] = {}
+            for x in own:
+                members.setdefault(x[4], []).append(x[2:4])
+            # Equal strings lie equally far before their anchor, so one piece never holds a string twice.
+            for piece, at in members.items():
+                if len(at) > 1:
+                    yield out_batch([x[0] for x in at], [x[1] for x in at], [x[1] + len(piece) for x in at], None, None)
+            if sub >= 0:
+                for piece, at in members.items():
+                    yield strings(piece, *at[0], len(at) > 1)
+            if len(members) > 1:
+                waiting += members.items()
+                size += sum(map(len, members))
+            if size >= shard:
+                yield from shared(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield from shared(waiting)
+
+    def shared(pieces: list[tuple[bytes, list[tuple[int, int]]]]) -> Iterator[pa.RecordBatch]:
+        """What pieces of other bytes share with each other, by their suffix array."""
+        hit, first = repeated_starts([x[0] for x in pieces], length)
+        marks: list[tuple] = []
+        for (piece, at), f in zip(pieces, first.tolist(), strict=True):
+            if len(at) == 1 and (found := np.flatnonzero(hit[f : f + len(piece)])).size:
+                marks += [(at[0][0], a, b) for a, b in spans(found + at[0][1], length)]
+        yield out_batch([m[0] for m in marks], [m[1] for m in marks], [m[2] for m in marks], None, None)
+
+    def strings(piece: bytes, tk: int, s: int, known: bool) -> pa.RecordBatch:
+        """A row for each string of a piece of an anchor that has several shards; b is -1 if it is marked already."""
+        a = np.frombuffer(piece, dtype=np.uint8)
+        d = [gram_hashes(a, length, t) for t in (0, 1)]
+        at = np.arange(s, s + len(d[0]), dtype=np.int64)
+        return out_batch(np.full(len(at), tk), at, np.full(len(at), -1) if known else at + length, d[0], d[1])
 
     def out_batch(tk, a, b, d0, d1) -> pa.RecordBatch:
         n = len(tk)
@@ -276,7 +288,7 @@ def find(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, often: int =
         return pa.RecordBatch.from_arrays([*cols, *digests], names=["tk", "a", "b", "d0", "d1"])
 
     fields = "tk long, a long, b long, d0 long, d1 long"
-    marked = common.materialize(common.map_arrow(pieces.repartition("shard", "sub").sortWithinPartitions("shard", "sub", "tk", "s"), search, fields), "marked")
+    marked = common.materialize(common.map_arrow(pieces.repartition("h", "sub").sortWithinPartitions("h", "sub", "tk", "s"), search, fields), "marked")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Strings of other shards, found by binary search in the sorted digests of all."""
@@ -300,16 +312,6 @@ def find(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, often: int =
     return classes, common.materialize(every.groupBy("tk").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans")), "marks")
 
 
-def _long_hashes(symbols: np.ndarray, at: np.ndarray, length: int, table: int) -> np.ndarray:
-    """Hashes of the strings at given places of any number of bytes."""
-    out = np.empty(len(at), dtype=np.uint64)
-    for lo in range(0, max(len(symbols) - length + 1, 0), BLOCK):
-        own = np.flatnonzero((at >= lo) & (at < lo + BLOCK))
-        if len(own):
-            out[own] = gram_hashes(symbols[lo : lo + BLOCK + length - 1], length, table)[at[own] - lo]
-    return out
-
-
 def _joined(own: list[dict]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for x in own:
