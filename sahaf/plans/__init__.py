@@ -1,5 +1,5 @@
 """The queries of the engine's own operators; importing the package registers them all."""
 
-from . import dashboard, decisions, texts
+from . import dashboard, decisions, search, texts
 
-__all__ = ["dashboard", "decisions", "texts"]
+__all__ = ["dashboard", "decisions", "search", "texts"]
