@@ -1,0 +1,167 @@
+"""Plans for natural-language questions: guard, slots, intent, route, policy, and claims against evidence."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field, replace
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: What a question must not hold or ask for.
+IDENTIFIERS = r"(?<!\d)(?:\d{11}|(?:\d{4}[ -]?){3}\d{4})(?!\d)|\bTR\d{2}(?: ?\d){22}\b"
+INTERNALS = r"(?i)\b(system prompt|sistem istemi|api key|api anahtarı|gizli talimat)\b"
+TRANSACTIONS = r"(?i)\b(havale|eft|para gönder|ödeme yap|hesap aç|transfer et)\w*"
+OUT_OF_DOMAIN = r"(?i)\b(faiz oranı|mevduat faizi|interest rate|bitcoin|kripto)\w*"
+#: Intents in order of precedence, each with the words that show it.
+INTENTS = [
+    ("COMPARE", ("karşılaştır", "hangisi daha", "compare", "en uygun")),
+    ("QUOTE", ("taksit hesapla", "aylık taksit", "ödeme planı", "instalment")),
+    ("COUNT", ("kaç tane", "kaç kampanya", "how many", "sayısı")),
+    ("DEFINITION", ("nedir", "ne demek", "what is", "tanımı")),
+    ("LIST", ("kampanyalar", "listele", "göster", "list")),
+]
+ROUTES = {"COMPARE": "STRUCTURED_SQL", "QUOTE": "STRUCTURED_SQL", "COUNT": "STRUCTURED_SQL", "LIST": "STRUCTURED_SQL", "DEFINITION": "HYBRID_RAG", "GENERAL": "HYBRID_RAG"}
+PRODUCTS = {"konut": "housing", "taşıt": "vehicle", "ihtiyaç": "personal", "kart": "card"}
+TOOLS = {"structured_sql": {"intent", "banks", "product"}, "hybrid_rag": {"query", "limit"}, "comparison": {"product", "amount"}, "financing_quote": {"amount", "months", "last_month"}}
+
+
+@dataclass(frozen=True)
+class Plan:
+    action: str
+    intent: str
+    route: str
+    banks: tuple[str, ...] = ()
+    product: str | None = None
+    amount: float | None = None
+    months: int | None = None
+    confidence: float = 0.0
+    warnings: tuple[str, ...] = field(default=())
+
+
+def guard(question: str) -> str | None:
+    """REDIRECT for personal numbers and wishes for transactions, REFUSE for internals, else none."""
+    if re.search(IDENTIFIERS, question):
+        return "REDIRECT"
+    if re.search(INTERNALS, question):
+        return "REFUSE"
+    if any(re.search(TRANSACTIONS, clause) for clause in re.split(r"[.;!?]|\bve\b", question)):
+        return "REDIRECT"
+    return None
+
+
+def _number(raw: str, unit: str) -> float:
+    value = float(raw.replace(".", "").replace(",", "."))
+    return value * {"bin": 1e3, "milyon": 1e6}.get(unit.lower(), 1.0)
+
+
+def criteria(question: str) -> tuple[float | None, int | None]:
+    """The amount and the term in months that a question names."""
+    money = re.search(r"(\d[\d.,]*)\s*(bin|milyon)?\s*(?:tl|lira|₺)", question, re.I)
+    term = re.search(r"(\d{1,3})\s*(ay|yıl)", question, re.I)
+    months = int(term[1]) * (12 if term[2].lower() == "yıl" else 1) if term else None
+    return (_number(money[1].rstrip(".,"), money[2] or "") if money else None), months
+
+
+def compile_plan(question: str, banks: tuple[str, ...] = ()) -> Plan:
+    """A deterministic plan; a question outside the domain is redirected before anything else is read from it."""
+    text = " ".join((question or "").split())
+    if stop := guard(text):
+        return Plan(stop, "BLOCKED", "SAFE_REDIRECT")
+    if re.search(OUT_OF_DOMAIN, text):
+        return Plan("REDIRECT", "OUT_OF_DOMAIN", "SAFE_REDIRECT")
+    low = text.replace("I", "ı").replace("İ", "i").lower()
+    hits = [(name, sum(w in low for w in words)) for name, words in INTENTS]
+    intent, n = next(((name, k) for name, k in hits if k), ("GENERAL", 0))
+    amount, months = criteria(low)
+    if amount is not None and months is not None and intent in ("GENERAL", "LIST"):
+        intent = "QUOTE"  # an amount with a term asks for quotes
+    found = sorted((low.find(b), -len(b), b) for b in banks if b in low)
+    product = next((v for k, v in PRODUCTS.items() if k in low), None)
+    warnings = ("term_without_amount",) if months is not None and amount is None else ()
+    action = "CLARIFY" if intent == "QUOTE" and amount is None else "ANSWER"
+    return Plan(action, intent, ROUTES[intent], tuple(b for *_, b in found), product, amount, months, min(0.98, 0.78 + 0.08 * n), warnings)
+
+
+def merge(local: Plan, proposed: dict) -> Plan:
+    """Slots that the local plan lacks may come from a proposal; nothing else of it counts."""
+    fill = {k: proposed[k] for k in ("product", "amount", "months") if getattr(local, k) is None and proposed.get(k) is not None}
+    return replace(local, **fill)
+
+
+def valid_call(tool: str, arguments: dict) -> bool:
+    """Known tools with known arguments in bounds; a range of terms is at most 24 months wide."""
+    if tool not in TOOLS or set(arguments) - TOOLS[tool]:
+        return False
+    amount, months, last = arguments.get("amount"), arguments.get("months"), arguments.get("last_month")
+    if amount is not None and not 0 < amount <= 1e9 or months is not None and not 1 <= months <= 240:
+        return False
+    return last is None or months is not None and months <= last <= months + 24
+
+
+def decide(plan: Plan, tool: str | None, arguments: dict | None) -> str:
+    """What happens: out of domain first, then a bad call, then redirects and refusals, then clarification."""
+    if plan.intent == "OUT_OF_DOMAIN":
+        return "REDIRECT"
+    if tool is not None and not valid_call(tool, arguments or {}):
+        return "REFUSE"
+    return plan.action
+
+
+def execute(authorized: tuple[str, dict], call: tuple[str, dict], run):
+    """run() the call only if it is exactly the one that was authorised."""
+    if authorized != call or not valid_call(*call):
+        raise PermissionError("the call isn't the one that was validated")
+    return run(**call[1])
+
+
+CLAIM = re.compile(r"%\s*(\d[\d.,]*)|(\d[\d.,]*)\s*%|(\d[\d.,]*)\s*(TL|TRY|USD|EUR)\b|(\d{1,4})\s*(gün|ay|yıl)\b|(masrafsız|ücretsiz)", re.I)
+
+
+def claims(text: str | None) -> list[str]:
+    """Signatures of what a text claims: rates, money, durations, freedom from fees."""
+    out = set()
+    for a, b, money, currency, n, unit, free in CLAIM.findall(text or ""):
+        if a or b:
+            out.add(f"rate:{(a or b).strip('.,').replace(',', '.')}")
+        elif money:
+            out.add(f"money:{money.strip('.,')}:{currency.upper()}")
+        elif n:
+            out.add(f"duration:{n}:{unit.lower()}")
+        elif free:
+            out.add("fee:free")
+    return sorted(out)
+
+
+PLAN = T.StructType([T.StructField(f, t) for f, t in (("action", T.StringType()), ("intent", T.StringType()), ("route", T.StringType()), ("product", T.StringType()), ("amount", T.DoubleType()), ("months", T.IntegerType()), ("confidence", T.DoubleType()))])
+
+
+@F.pandas_udf(PLAN)
+def plans(x: pd.Series) -> pd.DataFrame:
+    """compile_plan() of many questions."""
+    made = [compile_plan(q) for q in x]
+    frame = pd.DataFrame([(p.action, p.intent, p.route, p.product, p.amount, p.months, round(p.confidence, 6)) for p in made], columns=[f.name for f in PLAN])
+    return frame.astype({"amount": "float64", "months": "Int32"})
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def claim_signatures(x: pd.Series) -> pd.Series:
+    return x.map(claims)
+
+
+def conversation(turns: list[tuple[str, str]]) -> list[Plan]:
+    """Plans of a conversation's user turns; amount, term and product carry on until a question names others."""
+    out: list[Plan] = []
+    state: dict = {}
+    for role, text in turns:
+        if role != "user":
+            continue
+        p = compile_plan(text)
+        if p.route != "SAFE_REDIRECT":
+            p = merge(p, state)
+            if p.intent == "QUOTE" and p.amount is not None:
+                p = replace(p, action="ANSWER")
+            state = {"product": p.product, "amount": p.amount, "months": p.months}
+        out.append(p)
+    return out
