@@ -21,7 +21,7 @@ from . import common
 #: Lengths of the beginnings that are terms too.
 STEMS = (4, 5, 6)
 #: Labelled rows that the machine is fitted on at most, taken in the order of a hash of doc_id.
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: Hashes that keep a weight: those whose presence tells most about the label, of at least MIN_ROWS sample rows.
 FEATURES, MIN_ROWS = 4096, 5
 RANK, EPOCHS, BATCH = 8, 25, 256
@@ -73,9 +73,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, epochs: int = E
     if not len(y) or y.min() == y.max():
         p = np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99)
         return Machine(none, float(np.log(p / (1 - p))), np.zeros(1), np.zeros((1, rank)))
-    hashes, at = np.unique(np.concatenate(rows), return_inverse=True)
-    seen = np.bincount(at, minlength=len(hashes)).astype(float)
-    bad = np.bincount(at, weights=np.repeat(y, [*map(len, rows)]), minlength=len(hashes))
+    hashes, seen = np.unique(np.concatenate(rows), return_counts=True)
+    toxic, times = np.unique(np.concatenate([r for r, t in zip(rows, y, strict=True) if t]), return_counts=True)
+    bad = np.zeros(len(hashes))
+    bad[np.searchsorted(hashes, toxic)] = times
     expected = seen * y.mean()
     gain = (bad - expected) ** 2 / np.maximum(expected * (1 - y.mean()), 1e-9)
     usable = np.flatnonzero(seen >= min(MIN_ROWS, max(1, len(y) // 100)))
