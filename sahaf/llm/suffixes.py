@@ -27,7 +27,7 @@ LENGTH = 400
 #: Bytes of the anchors that filter, and of those that cut pieces.
 GRAM, CUT_GRAM = 200, 24
 #: Starts of strings that are hashed at once; suffixes of a shard; occurrences of an anchor in a shard.
-BLOCK, SHARD, OFTEN = 1 << 18, 1_000_000, 4_000
+BLOCK, SHARD, OFTEN = 1 << 18, 500_000, 4_000
 _step = 0x9E3779B97F4A7C15 | 1
 _values = np.random.default_rng(11).integers(1, 2**63, (2, 256), dtype=np.uint64)
 
