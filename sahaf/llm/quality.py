@@ -55,7 +55,8 @@ def fit(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, steps: int = 30) -> C
     """Logistic regression by Newton steps; with one class only, its share."""
     if not len(y) or y.min() == y.max():
         p = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
-        return Classifier(np.zeros(1), np.ones(1), np.zeros(1), float(np.log(p / (1 - p))))
+        k = len(statistics(None))
+        return Classifier(np.zeros(k), np.ones(k), np.zeros(k), float(np.log(p / (1 - p))))
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(y), 1))])
     w = np.zeros(z.shape[1])
