@@ -25,6 +25,9 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length that are ranked together.
 RANK_GROUP = 200_000
+#: Plans that are tried, as (reserve, slack): lengths under `reserve` are kept back from bins that the others fill to
+#: within `slack`.  The plan with the fewest bins is taken.
+PLANS = ((0, 0), (64, 2), (128, 4), (200, 8), (300, 8), (300, 16), (400, 16))
 
 
 def cut(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -60,7 +63,7 @@ def cut(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY,
     return common.map_arrow(common.texts_of(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long, tag long" + ", ids array<int>" * with_ids)
 
 
-def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+def minimum_bin_slack(counts: dict[int, int], capacity: int, reserve: int = 0, slack: int = 0) -> list[tuple[int, dict[int, int]]]:
     """Bins for counts[length] pieces of each length: how often, and how many of each length are in it."""
     left = {n: c for n, c in sorted(counts.items()) if c > 0}
     if any(not 0 < n <= capacity for n in left):
@@ -69,20 +72,23 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[tuple[int,
     while left:
         longest = max(left)
         room = capacity - longest
-        mask, reach, layers = (1 << (room + 1)) - 1, 1, []
-        for n, c in left.items():
-            if n > room:
+        for least in (reserve, 0) if reserve else (0,):
+            mask, reach, layers = (1 << (room + 1)) - 1, 1, []
+            for n, c in left.items():
+                if n > room:
+                    break
+                c = min(c - (n == longest), room // n) if n >= least else 0
+                if c <= 0:
+                    continue
+                layers.append((n, c, reach))
+                step = 1
+                while c > 0:
+                    take = min(step, c)
+                    reach |= reach << (take * n) & mask
+                    c, step = c - take, 2 * step
+            total, taken = reach.bit_length() - 1, {longest: 1}
+            if room - total <= slack:
                 break
-            c = min(c - (n == longest), room // n)
-            if c <= 0:
-                continue
-            layers.append((n, c, reach))
-            step = 1
-            while c > 0:
-                take = min(step, c)
-                reach |= reach << (take * n) & mask
-                c, step = c - take, 2 * step
-        total, taken = reach.bit_length() - 1, {longest: 1}
         for n, c, before in reversed(layers):  # the longest lengths first, as many as can be
             for m in range(min(c, total // n), -1, -1):
                 if before >> (total - m * n) & 1:
@@ -99,6 +105,19 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[tuple[int,
     return bins
 
 
+def fewest_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """The plan of PLANS with the fewest bins; one that reaches the bound of all lengths' sum ends the search."""
+    bound, best = -(-sum(n * c for n, c in counts.items()) // capacity), None
+    for reserve, slack in PLANS:
+        bins = minimum_bin_slack(counts, capacity, reserve, slack)
+        size = sum(times for times, _ in bins)
+        if best is None or size < best[0]:
+            best = size, bins
+        if size == bound:
+            break
+    return best[1]
+
+
 def places(bins: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
     """By length, rows (first rank, first sequence, offset) in order of rank: rank r has sequence first + r - first rank."""
     out: dict[int, list[tuple[int, int, int]]] = {}
@@ -120,7 +139,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     spark = docs.sparkSession
     pieces = common.materialize(cut(docs, tokenizer, capacity, end_id, with_ids), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
-    at = places(minimum_bin_slack({n: c for n, c in counts.items() if n < capacity}, capacity))
+    at = places(fewest_bins({n: c for n, c in counts.items() if n < capacity}, capacity))
     groups = spark.createDataFrame([(int(n), 1 + c // RANK_GROUP) for n, c in counts.items()] or [(0, 1)], "length long, salts long")
     salted = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("tag"), "salts"))
     sizes = salted.groupBy("length", "salt").count()

@@ -112,7 +112,7 @@ def check_packing(got, docs):
 def test_packing_is_tight(spark, data):
     docs = documents(spark, data)
     bins, total = check_packing(packing.pack(docs).collect(), docs.select("doc_id", "text").collect())
-    assert bins <= -(-total // 1024) + 8
+    assert bins <= -(-total // 1024) + 3
 
 
 def test_packing_of_odd_rows(spark, odd, empty):
