@@ -220,6 +220,16 @@ def l01(spark, d):
     return model.transform(own.where("doc_id % 5 = 0")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == F.col("target")).cast("double")), 4).alias("accuracy"))
 
 
+@query("l02_label_heads")
+def l02(spark, d):
+    """Heads for two labels; a third, which is the same everywhere, gets none."""
+    own = frame(spark, d, "documents").select("doc_id", "text").join(frame(spark, d, "labels"), "doc_id").withColumn("same", F.lit(1))
+    model = le.label_heads(own.where("doc_id % 5 <> 0"), ["quality", "toxic", "same"])
+    scored = le.predict_labels(model, own.where("doc_id % 5 = 0"))
+    hit = [F.round(F.avg((F.col(c) == F.col(f"{c}_predicted")).cast("double")), 4).alias(f"{c}_accuracy") for c in ("quality", "toxic")]
+    return scored.agg(F.count("*").alias("n"), *hit)
+
+
 @query("l05_stratified_holdout", "SELECT quality, floor(count(*) * 20 / 100)::BIGINT AS held FROM labels GROUP BY 1")
 def l05(spark, d):
     return le.holdout(frame(spark, d, "labels"), "doc_id", "quality").groupBy("quality").agg(F.sum(F.col("holdout").cast("long")).alias("held"))
