@@ -21,13 +21,9 @@ def parse_number(x: Column) -> Column:
     its last; else it groups thousands.
     """
     raw = F.regexp_extract(x, r"\d[\d.,]*", 0)
-    last = F.greatest(F.length(raw) - F.length(F.substring_index(raw, ".", -1)), F.length(raw) - F.length(F.substring_index(raw, ",", -1)))
-    both = raw.contains(".") & raw.contains(",")
-    tail = F.length(raw) - last
-    decimal = both | ((last > 0) & tail.isin(1, 2))
-    digits = F.translate(F.substring(raw, F.lit(1), last), ".,", "")
-    text = F.when(decimal, F.concat(digits, F.lit("."), F.substring(raw, last + 1, F.lit(100)))).otherwise(F.translate(raw, ".,", ""))
-    return F.when(raw != "", text.try_cast("decimal(38,10)"))
+    last_only = F.translate(F.regexp_replace(raw, r"[.,](?=[\d.,]*[.,])", ""), ",", ".")
+    decimal = raw.rlike(r"\.[\d.]*,|,[\d,]*\.|[.,]\d{1,2}$")
+    return F.when(raw != "", F.when(decimal, last_only).otherwise(F.translate(raw, ".,", "")).try_cast("decimal(38,10)"))
 
 
 def money(x: Column) -> Column:
