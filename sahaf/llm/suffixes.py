@@ -207,7 +207,8 @@ def find(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, often: int =
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tk, s, n, h)], names=["tk", "s", "n", "h"])
 
     found = common.map_arrow(texts.select("tk", "text"), filter_anchors, "tk long, s long, n long, h long")
-    counts = found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h", (1 + F.floor(F.col("times") / often)).cast("int").alias("salts"))
+    # A table of its own, so that the join below deals both of its sides out and can split an anchor that is everywhere.
+    counts = common.materialize(found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h", (1 + F.floor(F.col("times") / often)).cast("int").alias("salts")), "anchors")
     hits = common.materialize(found.join(counts, "h").groupBy("tk", "s").agg(F.first("n").alias("n"), F.first("salts").alias("salts")), "hits")
     ranges = hits.groupBy("tk").agg(F.array_sort(F.collect_list(F.struct("s", "n", "salts"))).alias("hits")).join(classes.select("tk", "rep"), "tk")
 
