@@ -144,11 +144,12 @@ def q18(spark, d):
     return c.select("bank_id", "id", F.row_number().over(Window.partitionBy("bank_id").orderBy(*o.order_keys())).cast("long").alias("pos"))
 
 
-@query("j18_pair_keys", sql_with("SELECT a.bank_id, concat(least(a.id, b.id), ':', greatest(a.id, b.id)) AS key FROM offers a JOIN offers b ON a.bank_id = b.bank_id AND a.id < b.id WHERE a.max_amount > 90000 AND b.max_amount > 90000 AND a.bank_id % 10 = 3", "offers"))
+@query("j18_pair_keys", sql_with(""", top AS (SELECT bank_id, id FROM offers QUALIFY row_number() OVER (PARTITION BY bank_id ORDER BY max_amount DESC NULLS LAST, id) <= 5)
+SELECT a.bank_id, concat(a.id, ':', b.id) AS key FROM top a JOIN top b ON a.bank_id = b.bank_id AND a.id < b.id""", "offers"))
 def j18(spark, d):
-    """Keys of all pairs of the compared results of a bank; results, not tables, are paired."""
-    f = frame(spark, d, "offers").where("max_amount > 90000 and bank_id % 10 = 3").select("bank_id", "id")
-    return f.join(f.withColumnRenamed("id", "other"), "bank_id").where("id < other").select("bank_id", F.concat_ws(":", F.least("id", "other"), F.greatest("id", "other")).alias("key"))
+    """Keys of the pairs among each bank's five best results."""
+    top = r.first_per_key(frame(spark, d, "offers"), ["bank_id"], [F.desc_nulls_last("max_amount"), F.col("id")], 5).select("bank_id", "id")
+    return top.join(top.withColumnRenamed("id", "other"), "bank_id").where("id < other").select("bank_id", F.concat_ws(":", "id", "other").alias("key"))
 
 
 @query("t04_comparison_order", sql_with("SELECT id, row_number() OVER (PARTITION BY bank_id ORDER BY rate IS NULL, max_amount DESC NULLS LAST, rate DESC NULLS LAST, id) AS pos FROM offers", "offers"))
@@ -242,7 +243,7 @@ def n09(spark, d):
 
 
 @query("q12_term_range_quotes", sql_with("""SELECT id, months, round(CASE WHEN rate = 0 THEN 30000.0 / months ELSE 30000.0::DOUBLE * rate * pow(1 + rate, months) / (pow(1 + rate, months) - 1) END, 2) AS monthly
-FROM offers, (SELECT unnest(range(12, 16))::INT AS months) WHERE rate IS NOT NULL AND product_type = 'financing' AND bank_id % 9 = 4""", "offers"))
+FROM offers, (SELECT unnest(range(12, 16))::INT AS months) WHERE rate IS NOT NULL AND product_type = 'financing'""", "offers"))
 def q12(spark, d):
-    own = frame(spark, d, "offers").where("rate is not null and product_type = 'financing' and bank_id % 9 = 4")
+    own = frame(spark, d, "offers").where("rate is not null and product_type = 'financing'")
     return own.select("id", "rate", F.explode(F.sequence(F.lit(12), F.lit(15))).alias("months")).select("id", "months", F.round(o.instalment(F.lit(30000.0), F.col("months"), F.col("rate") * 100), 2).alias("monthly"))

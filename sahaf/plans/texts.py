@@ -254,9 +254,9 @@ def n04(spark, d):
     return phrases(spark, d).select("id", n.duration(F.col("x")).alias("m")).select("id", "m.value", "m.unit", "m.approx_days")
 
 
-@query("n05_minor_units", "SELECT l_orderkey, l_linenumber, round(CAST(l_extendedprice * l_discount AS DECIMAL(18,4)) * 100, 0)::BIGINT AS minor FROM lineitem WHERE l_orderkey % 10 = 0")
+@query("n05_minor_units", "SELECT l_orderkey, l_linenumber, round(CAST(l_extendedprice * l_discount AS DECIMAL(18,4)) * 100, 0)::BIGINT AS minor FROM lineitem")
 def n05(spark, d):
-    return frame(spark, d, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", n.minor_units((F.col("l_extendedprice") * F.col("l_discount")).cast("decimal(18,4)")).alias("minor"))
+    return frame(spark, d, "lineitem").select("l_orderkey", "l_linenumber", n.minor_units((F.col("l_extendedprice") * F.col("l_discount")).cast("decimal(18,4)")).alias("minor"))
 
 
 @query("n06_form_number", "SELECT o_orderkey, TRY_CAST(replace(replace(translate(format('{:,.2f}', o_totalprice), ',.', '.,'), '.', ''), ',', '.') AS DOUBLE) AS v FROM orders")
@@ -273,9 +273,9 @@ def n10(spark, d):
     return own.select("o_orderkey", n.date(numeric, 2024).cast("string").alias("day"), n.date(textual, 2024).cast("string").alias("implicit"))
 
 
-@query("n13_plausible_ranges", "SELECT l_orderkey, l_linenumber, o_orderdate <= l_shipdate AND date_diff('day', o_orderdate, l_shipdate) <= 5 * 366 AND CAST(l_shipdate AS DATE) <= DATE '2004-01-01' AS ok FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 20 = 0")
+@query("n13_plausible_ranges", "SELECT l_orderkey, l_linenumber, o_orderdate <= l_shipdate AND date_diff('day', o_orderdate, l_shipdate) <= 5 * 366 AND CAST(l_shipdate AS DATE) <= DATE '2004-01-01' AS ok FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def n13(spark, d):
-    own = frame(spark, d, "lineitem").where("l_orderkey % 20 = 0").join(frame(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    own = frame(spark, d, "lineitem").join(frame(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return own.select("l_orderkey", "l_linenumber", n.plausible(F.col("o_orderdate").cast("date"), F.col("l_shipdate").cast("date"), F.lit("1994-01-01").cast("date")).alias("ok"))
 
 
