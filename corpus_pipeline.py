@@ -9,6 +9,8 @@ from sahaf.llm.common import table
 
 #: Near-duplicates share 0.8 of their five-word shingles.
 NEAR = neardup.Similarity(width=5, percent=80)
+#: Passages of over 50 words that repeat go, as do repeated strings of 400 bytes, whatever their words.
+PASSAGE_WORDS = 51
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +23,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffixes.remove(docs)
+    return suffixes.remove(docs, words=PASSAGE_WORDS)
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,9 @@ that share an anchor but not all bytes a suffix array is refined by prefix doubl
 yet (Larsson and Sadakane), common prefixes of neighbours come from Kasai's algorithm, run over all pieces side by side,
 and a start is repeated if it shares `length` bytes with a neighbour.  Anchors that occur very often are dealt to
 several shards; the sorted strings of those are merged by binary search.
+
+The same is done with words in place of bytes: a text is then the row of its words' hashes, a word being a run of bytes
+that are not ASCII white space.
 """
 
 from __future__ import annotations
@@ -26,10 +29,13 @@ from . import common
 LENGTH = 400
 #: Bytes of the anchors that filter, and of those that cut pieces.
 GRAM, CUT_GRAM = 200, 24
+#: The same in words.
+WORD_GRAM, WORD_CUT_GRAM = 25, 4
 #: Starts of strings that are hashed at once; suffixes of a shard; occurrences of an anchor in a shard.
 BLOCK, SHARD, OFTEN = 1 << 18, 500_000, 4_000
 _step = 0x9E3779B97F4A7C15 | 1
 _values = np.random.default_rng(11).integers(1, 2**63, (2, 256), dtype=np.uint64)
+_space = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -48,10 +54,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def as_bytes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode(), dtype=np.uint8)
+
+
+def word_bounds(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the words of a text's bytes."""
+    solid = np.r_[False, ~_space[a], False]
+    turns = np.flatnonzero(solid[1:] != solid[:-1])
+    return turns[::2], turns[1::2]
+
+
+def as_words(text: str) -> np.ndarray:
+    """A 64-bit hash of each word of a text."""
+    a = as_bytes(text)
+    start, end = word_bounds(a)
+    up, down = (_UP, _DOWN) if len(a) <= len(_UP) else (_powers(_step, len(a)), _powers(pow(_step, -1, 1 << 64), len(a)))
+    total = np.zeros(len(a) + 1, dtype=np.uint64)
+    np.cumsum(_values[0][a] * up[: len(a)], out=total[1:])
+    return _mix((total[end] - total[start]) * down[start])
+
+
 def gram_hashes(a: np.ndarray, k: int, table: int = 0) -> np.ndarray:
-    """A 64-bit hash of each k bytes of a, which has at most as many bytes as there are powers."""
+    """A 64-bit hash of each k symbols (bytes or words) of a, which has at most as many as there are powers."""
     total = np.zeros(len(a) + 1, dtype=np.uint64)
-    np.cumsum(_values[table][a] * _UP[: len(a)], out=total[1:])
+    values = _values[table][a] if a.dtype == np.uint8 else _mix(a ^ _values[table][0])
+    np.cumsum(values * _UP[: len(a)], out=total[1:])
     return _mix((total[k:] - total[:-k]) * _DOWN[: len(a) - k + 1])
 
 
@@ -81,17 +109,19 @@ def blocks(n: int, length: int) -> Iterator[tuple[int, int]]:
 
 
 def suffix_array(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array and ranks of pieces: symbols is the pieces' bytes, ends[i] where i's piece ends.
+    """The suffix array and ranks of pieces: symbols is the pieces' bytes or numbers, ends[i] where i's piece ends.
 
     A suffix ends with its piece; of two equal ones the one of the earlier piece comes first.
     """
     n = len(symbols)
-    padded = np.zeros(n + 7, dtype=np.uint64)
+    bits = max(9, (int(symbols.max(initial=0)) + 1).bit_length())
+    h = 63 // bits
+    padded = np.zeros(n + h, dtype=np.uint64)
     padded[:n] = symbols.astype(np.uint64) + np.uint64(1)
     left = ends - np.arange(n)
     key = np.zeros(n, dtype=np.uint64)
-    for j in range(7):
-        key = (key << np.uint64(9)) | np.where(left > j, padded[j : n + j], np.uint64(0))
+    for j in range(h):
+        key = (key << np.uint64(bits)) | np.where(left > j, padded[j : n + j], np.uint64(0))
     sa = np.argsort(key)
     rank = np.empty(n, dtype=np.int64)
     ordered = key[sa]
@@ -99,7 +129,6 @@ def suffix_array(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     slots = np.arange(n)
     rank[sa] = np.maximum.accumulate(np.where(start, slots, 0))
     del key, ordered
-    h = 7
     longest = int(left.max()) if n else 0
     tied = ~start
     tied[:-1] |= tied[1:].copy()
@@ -125,16 +154,18 @@ def suffix_array(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def common_prefixes(symbols: np.ndarray, first: np.ndarray, size: np.ndarray, sa: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Kasai: for each place in the suffix array the bytes that its suffix shares with the one before.
+    """Kasai: for each place in the suffix array the symbols that its suffix shares with the one before.
 
-    All pieces are walked side by side, from their first suffix to their last.
+    Symbols are bytes, or numbers of 32 bits.  All pieces are walked side by side, from their first suffix to their last.
     """
     n = len(symbols)
     ends = np.repeat(first + size, size)
-    words = np.zeros(n + 8, dtype=np.uint64)
-    raw = np.concatenate([symbols, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
-    for j in range(8):
-        words[:n] = (words[:n] << np.uint64(8)) | raw[j : n + j]
+    bits = 8 * symbols.dtype.itemsize
+    per = 64 // bits
+    words = np.zeros(n + per, dtype=np.uint64)
+    raw = np.concatenate([symbols, np.zeros(per, dtype=symbols.dtype)]).astype(np.uint64)
+    for j in range(per):
+        words[:n] = (words[:n] << np.uint64(bits)) | raw[j : n + j]
     out = np.zeros(n + 1, dtype=np.int32)
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]
@@ -152,20 +183,22 @@ def common_prefixes(symbols: np.ndarray, first: np.ndarray, size: np.ndarray, sa
         while len(go):
             x = words[i[go] + now[go]] ^ words[j[go] + now[go]]
             top = np.frexp(x.astype(np.float64))[1]  # bits up to the highest that differs
-            same = np.where(x == 0, 8, np.maximum(64 - top, 0) // 8)
-            same = np.where((x != 0) & (same < 8) & ((x >> (np.uint64(56) - 8 * same.astype(np.uint64))) == 0), same + 1, same)
+            same = np.where(x == 0, per, np.maximum(64 - top, 0) // bits)
+            same = np.where((x != 0) & (same < per) & ((x >> (np.uint64(64 - bits) - np.uint64(bits) * same.astype(np.uint64))) == 0), same + 1, same)
             now[go] = np.minimum(now[go] + same, most[go])
-            go = go[(same == 8) & (now[go] < most[go])]
+            go = go[(same == per) & (now[go] < most[go])]
         out[r] = now
         h[:m] = now
     return out
 
 
-def repeated_starts(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which starts in the concatenated pieces are repeated, and the pieces' offsets."""
-    size = np.array([*map(len, pieces)], dtype=np.int64)
+def repeated_starts(pieces: list[bytes], length: int, kind: type = np.uint8) -> tuple[np.ndarray, np.ndarray]:
+    """Which starts in the concatenated pieces (symbols of that kind) are repeated, and the pieces' offsets."""
+    size = np.array([*map(len, pieces)], dtype=np.int64) // np.dtype(kind).itemsize
     first = np.cumsum(size) - size
-    symbols = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    symbols = np.frombuffer(b"".join(pieces), dtype=kind)
+    if kind is not np.uint8:
+        symbols = np.unique(symbols, return_inverse=True)[1].astype(np.uint32)
     sa, rank = suffix_array(symbols, np.repeat(first + size, size))
     long = common_prefixes(symbols, first, size, sa, rank) >= length
     hit = np.zeros(len(symbols), dtype=bool)
@@ -174,31 +207,41 @@ def repeated_starts(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.nd
 
 
 def spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """The byte ranges that strings at sorted starts cover, joined where they overlap or touch."""
+    """The ranges that strings at sorted starts cover, joined where they overlap or touch."""
     if not len(starts):
         return []
     cut = np.flatnonzero(np.diff(starts) > length)
     return list(zip(starts[np.r_[0, cut + 1]].tolist(), (starts[np.r_[cut, len(starts) - 1]] + length).tolist(), strict=True))
 
 
-def find(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, often: int = OFTEN) -> tuple[DataFrame, DataFrame]:
-    """(classes, marks): classes (tk, copies, rep) of equal texts, and marks (tk, spans) of the byte ranges to remove.
+def least_bytes(length: int, words: bool) -> int:
+    """The bytes that a string of that length has at least."""
+    return 2 * length - 1 if words else length
+
+
+def find(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, often: int = OFTEN, words: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(classes, marks): classes (tk, copies, rep) of equal texts, and marks (tk, spans) of the ranges to remove.
+
+    length and ranges are in bytes, or in words.
 
     tk is a 64-bit hash of the text.  One text of each class is searched; what is repeated by copies is repeated
-    anyway, so a class of several texts of `length` bytes needs no marks: all of it goes.
+    anyway, so a class of several texts of `length` bytes or words needs no marks: all of it goes.
     """
-    if length < GRAM + CUT_GRAM or length > 2000:
-        raise ValueError("length must be from 224 to 2000")
-    texts = common.texts_of(docs).where(F.octet_length("text") >= length).select("doc_id", F.xxhash64("text").alias("tk"), "text")
-    classes = common.materialize(texts.groupBy("tk").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")), "classes")
+    gram, cut_gram, symbols, kind = (WORD_GRAM, WORD_CUT_GRAM, as_words, np.uint64) if words else (GRAM, CUT_GRAM, as_bytes, np.uint8)
+    unit = np.dtype(kind).itemsize
+    if length < gram + cut_gram or length > 2000:
+        raise ValueError(f"length must be from {gram + cut_gram} to 2000")
+    texts = common.texts_of(docs).where(F.octet_length("text") >= least_bytes(length, words)).select("doc_id", F.xxhash64("text").alias("tk"), "text")
+    enough = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= length if words else F.lit(True)
+    classes = common.materialize(texts.where(enough).groupBy("tk").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")), "classes")
 
     def filter_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tk, s, n, h = [], [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                a = np.frombuffer(text.encode(), dtype=np.uint8)
+                a = symbols(text)
                 for x, y in blocks(len(a), length):
-                    first, count, hashes = anchors(a[x:y], length, GRAM)
+                    first, count, hashes = anchors(a[x:y], length, gram)
                     tk.append(np.full(len(first), key, dtype=np.int64))
                     s.append(first + x)
                     n.append(count)
@@ -218,8 +261,7 @@ def find(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, often: int =
                 b = whole.slice(lo, 100)
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for key, text, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    raw = text.encode()
-                    a = np.frombuffer(raw, dtype=np.uint8)
+                    a = symbols(text)
                     runs: list[list[int]] = []
                     for x in own:
                         if runs and runs[-1][1] == x["s"] and runs[-1][2] == x["salts"]:
@@ -228,10 +270,10 @@ def find(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, often: int =
                             runs.append([x["s"], x["s"] + x["n"], x["salts"]])
                     for begin, end, salts in runs:
                         for p in range(begin, end, BLOCK):
-                            first, count, hashes = anchors(a[p : min(end, p + BLOCK) + length - 1], length, CUT_GRAM)
+                            first, count, hashes = anchors(a[p : min(end, p + BLOCK) + length - 1], length, cut_gram)
                             for f, n, h in zip((first + p).tolist(), count.tolist(), hashes.tolist(), strict=True):
                                 sub = hash((key, f)) % salts if salts > 1 else 0
-                                for c, v in zip(out, (h - (1 << 64) if h >> 63 else h, sub if salts > 1 else -1, key, f, raw[f : f + n + length - 1]), strict=True):
+                                for c, v in zip(out, (h - (1 << 64) if h >> 63 else h, sub if salts > 1 else -1, key, f, a[f : f + n + length - 1].tobytes()), strict=True):
                                     c.append(v)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(out, kinds, strict=True)], names=["h", "sub", "tk", "s", "piece"])
@@ -253,13 +295,13 @@ def find(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, often: int =
             # Equal strings lie equally far before their anchor, so one piece never holds a string twice.
             for piece, at in members.items():
                 if len(at) > 1:
-                    yield out_batch([x[0] for x in at], [x[1] for x in at], [x[1] + len(piece) for x in at], None, None)
+                    yield out_batch([x[0] for x in at], [x[1] for x in at], [x[1] + len(piece) // unit for x in at], None, None)
             if sub >= 0:
                 for piece, at in members.items():
                     yield strings(piece, *at[0], len(at) > 1)
             if len(members) > 1:
                 waiting += members.items()
-                size += sum(map(len, members))
+                size += sum(map(len, members)) // unit
             if size >= shard:
                 yield from shared(waiting)
                 waiting, size = [], 0
@@ -268,16 +310,16 @@ def find(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, often: int =
 
     def shared(pieces: list[tuple[bytes, list[tuple[int, int]]]]) -> Iterator[pa.RecordBatch]:
         """What pieces of other bytes share with each other, by their suffix array."""
-        hit, first = repeated_starts([x[0] for x in pieces], length)
+        hit, first = repeated_starts([x[0] for x in pieces], length, kind)
         marks: list[tuple] = []
         for (piece, at), f in zip(pieces, first.tolist(), strict=True):
-            if len(at) == 1 and (found := np.flatnonzero(hit[f : f + len(piece)])).size:
+            if len(at) == 1 and (found := np.flatnonzero(hit[f : f + len(piece) // unit])).size:
                 marks += [(at[0][0], a, b) for a, b in spans(found + at[0][1], length)]
         yield out_batch([m[0] for m in marks], [m[1] for m in marks], [m[2] for m in marks], None, None)
 
     def strings(piece: bytes, tk: int, s: int, known: bool) -> pa.RecordBatch:
         """A row for each string of a piece of an anchor that has several shards; b is -1 if it is marked already."""
-        a = np.frombuffer(piece, dtype=np.uint8)
+        a = np.frombuffer(piece, dtype=kind)
         d = [gram_hashes(a, length, t) for t in (0, 1)]
         at = np.arange(s, s + len(d[0]), dtype=np.int64)
         return out_batch(np.full(len(at), tk), at, np.full(len(at), -1) if known else at + length, d[0], d[1])
@@ -356,21 +398,35 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return common.map_arrow(_with_marks(common.texts_of(docs), classes, marks, length).select("doc_id", "text", "gone", "spans"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """docs with what is left of each text, all other columns as they are; n_chars, if there is one, follows the text.
 
-    Where a cut parts the bytes of a character, its rest is dropped.
+    With `words`, what a string of so many words covers that stands elsewhere too is removed as well, with the white
+    space behind it.  Where a cut parts the bytes of a character, its rest is dropped.
     """
-    classes, marks = find(docs, length)
     names = docs.columns
+    kinds = {"bytes": (length, False)} | ({"words": (words, True)} if words else {})
+    least = min(least_bytes(*x) for x in kinds.values())
+    joined = docs.withColumn("__tk", F.when(F.octet_length("text") >= least, F.xxhash64("text")))
+    for k, (n, by_word) in kinds.items():
+        classes, marks = find(docs, n, words=by_word)
+        gone, spans = f"__gone_{k}", f"__{k}"
+        known = classes.select(F.col("tk").alias("__tk"), (F.col("copies") > 1).alias(gone)).join(marks.select(F.col("tk").alias("__tk"), F.col("spans").alias(spans)), "__tk", "left")
+        joined = joined.join(known.where(F.col(gone) | F.col(spans).isNotNull()), "__tk", "left")
+    joined = joined.withColumn("__gone", F.greatest(*(F.coalesce(f"__gone_{k}", F.lit(False)) for k in kinds), F.lit(False))).drop("__tk", *(f"__gone_{k}" for k in kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, gone, own in zip(*(b.column(c).to_pylist() for c in ("text", "__gone", "__spans")), strict=True):
-                if gone or own:
+            by_words = b.column("__words").to_pylist() if words else [None] * b.num_rows
+            for text, gone, own, others in zip(*(b.column(c).to_pylist() for c in ("text", "__gone", "__bytes")), by_words, strict=True):
+                if gone or own or others:
                     raw, kept, at = text.encode(), [], 0
-                    for x, y in [(0, len(raw))] if gone else _joined(own):
+                    cuts = [*(own or [])]
+                    if others and not gone:
+                        start = np.append(word_bounds(np.frombuffer(raw, dtype=np.uint8))[0], len(raw)).tolist()
+                        cuts = sorted([*cuts, *({"a": start[x["a"]], "b": start[x["b"]]} for x in others)], key=lambda x: x["a"])
+                    for x, y in [(0, len(raw))] if gone else _joined(cuts):
                         kept.append(raw[at:x])
                         at = y
                     text = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
@@ -381,6 +437,4 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 cols["n_chars"] = pa.array([len(t) if t is not None else n for t, n in zip(texts, b.column("n_chars").to_pylist(), strict=True)], type=b.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([*cols.values()], names=names)
 
-    known = classes.select(F.col("tk").alias("__tk"), (F.col("copies") > 1).alias("__gone")).join(marks.select(F.col("tk").alias("__tk"), F.col("spans").alias("__spans")), "__tk", "left").where("__gone or __spans is not null")
-    joined = docs.withColumn("__tk", F.when(F.octet_length("text") >= length, F.xxhash64("text"))).join(known, "__tk", "left").drop("__tk")
     return common.map_arrow(joined, run, docs.schema)

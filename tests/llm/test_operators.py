@@ -337,6 +337,37 @@ def test_removal_from_odd_rows(spark, odd, empty):
     assert left.columns == odd.columns and left.count() == 14
 
 
+def brute_words(texts, length):
+    """What is left of each text without the repeated strings of so many words."""
+    split = [list(re.finditer(rb"\S+", t)) for t in texts]
+    seen = collections.Counter(tuple(m[0] for m in w[k : k + length]) for w in split for k in range(len(w) - length + 1))
+    out = []
+    for t, w in zip(texts, split, strict=True):
+        gone = np.zeros(len(t), dtype=bool)
+        for k in range(len(w) - length + 1):
+            if seen[tuple(m[0] for m in w[k : k + length])] > 1:
+                gone[w[k].start() : w[k + length].start() if k + length < len(w) else len(t)] = True
+        out.append(np.frombuffer(t, dtype=np.uint8)[~gone].tobytes().decode())
+    return out
+
+
+def test_passages_by_words_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join(bytes(rng.integers(97, 123, rng.integers(1, 4)).astype(np.uint8)).decode() for _ in range(n))
+    shared, near = prose(51), prose(50)
+    spaced = prose(70)
+    texts = [f"{prose(40)} {shared} {prose(40)}", f"{prose(20)} {shared}", f"{prose(30)} {near} {prose(9)}", f"{near} {prose(30)}", f"{prose(9)} {spaced} é", spaced.replace(" ", "\n ", 30), None, "", "a b " * 60, shared[:-1] + "é " + prose(60)]
+    long = prose(120).split(" ")
+    texts += [" ".join([prose(9), *long[k % 40 : 60 + k % 60], prose(8)]) for k in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_words([(t or "").encode() for t in texts], 51)
+    find = suffixes.find
+    for small in ({}, {"shard": 500, "often": 10}):
+        monkeypatch.setattr(suffixes, "find", lambda docs, length, words=False, small=small: find(docs, length, words=words, **small))
+        got = {r["doc_id"]: r["text"] or "" for r in suffixes.remove(df, length=2000, words=51).collect()}
+        assert [got[k] for k in range(len(texts))] == want
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")

@@ -36,3 +36,13 @@ def test_stages_take_effect_and_keep_the_columns(spark, data, tmp_path):
     assert packed == {r["doc_id"] for r in docs.select("doc_id").collect()}
     run = {r["doc_id"] for r in corpus_pipeline.run(spark, data).select("doc_id").collect()}
     assert run == packed
+
+
+def test_a_planted_passage_of_51_words_goes(spark, data):
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    passage, short = words("p", 51), words("s", 50)
+    assert len(passage) < 400
+    texts = [f"{words(f'{k}a', 60)} {passage} {words(f'{k}b', 60)} {short}" for k in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.remove_repeated_passages(spark, docs, data).collect()}
+    assert left == {k: t.replace(passage + " ", "") for k, t in enumerate(texts)}
