@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WIDTH, STRIDE, COVERAGE = 5, 4, 0.8
+WIDTH, STRIDE, COVERAGE = 5, 1, 0.8
 #: Units that become a placeholder after a number.
 UNITS = "km kg km2 m cm mm mi ft lb lbs oz g mg l ml s ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros cent cents percent mile miles meter meters metre metres gram grams liter liters litre litres degree degrees usd eur gbp try tl mph kmh kwh mb gb".split()
 NAME = r"(?<=[\p{Ll}\p{N}][,;]? )\p{Lu}\p{Ll}+(?!\p{L})"
@@ -55,6 +55,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, stride: int
     doc_windows = texts.select("doc_id", template(F.col("text")).alias("tokens")).select("doc_id", F.explode(_windows("tokens", width, stride)).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"))
     hits = doc_windows.join(common.sized(item_windows), "hash").groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "windows").count()
     # Unmatched windows come in runs of `width` inside an item, so a match of that coverage leaves at least this many hits.
+    # Beyond stride 1 an item of fewer than stride + width - 1 tokens can lie between the windows that are looked up.
     lost = 1 - coverage
     least = F.floor((coverage * F.col("windows") - (stride - 1) * (lost * F.col("windows") / width + 1)) / stride)
     candidates = common.materialize(hits.where(F.col("count") >= F.greatest(least, F.lit(1))).select("doc_id", "item_id", "shift"), "candidates")

@@ -185,6 +185,13 @@ def test_other_numbers_and_names_are_caught(spark):
     assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in got) == [(1, 10, "copy"), (2, 10, "reparameterised"), (3, 11, "reparameterised")]
 
 
+def test_short_items_are_found_at_every_offset(spark):
+    items = [(n, " ".join(f"{c * 3}{'xyz'[n - 5]}" for c in "abcdefg"[:n])) for n in (5, 6, 7)]
+    texts = [(10 * k + n, "pad " * k + item + " tail of it") for n, item in items for k in range(9)]
+    got = decontamination.find(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["position"]) for r in got) == sorted((d, d % 10, d // 10) for d, _ in texts)
+
+
 def test_leaks_in_odd_tables(spark, odd, empty):
     items = spark.createDataFrame([(1, "The cat sat on the mat today"), (2, "")], "item_id long, text string")
     assert {r["doc_id"] for r in decontamination.find(odd, items).collect()} == {1, 11}
