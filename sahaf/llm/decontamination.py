@@ -1,9 +1,13 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
-Numbers, names and units of a text become typed placeholders, so a question with other numbers keeps its template.
-Every window of `width` tokens of the benchmark's templates is joined by hash with every `stride`-th window of the
-documents; what these hits leave possible is compared token by token, and a match counts if the slots are consistent:
-one value of the item always stands for one value of the document.
+Numbers, names and units of a text become typed placeholders, so a question with other numbers or names keeps its
+template.  Every window of `width` tokens of the benchmark's templates is joined by hash with every `stride`-th window
+of the documents; what these hits leave possible is compared token by token, and a match counts if the slots are
+consistent: one value of the item always stands for one value of the document.
+
+A capitalised word is a name, wherever it stands, unless the benchmark uses it as an ordinary word; neighbouring names
+are one placeholder.  Ordinary words are kept as a bitmap of at most 8 MB, which says of a few names in a hundred that
+they are ordinary and of an ordinary word never that it is a name.
 """
 
 from __future__ import annotations
@@ -15,21 +19,59 @@ from . import common
 
 WIDTH, STRIDE, COVERAGE = 5, 1, 0.8
 #: Units that become a placeholder after a number.
-UNITS = "km kg km2 m cm mm mi ft lb lbs oz g mg l ml s ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros cent cents percent mile miles meter meters metre metres gram grams liter liters litre litres degree degrees usd eur gbp try tl mph kmh kwh mb gb".split()
-NAME = r"(?<=[\p{Ll}\p{N}][,;]? )\p{Lu}\p{Ll}+(?!\p{L})"
+UNITS = "km kg m cm mm mi ft lb lbs oz g mg l ml s ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros cent cents percent mile miles meter meters metre metres gram grams liter liters litre litres degree degrees usd eur gbp try tl mph kmh kwh mb gb".split()
+CAPITALISED = r"\p{Lu}\p{Ll}\p{L}*"
+INSIDE = r"(?<=[\p{Ll}\p{N}][,;]? )" + CAPITALISED
+ORDINARY = r"(?<!\p{L})\p{Ll}+(?!\p{L})"
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+#: Bits of the bitmap for each word, and at the least and most.
+BITS_PER_WORD, BITS = 64, (1 << 12, 1 << 26)
 
 
-def surface(text: Column) -> Column:
-    """The tokens of a text: lower-case runs of letters, and numbers."""
-    return F.regexp_extract_all(F.lower(F.translate(text, "§", " ")), F.lit(NUMBER + r"|\p{L}+"), F.lit(0))
+def ordinary_words(texts: DataFrame) -> bytes:
+    """The bitmap of the words of `texts` that are written small as often as in capitals inside sentences."""
+    small = texts.select(F.lit(1).alias("n"), F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("w"))
+    large = texts.select(F.lit(-1).alias("n"), F.explode(F.transform(F.regexp_extract_all("text", F.lit(INSIDE), F.lit(0)), F.lower)).alias("w"))
+    words = common.materialize(small.unionByName(large).groupBy("w").agg(F.sum("n").alias("n"), F.max("n").alias("small")).where("n >= 0 and small = 1").select("w"), "ordinary")
+    bits = min(max(BITS[0], 1 << (words.count() * BITS_PER_WORD).bit_length()), BITS[1])
+    longs = words.select(F.pmod(F.xxhash64("w"), F.lit(bits)).alias("at")).select(F.floor(F.col("at") / 64).alias("k"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bits"))
+    every = longs.unionByName(texts.sparkSession.range(bits // 64).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("bits")))
+    row = every.groupBy("k").agg(F.bit_or("bits").alias("bits")).agg(F.array_sort(F.collect_list(F.struct("k", "bits"))).alias("b"))
+    return bytes(row.select(F.unhex(F.array_join(F.transform("b", lambda x: F.lpad(F.hex(x["bits"]), 16, "0")), "")).alias("b")).first()["b"])  # at most 8 MB
 
 
-def template(text: Column) -> Column:
+def _in_bitmap(word: Column, bitmap: bytes) -> Column:
+    at = F.pmod(F.xxhash64(word), F.lit(8 * len(bitmap)))
+    byte = F.substr(F.lit(bitmap), (F.floor(at / 64) * 8 + 8 - F.floor(at % 64 / 8)).cast("int"), F.lit(1))
+    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (at % 8).cast("int")) == 1
+
+
+def marked(text: Column, ordinary: bytes | None) -> Column:
+    """A text in lower case with its names as §name¤, numbers as №12 and units as ¢km; without a bitmap no names."""
+    t = F.translate(text, "§¤№¢", "    ")
+    if ordinary is not None:
+
+        def named(part: Column) -> Column:
+            word = F.lower(F.regexp_extract(part, "^" + CAPITALISED, 0))
+            return F.when((word == "") | _in_bitmap(word, ordinary), part).otherwise(F.regexp_replace(part, "^" + CAPITALISED, "§$0¤"))
+
+        parts = F.split(t, r"(?=\p{Lu}\p{Ll})(?<!\p{L})", -1)
+        t = F.replace(F.array_join(F.transform(parts, named), ""), F.lit("¤ §"), F.lit("_"))
+    t = F.lower(t)
+    numbers = F.regexp_replace(F.regexp_replace(t, NUMBER, " №$0 "), r"(№\S+)\s+(" + "|".join(UNITS) + r")(?!\p{L})", "$1 ¢$2")
+    return F.when(t.rlike("[0-9]"), numbers).otherwise(t)
+
+
+def surface(marked: Column) -> Column:
+    """The tokens of a marked text with the values of its slots."""
+    return F.regexp_extract_all(marked, F.lit(r"§[^¤]+¤|№[0-9.,]+|¢\p{L}+|\p{L}+"), F.lit(0))
+
+
+def template(marked: Column) -> Column:
     """The same tokens with names, numbers and units as §p, §n and §u."""
-    t = F.regexp_replace(F.translate(text, "§", " "), NAME, "§p")
-    t = F.when(t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(F.lower(t), NUMBER, " §n "), r"§n\s+(?:" + "|".join(UNITS) + r")(?!\p{L})", "§n §u")).otherwise(F.lower(t))
-    return F.regexp_extract_all(t, F.lit(r"§[npu]|\p{L}+"), F.lit(0))
+    t = F.regexp_replace(marked, "§[^¤]+¤", "§p")
+    t = F.when(t.rlike("№"), F.regexp_replace(F.regexp_replace(t, r"№[0-9.,]+", "§n"), r"¢\p{L}+", "§u")).otherwise(t)
+    return F.regexp_extract_all(t, F.lit(r"§[pnu]|\p{L}+"), F.lit(0))
 
 
 def _windows(tokens: str, width: int, stride: int) -> Column:
@@ -43,35 +85,41 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, stride: int
 
     coverage is the share of the item's windows of `width` template tokens that stand in the document in the same
     alignment, at least `coverage`; position is the document's token where the item begins.  kind is "copy" if all
-    slots have the item's values, else "reparameterised"; an alignment whose slots are inconsistent is no match.  Of
-    several alignments the one with the highest coverage counts, then the first.  Items with fewer tokens than `width`,
-    null texts, and rows without doc_id or item_id match nothing; rows of one id count as one document.
+    slots have the item's values, else "reparameterised"; an alignment whose slots are inconsistent is no match: a
+    value of the item must always have one value in the document, and different names and units different ones
+    (different numbers may become equal).  Items are also looked for without names, as copies in lower case have them.
+    Of several alignments the one with the highest coverage counts, then the first.  Items with fewer tokens than
+    `width`, null texts, and rows without doc_id or item_id match nothing; rows of one id count as one document.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
-    items = common.materialize(items.select("item_id", template(F.col("text")).alias("item"), surface(F.col("text")).alias("item_words")).where(F.size("item") >= width).dropDuplicates(["item_id", "item", "item_words"]), "items")
-    item_windows = items.select("item_id", (F.size("item") - width + 1).alias("windows"), F.explode(_windows("item", width, 1)).alias("w")).select("item_id", "windows", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"))
+    given = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
+    ordinary = ordinary_words(given)
+    variants = [given.select("item_id", F.lit(k).alias("variant"), marked(F.col("text"), o).alias("m")) for k, o in enumerate((ordinary, None))]
+    items = variants[0].unionByName(variants[1]).select("item_id", "variant", template(F.col("m")).alias("item"), surface(F.col("m")).alias("item_words"))
+    items = common.materialize(items.where(F.size("item") >= width).dropDuplicates(["item_id", "item", "item_words"]), "items")
+    item_windows = items.select("item_id", "variant", (F.size("item") - width + 1).alias("windows"), F.explode(_windows("item", width, 1)).alias("w")).select("item_id", "variant", "windows", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"))
     item_windows = common.materialize(item_windows, "item-windows")
     texts = common.texts_of(docs).where("doc_id is not null and text is not null")
-    doc_windows = texts.select("doc_id", template(F.col("text")).alias("tokens")).select("doc_id", F.explode(_windows("tokens", width, stride)).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"))
-    hits = doc_windows.join(common.sized(item_windows), "hash").groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "windows").count()
+    doc_windows = texts.select("doc_id", template(marked(F.col("text"), ordinary)).alias("tokens")).select("doc_id", F.explode(_windows("tokens", width, stride)).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"))
+    hits = doc_windows.join(common.sized(item_windows), "hash").groupBy("doc_id", "item_id", "variant", (F.col("pos") - F.col("item_pos")).alias("shift"), "windows").count()
     # Unmatched windows come in runs of `width` inside an item, so a match of that coverage leaves at least this many hits.
     # Beyond stride 1 an item of fewer than stride + width - 1 tokens can lie between the windows that are looked up.
     lost = 1 - coverage
     least = F.floor((coverage * F.col("windows") - (stride - 1) * (lost * F.col("windows") / width + 1)) / stride)
-    candidates = common.materialize(hits.where(F.col("count") >= F.greatest(least, F.lit(1))).select("doc_id", "item_id", "shift"), "candidates")
+    candidates = common.materialize(hits.where(F.col("count") >= F.greatest(least, F.lit(1))).select("doc_id", "item_id", "variant", "shift"), "candidates")
     wanted = common.materialize(candidates.select("doc_id").distinct(), "wanted")
-    held = texts.join(common.sized(wanted), "doc_id", "left_semi").select("doc_id", template(F.col("text")).alias("doc"), surface(F.col("text")).alias("doc_words"))
-    both = candidates.join(held, "doc_id").join(items, "item_id")
+    held = texts.join(common.sized(wanted), "doc_id", "left_semi").select("doc_id", marked(F.col("text"), ordinary).alias("m")).select("doc_id", template(F.col("m")).alias("doc"), surface(F.col("m")).alias("doc_words"))
+    both = candidates.join(held, "doc_id").join(items, ["item_id", "variant"])
     at = F.sequence(F.lit(0), F.size("item") - 1)
     aligned = both.select("doc_id", "item_id", "shift", "item", "item_words", F.transform(at, lambda j: F.get(F.col("doc"), j + F.col("shift"))).alias("doc"), F.transform(at, lambda j: F.get(F.col("doc_words"), j + F.col("shift"))).alias("doc_words"))
     same = F.array_join(F.zip_with("item", "doc", lambda a, b: F.when(a == b, "1").otherwise("0")), "")
     found = F.aggregate(F.split("same", "0"), F.lit(0), lambda n, run: n + F.greatest(F.length(run) - (width - 1), F.lit(0)))
     slots = F.filter(F.transform(F.sequence(F.lit(0), F.size("item") - 1), lambda j: F.struct(F.get(F.col("item"), j).alias("kind"), F.get(F.col("item_words"), j).alias("item"), F.get(F.col("doc_words"), j).alias("doc"), (F.substring("same", j + 1, F.lit(1)) == "1").alias("same"))), lambda x: x["same"] & x["kind"].startswith("§"))
     judged = aligned.withColumn("same", same).withColumn("slots", slots).withColumn("coverage", found / (F.size("item") - width + 1)).where(F.col("coverage") >= coverage)
-    pairs = F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["item"], x["doc"]))))
-    values = F.size(F.array_distinct(F.transform("slots", lambda x: x["item"])))
+    distinct = lambda slots, *keys: F.size(F.array_distinct(F.transform(slots, lambda x: F.struct(*(x[k].alias(k) for k in keys)))))
+    words = F.filter("slots", lambda x: x["kind"] != "§n")
+    consistent = (distinct("slots", "item", "doc") == distinct("slots", "item")) & (distinct(words, "item", "doc") == distinct(words, "doc"))
     copy = F.forall("slots", lambda x: x["item"].eqNullSafe(x["doc"]))
-    good = judged.where(pairs == values).select("doc_id", "item_id", "coverage", F.col("shift").alias("position"), F.when(copy, "copy").otherwise("reparameterised").alias("kind"), F.size("slots").alias("n_slots"))
+    good = judged.where(consistent).select("doc_id", "item_id", "coverage", F.col("shift").alias("position"), F.when(copy, "copy").otherwise("reparameterised").alias("kind"), F.size("slots").alias("n_slots"))
     best = good.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("coverage", "position", "kind", "n_slots"), F.struct("coverage", -F.col("position"), "kind")).alias("m"))
     return best.select("doc_id", "item_id", "m.coverage", "m.position", "m.kind", "m.n_slots")
 
