@@ -44,7 +44,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.digests(table(spark, sf_dir, "documents"))
+    """The contract's digests; text is what is left when repeats of over 50 words go too."""
+    return suffixes.digests(table(spark, sf_dir, "documents"), words=51)
 
 
 def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,20 +127,37 @@ WITH RECURSIVE words AS (
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(to_id) AS component_id FROM reached GROUP BY 1) USING (doc_id)
 """,
-    "op7_suffix_arrays": """
+    "op7_suffix_arrays": r"""
 WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
 ), strings AS (
     SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS h FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM bytes)
 ), repeated AS (SELECT h FROM strings GROUP BY 1 HAVING count(*) > 1
-), starts AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS opens FROM strings JOIN repeated USING (h)
-), runs AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts
-), spans AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY doc_id, run
-), kept AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans
+), byte_spans AS (SELECT doc_id, i AS a, i + 400 AS b FROM strings JOIN repeated USING (h)
+), chunks AS (
+    SELECT doc_id, strlen(text) AS n, strlen(regexp_extract(text, '^[\x20\x09-\x0D]*')) AS lead, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS c FROM documents
+), places AS (
+    SELECT doc_id, k, chunk, lead + sum(strlen(chunk)) OVER (PARTITION BY doc_id ORDER BY k) - strlen(chunk) AS a FROM (SELECT doc_id, lead, unnest(range(1, len(c) + 1)) AS k, unnest(c) AS chunk FROM chunks)
+), windows AS (
+    SELECT doc_id, k, md5(array_to_string(w[k:k + 50], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 49)) AS k FROM (SELECT doc_id, list_transform(c, lambda x: regexp_extract(x, '^[^\x20\x09-\x0D]+')) AS w FROM chunks))
+), again AS (SELECT h FROM windows GROUP BY 1 HAVING count(*) > 1
+), word_spans AS (
+    SELECT w.doc_id, p.a::BIGINT AS a, coalesce(q.a, c.n)::BIGINT AS b FROM windows w JOIN again USING (h) JOIN chunks c USING (doc_id)
+    JOIN places p ON p.doc_id = w.doc_id AND p.k = w.k LEFT JOIN places q ON q.doc_id = w.doc_id AND q.k = w.k + 51
+), every AS (
+    SELECT 'bytes' AS unit, doc_id, a, b FROM byte_spans UNION ALL SELECT 'both', doc_id, a, b FROM byte_spans UNION ALL SELECT 'both', doc_id, a, b FROM word_spans
+), opened AS (
+    SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY unit, doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM every
+), runs AS (SELECT unit, doc_id, a, b, sum(opens) OVER (PARTITION BY unit, doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM opened
+), spans AS (SELECT unit, doc_id, min(a) AS a, max(b) AS b FROM runs GROUP BY unit, doc_id, run
+), kept AS (SELECT unit, doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY unit, doc_id ORDER BY a), 0) AS since FROM spans
 ), cut AS (
-    SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS rest
-    FROM kept JOIN bytes USING (doc_id) GROUP BY doc_id
+    SELECT unit, doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS rest
+    FROM kept JOIN bytes USING (doc_id) GROUP BY unit, doc_id
+), whole AS (  -- without bytes of characters that a cut parted
+    SELECT doc_id, decode(unhex(array_to_string(list_filter(regexp_extract_all(rest, '[0-7].|[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].|..'), lambda c: length(c) > 2 OR c < '8'), ''))) AS text FROM cut WHERE unit = 'both'
 )
-SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, x))) AS kept_sha256
-FROM bytes LEFT JOIN cut USING (doc_id)
+SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.n_spans, 0) AS n_spans, sha256(unhex(coalesce(c.rest, x))) AS kept_sha256,
+       CASE WHEN w.doc_id IS NULL THEN d.text ELSE w.text END AS text
+FROM documents d JOIN bytes USING (doc_id) LEFT JOIN cut c ON c.doc_id = d.doc_id AND c.unit = 'bytes' LEFT JOIN whole w ON w.doc_id = d.doc_id
 """,
 }

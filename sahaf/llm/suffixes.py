@@ -16,12 +16,14 @@ that are not ASCII white space.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -32,7 +34,9 @@ GRAM, CUT_GRAM = 200, 24
 #: The same in words.
 WORD_GRAM, WORD_CUT_GRAM = 25, 4
 #: Starts of strings that are hashed at once; suffixes of a shard; occurrences of an anchor in a shard.
-BLOCK, SHARD, OFTEN = 1 << 18, 500_000, 4_000
+BLOCK, SHARD, OFTEN = 1 << 18, 1_000_000, 4_000
+#: Words of 8 bytes that are compared at once for a common prefix.
+WIDE = 16
 _step = 0x9E3779B97F4A7C15 | 1
 _values = np.random.default_rng(11).integers(1, 2**63, (2, 256), dtype=np.uint64)
 _space = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -153,10 +157,11 @@ def suffix_array(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     return sa, rank
 
 
-def common_prefixes(symbols: np.ndarray, first: np.ndarray, size: np.ndarray, sa: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def common_prefixes(symbols: np.ndarray, first: np.ndarray, size: np.ndarray, sa: np.ndarray, rank: np.ndarray, least: int = 1) -> np.ndarray:
     """Kasai: for each place in the suffix array the symbols that its suffix shares with the one before.
 
-    Symbols are bytes, or numbers of 32 bits.  All pieces are walked side by side, from their first suffix to their last.
+    Symbols are bytes, or numbers of 32 bits.  All pieces are walked side by side, from their first suffix to the last
+    of `least` symbols; shorter ones count 0.
     """
     n = len(symbols)
     ends = np.repeat(first + size, size)
@@ -167,6 +172,7 @@ def common_prefixes(symbols: np.ndarray, first: np.ndarray, size: np.ndarray, sa
     for j in range(per):
         words[:n] = (words[:n] << np.uint64(bits)) | raw[j : n + j]
     out = np.zeros(n + 1, dtype=np.int32)
+    size = np.maximum(size - least + 1, 0)
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]
     live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")  # pieces longer than each step
@@ -180,13 +186,19 @@ def common_prefixes(symbols: np.ndarray, first: np.ndarray, size: np.ndarray, sa
         most[r == 0] = 0
         now = np.minimum(np.maximum(h[:m] - 1, 0), most)
         go = np.flatnonzero(now < most)
-        while len(go):
-            x = words[i[go] + now[go]] ^ words[j[go] + now[go]]
+        wide = 1
+        while len(go):  # the next word first; what still agrees, WIDE words at a time
+            ahead = now[go][:, None] + per * np.arange(wide)
+            x = words[np.minimum(i[go][:, None] + ahead, n)] ^ words[np.minimum(j[go][:, None] + ahead, n)]
+            unlike = x != 0
+            k = np.where(unlike.any(1), unlike.argmax(1), wide)
+            x = x[np.arange(len(go)), np.minimum(k, wide - 1)]
             top = np.frexp(x.astype(np.float64))[1]  # bits up to the highest that differs
-            same = np.where(x == 0, per, np.maximum(64 - top, 0) // bits)
-            same = np.where((x != 0) & (same < per) & ((x >> (np.uint64(64 - bits) - np.uint64(bits) * same.astype(np.uint64))) == 0), same + 1, same)
-            now[go] = np.minimum(now[go] + same, most[go])
-            go = go[(same == per) & (now[go] < most[go])]
+            same = np.where(k == wide, 0, np.maximum(64 - top, 0) // bits)
+            same = np.where((k < wide) & (same < per) & ((x >> (np.uint64(64 - bits) - np.uint64(bits) * np.minimum(same, per - 1).astype(np.uint64))) == 0), same + 1, same)
+            now[go] = np.minimum(now[go] + per * k + same, most[go])
+            go = go[(k == wide) & (now[go] < most[go])]
+            wide = WIDE
         out[r] = now
         h[:m] = now
     return out
@@ -200,7 +212,7 @@ def repeated_starts(pieces: list[bytes], length: int, kind: type = np.uint8) ->
     if kind is not np.uint8:
         symbols = np.unique(symbols, return_inverse=True)[1].astype(np.uint32)
     sa, rank = suffix_array(symbols, np.repeat(first + size, size))
-    long = common_prefixes(symbols, first, size, sa, rank) >= length
+    long = common_prefixes(symbols, first, size, sa, rank, length) >= length
     hit = np.zeros(len(symbols), dtype=bool)
     hit[sa] = long[:-1] | long[1:]
     return hit, first
@@ -214,124 +226,161 @@ def spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, cut + 1]].tolist(), (starts[np.r_[cut, len(starts) - 1]] + length).tolist(), strict=True))
 
 
-def least_bytes(length: int, words: bool) -> int:
-    """The bytes that a string of that length has at least."""
-    return 2 * length - 1 if words else length
+def text_key(text: Column) -> Column:
+    """The identity of a text: 128 bits, so that different texts of any corpus never count as copies."""
+    return F.unhex(F.md5(text))
 
 
-def find(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, often: int = OFTEN, words: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(classes, marks): classes (tk, copies, rep) of equal texts, and marks (tk, spans) of the ranges to remove.
+class Unit(NamedTuple):
+    """What strings are made of: `length` symbols each, anchors of `gram` and `cut_gram` symbols."""
+
+    length: int
+    gram: int
+    cut_gram: int
+    symbols: Callable[[str], np.ndarray]
+    kind: type
+
+    @property
+    def width(self) -> int:
+        return np.dtype(self.kind).itemsize
+
+
+def units(length: int | None, words: int | None) -> list[Unit]:
+    """The units of strings of `length` bytes and of `words` words, as far as they are given."""
+    out = [Unit(length, GRAM, CUT_GRAM, as_bytes, np.uint8)] if length else []
+    out += [Unit(words, WORD_GRAM, WORD_CUT_GRAM, as_words, np.uint64)] if words else []
+    for u in out:
+        if u.length < u.gram + u.cut_gram or u.length > 2000:
+            raise ValueError(f"length must be from {u.gram + u.cut_gram} to 2000")
+    return out
+
+
+def _runs(hits: pa.ListArray) -> list[list[tuple[int, int, int, int]]]:
+    """For each row's hits (by, s, n, salts), in order: (by, begin, end, salts) of those that adjoin and have equal salts, as one."""
+    lo, hi = hits.offsets[0].as_py(), hits.offsets[-1].as_py()
+    values = hits.values.slice(lo, hi - lo)
+    by, s, n, salts = (values.field(c).to_numpy() for c in ("by", "s", "n", "salts"))
+    row = np.repeat(np.arange(len(hits)), np.diff(hits.offsets.to_numpy()))
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in range(len(hits))]
+    if len(s):
+        opens = np.flatnonzero(np.r_[True, (s[1:] != s[:-1] + n[:-1]) | (salts[1:] != salts[:-1]) | (row[1:] != row[:-1]) | (by[1:] != by[:-1])])
+        closes = np.append(opens[1:], len(s)) - 1
+        for k, *run in zip(row[opens].tolist(), by[opens].tolist(), s[opens].tolist(), (s[closes] + n[closes]).tolist(), salts[opens].tolist(), strict=True):
+            out[k].append(tuple(run))
+    return out
+
 
-    length and ranges are in bytes, or in words.
+def find(docs: DataFrame, length: int | None = LENGTH, shard: int = SHARD, often: int = OFTEN, words: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(classes, marks): classes (tk, copies, rep) of equal texts, and marks (tk, spans) of the ranges to remove.
 
-    tk is a 64-bit hash of the text.  One text of each class is searched; what is repeated by copies is repeated
-    anyway, so a class of several texts of `length` bytes or words needs no marks: all of it goes.
+    Strings are of `length` bytes and of `words` words; either may be None.  A span (by, a, b) is in bytes where by is
+    the place of bytes in units(), else in words.  tk is a 128-bit digest of the text.  One text of each class is
+    searched; what is repeated by copies is repeated anyway, so a class of several texts that are long enough for a
+    string needs no marks: all of it goes.
     """
-    gram, cut_gram, symbols, kind = (WORD_GRAM, WORD_CUT_GRAM, as_words, np.uint64) if words else (GRAM, CUT_GRAM, as_bytes, np.uint8)
-    unit = np.dtype(kind).itemsize
-    if length < gram + cut_gram or length > 2000:
-        raise ValueError(f"length must be from {gram + cut_gram} to 2000")
-    texts = common.texts_of(docs).where(F.octet_length("text") >= least_bytes(length, words)).select("doc_id", F.xxhash64("text").alias("tk"), "text")
-    enough = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= length if words else F.lit(True)
-    classes = common.materialize(texts.where(enough).groupBy("tk").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")), "classes")
+    kinds = units(length, words)
+    least = min(2 * u.length - 1 if u.symbols is as_words else u.length for u in kinds)
+    texts = common.texts_of(docs).where(F.octet_length("text") >= least).select("doc_id", text_key(F.col("text")).alias("tk"), "text")
 
     def filter_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tk, s, n, h = [], [], [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                a = symbols(text)
-                for x, y in blocks(len(a), length):
-                    first, count, hashes = anchors(a[x:y], length, gram)
-                    tk.append(np.full(len(first), key, dtype=np.int64))
-                    s.append(first + x)
-                    n.append(count)
-                    h.append(hashes.view(np.int64))
-            if tk:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tk, s, n, h)], names=["tk", "s", "n", "h"])
-
-    found = common.map_arrow(texts.select("tk", "text"), filter_anchors, "tk long, s long, n long, h long")
-    # A table of its own, so that the join below deals both of its sides out and can split an anchor that is everywhere.
+            row, unit, s, n, h = [], [], [], [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                for j, u in enumerate(kinds):
+                    a = u.symbols(text)
+                    for x, y in blocks(len(a), u.length):
+                        first, count, hashes = anchors(a[x:y], u.length, u.gram)
+                        row.append(np.full(len(first), k, dtype=np.int32))
+                        unit.append(np.full(len(first), j, dtype=np.int32))
+                        s.append(first + x)
+                        n.append(count)
+                        h.append((hashes ^ np.uint64(j)).view(np.int64))
+            if row:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(row))), *(pa.array(np.concatenate(c)) for c in (unit, s, n, h))], names=["tk", "by", "s", "n", "h"])
+
+    # Tables of their own: texts are hashed once, and the join deals both of its sides out and can split an anchor that is everywhere.
+    found = common.materialize(common.map_arrow(texts.select("tk", "text"), filter_anchors, "tk binary, by int, s long, n long, h long"), "starts")
     counts = common.materialize(found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h", (1 + F.floor(F.col("times") / often)).cast("int").alias("salts")), "anchors")
-    hits = common.materialize(found.join(counts, "h").groupBy("tk", "s").agg(F.first("n").alias("n"), F.first("salts").alias("salts")), "hits")
-    ranges = hits.groupBy("tk").agg(F.array_sort(F.collect_list(F.struct("s", "n", "salts"))).alias("hits")).join(classes.select("tk", "rep"), "tk")
+    hits = common.materialize(found.join(counts, "h").groupBy("tk", "by", "s").agg(F.first("n").alias("n"), F.first("salts").alias("salts")), "hits")
+    common.drop(found, counts)
+    classes = common.materialize(texts.groupBy("tk").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")), "classes")
+    ranges = hits.groupBy("tk").agg(F.array_sort(F.collect_list(F.struct("by", "s", "n", "salts"))).alias("hits")).join(classes.select("tk", "rep"), "tk")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 100):
                 b = whole.slice(lo, 100)
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for key, text, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    a = symbols(text)
-                    runs: list[list[int]] = []
-                    for x in own:
-                        if runs and runs[-1][1] == x["s"] and runs[-1][2] == x["salts"]:
-                            runs[-1][1] += x["n"]
-                        else:
-                            runs.append([x["s"], x["s"] + x["n"], x["salts"]])
-                    for begin, end, salts in runs:
+                row, unit, starts, hashed, subs, pieces = [], [], [], [], [], []
+                for k, (text, own) in enumerate(zip(b.column(1).to_pylist(), _runs(b.column(2)), strict=True)):
+                    read = None
+                    for j, begin, end, salts in own:
+                        u = kinds[j]
+                        if read != j:
+                            a = u.symbols(text)
+                            raw, read = a.tobytes(), j
+                            seed = np.uint64(zlib.crc32(raw) << 32)
                         for p in range(begin, end, BLOCK):
-                            first, count, hashes = anchors(a[p : min(end, p + BLOCK) + length - 1], length, cut_gram)
-                            for f, n, h in zip((first + p).tolist(), count.tolist(), hashes.tolist(), strict=True):
-                                sub = hash((key, f)) % salts if salts > 1 else 0
-                                for c, v in zip(out, (h - (1 << 64) if h >> 63 else h, sub if salts > 1 else -1, key, f, a[f : f + n + length - 1].tobytes()), strict=True):
-                                    c.append(v)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(out, kinds, strict=True)], names=["h", "sub", "tk", "s", "piece"])
+                            first, count, hashes = anchors(a[p : min(end, p + BLOCK) + u.length - 1], u.length, u.cut_gram)
+                            first = first + p
+                            row.append(np.full(len(first), k, dtype=np.int32))
+                            unit.append(np.full(len(first), j, dtype=np.int32))
+                            starts.append(first)
+                            hashed.append((hashes ^ np.uint64(j)).view(np.int64))
+                            subs.append((_mix(first.astype(np.uint64) + seed) % np.uint64(salts)).astype(np.int32) if salts > 1 else np.full(len(first), -1, dtype=np.int32))
+                            pieces += [raw[f:g] for f, g in zip((first * u.width).tolist(), ((first + count + (u.length - 1)) * u.width).tolist(), strict=True)]
+                if row:
+                    row, *columns = (np.concatenate(c) for c in (row, unit, hashed, subs, starts))
+                    by, h, sub, s = map(pa.array, columns)
+                    yield pa.RecordBatch.from_arrays([h, sub, by, b.column(0).take(pa.array(row)), s, pa.array(pieces, type=pa.binary())], names=["h", "sub", "by", "tk", "s", "piece"])
 
     held = texts.join(ranges, "tk").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("tk", "text", "hits")
-    pieces = common.map_arrow(held, cut, "h long, sub int, tk long, s long, piece binary")
+    pieces = common.map_arrow(held, cut, "h long, sub int, by int, tk binary, s long, piece binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Marks()
+        waiting: list[list[tuple[bytes, list[tuple[bytes, int]]]]] = [[] for _ in kinds]
+        size = [0] * len(kinds)
+
         def rows() -> Iterator[tuple]:
             for b in batches:
                 yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
-        waiting: list[tuple[bytes, list[tuple[int, int]]]] = []
-        size = 0
-        for (_, sub), own in groupby(rows(), key=lambda x: x[:2]):
-            members: dict[bytes, list[tuple[int, int]]] = {}
+        for (_, sub, by), own in groupby(rows(), key=lambda x: x[:3]):
+            members: dict[bytes, list[tuple[bytes, int]]] = {}
             for x in own:
-                members.setdefault(x[4], []).append(x[2:4])
+                members.setdefault(x[5], []).append(x[3:5])
+            u = kinds[by]
             # Equal strings lie equally far before their anchor, so one piece never holds a string twice.
             for piece, at in members.items():
                 if len(at) > 1:
-                    yield out_batch([x[0] for x in at], [x[1] for x in at], [x[1] + len(piece) // unit for x in at], None, None)
-            if sub >= 0:
-                for piece, at in members.items():
-                    yield strings(piece, *at[0], len(at) > 1)
+                    n = len(piece) // u.width
+                    for tk, s in at:
+                        out.add(tk, by, s, s + n)
+                if sub >= 0:
+                    out.add_strings(*at[0], by, piece, u, len(at) > 1)
             if len(members) > 1:
-                waiting += members.items()
-                size += sum(map(len, members)) // unit
-            if size >= shard:
-                yield from shared(waiting)
-                waiting, size = [], 0
-        if waiting:
-            yield from shared(waiting)
-
-    def shared(pieces: list[tuple[bytes, list[tuple[int, int]]]]) -> Iterator[pa.RecordBatch]:
+                waiting[by] += members.items()
+                size[by] += sum(map(len, members)) // u.width
+            if size[by] >= shard:
+                shared(waiting[by], by, out)
+                waiting[by], size[by] = [], 0
+            yield from out.full()
+        for by, pieces in enumerate(waiting):
+            if pieces:
+                shared(pieces, by, out)
+        yield from out.full(last=True)
+
+    def shared(pieces: list[tuple[bytes, list[tuple[bytes, int]]]], by: int, out: _Marks) -> None:
         """What pieces of other bytes share with each other, by their suffix array."""
-        hit, first = repeated_starts([x[0] for x in pieces], length, kind)
-        marks: list[tuple] = []
+        u = kinds[by]
+        hit, first = repeated_starts([x[0] for x in pieces], u.length, u.kind)
         for (piece, at), f in zip(pieces, first.tolist(), strict=True):
-            if len(at) == 1 and (found := np.flatnonzero(hit[f : f + len(piece) // unit])).size:
-                marks += [(at[0][0], a, b) for a, b in spans(found + at[0][1], length)]
-        yield out_batch([m[0] for m in marks], [m[1] for m in marks], [m[2] for m in marks], None, None)
-
-    def strings(piece: bytes, tk: int, s: int, known: bool) -> pa.RecordBatch:
-        """A row for each string of a piece of an anchor that has several shards; b is -1 if it is marked already."""
-        a = np.frombuffer(piece, dtype=kind)
-        d = [gram_hashes(a, length, t) for t in (0, 1)]
-        at = np.arange(s, s + len(d[0]), dtype=np.int64)
-        return out_batch(np.full(len(at), tk), at, np.full(len(at), -1) if known else at + length, d[0], d[1])
-
-    def out_batch(tk, a, b, d0, d1) -> pa.RecordBatch:
-        n = len(tk)
-        cols = [pa.array(np.asarray(c, dtype=np.int64)) for c in (tk, a, b)]
-        digests = [pa.nulls(n, pa.int64()) if d is None else pa.array(d.view(np.int64)) for d in (d0, d1)]
-        return pa.RecordBatch.from_arrays([*cols, *digests], names=["tk", "a", "b", "d0", "d1"])
-
-    fields = "tk long, a long, b long, d0 long, d1 long"
-    marked = common.materialize(common.map_arrow(pieces.repartition("h", "sub").sortWithinPartitions("h", "sub", "tk", "s"), search, fields), "marked")
+            if len(at) == 1 and (found := np.flatnonzero(hit[f : f + len(piece) // u.width])).size:
+                for a, b in spans(found + at[0][1], u.length):
+                    out.add(at[0][0], by, a, b)
+
+    marked = common.materialize(common.map_arrow(pieces.repartition("h", "sub").sortWithinPartitions("h", "sub", "by", "tk", "s"), search, "tk binary, by int, a long, b long, digest binary"), "marked")
+    common.drop(hits)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Strings of other shards, found by binary search in the sorted digests of all."""
@@ -339,7 +388,7 @@ def find(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, often: int =
         if not rows:
             return
         t = pa.Table.from_batches(rows)
-        d0, d1 = (t.column(c).to_numpy() for c in ("d0", "d1"))
+        d0, d1 = np.frombuffer(b"".join(t.column("digest").to_pylist()), dtype=np.int64).reshape(-1, 2).T
         order = np.lexsort((d1, d0))
         sorted0, sorted1 = d0[order], d1[order]
         group = np.cumsum(np.r_[False, (sorted0[1:] != sorted0[:-1]) | (sorted1[1:] != sorted1[:-1])])
@@ -348,88 +397,128 @@ def find(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, often: int =
         times = np.searchsorted(group, own, side="right") - np.searchsorted(group, own, side="left")
         b = t.column("b").to_numpy()
         take = pa.array(np.flatnonzero((times > 1) & (b >= 0)))
-        yield from t.select(["tk", "a", "b"]).take(take).to_batches()
+        yield from t.select(["tk", "by", "a", "b"]).take(take).to_batches()
+
+    across = common.map_arrow(marked.where("digest is not null").repartition("digest"), merge, "tk binary, by int, a long, b long")
+    every = marked.where("digest is null").select("tk", "by", "a", "b").unionByName(across)
+    marks = common.materialize(every.groupBy("tk").agg(F.array_sort(F.collect_list(F.struct("by", "a", "b"))).alias("spans")), "marks")
+    common.drop(marked)
+    return classes, marks
+
+
+class _Marks:
+    """Rows (tk, by, a, b, digest) of marked ranges, and of single strings to be merged across shards, in large batches."""
 
-    across = common.map_arrow(marked.where("d0 is not null").repartition("d0"), merge, "tk long, a long, b long")
-    every = marked.where("d0 is null").select("tk", "a", "b").unionByName(across)
-    return classes, common.materialize(every.groupBy("tk").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans")), "marks")
+    ROWS = 20_000
 
+    def __init__(self):
+        self.rows: tuple[list, ...] = ([], [], [], [], [])
 
-def _joined(own: list[dict]) -> list[tuple[int, int]]:
+    def add(self, tk: bytes, by: int, a: int, b: int, digest: bytes | None = None) -> None:
+        for c, v in zip(self.rows, (tk, by, a, b, digest), strict=True):
+            c.append(v)
+
+    def add_strings(self, tk: bytes, s: int, by: int, piece: bytes, u: Unit, known: bool) -> None:
+        """Each string of a piece of an anchor that has several shards, by a 128-bit digest; b is -1 if it is marked already."""
+        for k in range(len(piece) // u.width - u.length + 1):
+            self.add(tk, by, s + k, -1 if known else s + k + u.length, hashlib.blake2b(piece[k * u.width : (k + u.length) * u.width], digest_size=16).digest())
+
+    def full(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        if len(self.rows[0]) >= self.ROWS or last:
+            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(self.rows, kinds, strict=True)], names=["tk", "by", "a", "b", "digest"])
+            self.rows = ([], [], [], [], [])
+
+
+def _joined(own: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for x in own:
-        if out and x["a"] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], x["b"])
+    for a, b in sorted(own):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
         else:
-            out.append([x["a"], x["b"]])
+            out.append([a, b])
     return [(a, b) for a, b in out]
 
 
-def _with_marks(docs: DataFrame, classes: DataFrame, marks: DataFrame, length: int) -> DataFrame:
-    """docs with gone (a text with copies, long enough) and spans; both null where nothing goes."""
-    known = classes.select("tk", (F.col("copies") > 1).alias("gone")).join(marks, "tk", "left").where("gone or spans is not null")
-    return docs.withColumn("tk", F.when(F.octet_length("text") >= length, F.xxhash64("text"))).join(known, "tk", "left").drop("tk")
+def cuts(raw: bytes, copies: int | None, own: list[dict] | None, kinds: list[Unit]) -> list[list[tuple[int, int]]]:
+    """For each unit the byte ranges of a text that go; those of words take the white space behind them along."""
+    out = []
+    bounds = None
+    for j, u in enumerate(kinds):
+        mine = [(x["a"], x["b"]) for x in own or () if x["by"] == j]
+        many = (copies or 0) > 1
+        if u.symbols is as_words and (mine or many):
+            if bounds is None:
+                bounds = np.append(word_bounds(np.frombuffer(raw, dtype=np.uint8))[0], len(raw)).tolist()
+            many = many and len(bounds) > u.length
+            mine = [(bounds[a], bounds[b]) for a, b in mine]
+        else:
+            many = many and len(raw) >= u.length
+        out.append([(0, len(raw))] if many else _joined(mine))
+    return out
+
+
+def _left(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
+    at, kept = 0, []
+    for x, y in gone:
+        kept.append(raw[at:x])
+        at = y
+    return b"".join([*kept, raw[at:]])
 
 
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs.
+def _with_marks(docs: DataFrame, classes: DataFrame, marks: DataFrame) -> DataFrame:
+    """docs with __copies and __spans of their texts; both null where nothing goes."""
+    known = classes.join(marks, "tk", "left").where("copies > 1 or spans is not null").select(F.col("tk").alias("__tk"), F.col("copies").alias("__copies"), F.col("spans").alias("__spans"))
+    return docs.withColumn("__tk", text_key(F.col("text").cast("string"))).join(known, "__tk", "left").drop("__tk")
 
-    A null text is empty; texts under `length` bytes keep everything; repeated rows and rows without doc_id are
-    documents like others, so a repeated row of that length is removed.  An empty table gives no rows.
+
+def digests(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs, and text: what is left of it.
+
+    The digests are of what strings of `length` bytes leave.  With `words`, text lacks repeats of so many words too
+    (see remove()).  A null text is empty in the digests and stays null; texts under `length` bytes and words keep
+    everything; repeated rows and rows without doc_id are documents like others, so a repeated row of that length is
+    removed.  An empty table gives no rows.
     """
-    classes, marks = find(docs, length)
+    kinds = units(length, words)
+    classes, marks = find(docs, length, words=words)
     common.free_shuffles(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for text, gone, own in zip(*(b.column(c).to_pylist() for c in ("text", "gone", "spans")), strict=True):
-                raw = (text or "").encode()
-                cut = [(0, len(raw))] if gone else _joined(own or [])
-                sha, at = hashlib.sha256(), 0
-                for x, y in cut:
-                    sha.update(raw[at:x])
-                    at = y
-                sha.update(raw[at:])
-                rows.append((len(raw), sum(y - x for x, y in cut), len(cut), sha.hexdigest()))
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, type=pa.int64()) for c in cols[:3]), pa.array(cols[3], type=pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return common.map_arrow(_with_marks(common.texts_of(docs), classes, marks, length).select("doc_id", "text", "gone", "spans"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 100):
+                b = whole.slice(lo, 100)
+                rows = []
+                for text, copies, own in zip(*(b.column(c).to_pylist() for c in ("text", "__copies", "__spans")), strict=True):
+                    raw = (text or "").encode()
+                    gone = cuts(raw, copies, own, kinds)
+                    kept = _left(raw, gone[0])
+                    rest = _left(raw, _joined([x for g in gone for x in g])).decode("utf-8", "ignore") if any(gone) else text
+                    rows.append((len(raw), len(raw) - len(kept), len(gone[0]), hashlib.sha256(kept).hexdigest(), rest))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, type=pa.int64()) for c in cols[:3]), *(pa.array(c, type=pa.string()) for c in cols[3:])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+
+    return common.map_arrow(_with_marks(common.texts_of(docs), classes, marks), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def remove(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """docs with what is left of each text, all other columns as they are; n_chars, if there is one, follows the text.
 
     With `words`, what a string of so many words covers that stands elsewhere too is removed as well, with the white
-    space behind it.  Where a cut parts the bytes of a character, its rest is dropped.
+    space behind it.  Where a cut parts the bytes of a character, its rest is dropped.  A text all of which goes is
+    empty, a null text stays null; odd rows are treated as in digests().
     """
-    names = docs.columns
-    kinds = {"bytes": (length, False)} | ({"words": (words, True)} if words else {})
-    least = min(least_bytes(*x) for x in kinds.values())
-    joined = docs.withColumn("__tk", F.when(F.octet_length("text") >= least, F.xxhash64("text")))
-    for k, (n, by_word) in kinds.items():
-        classes, marks = find(docs, n, words=by_word)
-        gone, spans = f"__gone_{k}", f"__{k}"
-        known = classes.select(F.col("tk").alias("__tk"), (F.col("copies") > 1).alias(gone)).join(marks.select(F.col("tk").alias("__tk"), F.col("spans").alias(spans)), "__tk", "left")
-        joined = joined.join(known.where(F.col(gone) | F.col(spans).isNotNull()), "__tk", "left")
-    joined = joined.withColumn("__gone", F.greatest(*(F.coalesce(f"__gone_{k}", F.lit(False)) for k in kinds), F.lit(False))).drop("__tk", *(f"__gone_{k}" for k in kinds))
+    names, kinds = docs.columns, units(length, words)
+    classes, marks = find(docs, length, words=words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            by_words = b.column("__words").to_pylist() if words else [None] * b.num_rows
-            for text, gone, own, others in zip(*(b.column(c).to_pylist() for c in ("text", "__gone", "__bytes")), by_words, strict=True):
-                if gone or own or others:
-                    raw, kept, at = text.encode(), [], 0
-                    cuts = [*(own or [])]
-                    if others and not gone:
-                        start = np.append(word_bounds(np.frombuffer(raw, dtype=np.uint8))[0], len(raw)).tolist()
-                        cuts = sorted([*cuts, *({"a": start[x["a"]], "b": start[x["b"]]} for x in others)], key=lambda x: x["a"])
-                    for x, y in [(0, len(raw))] if gone else _joined(cuts):
-                        kept.append(raw[at:x])
-                        at = y
-                    text = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
+            for text, copies, own in zip(*(b.column(c).to_pylist() for c in ("text", "__copies", "__spans")), strict=True):
+                if copies or own:
+                    raw = text.encode()
+                    gone = _joined([x for g in cuts(raw, copies, own, kinds) for x in g])
+                    text = _left(raw, gone).decode("utf-8", "ignore") if gone else text
                 texts.append(text)
             cols = {n: b.column(n) for n in names}
             cols["text"] = pa.array(texts, type=pa.string())
@@ -437,4 +526,4 @@ def remove(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> D
                 cols["n_chars"] = pa.array([len(t) if t is not None else n for t, n in zip(texts, b.column("n_chars").to_pylist(), strict=True)], type=b.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([*cols.values()], names=names)
 
-    return common.map_arrow(joined, run, docs.schema)
+    return common.map_arrow(_with_marks(docs, classes, marks), run, docs.schema)
