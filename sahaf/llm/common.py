@@ -40,9 +40,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+#: Tables written inside scratch() blocks that are open.
+_open: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose materialize() tables are deleted at its end, but for those that the function it gives was called with."""
+    kept: list[DataFrame] = []
+
+    def keep(t: DataFrame) -> DataFrame:
+        kept.append(t)
+        return t
+
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        written = _open.pop()
+        drop(*(t for t in written if not any(t is k for k in kept)))
+        if _open:
+            _open[-1].extend(kept)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables of materialize() that no later plan reads."""
     for t in tables:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,8 +27,10 @@ from .tokens import default_tokenizer
 MAX_BITS = 20
 CHECKPOINT = 256
 END_ID = 0
-#: Ids of a range of doc_id that is written as one run of blocks, and documents that are encoded side by side.
-RANGE_TOKENS, SIDE_BY_SIDE = 4_000_000, 100
+#: Ids of a range of doc_id that is written as one run of blocks, and ranges at most: beyond it they grow.
+RANGE_TOKENS, MOST_RANGES = 4_000_000, 10_000
+#: Documents that are encoded side by side, and accuracy of the quantiles that bound the ranges.
+SIDE_BY_SIDE, ACCURACY = 100, 100_000
 BLOCK_FIELDS = "shard int, seq long, doc_id long, start_in_shard long, n_tokens long, payload binary, checkpoints binary"
 
 
@@ -138,7 +140,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     """Tokenize every whole text once, count ids, and write the store.
 
     Null and empty texts have only the end id.  Rows without doc_id come first; repeated rows are blocks of their own,
-    in an order that their texts' places in the input fix.  An empty table makes a store without blocks.
+    in an order that their texts' places in the input fix; a doc_id with so many rows that it fills several ranges is
+    dealt to them in that order.  An empty table makes a store without blocks.
     """
     file = tokenizer or default_tokenizer()
 
@@ -170,8 +173,16 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     counts = {r["id"]: r["n"] for r in common.map_arrow(tokens.select("wide", "ids"), count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}  # at most a row per id of the vocabulary
     lengths = code_lengths(counts, max_bits)
     codes, bits = canonical(lengths)
-    ranges = 1 + sum(counts.values()) // RANGE_TOKENS
-    bounds = np.array(tokens.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or [] if ranges > 1 else [], dtype=np.int64)
+    ranges = min(1 + sum(counts.values()) // RANGE_TOKENS, MOST_RANGES)
+    cut = tokens.agg(F.max(F.shiftright("tag", 33)).alias("parts"), F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], ACCURACY).alias("at")).first()  # at most MOST_RANGES numbers
+    bounds, parts = np.array(cut["at"] or [] if ranges > 1 else [], dtype=np.int64), (cut["parts"] or 0) + 1
+
+    def shards(doc_ids: list[int | None], tags: np.ndarray) -> np.ndarray:
+        """The range of each row; a doc_id that is the bound of several ranges is dealt to them by place in the input."""
+        x = np.array([-(2**63) if d is None else d for d in doc_ids], dtype=np.int64)
+        first, last = np.searchsorted(bounds, x), np.searchsorted(bounds, x, side="right")
+        known = np.array([d is not None for d in doc_ids], dtype=bool)
+        return np.where(known, first + np.where(last > first, (tags >> 33) * (last - first) // parts, 0), 0)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -179,8 +190,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
                 b = whole.slice(a, SIDE_BY_SIDE)
                 ids = ids_in(b)
                 payloads, checkpoints = encode_blocks(ids, codes, bits)
-                shard = [int(np.searchsorted(bounds, x)) if x is not None else 0 for x in b.column("doc_id").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(shard, type=pa.int32()), b.column("doc_id"), b.column("tag"), pa.array([*map(len, ids)], type=pa.int64()), common.binary_column(payloads), common.binary_column(checkpoints)], names=["shard", "doc_id", "tag", "n_tokens", "payload", "checkpoints"])
+                shard = shards(b.column("doc_id").to_pylist(), b.column("tag").to_numpy()).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), b.column("doc_id"), b.column("tag"), pa.array([*map(len, ids)], type=pa.int64()), common.binary_column(payloads), common.binary_column(checkpoints)], names=["shard", "doc_id", "tag", "n_tokens", "payload", "checkpoints"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, seq, start = None, 0, 0
@@ -204,21 +215,21 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """doc_id, start, n_tokens and the ids of each block, or with digest their crc32 as unsigned 32-bit integers."""
     lengths = {r["id"]: r["bits"] for r in spark.read.schema("id int, bits int").parquet(f"{path}/codebook").collect()}  # a row per id of the vocabulary
     blocks = spark.read.schema(BLOCK_FIELDS).parquet(f"{path}/blocks")
-    base, total = {}, 0
-    for r in blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect():  # a row per range
-        base[r["shard"]], total = total, total + r["n"]
+    sums = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row per range, at most MOST_RANGES
+    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    placed = blocks.join(F.broadcast(sums.select("shard", F.coalesce(before, F.lit(0)).alias("base"))), "shard")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = decode_table(lengths)
         for b in batches:
             n = b.column("n_tokens").to_numpy()
             ids = decode_blocks(b.column("payload").to_pylist(), b.column("checkpoints").to_pylist(), n, look)
-            start = b.column("start_in_shard").to_numpy() + np.array([base[s] for s in b.column("shard").to_pylist()], dtype=np.int64)
             last = pa.array([zlib.crc32(x) for x in ids], type=pa.int64()) if digest else pa.array([x.astype(np.int32) for x in ids], type=pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(start), b.column("n_tokens"), last], names=["doc_id", "start", "n_tokens", "last"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), last], names=["doc_id", "start", "n_tokens", "last"])
 
     kind = "long" if digest else "array<int>"
-    return common.map_arrow(blocks, decode, f"doc_id long, start long, n_tokens long, last {kind}").withColumnRenamed("last", "ids_crc32" if digest else "ids")
+    started = placed.select("doc_id", (F.col("start_in_shard") + F.col("base")).alias("start"), "n_tokens", "payload", "checkpoints")
+    return common.map_arrow(started, decode, f"doc_id long, start long, n_tokens long, last {kind}").withColumnRenamed("last", "ids_crc32" if digest else "ids")
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -79,7 +79,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([statistics(t) for t in b.column(2).to_pylist()], type=pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
     taught = common.texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")  # at most `sample` rows are broadcast
-    got = common.map_arrow(taught, extract, "doc_id long, quality int, x array<double>").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    got = common.map_arrow(taught, extract, "doc_id long, quality int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(sample).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])  # at most `sample` rows, however often a doc_id repeats
     return fit(np.array(got.column("x").to_pylist(), dtype=float).reshape(got.num_rows, -1), np.array(got.column("quality").to_pylist(), dtype=float))
 
 

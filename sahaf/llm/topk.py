@@ -1,10 +1,14 @@
 """Exact top-k search by inner product in three phases under a uniform threshold.
 
 The components are dealt to `lists` ranges; a candidate's score is the sum of its partial scores in the ranges.
-Phase 1 gathers, for each range, the best partial scores of all candidates; the exact scores of those candidates give
-for each query a cutoff that at least k candidates reach.  Phase 2 sends the cutoffs out and takes every candidate
-with a partial score of at least cutoff / lists in some range: one without has a lower sum than the cutoff.  Phase 3
-resolves the exact scores of those, and keeps the best k.
+Phase 1 gathers each range's list of the best partial scores, and the exact scores of the candidates on those lists
+only; they give for each query a cutoff that at least k candidates reach.  Phase 2 sends the cutoffs out and collects
+from every list the entries of at least cutoff / lists: a candidate without one has a lower sum than the cutoff.
+Phase 3 resolves the scores of the collected candidates exactly, and keeps the best k.
+
+Lists depend on the query, so they are never stored: phase 2 makes a range's partial scores again.  The work is that of
+all queries on all candidates, twice; exact scores are made for collected candidates only.  Queries come in blocks, and
+each block's result is written, so that a plan never grows with the number of queries.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LISTS = 4
-#: Queries that are broadcast at once, and candidates whose scores are held at once.
-QUERY_BLOCK, ROW_BLOCK = 1024, 1000
+#: Queries that are broadcast at once; partial scores, and pairs to resolve, that are held at once.
+QUERY_BLOCK, CELLS, PAIRS = 4096, 1 << 20, 50_000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -49,6 +53,16 @@ def partial_scores(c: np.ndarray, q: np.ndarray, lists: int) -> list[np.ndarray]
     return [c[:, r] @ q[:, r].T for r in np.array_split(np.arange(c.shape[1]), lists)]
 
 
+def exact_scores(c: np.ndarray, q: np.ndarray, r: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """The whole inner products of candidates c[r] and queries q[col], a few pairs at a time."""
+    big = c.size and q.size and np.abs(c).max() * np.abs(q).max() * c.shape[1] >= 2**53
+    if big:
+        whole = np.vectorize(int, otypes=[object])
+        c, q = whole(c), whole(q)
+    parts = [(c[r[a : a + PAIRS]] * q[col[a : a + PAIRS]]).sum(1) for a in range(0, len(r), PAIRS)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
 def _best(keep: list[np.ndarray], k: int) -> list[np.ndarray]:
     """Of columns (group, id, score, ...) the k rows with the highest score of each group, ties to smaller ids."""
     order = np.lexsort((keep[1], -keep[2], keep[0]))
@@ -75,7 +89,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: int = 2
     candidates, queries = usable(candidates), usable(queries).distinct()
     total = queries.count()
     blocks = -(-total // QUERY_BLOCK)
-    found = None
+    written = []
     for k_block in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == k_block).toArrow().combine_chunks()
         if not own.num_rows:
@@ -83,29 +97,28 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: int = 2
         ids = own.column("vec_id").to_numpy()
         vectors = spark.sparkContext.broadcast([(rows, q) for rows, q in quantised(own.column("embedding").chunk(0), scale)])
 
-        def pairs(b: pa.RecordBatch, vectors=vectors, ids=ids):
-            """Candidates' ids, their queries' places, and partial scores with the query's own rows masked."""
+        def chunks(b: pa.RecordBatch, vectors=vectors, ids=ids):
+            """Candidates' ids and vectors, their queries' places and vectors, and which pairs are a query's own rows."""
             vec = b.column(0).to_numpy()
             for rows, c in quantised(b.column(1), scale):
                 for at, q in vectors.value:
                     if q.shape[1] == c.shape[1]:
-                        for a in range(0, len(rows), ROW_BLOCK):
-                            part = partial_scores(c[a : a + ROW_BLOCK], q, lists)
-                            cand = vec[rows[a : a + ROW_BLOCK]]
-                            yield cand, at, part, cand[:, None] == ids[at][None, :]
+                        step = max(1, CELLS // max(len(at), 1))
+                        for a in range(0, len(rows), step):
+                            cand = vec[rows[a : a + step]]
+                            yield cand, c[a : a + step], at, q, cand[:, None] == ids[at][None, :]
 
-        def gather(batches: Iterator[pa.RecordBatch], pairs=pairs) -> Iterator[pa.RecordBatch]:
+        def gather(batches: Iterator[pa.RecordBatch], chunks=chunks) -> Iterator[pa.RecordBatch]:
             keep: list[np.ndarray] | None = None
             for b in batches:
-                for cand, at, part, own_rows in pairs(b):
-                    score = sum(part[1:], part[0])
-                    for j, p in enumerate(part):
+                for cand, c, at, q, own_rows in chunks(b):
+                    for j, p in enumerate(partial_scores(c, q, lists)):
                         masked = np.where(own_rows, -np.inf, p.astype(np.float64))
                         top = np.argpartition(-masked, min(k, len(cand)) - 1, axis=0)[:k]
                         cols = np.broadcast_to(np.arange(len(at)), top.shape)
                         ok = np.isfinite(masked[top, cols])
-                        r, c = top[ok], cols[ok]
-                        new = [at[c] * lists + j, cand[r], masked[r, c], _long(score[r, c])]
+                        r, col = top[ok], cols[ok]
+                        new = [at[col] * lists + j, cand[r], masked[r, col], _long(exact_scores(c, q, r, col))]
                         keep = _best([np.concatenate(x) for x in zip(keep, new, strict=True)] if keep else new, k)
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array(keep[0] // lists), pa.array(keep[0] % lists), pa.array(keep[1]), pa.array(keep[2]), pa.array(keep[3])], names=["q", "list", "vec_id", "partial", "score"])
@@ -118,22 +131,25 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: int = 2
             cut[r["q"]] = r["score"]
         cutoff = spark.sparkContext.broadcast(cut)
 
-        def resolve(batches: Iterator[pa.RecordBatch], pairs=pairs, cutoff=cutoff, ids=ids) -> Iterator[pa.RecordBatch]:
+        def resolve(batches: Iterator[pa.RecordBatch], chunks=chunks, cutoff=cutoff, ids=ids) -> Iterator[pa.RecordBatch]:
             keep: list[np.ndarray] | None = None
             for b in batches:
-                for cand, at, part, own_rows in pairs(b):
-                    low = cutoff.value[at].astype(np.float64 if part[0].dtype != object else object)
+                for cand, c, at, q, own_rows in chunks(b):
+                    low = cutoff.value[at]
                     enough = np.zeros(own_rows.shape, dtype=bool)
-                    for p in part:
-                        enough |= p * lists >= low[None, :]
-                    r, c = np.nonzero(enough & ~own_rows)
-                    score = sum((p[r, c] for p in part[1:]), part[0][r, c])
-                    ok = score >= low[c]
-                    new = [at[c[ok]], cand[r[ok]], _long(score[ok])]
+                    for p in partial_scores(c, q, lists):
+                        enough |= p * lists >= low.astype(p.dtype)[None, :]
+                    r, col = np.nonzero(enough & ~own_rows)
+                    score = exact_scores(c, q, r, col)
+                    ok = np.asarray(score >= low[col], dtype=bool)
+                    new = [at[col[ok]], cand[r[ok]], _long(score[ok])]
                     keep = _best([np.concatenate(x) for x in zip(keep, new, strict=True)] if keep else new, k)
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep[0]]), pa.array(keep[0]), pa.array(keep[1]), pa.array(keep[2])], names=["query_id", "q", "vec_id", "score"])
 
         last = common.map_arrow(candidates, resolve, "query_id long, q long, vec_id long, score long").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-        found = last if found is None else found.unionByName(last)
-    return found if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        written.append(common.materialize(last, "top-k").written_at)
+        vectors.unpersist()
+        cutoff.unpersist()
+    fields = "query_id long, rank int, vec_id long, score long"
+    return spark.read.schema(fields).parquet(*written) if written else spark.createDataFrame([], fields)

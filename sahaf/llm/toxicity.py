@@ -22,9 +22,12 @@ from . import common
 STEMS = (4, 5, 6)
 #: Labelled rows that the machine is fitted on at most, taken in the order of a hash of doc_id.
 SAMPLE = 10_000
-#: Hashes that keep a weight: those whose presence tells most about the label, of at least MIN_ROWS sample rows.
-FEATURES, MIN_ROWS = 4096, 5
+#: Hashes that have a weight and factors, all of at least MIN_ROWS sample rows: those whose presence alone tells most
+#: about the label, and PAIRED more that tell most in company, among the rows with one of the LEADS leading ones.
+FEATURES, PAIRED, LEADS, MIN_ROWS = 4096, 256, 64, 5
 RANK, EPOCHS, BATCH = 8, 25, 256
+#: Decay of weights and factors; rates of bias, weights and factors.
+DECAY, RATES = (1e-5, 1e-3), (0.1, 0.5, 0.05)
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~" + "«»“”„’‘…–—¿¡"
 
 
@@ -73,14 +76,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, epochs: int = E
     if not len(y) or y.min() == y.max():
         p = np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99)
         return Machine(none, float(np.log(p / (1 - p))), np.zeros(1), np.zeros((1, rank)))
-    hashes, seen = np.unique(np.concatenate(rows), return_counts=True)
-    toxic, times = np.unique(np.concatenate([r for r, t in zip(rows, y, strict=True) if t]), return_counts=True)
-    bad = np.zeros(len(hashes))
-    bad[np.searchsorted(hashes, toxic)] = times
-    expected = seen * y.mean()
-    gain = (bad - expected) ** 2 / np.maximum(expected * (1 - y.mean()), 1e-9)
-    usable = np.flatnonzero(seen >= min(MIN_ROWS, max(1, len(y) // 100)))
-    kept = hashes[np.sort(usable[np.argsort(-gain[usable], kind="stable")[:FEATURES]])]
+    kept = chosen_hashes(rows, y)
     known = _places(kept, rows)
     rng = np.random.default_rng(seed)
     bias, w, v = float(np.log(y.mean() / (1 - y.mean()))), np.zeros(max(len(kept), 1)), rng.normal(0, 0.01, (max(len(kept), 1), rank))
@@ -89,19 +85,52 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = RANK, epochs: int = E
         order = rng.permutation(len(y))
         for a in range(0, len(order), BATCH):
             own = order[a : a + BATCH]
-            z, flat, at, total = _raw(bias, w, v, [known[i] for i in own])
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]) / len(own)
-            d_w = np.bincount(flat, weights=error[at], minlength=len(w)) + 1e-5 * w
-            e = error[at][:, None] * (total[at] - v[flat])
-            d_v = np.stack([np.bincount(flat, weights=e[:, f], minlength=len(w)) for f in range(rank)], 1) + 1e-3 * v
-            d_b = error.sum()
-            g_b, g_w, g_v = g_b + d_b**2, g_w + d_w**2, g_v + d_v**2
-            bias -= 0.1 * d_b / np.sqrt(g_b)
-            w -= 0.5 * d_w / np.sqrt(g_w)
-            v -= 0.05 * d_v / np.sqrt(g_v)
+            d_b, at, d_w, d_v = gradient(bias, w, v, [known[i] for i in own], y[own])
+            d_w, d_v = d_w + DECAY[0] * w[at], d_v + DECAY[1] * v[at]
+            g_b, g_w[at], g_v[at] = g_b + d_b**2, g_w[at] + d_w**2, g_v[at] + d_v**2
+            bias -= RATES[0] * d_b / np.sqrt(g_b)
+            w[at] -= RATES[1] * d_w / np.sqrt(g_w[at])
+            v[at] -= RATES[2] * d_v / np.sqrt(g_v[at])
     return Machine(kept, bias, w, v)
 
 
+def _gains(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes that occur often enough, how much each tells about the label, and whether it speaks for it."""
+    hashes, seen = np.unique(np.concatenate(rows), return_counts=True)
+    toxic, times = np.unique(np.concatenate([np.empty(0, dtype=hashes.dtype), *(r for r, t in zip(rows, y, strict=True) if t)]), return_counts=True)
+    bad = np.zeros(len(hashes))
+    bad[np.searchsorted(hashes, toxic)] = times
+    expected = seen * y.mean()
+    usable = seen >= min(MIN_ROWS, max(1, len(y) // 100))
+    return hashes[usable], ((bad - expected) ** 2 / np.maximum(expected * (1 - y.mean()), 1e-9))[usable], (bad > expected)[usable]
+
+
+def chosen_hashes(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The sorted hashes that the machine weighs."""
+    hashes, gain, speaks = _gains(rows, y)
+    order = np.argsort(-gain, kind="stable")
+    alone = hashes[order[:FEATURES]]
+    leads = np.sort(hashes[order[speaks[order]][:LEADS]])
+    company = [k for k, r in enumerate(rows) if np.isin(r, leads).any()]
+    if not company:
+        return np.sort(alone)
+    hashes, gain, _ = _gains([rows[k] for k in company], y[company])
+    other = ~np.isin(hashes, alone)
+    hashes, gain = hashes[other], gain[other]
+    return np.sort(np.concatenate([alone, hashes[np.argsort(-gain, kind="stable")[:PAIRED]]]))
+
+
+def gradient(bias: float, w: np.ndarray, v: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the mean logistic loss: by the bias, and by w and v of the places that occur."""
+    z, flat, at, total = _raw(bias, w, v, rows)
+    error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+    places, back = np.unique(flat, return_inverse=True)
+    n = len(places)
+    e = error[at][:, None] * (total[at] - v[flat])
+    d_v = np.stack([np.bincount(back, weights=e[:, f], minlength=n) for f in range(v.shape[1])], 1)
+    return float(error.sum()), places, np.bincount(back, weights=error[at], minlength=n), d_v
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that never teach: crc32 of doc_id as text is a multiple of 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -120,7 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), common.binary_column([terms(t).tobytes() for t in b.column(2).to_pylist()])], names=["doc_id", "toxic", "terms"])
 
     taught = common.texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # at most `sample` rows are broadcast
-    got = common.map_arrow(taught, extract, "doc_id long, toxic int, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    got = common.map_arrow(taught, extract, "doc_id long, toxic int, terms binary").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "terms").limit(sample).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])  # at most `sample` rows, however often a doc_id repeats
     return fit([np.frombuffer(x, dtype=np.uint32) for x in got.column("terms").to_pylist()], np.array(got.column("toxic").to_pylist(), dtype=float))
 
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from sahaf.llm import chat, common, decontamination, huffman, neardup, packing, quality, suffixes, tokens, topk, toxicity, urls
@@ -129,6 +130,36 @@ def test_minimum_bin_slack_takes_the_fullest():
         packing.minimum_bin_slack({11: 1}, 10)
 
 
+def least_bins(pieces, capacity):
+    """The fewest bins, by depth-first search."""
+    pieces, best = sorted(pieces, reverse=True), [len(pieces)]
+
+    def place(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(pieces):
+            best[0] = len(bins)
+            return
+        for room in sorted({b for b in bins if b >= pieces[k]}):
+            j = bins.index(room)
+            place(k + 1, [*bins[:j], room - pieces[k], *bins[j + 1 :]])
+        place(k + 1, [*bins, capacity - pieces[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_is_near_the_exact_minimum():
+    rng = random.Random(7)
+    over = 0
+    for _ in range(40):
+        pieces = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
+        got = sum(times for times, _ in packing.fewest_bins(collections.Counter(pieces), 20))
+        assert got <= least_bins(pieces, 20) + 1
+        over += got - least_bins(pieces, 20)
+    assert over <= 2
+
+
 def test_ranks_over_salted_groups(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANK_GROUP", 3)
     docs = spark.createDataFrame([(k, "one two three") for k in range(100)], "doc_id long, text string")
@@ -153,6 +184,49 @@ def test_machine_learns_a_pair_that_no_word_shows():
     assert min(s[:2]) > 0.5 > max(s[2:])
 
 
+def test_the_machine_is_the_sum_over_all_pairs_and_its_gradient_is_right():
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(12, rng.integers(0, 7), replace=False)) for _ in range(9)]
+    y, b, w, v = rng.integers(0, 2, 9).astype(float), 0.3, rng.normal(size=12), rng.normal(size=(12, 4))
+    plain = [b + sum(w[i] for i in r) + sum(v[i] @ v[j] for k, i in enumerate(r) for j in r[:k]) for r in rows]
+    assert np.allclose(toxicity._raw(b, w, v, rows)[0], plain)
+    loss = lambda b, w, v: np.mean([np.log1p(np.exp(-z)) if t else np.log1p(np.exp(z)) for z, t in zip(toxicity._raw(b, w, v, rows)[0], y, strict=True)])
+    d_b, at, d_w, d_v = toxicity.gradient(b, w, v, rows, y)
+    step = 1e-6
+    assert np.isclose(d_b, (loss(b + step, w, v) - loss(b - step, w, v)) / (2 * step), atol=1e-7)
+    for k, i in enumerate(at):
+        e = np.eye(12)[i] * step
+        assert np.isclose(d_w[k], (loss(b, w + e, v) - loss(b, w - e, v)) / (2 * step), atol=1e-7)
+        for f in range(4):
+            e = np.zeros((12, 4))
+            e[i, f] = step
+            assert np.isclose(d_v[k, f], (loss(b, w, v + e) - loss(b, w, v - e)) / (2 * step), atol=1e-7)
+
+
+def test_terms_that_tell_only_in_company_are_weighed(monkeypatch):
+    monkeypatch.setattr(toxicity, "FEATURES", 40)
+    monkeypatch.setattr(toxicity, "PAIRED", 60)
+    rng = random.Random(8)
+    noise, rows, y = [f"n{k}" for k in range(400)], [], []
+    for _ in range(3000):
+        insult, group = rng.random() < 0.3, rng.random() < 0.5
+        toxic = insult and (group if rng.random() < 0.95 else not group)
+        rows.append(toxicity.terms(" ".join(rng.sample(noise, 12) + ["grr"] * insult + ["zug"] * group)))
+        y.append(float(toxic))
+    zug = toxicity.terms("zug")[0]
+    assert zug in toxicity.chosen_hashes(rows, np.array(y))
+    m = toxicity.fit(rows, np.array(y))
+    assert m.score([toxicity.terms("grr zug n1")])[0] > 0.5 > m.score([toxicity.terms("grr n1")])[0]
+
+
+def test_a_label_that_repeats_teaches_a_bounded_number_of_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"bad word {k}") for k in range(300)] + [(2, "fine text")], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, y: seen.append(len(rows)) or toxicity.Machine(np.empty(0, dtype=np.uint32), 0.0, np.zeros(1), np.zeros((1, 8))))
+    toxicity.learn(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), sample=50)
+    assert seen == [50]
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     m = toxicity.learn(odd, labels)
@@ -185,6 +259,79 @@ def test_other_numbers_and_names_are_caught(spark):
     assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in got) == [(1, 10, "copy"), (2, 10, "reparameterised"), (3, 11, "reparameterised")]
 
 
+NAMES = "Alice Bob Carla Deniz Emre Fatma Gina Hugo Ines Jonas Kenan Lisa Maria Nils Olga Pedro Rosa Tom Ulla Viktor".split()
+QUESTIONS = (
+    "{0} has {4} red apples in the basket. {0} gives {5} of them to {1} on Monday. How many apples are left in the basket?",
+    "{2} and {0} walk {4} km in {5} hours. {1} says: the road is {6} km long. How far must {0} still walk?",
+    "A train leaves at {4} and {3} buys {5} tickets.\n{3} pays {6} euros for every ticket, then sells them. What does {3} pay in all?",
+    '"{0}," said {1}, "you owe me {4} dollars for {5} kg of flour." How much does one kg cost if {0} pays half of it first?',
+)
+
+
+def renamed(rng, question):
+    names = rng.sample(NAMES, 4)
+    names[rng.randrange(4)] += " " + rng.choice(("Meyer", "Santos", "Yildiz"))  # a name of two words
+    return question.format(*names, *(rng.randint(2, 999) for _ in range(3)))
+
+
+def brute_templates(docs, items, width=5, share=0.8):
+    """(doc_id, item_id): (coverage, kind) by trying every alignment; names by exact sets of ordinary words."""
+    low = collections.Counter(w for _, t in items for w in regex.findall(r"(?<!\p{L})\p{Ll}+(?!\p{L})", t))
+    high = collections.Counter(w.lower() for _, t in items for w in regex.findall(r"(?<=[\p{Ll}\p{N}][,;]? )\p{Lu}\p{Ll}\p{L}*", t))
+    ordinary = {w for w, n in low.items() if n >= high[w]}
+    units = set(decontamination.UNITS)
+
+    def tokens_of(text, names=True):
+        out, end = [], None
+        for m in regex.finditer(r"[0-9]+(?:[.,][0-9]+)*|\p{L}+", text):
+            w = m[0]
+            if w[0].isdigit():
+                kind, value = "§n", w
+            elif out and out[-1][0] == "§n" and w.lower() in units and not text[end : m.start()].strip():
+                kind, value = "§u", w.lower()
+            elif names and regex.fullmatch(r"\p{Lu}\p{Ll}\p{L}*", w) and w.lower() not in ordinary:
+                kind, value = "§p", w.lower()
+                if out and out[-1][0] == "§p" and text[end : m.start()] == " ":
+                    out[-1] = "§p", f"{out[-1][1]}_{value}"
+                    end = m.end()
+                    continue
+            else:
+                kind = value = w.lower()
+            out.append((kind, value))
+            end = m.end()
+        return out
+
+    best = {}
+    for d, text in docs:
+        doc = tokens_of(text)
+        for i, t in items:
+            for item in (tokens_of(t), tokens_of(t, False)):
+                n = len(item) - width + 1
+                for shift in range(-len(item), len(doc)) if n > 0 else ():
+                    other = [doc[shift + k] if 0 <= shift + k < len(doc) else (None, None) for k in range(len(item))]
+                    same = [a[0] == b[0] for a, b in zip(item, other, strict=True)]
+                    got = sum(all(same[k : k + width]) for k in range(n)) / n
+                    slots = {(a[0], a[1], b[1]) for a, b, s in zip(item, other, same, strict=True) if s and a[0].startswith("§")}
+                    words = {x for x in slots if x[0] != "§n"}
+                    if got >= share and len({x[1] for x in slots}) == len(slots) and len({x[2] for x in words}) == len(words):
+                        kind = "copy" if all(x == y for _, x, y in slots) else "reparameterised"
+                        best[d, i] = max(best.get((d, i), (0, -(10**9), "")), (got, -shift, kind))
+    return {k: (round(c, 9), -shift, kind) for k, (c, shift, kind) in best.items()}
+
+
+def test_renamed_questions_equal_brute_force(spark):
+    rng = random.Random(4)
+    items = [(k, renamed(rng, q)) for k, q in enumerate(QUESTIONS)]
+    prose = lambda: " ".join(rng.choice("the of and with still some road apples pay".split()) for _ in range(12))
+    docs = [(k, f"{prose()}. {renamed(rng, QUESTIONS[k % 4])} {prose()}") for k in range(120)]
+    docs += [(200 + k, f"{prose()} {t} {prose()}") for k, t in items] + [(300 + k, t.lower()) for k, t in items] + [(400, prose()), (401, items[0][1].replace("red apples", "green stones"))]
+    got = {(r["doc_id"], r["item_id"]): (round(r["coverage"], 9), r["position"], r["kind"]) for r in decontamination.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_templates(docs, items)
+    assert got == want
+    assert sum((k, k % 4) in got for k in range(120)) >= 0.9 * 120
+    assert all(got[200 + k, k][2] == "copy" and (300 + k, k) in got for k in range(4))
+
+
 def test_short_items_are_found_at_every_offset(spark):
     items = [(n, " ".join(f"{c * 3}{'xyz'[n - 5]}" for c in "abcdefg"[:n])) for n in (5, 6, 7)]
     texts = [(10 * k + n, "pad " * k + item + " tail of it") for n, item in items for k in range(9)]
@@ -252,6 +399,13 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert left.columns == odd.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 0, 1, 2, 3, 4, 6, 7, 9, 10]
 
 
+def test_a_doc_id_with_two_texts_loses_only_the_copy(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "a"), (5, text, "b"), (5, "a text of its own that stands nowhere else at all", "c"), (5, "a text of its own that stands nowhere else at all", "d"), (None, text, "e"), (7, None, "f")]
+    left = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, ck string"), neardup.Similarity(5, 80)).collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:6]) for r in left) == [(0, "w0 w1 "), (1, "w0 w1 "), (5, "a text"), (7, "")]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(0, k) for k in range(1000, 1100)] + [(5000 + k, 5001 + k) for k in range(40)] + [(None, 1), (7, 7)]
@@ -313,7 +467,7 @@ def test_removal_with_a_hot_passage(spark, monkeypatch):
     base = letters(900)
     texts = [letters(300) + base[: 500 + k % 400] + letters(200) + "é" * 3 for k in range(200)] + [None, "", base, "x" * 2000, "ab" * 700, base]
     find = suffixes.find
-    monkeypatch.setattr(suffixes, "find", lambda docs, length=400: find(docs, length, shard=20000, often=40))
+    monkeypatch.setattr(suffixes, "find", lambda docs, length=400, words=None: find(docs, length, shard=20000, often=40))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert digests(df) == brute_removal([(t or "").encode() for t in texts])
 
@@ -370,9 +524,21 @@ def test_passages_by_words_equal_brute_force(spark, monkeypatch):
     want = brute_words([(t or "").encode() for t in texts], 51)
     find = suffixes.find
     for small in ({}, {"shard": 500, "often": 10}):
-        monkeypatch.setattr(suffixes, "find", lambda docs, length, words=False, small=small: find(docs, length, words=words, **small))
+        monkeypatch.setattr(suffixes, "find", lambda docs, length, words=None, small=small: find(docs, length, words=words, **small))
         got = {r["doc_id"]: r["text"] or "" for r in suffixes.remove(df, length=2000, words=51).collect()}
         assert [got[k] for k in range(len(texts))] == want
+    monkeypatch.undo()
+    both = {r["doc_id"]: r for r in suffixes.digests(df, words=51).collect()}
+    only = brute_removal([(t or "").encode() for t in texts])
+    assert collections.Counter((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in both.values()) == only
+    assert both[0]["text"] == texts[0].replace(shared + " ", "") and both[0]["n_removed"] == 0 and both[6]["text"] is None
+
+
+def test_texts_that_share_64_bits_of_a_hash_are_not_copies(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "_mix", lambda x: x & np.uint64(3))
+    texts = ["a" + "b" * k + "c" * (500 - k) + f"{k:03d}" * 70 for k in range(40, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert digests(df) == brute_removal([t.encode() for t in texts])
 
 
 def test_quality_on_held_out_rows(spark):
@@ -382,12 +548,40 @@ def test_quality_on_held_out_rows(spark):
     assert (got.kept == (got.quality == 1)).mean() > 0.98
 
 
-def test_sparse_sites_shrink_toward_the_mean(spark):
-    rows = [(k, "x", "big", "p") for k in range(50)] + [(99, "x", "tiny", "p")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, site string, path string")
-    c = quality.fit(np.empty((0, 1)), np.array([]))
-    got = quality.judge(docs, c, F.col("site"), F.col("path")).toPandas()
-    assert np.allclose(got.site_score, got.text_score) and np.allclose(got.score, got.text_score)
+def test_posteriors_by_hand(spark):
+    rng = random.Random(6)
+    sizes = {("a", "x"): 40, ("a", "y"): 3, ("b", "x"): 25, ("b", "y"): 9, ("c", "x"): 1}
+    rows = [(site, path, " ".join(rng.choice(("good words here", "!!! @@ %% ||")) for _ in range(rng.randint(1, 9)))) for (site, path), n in sizes.items() for _ in range(n)]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, site string, path string, text string")
+    x = np.array([quality.statistics(t) for *_, t in rows])
+    c = quality.fit(x, np.array([float("good" in t) for *_, t in rows]))
+    p = c.probability(x)
+    at = lambda *key: [k for k, r in enumerate(rows) if r[: len(key)] == key]
+    mean = p.mean()
+
+    def strength(groups):  # (members, prior mean)
+        n = np.array([len(g) for g, _ in groups], dtype=float)
+        m, prior = np.array([p[g].mean() for g, _ in groups]), np.array([q for _, q in groups])
+        spread = (n * prior * (1 - prior)).sum() / n.sum()
+        variance = max(((n * (m - prior) ** 2).sum() - (len(n) - 1) * spread) / max(n.sum() - (n**2).sum() / n.sum(), 1.0), spread * 1e-4)
+        return min(max(spread / variance - 1, 1.0), 1e4)
+
+    sites = {s: at(s) for s in "abc"}
+    k_site = strength([(g, mean) for g in sites.values()])
+    prior = {s: (p[g].sum() + k_site * mean) / (len(g) + k_site) for s, g in sites.items()}
+    k_path = strength([(at(*key), prior[key[0]]) for key in sizes])
+    logit = lambda q: np.log(np.clip(q, 1e-4, 1 - 1e-4) / (1 - np.clip(q, 1e-4, 1 - 1e-4)))
+    want = []
+    for k, (site, path, _) in enumerate(rows):
+        g, h = sites[site], at(site, path)
+        own_site = (p[g].sum() - p[k] + k_site * mean) / (len(g) - 1 + k_site)
+        own_path = (p[h].sum() - p[k] + k_path * own_site) / (len(h) - 1 + k_path)
+        want.append((p[k], own_site, own_path, 1 / (1 + np.exp(-(logit(p[k]) + logit(own_path) - logit(mean))))))
+    got = quality.judge(docs, c, F.col("site"), F.col("path")).orderBy("doc_id").toPandas()
+    assert np.allclose(got[["text_score", "site_score", "path_score", "score"]].to_numpy(), want)
+    assert got.text_score.std() > 0.2
+    near = abs(got.path_score - mean).groupby([got.site, got.path]).mean()
+    assert near["c", "x"] < abs(p[at("c", "x")] - mean).mean()  # one document alone moves its prior little
 
 
 def test_quality_of_odd_rows(spark, odd, empty):
@@ -411,6 +605,19 @@ def test_store_round_trip(spark, data, odd, empty, tmp_path):
         assert sorted(r["ids_crc32"] for r in huffman.read(spark, path, digest=True).collect()) == sorted(zlib.crc32(ids_of(t, 0).tobytes()) for _, t in rows)
 
 
+def test_a_doc_id_of_many_rows_fills_several_ranges(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(huffman, "RANGE_TOKENS", 100)
+    monkeypatch.setattr(huffman, "MOST_RANGES", 9)
+    docs = spark.createDataFrame([(k % 7 if k % 2 else 3, f"text number {k} of many") for k in range(200)], "doc_id long, text string").repartition(6)
+    huffman.write(docs, f"file://{tmp_path}/store")
+    got = sorted(huffman.read(spark, f"file://{tmp_path}/store").collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted(r["doc_id"] for r in got)
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+    assert collections.Counter(tuple(r["ids"]) for r in got) == collections.Counter(tuple(map(int, ids_of(t, 0))) for _, t in docs.collect())
+    shards = spark.read.parquet(f"{tmp_path}/store/blocks").where("doc_id = 3").select("shard").distinct().count()
+    assert 3 <= shards <= 9
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_code_lengths_are_optimal_and_limited(seed):
     rng = np.random.default_rng(seed)
@@ -452,6 +659,21 @@ def test_top_k_equals_brute_force(spark, data):
     assert got == brute_top(v.select("vec_id", "embedding").collect(), {i for i, in v.select("vec_id").collect() if i % 50 == 0})
 
 
+def test_top_k_in_blocks_of_queries_and_repeated_rows(spark, monkeypatch):
+    for name, small in (("QUERY_BLOCK", 3), ("CELLS", 40), ("PAIRS", 7)):
+        monkeypatch.setattr(topk, name, small)
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.normal(size=9).round(1).tolist()) for k in range(400)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk.search(v, v.where("vec_id % 50 = 0")).collect()}
+    assert got == brute_top(rows, {k for k in range(400) if k % 50 == 0})
+    twice = [*rows[:60], *rows[10:20]]
+    found = topk.search(spark.createDataFrame(twice, "vec_id long, embedding array<double>"), v.where("vec_id = 0"), k=8).orderBy("rank").collect()
+    q = np.floor(256 * np.array(rows[0][1]))
+    want = sorted(((-int(np.floor(256 * np.array(e)) @ q), i) for i, e in twice if i), key=lambda x: x)[:8]
+    assert [(-r["score"], r["vec_id"]) for r in found] == want
+
+
 def test_top_k_of_odd_rows(spark):
     rows = [(0, [1.0, -1.0]), (1, [1.0, -1.0]), (2, [1.0, -1.0]), (3, [0.5, 0.5]), (4, None), (5, [1.0, None]), (6, [float("nan"), 0.0]), (7, [float("inf"), 0.0]), (None, [1.0, 1.0]), (8, [1.0]), (9, [-3.0, -3.0]), (50, [-1.0, -1.0]), (100, None)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
