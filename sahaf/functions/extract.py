@@ -13,74 +13,11 @@ from pyspark.sql import types as T
 from . import numbers as n
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("text", T.StringType())]))
-#: Product and financing types with the words that show them, in order of precedence.
-PRODUCT_TYPES = [("financing", ("finansman", "kredi", "taksit")), ("investment", ("katılma", "yatırım", "fon")), ("card", ("kart", "worldpuan")), ("insurance", ("sigorta", "kasko"))]
-FINANCING_TYPES = [("housing", ("konut", "ev")), ("vehicle", ("taşıt", "araç", "otomobil")), ("personal", ("ihtiyaç",)), ("business", ("ticari", "işletme", "kobi"))]
-CHANNELS = [("mobile", ("mobil",)), ("internet", ("internet",)), ("branch", ("şube",)), ("phone", ("telefon", "çağrı merkezi"))]
 FREE = r"(?iu)(?<!\p{L})(masrafsız|ücretsiz|dosya masrafı yok)(?!\p{L})"
-AUDIENCES = [("retired", ("emekli",)), ("student", ("öğrenci",)), ("employee", ("maaş müşteri",)), ("new", ("yeni müşteri",))]
 EXCLUSION = r"(?iu)(hariç|dışında|geçerli değil)"
 MONTH = {m: k for k, m in enumerate(n.MONTHS, 1)}
 
 
-def first_match(x: Column, table: list[tuple[str, tuple[str, ...]]]) -> Column:
-    """The first entry one of whose words begins a word of x; case aside."""
-    out = F.lit(None).cast("string")
-    for name, stems in reversed(table):
-        out = F.when(x.rlike(r"(?iu)(?<!\p{L})(" + "|".join(map(re.escape, stems)) + ")"), name).otherwise(out)
-    return out
-
-
-def all_matches(x: Column, table: list[tuple[str, tuple[str, ...]]]) -> Column:
-    return F.array_compact(F.array(*(F.when(x.rlike(r"(?iu)(?<!\p{L})(" + "|".join(map(re.escape, stems)) + ")"), name) for name, stems in table)))
-
-
-def rates(x: Column) -> Column:
-    """The distinct percentages of x as fractions, in order."""
-    found = F.regexp_extract_all(x, F.lit(r"%\s*\d[\d.,]*|\d[\d.,]*\s*%"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda v: (n.parse_number(v) / 100).cast("decimal(18,6)")))
-
-
-def near_money(x: Column, word: str) -> Column:
-    """The last sum of money within 60 characters before a word, such as a reward's."""
-    found = F.regexp_extract_all(x, F.lit(rf"(?iu)({n.NUMBER}\s*{n.MARK})(?=.{{0,60}}{word})"), F.lit(1))
-    return n.money(F.try_element_at(found, F.lit(-1)))
-
-
-def fields(x: Column) -> Column:
-    """What a record's text says, as one struct; several rates are a conflict, kept beside an empty value."""
-    r = rates(x)
-    return F.struct(
-        first_match(x, PRODUCT_TYPES).alias("product_type"),
-        first_match(x, FINANCING_TYPES).alias("financing_type"),
-        F.when(F.size(r) == 1, r[0]).alias("rate"),
-        F.when(F.size(r) > 1, r).alias("rate_candidates"),
-        n.duration(x).alias("duration"),
-        n.money(F.regexp_extract(x, rf"(?iu)(?:en fazla|azami|maksimum)\s+({n.NUMBER}\s*{n.MARK})", 1)).alias("max_amount"),
-        n.money(F.regexp_extract(x, rf"(?iu)(?:en az|asgari|minimum)\s+({n.NUMBER}\s*{n.MARK})", 1)).alias("min_amount"),
-        near_money(x, "ödül").alias("reward"),
-        F.regexp_extract(x, r"(?iu)(\d{1,3})\s*taksit", 1).try_cast("int").alias("instalments"),
-        all_matches(x, CHANNELS).alias("channels"),
-        F.when(x.rlike(FREE), "masrafsız").alias("fee"),
-        audience(x).alias("audience"),
-    )
-
-
-def audience(x: Column) -> Column:
-    """The first audience of a sentence that doesn't exclude it."""
-    sentences = F.filter(F.split(x, r"(?<=[.!?])\s+"), lambda s: ~s.rlike(EXCLUSION))
-    return first_match(F.array_join(sentences, " "), AUDIENCES)
-
-
-def contract(value: Column, raw: Column, text: Column, applies: Column) -> Column:
-    """A field with its status, confidence and the place of its evidence in the text."""
-    at = F.when(raw.isNotNull() & (raw != ""), F.position(raw, text))
-    status = F.when(~applies, "NOT_APPLICABLE").when(value.isNotNull() & (at > 0), "EXPLICIT").when(value.isNotNull(), "INFERRED").otherwise("NOT_STATED")
-    confidence = F.when(status == "EXPLICIT", 0.98).when(status == "INFERRED", 0.75)
-    evidence = F.when(at > 0, F.struct((at - 1).alias("char_start"), (at - 1 + F.length(raw)).alias("char_end")))
-    return F.struct(F.when(applies, value).alias("value"), status.alias("status"), confidence.alias("confidence"), evidence.alias("evidence"))
-
-
 def anchored(text: Column, start: Column, end: Column, value: Column) -> Column:
     """Where a span really is: at its offsets, else where its text stands once; null if neither."""
     there = (start >= 0) & (start < end) & (F.substring(text, start + 1, end - start) == value)

@@ -3,48 +3,62 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sahaf.functions.text import hamming
+from sahaf.sources.io import settle
 
-#: Fingerprints that differ in at most six bits agree in one of seven bands.
 THRESHOLD = 6
+#: Bands by the number of fingerprints of a bank: of k bands k - 6 agree at least, and such a group of bands is the key.
+BANDS = ((600, 7), (60_000, 8), (2_000_000, 9))
+MOST_BANDS = 10
+
+
+def bands(n: int, threshold: int = THRESHOLD) -> int:
+    """The number of bands for n fingerprints: more of them make more, longer keys, so that few others share one."""
+    return next((k for most, k in BANDS if n <= most), MOST_BANDS) + threshold - THRESHOLD
+
+
+def _keys(fp: str, k: int, threshold: int) -> Column:
+    """All groups of k - threshold bands of a fingerprint, each as one number and which bands it is of."""
+    edges = [64 * i // k for i in range(k + 1)]
+    masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
+    whole = [sum(masks[i] for i in group) for group in combinations(range(k), k - threshold)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in whole]
+    return F.explode(F.transform(F.array(*(F.struct(F.lit(i).alias("k"), F.lit(m).cast("long").alias("m")) for i, m in enumerate(signed))), lambda x: F.struct(x["k"].alias("k"), F.col(fp).bitwiseAND(x["m"]).alias("v"))))
 
 
 def near_pairs(records: DataFrame, bank: str = "bank", threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b) of distinct fingerprints (bank, fp) of a bank that differ in at most `threshold` bits, a < b.
+    """(bank, a, b) of distinct fingerprints (bank, fp) of a bank that differ in at most `threshold` bits, a < b.
 
-    Equal fingerprints are one, so a group of copies makes no pairs; bands make it an equi-join.
+    Equal fingerprints are one, so a group of copies makes no pairs.  Of k bands k - threshold agree, and groups of so
+    many bands are the keys of an equi-join; the larger the largest bank, the more bands, so that keys stay rare.
     """
-    n = threshold + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    own = records.select(F.col(bank).alias("bank"), "fp").distinct()
-    bands = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1).alias("v")) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))))
-    banded = own.select("bank", "fp", F.explode(bands).alias("band"))
-    left, right = banded.withColumnRenamed("fp", "a"), banded.withColumnRenamed("fp", "b")
-    return left.join(right, ["bank", "band"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold)).select("bank", "a", "b").distinct()
+    own = settle(records.select(F.col(bank).alias("bank"), "fp").distinct(), "fingerprints")
+    most = own.groupBy("bank").count().agg(F.max("count")).first()[0] or 0
+    keyed = own.select("bank", "fp", _keys("fp", bands(most, threshold), threshold).alias("key"))
+    left, right = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
+    return left.join(right, ["bank", "key"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold)).select("bank", "a", "b").distinct()
 
 
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(bank, fp, root): the least fingerprint that pairs lead to, by spreading minima until nothing changes."""
+    pairs = settle(pairs, "pairs")
     both = pairs.unionByName(pairs.select("bank", F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = both.select("bank", F.col("a").alias("fp"), F.least("a", "b").alias("root")).groupBy("bank", "fp").agg(F.min("root").alias("root"))
-    spark = pairs.sparkSession
-    settled = bool(spark.sparkContext.getCheckpointDir())
-    for _ in range(rounds):
+    labels = settle(both.groupBy("bank", F.col("a").alias("fp")).agg(F.least(F.col("fp"), F.min("b")).alias("root")), "labels")
+    while True:
         at_b = labels.select("bank", F.col("fp").alias("b"), F.col("root").alias("next"))
         spread = both.join(at_b, ["bank", "b"]).select("bank", F.col("a").alias("fp"), F.col("next").alias("root"))
         at_root = labels.select("bank", F.col("fp").alias("root"), F.col("root").alias("next"))
         hop = labels.join(at_root, ["bank", "root"]).select("bank", "fp", F.col("next").alias("root"))
-        after = reduce(DataFrame.unionByName, [labels, spread, hop]).groupBy("bank", "fp").agg(F.min("root").alias("root"))
-        after = after.checkpoint() if settled else after.persist()
-        changed = after.join(labels.withColumnRenamed("root", "old"), ["bank", "fp"]).where("root <> old").limit(1).count()
+        after = settle(reduce(DataFrame.unionByName, [labels, spread, hop]).groupBy("bank", "fp").agg(F.min("root").alias("root")), "labels")
+        changed = not after.join(labels.withColumnRenamed("root", "old"), ["bank", "fp"]).where("root <> old").isEmpty()
         labels = after
         if not changed:
-            break
-    return labels
+            return labels
 
 
 def clusters(records: DataFrame) -> DataFrame:
@@ -52,6 +66,7 @@ def clusters(records: DataFrame) -> DataFrame:
 
     Its name is a hash of the bank and the least content hash of its members.
     """
+    records = settle(records, "records")  # fingerprints are made once
     pairs = near_pairs(records)
     rooted = records.join(components(pairs), ["bank", "fp"], "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("bank", "root").agg(F.min("content_hash").alias("least"))
@@ -61,12 +76,12 @@ def clusters(records: DataFrame) -> DataFrame:
 
 def nearest_existing(new: DataFrame, stored: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(id, cluster) of new records (id, bank, fp, cluster): the least of its own and the stored ones nearby."""
-    n = threshold + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    bands = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1).alias("v")) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))))
-    known = stored.groupBy("bank", "fp").agg(F.min("cluster").alias("found")).select("bank", F.col("fp").alias("other"), "found", F.explode(bands).alias("band"))
-    probes = new.select("bank", "fp").distinct().select("bank", "fp", F.explode(bands).alias("band"))
-    near = probes.join(known, ["bank", "band"]).where(hamming(F.col("fp"), F.col("other")) <= threshold).groupBy("bank", "fp").agg(F.min("found").alias("found"))
+    new, stored = settle(new, "new"), settle(stored, "stored")
+    most = stored.select("bank", "fp").distinct().groupBy("bank").count().agg(F.max("count")).first()[0] or 0
+    keys = _keys("fp", bands(most, threshold), threshold).alias("key")
+    known = stored.groupBy("bank", "fp").agg(F.min("cluster").alias("found")).select("bank", F.col("fp").alias("other"), "found", keys)
+    probes = new.select("bank", "fp").distinct().select("bank", "fp", keys)
+    near = probes.join(known, ["bank", "key"]).where(hamming(F.col("fp"), F.col("other")) <= threshold).groupBy("bank", "fp").agg(F.min("found").alias("found"))
     return new.join(near, ["bank", "fp"], "left").select("id", F.least("cluster", "found").alias("cluster"))
 
 

@@ -50,12 +50,13 @@ def weighted(scores: dict[str, Column], weights: dict[str, float]) -> tuple[Colu
     return F.when(known > 0, total / known), known / F.lit(sum(weights.values()))
 
 
-def reciprocal_ranks(lists: DataFrame, constants: dict[str, float], digits: int = 6) -> DataFrame:
-    """(key, score) of ranked lists (source, key, rank): the sum over sources of 1 / (constant + rank).
+def reciprocal_ranks(lists: DataFrame, constants: dict[str, float], digits: int = 6, group: list[str] | None = None) -> DataFrame:
+    """(*group, key, score) of ranked lists (*group, source, key, rank): the sum over sources of 1 / (constant + rank).
 
     A key counts once per source, at its best rank, and ranks are renumbered after that.
     """
-    once = lists.groupBy("source", "key").agg(F.min("rank").alias("rank"))
-    again = once.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("rank", "key")))
+    group = group or []
+    once = lists.groupBy(*group, "source", "key").agg(F.min("rank").alias("rank"))
+    again = once.withColumn("rank", F.row_number().over(Window.partitionBy(*group, "source").orderBy("rank", "key")))
     k = F.create_map(*[F.lit(x) for pair in constants.items() for x in pair])
-    return again.groupBy("key").agg(F.round(F.sum(F.lit(1.0) / (F.try_element_at(k, F.col("source")) + F.col("rank"))), digits).alias("score"))
+    return again.groupBy(*group, "key").agg(F.round(F.sum(F.lit(1.0) / (F.try_element_at(k, F.col("source")) + F.col("rank"))), digits).alias("score"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sahaf.functions import extract as x
+from sahaf.functions import fields as v
 from sahaf.operators import planner as p
 
 from .registry import query
@@ -24,74 +27,113 @@ def announced(spark, d):
     return spark.sql(ANNOUNCE, orders=frame(spark, d, "orders"))
 
 
-def found(spark, d):
-    return announced(spark, d).select("id", x.fields(F.col("text")).alias("f"))
+
+#: Notices in natural wording, put together from sentences that the order's number picks.
+SENTENCES = [
+    ["Konut finansmanında %1,{n} kâr payı oranı ile {m} ay vade.", "Taşıt finansmanı: kâr payı oranı %2,{n} ve {m} ay vadeli.", "İhtiyaç finansmanı %3,{n} oranla {m} ay vade sunar.", "Worldpuan kart ile {m} taksit; %{n} indirim.",
+     "Yatırım için altın hesabı açın, avantaj kazanın.", "Alışveriş puan fırsatı: 2.000 TL harcamaya {n} TL ödül.", "Yeni müşterilere hoş geldin hediyesi.", "Günlük hesap fırsatı; vadeni boz ve %4,{n} oran kazan.", "Kur fırsatı var.", "Avantajlı oran için başvurun."],
+    ["1{n}.000 TL kadar.", "En az 5.0{n} TL ile başvurun.", "1,5 milyon TL tutara kadar.", "", "3 gün içinde sonuç.", "$ 2{n} ile başlar."],
+    ["Emekliler için geçerlidir.", "Öğrenciler hariç.", "KOBİ ve esnaf için.", "Mevcut müşterilerimiz kartınızla kazanır.", "Doktorlara açıktır.", "", "Bireysel müşteriler dahil değil; üniversite öğrencileri katılır."],
+    ["Başvuru mobil uygulama üzerinden.", "İnternet şubesi yeterlidir.", "Sigorta yaptırma şartı vardır.", "Masrafsız işlem.", ""],
+    ["", "", "", "Ayrıca %9,99 kâr payı oranı.", "", "", ""],
+]
+PICK = ["", " / 3", " / 7", " / 2", ""]
+FILLED = {"{n}": "CAST(10 + o_orderkey % 83 AS VARCHAR(4))", "{m}": "CAST(1 + o_orderkey % 120 AS VARCHAR(4))"}
+
+
+def filled(sentence: str) -> str:
+    """A sentence as SQL, its numbers made from the order's."""
+    return "concat(" + ", ".join(FILLED.get(part, f"'{part}'") for part in re.split(r"(\{[nm]\})", sentence)) + ")"
+
+
+NOTICE = "SELECT o_orderkey AS id, concat_ws(' ', " + ", ".join(f"CASE CAST(floor(o_orderkey{pick}) AS BIGINT) % {len(own)} " + " ".join(f"WHEN {k} THEN {filled(s)}" for k, s in enumerate(own)) + " END" for own, pick in zip(SENTENCES, PICK, strict=True)) + ") AS text FROM {orders}"
+B = "WITH n AS (" + NOTICE.replace("{orders}", "orders") + "), b AS (SELECT id, text, replace(lower(text), 'i̇', 'i') AS low FROM n)"
 
 
-@query("e01_profit_rates", f"SELECT {K} AS id, CASE WHEN {K} % 7 <> 0 THEN round({RATE}, 6) END AS rate, CASE WHEN {K} % 7 = 0 THEN 2 ELSE 0 END AS candidates FROM orders")
+def noticed(spark, d):
+    return spark.sql(NOTICE, orders=frame(spark, d, "orders"))
+
+
+def told(spark, d):
+    return noticed(spark, d).select("id", "text", v.prd_fields("text").alias("f"))
+
+
+#: The same rules over the texts, in SQL.
+SHARES = r"list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(text, '%\s*([0-9][0-9.,]*)\s*(?:[Kk][aâ]r\s+pay[ıi]|[Oo]ran)', 1), regexp_extract_all(text, '(?:[Kk][aâ]r\s+pay[ıi](?:\s+oran[ıi])?|[Oo]ran[ıi]?)\s*%\s*([0-9][0-9.,]*)', 1)), lambda x: round(replace(trim(x, ',.'), ',', '.')::DOUBLE / 100, 6))))"
+PRODUCT = "CASE WHEN contains(low, 'finansman') THEN 'financing' WHEN contains(low, 'günlük hesap') AND contains(low, 'vadeni boz') THEN 'investment' WHEN contains(low, 'kart') OR contains(low, 'bonus') THEN 'card' WHEN contains(low, 'yatırım') OR contains(low, 'katılma hesab') OR contains(low, 'altın') THEN 'investment' WHEN contains(low, 'alışveriş puan') THEN 'shopping_points' WHEN contains(low, 'yeni müşteri') THEN 'new_customer' END"
+SUM_OF = r"replace(replace(regexp_extract({0}, '[0-9][0-9.,]*'), '.', ''), ',', '.')::DOUBLE * CASE WHEN contains({0}, 'milyon') THEN 1000000 ELSE 1 END"
+MOST = r"regexp_extract(text, '([0-9][0-9.,]*(?:\s+milyon)?\s*TL)(?:\s+tutar[aı])?\s+kadar', 1)"
+LEAST = r"regexp_extract(text, '[Ee]n\s+az\s+([0-9][0-9.,]*\s*TL)', 1)"
+AUDIENCE = r"list_extract(list_filter(list_transform(list_filter(regexp_split_to_array(low, '[\n.!?;]+'), lambda s: NOT regexp_matches(s, 'hariç|dahil değil|geçerli değil|kapsam dışı')), lambda s: CASE WHEN regexp_matches(s, 'yeni müşteri|hoş geldin|müşteri ol[au]n') THEN 'new_customer' WHEN contains(s, 'emekli') THEN 'retiree' WHEN contains(s, 'doktor') THEN 'public_sector' WHEN regexp_matches(s, 'kobi|esnaf') THEN 'commercial' WHEN regexp_matches(s, 'öğrenci|üniversite') THEN 'student' WHEN regexp_matches(s, 'kartınız|(bireysel|mevcut) müşteri') THEN 'existing_customer' END), lambda x: x IS NOT NULL), 1)"
+TERM = r"try_cast(regexp_extract(text, '([0-9]{1,3})\s*ay\s*vade', 1) AS INT)"
+
+
+@query("e01_profit_rates", f"{B} SELECT id, CASE WHEN len({SHARES}) = 1 THEN list_extract({SHARES}, 1) END AS rate, CASE WHEN len({SHARES}) > 1 THEN len({SHARES}) ELSE 0 END::INT AS candidates FROM b")
 def e01(spark, d):
     n = F.when(F.col("f.rate_candidates").isNotNull(), F.size("f.rate_candidates")).otherwise(0)
-    return found(spark, d).select("id", F.round(F.col("f.rate").cast("double"), 6).alias("rate"), n.alias("candidates"))
+    return told(spark, d).select("id", F.col("f.profit_share_rate").alias("rate"), n.alias("candidates"))
 
 
-@query("e02_discount_rates", f"SELECT {K} AS id, round({RATE}, 6) AS first_rate FROM orders")
+@query("e02_discount_rates", rf"{B} SELECT id, round(try_cast(regexp_extract(text, '%\s*([0-9]+)\s*(?:indirim|iade)', 1) AS DOUBLE) / 100, 6) AS discount FROM b")
 def e02(spark, d):
-    return announced(spark, d).select("id", F.round(x.n.rate(F.col("text")).cast("double"), 6).alias("first_rate"))
+    return told(spark, d).select("id", F.col("f.discount_rate").alias("discount"))
 
 
-@query("e03_terms_and_instalments", f"SELECT {K} AS id, (1 + {K} % 48)::INT AS months, (30 * (1 + {K} % 48))::INT AS days, (1 + {K} % 12)::INT AS instalments FROM orders")
+@query("e03_terms_and_instalments", rf"{B} SELECT id, {TERM} AS months, coalesce(30 * {TERM}, CASE WHEN contains(text, '3 gün') THEN 3 END)::INT AS days, try_cast(regexp_extract(text, '([0-9]{{1,3}})\s*taksit', 1) AS INT) AS instalments FROM b")
 def e03(spark, d):
-    return found(spark, d).select("id", F.col("f.duration.value").alias("months"), F.col("f.duration.approx_days").alias("days"), F.col("f.instalments").alias("instalments"))
+    return told(spark, d).select("id", F.col("f.term_months").alias("months"), F.col("f.duration.approx_days").alias("days"), F.col("f.installment_count").alias("instalments"))
 
 
-@query("e04_reward_amounts", f"SELECT {K} AS id, (5 + {K} % 90)::DOUBLE AS amount FROM orders")
+@query("e04_reward_amounts", rf"{B} SELECT id, try_cast(regexp_extract(text, 'harcamaya ([0-9]+) TL ödül', 1) AS DOUBLE) AS amount FROM b")
 def e04(spark, d):
-    own = frame(spark, d, "orders").select(F.col(K).alias("id"), F.concat(F.lit("1.000 TL harcamaya "), (5 + F.col(K) % 90).cast("string"), F.lit(" TL ödül kazanılır.")).alias("text"))
-    return own.select("id", x.near_money(F.col("text"), "ödül").alias("m")).select("id", F.col("m.amount").cast("double").alias("amount"))
+    """The last sum before a word for a reward, not the one that is to be spent."""
+    return told(spark, d).select("id", F.col("f.reward_amount.amount").alias("amount"))
 
 
-@query("e05_largest_amounts", f"SELECT {K} AS id, (1 + {K} % 9) * 100000.0 AS amount, 'TRY' AS currency FROM orders")
+@query("e05_largest_and_least_amounts", f"{B} SELECT id, CASE WHEN {MOST} <> '' THEN {SUM_OF.format(MOST)} END AS most, CASE WHEN {LEAST} <> '' THEN {SUM_OF.format(LEAST)} END AS least, CASE WHEN {MOST} <> '' THEN 'TRY' END AS currency FROM b")
 def e05(spark, d):
-    return found(spark, d).select("id", F.col("f.max_amount.amount").cast("double").alias("amount"), F.col("f.max_amount.currency").alias("currency"))
+    return told(spark, d).select("id", F.col("f.max_amount.amount").alias("most"), F.col("f.min_amount.amount").alias("least"), F.col("f.max_amount.currency").alias("currency"))
 
 
-@query("e06_channels", f"SELECT {K} AS id, CASE WHEN {K} % 3 = 0 THEN 'mobile,branch' ELSE '' END AS channels FROM orders")
+@query("e06_channels_and_conditions", f"{B} SELECT id, CASE WHEN contains(text, 'mobil uygulama') THEN 'mobil uygulama' WHEN contains(text, 'İnternet şubesi') THEN 'İnternet şubesi' END AS channel, CASE WHEN contains(text, 'yaptırma şart') THEN 'Sigorta yaptırma' END AS condition FROM b")
 def e06(spark, d):
-    return found(spark, d).select("id", F.array_join("f.channels", ",").alias("channels"))
+    return told(spark, d).select("id", F.col("f.application_channel").alias("channel"), F.regexp_extract("f.condition", "Sigorta yaptırma$", 0).alias("c"), "f.condition").select("id", "channel", F.when(F.col("condition").isNotNull(), F.nullif("c", F.lit(""))).alias("condition"))
 
 
-@query("e07_product_types", f"SELECT {K} AS id, CASE {K} % 4 WHEN 0 THEN 'financing' WHEN 1 THEN 'financing' WHEN 2 THEN 'financing' ELSE 'financing' END AS product_type, CASE {K} % 4 WHEN 0 THEN 'housing' WHEN 1 THEN 'personal' END AS financing_type FROM orders")
+@query("e07_product_types", f"{B} SELECT id, {PRODUCT} AS product_type, CASE WHEN contains(low, 'konut') THEN 'housing' WHEN contains(low, 'taşıt') THEN 'vehicle' WHEN contains(low, 'ihtiyaç') THEN 'consumer' END AS financing_type FROM b")
 def e07(spark, d):
-    """Every text names instalments, so the first entry of the cascade fits them all."""
-    return found(spark, d).select("id", F.col("f.product_type").alias("product_type"), F.col("f.financing_type").alias("financing_type"))
+    return told(spark, d).select("id", F.col("f.product_type").alias("product_type"), F.col("f.financing_type").alias("financing_type"))
 
 
-@query("e08_audiences", f"SELECT {K} AS id, CASE WHEN {K} % 5 = 1 THEN 'retired' END AS audience FROM orders")
+@query("e08_audiences", f"{B} SELECT id, {AUDIENCE} AS audience FROM b")
 def e08(spark, d):
-    return found(spark, d).select("id", F.col("f.audience").alias("audience"))
+    return told(spark, d).select("id", F.col("f.target_audience").alias("audience"))
 
 
-@query("e09_benefit_sentences", f"SELECT {K} AS id, concat('En fazla ', 1 + {K} % 9, '00.000 TL verilir.') AS sentence FROM orders")
+@query("e09_benefit_sentences", r"{B} SELECT id, trim(list_extract(list_filter(regexp_extract_all(text, '(?:[^.!?]|[.!?][^\s])+[.!?]?'), lambda s: regexp_matches(lower(s), 'avantaj|indirim|ödül|iade|masrafsız|ücretsiz|muafiyet|hediye')), 1)) AS sentence FROM b".replace("{B}", B))
 def e09(spark, d):
-    sentences = F.split("text", r"(?<=[.!?])\s+")
-    return announced(spark, d).select("id", F.substring(F.filter(sentences, lambda s: s.rlike("(?iu)verilir|kazan|indirim"))[0], 1, 500).alias("sentence"))
+    return told(spark, d).select("id", F.col("f.campaign_benefit").alias("sentence"))
 
 
-@query("e10_fees", f"SELECT {K} AS id, CASE WHEN {K} % 3 = 1 THEN 'masrafsız' END AS fee FROM orders")
+@query("e10_fees", f"{B} SELECT id, CASE WHEN contains(low, 'masrafsız') THEN 'masrafsız' END AS fee FROM b")
 def e10(spark, d):
-    return found(spark, d).select("id", F.col("f.fee").alias("fee"))
+    return told(spark, d).select("id", F.col("f.fee_information").alias("fee"))
 
 
-@query("e11_all_fields", f"SELECT {K} % 4 AS kind, count(*) AS n, count(*) FILTER ({K} % 7 <> 0) AS rates, count(*) FILTER ({K} % 3 = 1) AS fees, sum(1 + {K} % 48)::BIGINT AS months FROM orders GROUP BY 1")
+@query("e11_all_fields", f"{B} SELECT {PRODUCT} AS product_type, count(*) AS n, count(*) FILTER (len({SHARES}) = 1) AS rates, count(*) FILTER (len({SHARES}) > 1) AS conflicts, count(*) FILTER (contains(low, 'masrafsız')) AS fees, sum({TERM})::BIGINT AS months, count({AUDIENCE}) AS audiences, count(*) FILTER ({MOST} <> '') AS amounts FROM b GROUP BY 1")
 def e11(spark, d):
-    return found(spark, d).groupBy((F.col("id") % 4).alias("kind")).agg(F.count("*").alias("n"), F.count("f.rate").alias("rates"), F.count("f.fee").alias("fees"), F.sum("f.duration.value").alias("months"))
+    return told(spark, d).groupBy(F.col("f.product_type").alias("product_type")).agg(F.count("*").alias("n"), F.count("f.profit_share_rate").alias("rates"), F.count("f.rate_candidates").alias("conflicts"), F.count("f.fee_information").alias("fees"), F.sum("f.term_months").alias("months"), F.count("f.target_audience").alias("audiences"), F.count("f.max_amount").alias("amounts"))
 
 
-@query("e12_field_contracts", A + f" SELECT id, CASE WHEN id % 2 = 0 THEN 'NOT_APPLICABLE' ELSE 'EXPLICIT' END AS status, CASE WHEN id % 2 = 1 THEN 0.98 END AS confidence, (instr(text, concat(1 + id % 9, '00.000 TL')) - 1)::INT AS char_start FROM a")
+@query("e12_field_contracts", f"""{B}, s AS (SELECT *, CASE WHEN len({SHARES}) > 1 THEN 'CONFLICT' WHEN len({SHARES}) = 1 THEN 'EXPLICIT' WHEN {PRODUCT} IN ('card', 'shopping_points', 'new_customer') THEN 'NOT_APPLICABLE' WHEN contains(low, 'avantajlı oran') THEN 'IMPLICIT' WHEN regexp_matches(low, 'k[aâ]r payı|oran') THEN 'EXTRACTION_FAILED' ELSE 'NOT_STATED' END AS status,
+    CASE WHEN {TERM} IS NOT NULL THEN 'EXPLICIT' WHEN {PRODUCT} IN ('card', 'shopping_points', 'new_customer') THEN 'NOT_APPLICABLE' WHEN contains(low, 'vade') THEN 'EXTRACTION_FAILED' ELSE 'NOT_STATED' END AS term FROM b)
+SELECT id, status, CASE status WHEN 'CONFLICT' THEN 0.5 WHEN 'IMPLICIT' THEN 0.75 WHEN 'EXPLICIT' THEN 0.99 WHEN 'EXTRACTION_FAILED' THEN 0.0 ELSE 1.0 END AS confidence, 'RATIO' AS unit, term, CASE WHEN term = 'EXPLICIT' THEN instr(text, regexp_extract(text, '[0-9]{{1,3}}\\s*ay\\s*vade')) - 1 END::INT AS char_start FROM s""")
 def e12(spark, d):
-    raw = F.regexp_extract("text", r"\d+\.000 TL", 0)
-    c = x.contract(x.n.money(raw)["amount"], raw, F.col("text"), F.col("id") % 2 == 1)
-    return announced(spark, d).select("id", c.alias("c")).select("id", "c.status", "c.confidence", "c.evidence.char_start")
+    """Of the rate and the term: stated, vague, failed, not to be expected, or in conflict, and where."""
+    f = told(spark, d)
+    rate = v.contract("profit_share_rate", F.col("f.profit_share_rate"), F.col("f.evidence")["profit_share_rate"], F.col("text"), F.col("f.product_type"), F.col("f.rate_candidates"))
+    term = v.contract("term_months", F.col("f.term_months"), F.col("f.evidence")["term_months"], F.col("text"), F.col("f.product_type"))
+    return f.select("id", rate.alias("r"), term.alias("t")).select("id", "r.status", "r.confidence", "r.unit", F.col("t.status").alias("term"), "t.evidence.char_start")
 
 
 @query("f14_evidence_spans", "SELECT doc_id, substr(text, 5, 10) = substr(text, 5 + (doc_id % 2)::INT, 10) AND length(text) > 20 AS ok FROM documents")
@@ -165,10 +207,10 @@ def e14(spark, d):
     return announced(spark, d).select("id", label.alias("label"))
 
 
-@query("e18_gated_labels", A + " SELECT id, contains(text, 'Emekli') AND id % 5 = 1 AS kept FROM a")
+@query("e18_gated_labels", f"{B} SELECT id, {AUDIENCE} IS NOT NULL AS kept FROM b")
 def e18(spark, d):
     """A sensitive label stays only with evidence in a sentence that doesn't exclude."""
-    return announced(spark, d).select("id", x.audience(F.col("text")).isNotNull().alias("kept"))
+    return told(spark, d).select("id", F.col("f.target_audience").isNotNull().alias("kept"))
 
 
 @query("e19_suggestions", "SELECT user_id, event_type AS field, CASE WHEN count(DISTINCT floor(value / 400)) = 1 THEN min(event_id) END AS suggestion, count(DISTINCT floor(value / 400)) > 1 AS conflict FROM events GROUP BY 1, 2")

@@ -13,9 +13,9 @@ from sahaf.operators import planner as p
 from sahaf.operators import retrieval as rt
 from sahaf.sources import io
 
-from .language import ANNOUNCE, K, announced
+from .language import ANNOUNCE, AUDIENCE, SHARES, B, K, announced, told
 from .registry import query
-from .search import BM25, asked, english
+from .search import BM25, asked, every
 from .tables import frame
 
 A = "WITH a AS (" + ANNOUNCE.replace("{orders}", "orders") + ")"
@@ -29,19 +29,20 @@ def t11(spark, d):
     return announced(spark, d).select("id", F.array_join(F.transform(F.array_sort(places), lambda v: v["n"]), ",").alias("names"))
 
 
-@query("e13_rules_then_spans", f"SELECT {K} AS id, CASE WHEN {K} % 7 <> 0 THEN 'rules' ELSE 'spans' END AS method FROM orders")
+@query("e13_rules_then_spans", rf"{B}, r AS (SELECT id, text, {SHARES} AS rates, regexp_extract(text, '%\s*([0-9][0-9.,]*)', 1) AS span FROM b) SELECT id, CASE WHEN len(rates) = 1 THEN list_extract(rates, 1) WHEN span <> '' THEN round(replace(rtrim(span, ',.'), ',', '.')::DOUBLE / 100, 6) END AS rate, CASE WHEN len(rates) = 1 THEN 'rules' WHEN span <> '' THEN 'spans' ELSE 'none' END AS method FROM r")
 def e13(spark, d):
-    """A field that the rules leave empty is filled from the text's spans."""
-    own = announced(spark, d).select("id", x.fields(F.col("text")).alias("f"), x.weak_spans("text").alias("s"))
-    span = F.filter("s", lambda v: v["label"] == "RATE")[0]["text"]
-    return own.select("id", F.when(F.col("f.rate").isNotNull(), "rules").when(span.isNotNull(), "spans").otherwise("none").alias("method"))
+    """A rate that the rules leave empty is filled from the text's first rate span."""
+    own = told(spark, d).select("id", F.col("f.profit_share_rate").alias("rate"), x.weak_spans("text").alias("s"))
+    span = F.get(F.filter("s", lambda v: v["label"] == "RATE"), 0)["text"]
+    filled = F.round(x.n.rate(span).cast("double"), 6)
+    return own.select("id", F.coalesce("rate", filled).alias("rate"), F.when(F.col("rate").isNotNull(), "rules").when(filled.isNotNull(), "spans").otherwise("none").alias("method"))
 
 
-@query("e17_valid_audiences", f"{A} SELECT id, (id % 5 = 1)::BOOLEAN AS valid FROM a WHERE contains(text, 'Emekli')")
+@query("e17_valid_audiences", f"{B} SELECT id, {AUDIENCE} IS NOT NULL AS valid FROM b WHERE regexp_matches(low, 'emekli|öğrenci|doktor|kobi|müşteri|hoş geldin')")
 def e17(spark, d):
-    """An audience span counts unless its sentence excludes it."""
-    sentence = F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda s: s.contains("Emekli"))[0]
-    return announced(spark, d).where(F.contains("text", F.lit("Emekli"))).select("id", (~sentence.rlike(x.EXCLUSION)).alias("valid"))
+    """An audience that a text names counts unless its sentence excludes it."""
+    named = F.col("text").rlike("(?iu)emekli|öğrenci|doktor|kobi|KOBİ|müşteri|hoş geldin")
+    return told(spark, d).where(named).select("id", F.col("f.target_audience").isNotNull().alias("valid"))
 
 
 CANON = r"array_to_string(regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\p{L}\p{N}]+'), ' ')"
@@ -150,7 +151,7 @@ def q10(spark, d):
 @query("q13_hybrid_answers", BM25 + "SELECT query_id, string_agg(id, ',' ORDER BY rank) AS sources FROM lexical WHERE rank <= 3 GROUP BY 1")
 def q13(spark, d):
     """The three best documents as an answer's sources."""
-    top = rt.bm25(english(spark, d), asked(spark, d), 3)
+    top = rt.bm25(every(spark, d), asked(spark, d), 3)
     return top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda v: v["id"].cast("string")), ",").alias("sources"))
 
 

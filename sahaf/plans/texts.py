@@ -116,8 +116,8 @@ def j06(spark, d):
     return dup.nearest_existing(p.where("id % 2 = 1"), p.where("id % 2 = 0"))
 
 
-KEPT = """CASE WHEN len(list_filter(string_split(regexp_extract(split_part(url, '#', 1), '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ('gclid', 'fbclid', 'yclid', 'msclkid', 'mc_cid', 'mc_eid', 'ref'))) > 0
-    THEN concat('?', array_to_string(list_filter(string_split(regexp_extract(split_part(url, '#', 1), '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ('gclid', 'fbclid', 'yclid', 'msclkid', 'mc_cid', 'mc_eid', 'ref')), '&')) ELSE '' END"""
+KEPT = """CASE WHEN len(list_filter(string_split(regexp_extract(split_part(url, '#', 1), '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ('dclid', 'fbclid', 'gclid', 'mc_cid', 'mc_eid', 'msclkid', 'yclid'))) > 0
+    THEN concat('?', array_to_string(list_filter(string_split(regexp_extract(split_part(url, '#', 1), '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ('dclid', 'fbclid', 'gclid', 'mc_cid', 'mc_eid', 'msclkid', 'yclid')), '&')) ELSE '' END"""
 URL = f"concat(lower(regexp_extract(url, '^[^:]+://[^/?#]*')), regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '^[^:]+://[^/]*(.*)$', 1), {KEPT})"
 
 

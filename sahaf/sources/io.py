@@ -23,6 +23,18 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """df written to the work folder and read again: what follows starts there, also when an executor is lost."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it has at most that many rows; counting stops there."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def read_envelopes(spark: SparkSession, path: str, record: str) -> DataFrame:
     """The records of JSON envelopes; an envelope without a list of records is an error."""
     found = spark.read.schema(f"schema_version string, records array<struct<{record}>>, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
