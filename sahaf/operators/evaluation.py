@@ -80,3 +80,65 @@ def issues(df: DataFrame, rules: dict[str, tuple[str, Column]]) -> Column:
 def leakage(df: DataFrame, family: str, split: str) -> DataFrame:
     """Families that are in more than one split."""
     return df.groupBy(family).agg(F.countDistinct(split).alias("splits")).where("splits > 1")
+
+
+#: A comment or an element's tag that is left in a text.
+TAGS = r"<!--|</?\s*[A-Za-z][A-Za-z0-9]*(\s[^>]*|/)?>"
+
+
+def record_rules() -> dict[tuple[str, str], Column]:
+    """What makes a record (bank_slug, bank_name, title, content, source_url, start_date, end_date, summary) wrong or doubtful, in order."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    both = (text("start_date") != "") & (text("end_date") != "")
+    return {
+        ("error", "bank_slug"): text("bank_slug") == "",
+        ("error", "bank_name"): text("bank_name") == "",
+        ("error", "title"): F.length(text("title")) < 5,
+        ("error", "content_length"): F.length(text("content")) < 80,
+        ("error", "content_tags"): text("content").rlike(TAGS),
+        ("error", "source_url"): ~text("source_url").rlike(r"^(?i:https)://[^/?#]+"),
+        ("error", "date_order"): both & (F.col("start_date") > F.col("end_date")),
+        ("warning", "date_range"): ~both,
+        ("warning", "summary"): text("summary") == "",
+        ("warning", "summary_length"): F.length(text("summary")) > 500,
+    }
+
+
+def record_issues(records: DataFrame) -> DataFrame:
+    """records with issues (severity, field): the rules' findings, and repeated ids and urls as errors."""
+    found = [F.when(broken, F.struct(F.lit(severity).alias("severity"), F.lit(field).alias("field"))) for (severity, field), broken in record_rules().items()]
+    for c, field in (("id", "id"), ("source_url", "source_url_repeated")):  # counted apart, so that a frequent value is never gathered
+        seen = records.groupBy(c).agg((F.count("*") > 1).alias(f"__{c}"))
+        records = records.join(seen.where(f"__{c}"), c, "left")
+        found.append(F.when(F.col(f"__{c}"), F.struct(F.lit("error").alias("severity"), F.lit(field).alias("field"))))
+    return records.withColumn("issues", F.array_compact(F.array(*found))).drop("__id", "__source_url")
+
+
+def quality_report(checked: DataFrame) -> DataFrame:
+    """One row of counts over record_issues(): records, valid and rejected ones, errors, warnings, repeated ids and urls, score."""
+    of = lambda test: F.coalesce(F.sum(F.size(F.filter("issues", test))), F.lit(0)).cast("long")
+    bad = F.exists("issues", lambda x: x["severity"] == "error").cast("long")
+    counts = checked.agg(F.count("*").alias("records"), F.coalesce(F.sum(bad), F.lit(0)).alias("rejected"), of(lambda x: x["severity"] == "error").alias("errors"), of(lambda x: x["severity"] == "warning").alias("warnings"), of(lambda x: x["field"].isin("id", "source_url_repeated")).alias("repeated"))
+    return counts.withColumns({"valid": F.col("records") - F.col("rejected"), "score": F.when(F.col("records") > 0, F.round(1 - F.col("rejected") / F.col("records"), 4)).otherwise(0.0)})
+
+
+def bank_coverage(records: DataFrame, expected: DataFrame, fields: list[str]) -> DataFrame:
+    """(bank_slug, expected, records, campaigns, products, and each field's fill rate) of represented and expected (bank_slug) banks."""
+    full = lambda c: F.round(F.avg((F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "").cast("int")), 4).alias(f"{c}_rate")
+    kind = F.coalesce("record_kind", F.lit("campaign"))
+    own = records.where(F.coalesce("bank_slug", F.lit("")) != "").groupBy("bank_slug").agg(F.count("*").alias("records"), F.sum((kind != "product").cast("long")).alias("campaigns"), F.sum((kind == "product").cast("long")).alias("products"), *map(full, fields))
+    joined = own.join(expected.select("bank_slug").distinct().withColumn("expected", F.lit(True)), "bank_slug", "full_outer")
+    return joined.select("bank_slug", F.coalesce("expected", F.lit(False)).alias("expected"), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("records", "campaigns", "products")), *(F.coalesce(f"{c}_rate", F.lit(0.0)).alias(f"{c}_rate") for c in fields))
+
+
+def repeated_margins(pages: DataFrame, share: float = 0.35, least: int = 3, shortest: int = 4) -> DataFrame:
+    """(document, line, n): what stands in the first or last two lines of many pages (document, page, text) of a document.
+
+    Lines are compared without regard to case and runs of white space; empty lines don't count, nor do pages without text.
+    """
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    own = pages.select("document", "page", lines.alias("lines")).where(F.size("lines") > 0)
+    keys = F.transform(F.concat(F.slice("lines", 1, 2), F.slice(F.col("lines"), F.greatest(F.size("lines") - 1, F.lit(1)), F.lit(2))), lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " "))))
+    total = own.groupBy("document").agg(F.count("*").alias("pages"))
+    counted = own.select("document", F.explode(F.array_distinct(keys)).alias("line")).where(F.length("line") >= shortest).groupBy("document", "line").agg(F.count("*").alias("n"))
+    return counted.join(total, "document").where(F.col("n") >= F.greatest(F.lit(least), F.floor(share * F.col("pages")))).select("document", "line", "n")

@@ -108,40 +108,61 @@ def a14(spark, d):
     return f.select("id", F.round(r.min_max(f, "rate", ["bank_id"], lower_is_better=True), 6).alias("score"))
 
 
-SCORED = """, fit AS (
-    SELECT *, CASE WHEN tax = 0 THEN 1.0 END AS fee, CAST(term_months AS DOUBLE) AS term FROM offers WHERE coalesce(product_type = 'financing', true) AND coalesce(currency = 'TRY', true)
-), scaled AS (SELECT *,
-    CASE WHEN rate IS NULL THEN NULL WHEN count(rate) OVER w = 1 OR min(rate) OVER w = max(rate) OVER w THEN 0.5 ELSE (max(rate) OVER w - rate) / (max(rate) OVER w - min(rate) OVER w) END AS s1,
-    CASE WHEN max_amount IS NULL THEN NULL WHEN count(max_amount) OVER w = 1 OR min(max_amount) OVER w = max(max_amount) OVER w THEN 0.5 ELSE (max_amount - min(max_amount) OVER w) / (max(max_amount) OVER w - min(max_amount) OVER w) END AS s2,
-    CASE WHEN term IS NULL THEN NULL WHEN count(term) OVER w = 1 OR min(term) OVER w = max(term) OVER w THEN 0.5 ELSE (term - min(term) OVER w) / (max(term) OVER w - min(term) OVER w) END AS s3,
-    CASE WHEN fee IS NULL THEN NULL ELSE 0.5 END AS s4 FROM fit WINDOW w AS (PARTITION BY bank_id)
-), known AS (SELECT *, CASE WHEN s1 IS NULL THEN 0 ELSE 0.45::DOUBLE END + CASE WHEN s2 IS NULL THEN 0 ELSE 0.25::DOUBLE END + CASE WHEN s3 IS NULL THEN 0 ELSE 0.15::DOUBLE END + CASE WHEN s4 IS NULL THEN 0 ELSE 0.15::DOUBLE END AS k,
-    coalesce(s1, 0) * 0.45::DOUBLE + coalesce(s2, 0) * 0.25::DOUBLE + coalesce(s3, 0) * 0.15::DOUBLE + coalesce(s4, 0) * 0.15::DOUBLE AS t,
-    CASE WHEN product_type IS NULL THEN 0 ELSE 0.6::DOUBLE END + CASE WHEN max_amount IS NULL THEN 0 ELSE 0.4::DOUBLE END AS mk, CASE WHEN product_type IS NULL THEN 0 ELSE 0.6::DOUBLE END + CASE WHEN max_amount IS NULL THEN 0 ELSE 0.4 * greatest(0.0, 1 - abs(max_amount - 50000) / 50000) END AS mt FROM scaled)
+#: What is asked for in the queries below, and the same in SQL: criteria with their values and weights, terms of the match.
+FINANCING = o.Wanted("financing", "TRY", duration_days=600, financing_type="housing", amount=50000.0)
+INVESTMENT = o.Wanted("investment", "TRY", duration_days=360, eligibility="retiree", amount=20000.0)
+CAMPAIGN = o.Wanted("card", "TRY")
+OF_FINANCING = [("rate", "rate", 0.45), ("amount", "max_amount", 0.30), ("fee", "CASE WHEN fee = 'masrafsız' THEN 1.0 END", 0.15), ("eligibility", "CASE WHEN audience IS NOT NULL THEN 1.0 END", 0.10)]
+OF_INVESTMENT = [("rate", "rate", 0.60), ("amount", "max_amount", 0.20), ("duration", "duration_days", 0.10), ("eligibility", "CASE WHEN audience IS NOT NULL THEN 1.0 END", 0.10)]
+OF_CAMPAIGN = [("discount", "discount", 0.35), ("reward", "reward", 0.35), ("installment", "instalments", 0.20), ("eligibility", "CASE WHEN audience IS NOT NULL THEN 1.0 END", 0.10)]
+MATCH_FINANCING = [("product_type = 'financing'", 0.35), ("financing_type = 'housing'", 0.20), ("CASE WHEN duration_days IS NOT NULL THEN greatest(0.0, 1 - abs(duration_days - 600) / 600.0::DOUBLE) END", 0.15), ("CASE WHEN max_amount IS NOT NULL THEN greatest(0.0, 1 - abs(max_amount - 50000) / 50000.0::DOUBLE) END", 0.10)]
+#: Rounded from the digits that a double shows, as Spark rounds.
+ADVANTAGE = "round(CAST(CAST(CASE WHEN k > 0 THEN t / k END AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE"
+
+
+def compared(kind: str, criteria: list[tuple[str, str, float]], match: list[tuple[str, float]] = (), extra: str = "") -> str:
+    """CTEs over offers: scored has k (known weight), t (weighted sum), and the match's mk and mt."""
+    values = ", ".join(f"CAST({x} AS DOUBLE) AS v_{c}" for c, x, _ in criteria)
+    lower = lambda c: f"(max(v_{c}) OVER w - v_{c})" if kind == "financing" and c == "rate" else f"(v_{c} - min(v_{c}) OVER w)"
+    scores = ", ".join(f"CASE WHEN v_{c} IS NULL THEN NULL WHEN count(v_{c}) OVER w = 1 OR min(v_{c}) OVER w = max(v_{c}) OVER w THEN 0.5::DOUBLE ELSE {lower(c)} / (max(v_{c}) OVER w - min(v_{c}) OVER w) END AS s_{c}" for c, _, _ in criteria)
+    known = " + ".join(f"CASE WHEN s_{c} IS NULL THEN 0 ELSE {w}::DOUBLE END" for c, _, w in criteria)
+    total = " + ".join(f"coalesce(s_{c}, 0) * {w}::DOUBLE" for c, _, w in criteria)
+    mk = " + ".join(f"CASE WHEN ({x}) IS NULL THEN 0 ELSE {w}::DOUBLE END" for x, w in match) or "0"
+    mt = " + ".join(f"coalesce(({x})::DOUBLE, 0) * {w}::DOUBLE" for x, w in match) or "0"
+    return f""", fit AS (SELECT *, {values} FROM offers WHERE coalesce(product_type = '{kind}', true) AND coalesce(currency = 'TRY', true) {extra}),
+scaled AS (SELECT *, {scores} FROM fit WINDOW w AS (PARTITION BY bank_id)), scored AS (SELECT *, {known} AS k, {total} AS t, {mk} AS mk, {mt} AS mt FROM scaled)
 """
 
 
-@query("a15_weighted_scores", sql_with(SCORED + "SELECT id, round(CASE WHEN k > 0 THEN t / k END, 4) AS advantage, round(k / 1.0, 4) AS confidence FROM known", "offers"))
+@query("a15_weighted_scores", sql_with(compared("investment", OF_INVESTMENT, extra="AND coalesce(audience = 'retiree', true)") + f"SELECT id, {ADVANTAGE} AS advantage, round(k, 4) AS confidence, CASE WHEN s_duration IS NOT NULL THEN round(round(s_duration, 4) * 0.1::DOUBLE / k, 4) END AS duration_part, len(list_filter([s_rate, s_amount, s_duration, s_eligibility], lambda x: x IS NULL))::INT AS missing FROM scored", "offers"))
 def a15(spark, d):
-    return o.compare(frame(spark, d, "offers"), "financing", "TRY", 50000.0, ["bank_id"]).select("id", "advantage", "confidence")
+    """Advantage and confidence, what the duration adds, and how many criteria are missing."""
+    part = F.get(F.filter("criteria", lambda x: x["criterion"] == "duration"), 0)["contribution"]
+    return o.compare(frame(spark, d, "offers"), INVESTMENT, ["bank_id"]).select("id", "advantage", "confidence", part.alias("duration_part"), F.size("missing").alias("missing"))
 
 
-@query("a16_match_scores", sql_with(SCORED + "SELECT id, coalesce(round(CASE WHEN mk > 0 THEN mt / mk END, 4), 0.0) AS match FROM known", "offers"))
+@query("a16_match_scores", sql_with(compared("financing", OF_FINANCING, MATCH_FINANCING) + "SELECT id, coalesce(round(CASE WHEN mk > 0 THEN mt / mk END, 4), 0.0) AS match FROM scored", "offers"))
 def a16(spark, d):
-    return o.compare(frame(spark, d, "offers"), "financing", "TRY", 50000.0, ["bank_id"]).select("id", "match")
+    return o.compare(frame(spark, d, "offers"), FINANCING, ["bank_id"]).select("id", "match")
 
 
-@query("f12_exclusion_reasons", sql_with("SELECT id, CASE WHEN product_type <> 'financing' THEN 'product_type_mismatch' WHEN currency <> 'TRY' THEN 'currency_mismatch' END AS reason FROM offers", "offers"))
+@query("f12_exclusion_reasons", sql_with("SELECT id, CASE WHEN product_type <> 'investment' THEN 'product_type_mismatch' WHEN currency <> 'TRY' THEN 'currency_mismatch' WHEN audience <> 'retiree' THEN 'eligibility_mismatch' END AS reason FROM offers", "offers"))
 def f12(spark, d):
-    return frame(spark, d, "offers").select("id", o.exclusion_reason("financing", "TRY").alias("reason"))
+    return frame(spark, d, "offers").select("id", o.exclusion_reason(INVESTMENT).alias("reason"))
 
 
-@query("q18_comparison", sql_with(SCORED + """, final AS (SELECT bank_id, id, round(CASE WHEN k > 0 THEN t / k END, 4) AS advantage, round(k / 1.0, 4) AS confidence, coalesce(round(CASE WHEN mk > 0 THEN mt / mk END, 4), 0.0) AS match FROM known)
-SELECT bank_id, id, row_number() OVER (PARTITION BY bank_id ORDER BY advantage IS NULL, confidence DESC, advantage DESC NULLS LAST, match DESC, id) AS pos FROM final""", "offers"))
+@query("q18_comparison", sql_with(compared("financing", OF_FINANCING, MATCH_FINANCING) + f""", final AS (SELECT bank_id, id, {ADVANTAGE} AS advantage, round(k, 4) AS confidence, coalesce(round(CASE WHEN mk > 0 THEN mt / mk END, 4), 0.0) AS match,
+    CASE WHEN s_rate IS NULL AND s_amount IS NULL THEN 'Yeterli karşılaştırılabilir alan yok' ELSE concat_ws(', ', CASE WHEN s_rate IS NOT NULL THEN 'düşük kâr payı oranı' END, CASE WHEN s_amount IS NOT NULL THEN 'açık tutar' END) END AS reason FROM scored)
+SELECT bank_id, id, row_number() OVER (PARTITION BY bank_id ORDER BY advantage IS NULL, confidence DESC, advantage DESC NULLS LAST, match DESC, id) AS pos, reason FROM final""", "offers"))
 def q18(spark, d):
-    """Each bank's offers in order of comparison."""
-    c = o.compare(frame(spark, d, "offers"), "financing", "TRY", 50000.0, ["bank_id"])
-    return c.select("bank_id", "id", F.row_number().over(Window.partitionBy("bank_id").orderBy(*o.order_keys())).cast("long").alias("pos"))
+    """Each bank's offers in order of comparison, with the words for it."""
+    c = o.compare(frame(spark, d, "offers"), FINANCING, ["bank_id"])
+    return c.select("bank_id", "id", F.row_number().over(Window.partitionBy("bank_id").orderBy(*o.order_keys())).cast("long").alias("pos"), "reason")
+
+
+@query("q18_campaign_comparison", sql_with(compared("card", OF_CAMPAIGN) + f"SELECT id, {ADVANTAGE} AS advantage, round(k, 4) AS confidence FROM scored", "offers"))
+def q18_campaigns(spark, d):
+    return o.compare(frame(spark, d, "offers"), CAMPAIGN, ["bank_id"]).select("id", "advantage", "confidence")
 
 
 @query("j18_pair_keys", sql_with(""", top AS (SELECT bank_id, id FROM offers QUALIFY row_number() OVER (PARTITION BY bank_id ORDER BY max_amount DESC NULLS LAST, id) <= 5)
@@ -199,9 +220,9 @@ def t05(spark, d):
     return quoted(spark, d).select("bank_id", F.row_number().over(w).cast("long").alias("pos"))
 
 
-@query("f23_chartable_quotes", sql_with(QUOTES + "SELECT bank_id FROM quotes WHERE status <> 'unsupported' AND monthly IS NOT NULL AND bank_id % 4 <> 1", "offers"))
+@query("f23_chartable_quotes", sql_with(QUOTES + "SELECT bank_id FROM quotes WHERE status <> 'unsupported' AND monthly IS NOT NULL", "offers"))
 def f23(spark, d):
-    return quoted(spark, d).where("status <> 'unsupported' and monthly is not null and bank_id % 4 <> 1").select("bank_id")
+    return quoted(spark, d).where("status <> 'unsupported' and monthly is not null").select("bank_id")
 
 
 @query("f24_verified_quotes", sql_with(QUOTES + "SELECT bank_id FROM quotes WHERE status = 'official' AND isfinite(monthly) AND isfinite(total)", "offers"))

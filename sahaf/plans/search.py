@@ -306,38 +306,34 @@ def a11(spark, d):
     return ev.event_summary(frame(spark, d, "events").select(F.col("event_type").alias("event"), F.col("value").alias("latency"), (F.col("user_id") % 10 == 0).alias("failed")))
 
 
-@query("a09_coverage", sql_with("SELECT slug, coalesce(n, 0) AS n, coalesce(t, 0.0) AS product_type_rate, coalesce(r, 0.0) AS reward_currency_rate FROM banks LEFT JOIN (SELECT bank_id, count(*) AS n, round(avg((trim(coalesce(product_type, '')) <> '')::INT), 6) AS t, round(avg((reward_currency IS NOT NULL)::INT), 6) AS r FROM campaigns WHERE bank_id < 20 GROUP BY 1) USING (bank_id)", "campaigns", "banks"))
-def a09(spark, d):
-    own = frame(spark, d, "campaigns").where("bank_id < 20")
-    return ev.fill_rates(own, "bank_id", ["product_type", "reward_currency"], frame(spark, d, "banks").select("bank_id", "slug")).drop("bank_id")
+FILLED = ["title", "start_date", "end_date", "summary", "source_url"]
+EXPECTED = ["src0", "src1", "src2", "a bank without records"]
 
 
-RULES_SQL = "list_filter([CASE WHEN trim(coalesce(text, '')) = '' THEN 'error:text' END, CASE WHEN length(text) < 100 THEN 'warning:text_length' END, CASE WHEN regexp_matches(text, '<[^>]+>') THEN 'error:tags' END, CASE WHEN lang NOT IN ('en', 'de', 'fr') THEN 'warning:lang' END], lambda x: x IS NOT NULL)"
+@query("a09_coverage", sql_with(""", own AS (SELECT bank_slug, count(*) AS records, count(*) FILTER (record_kind <> 'product') AS campaigns, count(*) FILTER (record_kind = 'product') AS products, """ + ", ".join(f"round(avg((trim(coalesce({c}, '')) <> '')::INT), 4) AS {c}_rate" for c in FILLED) + f""" FROM records WHERE bank_slug <> '' GROUP BY 1),
+expected AS (SELECT unnest({EXPECTED}) AS bank_slug)
+SELECT coalesce(o.bank_slug, e.bank_slug) AS bank_slug, e.bank_slug IS NOT NULL AS expected, """ + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("records", "campaigns", "products", *(f"{c}_rate" for c in FILLED))) + " FROM own o FULL JOIN expected e ON o.bank_slug = e.bank_slug", "records"))
+def a09(spark, d):
+    """Counts and fill rates of every bank, also of expected ones without records."""
+    expected = spark.createDataFrame([(x,) for x in EXPECTED], "bank_slug string")
+    return ev.bank_coverage(frame(spark, d, "records"), expected, FILLED)
 
 
-def checked(spark, d):
-    rules = {
-        "text": ("error", F.trim(F.coalesce("text", F.lit(""))) == ""),
-        "text_length": ("warning", F.length("text") < 100),
-        "tags": ("error", F.col("text").rlike("<[^>]+>")),
-        "lang": ("warning", ~F.col("lang").isin("en", "de", "fr")),
-    }
-    own = frame(spark, d, "documents")
-    return own.select("doc_id", "text", F.transform(ev.issues(own, rules), lambda x: F.concat_ws(":", x["severity"], x["field"])).alias("issues"))
+RULES_SQL = r"""list_filter([CASE WHEN bank_slug = '' THEN 'error:bank_slug' END, CASE WHEN bank_name IS NULL THEN 'error:bank_name' END, CASE WHEN length(coalesce(title, '')) < 5 THEN 'error:title' END, CASE WHEN length(coalesce(content, '')) < 80 THEN 'error:content_length' END,
+    CASE WHEN regexp_matches(content, '<!--|</?\s*[A-Za-z][A-Za-z0-9]*(\s[^>]*|/)?>') THEN 'error:content_tags' END, CASE WHEN NOT regexp_matches(source_url, '^https://[^/?#]') THEN 'error:source_url' END,
+    CASE WHEN start_date > end_date THEN 'error:date_order' END, CASE WHEN start_date IS NULL OR end_date IS NULL THEN 'warning:date_range' END, CASE WHEN coalesce(summary, '') = '' THEN 'warning:summary' END, CASE WHEN length(summary) > 500 THEN 'warning:summary_length' END,
+    CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'error:id' END, CASE WHEN count(*) OVER (PARTITION BY source_url) > 1 THEN 'error:source_url_repeated' END], lambda x: x IS NOT NULL)"""
 
 
-@query("f19_record_issues", f"SELECT doc_id, {RULES_SQL} AS issues FROM documents")
+@query("f19_record_issues", sql_with(f"SELECT id, {RULES_SQL} AS issues FROM records", "records"))
 def f19(spark, d):
-    return checked(spark, d).select("doc_id", "issues")
+    return ev.record_issues(frame(spark, d, "records")).select("id", F.transform("issues", lambda x: F.concat_ws(":", x["severity"], x["field"])).alias("issues"))
 
 
-@query("a10_quality_report", f"""WITH c AS (SELECT doc_id, {RULES_SQL} AS issues, count(*) OVER (PARTITION BY text) > 1 AS repeated FROM documents)
-SELECT count(*) AS records, count(*) FILTER (len(list_filter(issues, lambda x: starts_with(x, 'error'))) > 0) AS rejected, sum(len(issues))::BIGINT AS issues, count(*) FILTER (repeated) AS repeated, round(1 - count(*) FILTER (len(list_filter(issues, lambda x: starts_with(x, 'error'))) > 0) / count(*), 4) AS score FROM c""")
+@query("a10_quality_report", sql_with(f""", c AS (SELECT {RULES_SQL} AS issues FROM records), n AS (SELECT len(list_filter(issues, lambda x: starts_with(x, 'error'))) AS e, len(list_filter(issues, lambda x: starts_with(x, 'warning'))) AS w, len(list_filter(issues, lambda x: x IN ('error:id', 'error:source_url_repeated'))) AS r FROM c)
+SELECT count(*) AS records, count(*) FILTER (e > 0) AS rejected, sum(e)::BIGINT AS errors, sum(w)::BIGINT AS warnings, sum(r)::BIGINT AS repeated, count(*) FILTER (e = 0) AS valid, round(1 - count(*) FILTER (e > 0) / count(*), 4) AS score FROM n""", "records"))
 def a10(spark, d):
-    own = checked(spark, d).withColumn("bad", F.exists("issues", lambda x: x.startswith("error")))
-    copies = own.groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("repeated"))
-    total = own.agg(F.count("*").alias("records"), F.sum(F.col("bad").cast("long")).alias("rejected"), F.sum(F.size("issues")).alias("issues"))
-    return total.crossJoin(copies).select("records", "rejected", "issues", "repeated", F.round(1 - F.col("rejected") / F.col("records"), 4).alias("score"))
+    return ev.quality_report(ev.record_issues(frame(spark, d, "records")))
 
 
 @query("a08_field_statuses", sql_with("SELECT field, status, count(*) AS n FROM (SELECT 'product_type' AS field, CASE WHEN trim(coalesce(product_type, '')) <> '' THEN 'EXPLICIT' ELSE 'NOT_STATED' END AS status FROM campaigns UNION ALL SELECT 'rate', CASE WHEN rate IS NOT NULL THEN 'EXPLICIT' ELSE 'NOT_STATED' END FROM campaigns) GROUP BY 1, 2", "campaigns"))
@@ -347,16 +343,12 @@ def a08(spark, d):
     return frame(spark, d, "campaigns").select(F.explode(fields).alias("field", "status")).groupBy("field", "status").agg(F.count("*").alias("n"))
 
 
-@query("a30_repeated_margins", """WITH l AS (SELECT source, doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10))[1:2], string_split(text, chr(10))[-2:]))) AS line FROM documents), p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY 1)
-SELECT source, line, count(DISTINCT doc_id) AS n FROM l JOIN p USING (source) WHERE trim(line) <> '' GROUP BY source, line, pages HAVING count(DISTINCT doc_id) >= greatest(3, floor(0.05 * pages))""")
+@query("a30_repeated_margins", r"""WITH p AS (SELECT source AS document, doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents), own AS (SELECT * FROM p WHERE len(l) > 0),
+k AS (SELECT document, doc_id, unnest(list_distinct(list_transform(list_concat(l[1:2], l[-2:]), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))))) AS line FROM own), t AS (SELECT document, count(*) AS pages FROM own GROUP BY 1)
+SELECT document, line, count(*) AS n FROM k JOIN t USING (document) WHERE length(line) >= 4 GROUP BY document, line, pages HAVING count(*) >= greatest(3, floor(0.35 * pages))""")
 def a30(spark, d):
-    """Lines at the edges of many pages of a source (a twentieth of them, three at least)."""
-    lines = F.split("text", "\n")
-    own = frame(spark, d, "documents")
-    edge = F.array_distinct(F.concat(F.slice(lines, 1, 2), F.slice(lines, F.greatest(F.size(lines) - 1, F.lit(1)), 2)))
-    pages = own.groupBy("source").agg(F.countDistinct("doc_id").alias("pages"))
-    counted = own.select("source", "doc_id", F.explode(edge).alias("line")).where(F.trim("line") != "").groupBy("source", "line").agg(F.countDistinct("doc_id").alias("n"))
-    return counted.join(F.broadcast(pages), "source").where(F.col("n") >= F.greatest(F.lit(3), F.floor(0.05 * F.col("pages")))).select("source", "line", "n")
+    """Lines at the edges of a third of the pages and more of a source."""
+    return ev.repeated_margins(frame(spark, d, "documents").select(F.col("source").alias("document"), F.col("doc_id").alias("page"), "text"))
 
 
 @query("a31_extraction_totals", "SELECT lang, count(*) AS documents, sum(length(text))::BIGINT AS characters FROM documents GROUP BY ROLLUP (lang)")

@@ -10,6 +10,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 ADAPTERS = {
+    "records": """
+        SELECT doc_id AS id, CASE WHEN doc_id % 41 = 0 THEN '' ELSE source END AS bank_slug, CASE WHEN doc_id % 37 <> 0 THEN source END AS bank_name, substr(text, 1, CAST(doc_id % 30 AS INT)) AS title, text AS content,
+            CASE doc_id % 9 WHEN 0 THEN concat('http://bank.example/', CAST(doc_id AS VARCHAR(20))) WHEN 1 THEN 'https:///none' ELSE concat('https://bank.example/', CAST(doc_id % 700 AS VARCHAR(20))) END AS source_url,
+            CASE WHEN doc_id % 4 <> 0 THEN concat('2024-0', CAST(1 + doc_id % 9 AS VARCHAR(4)), '-01') END AS start_date, CASE WHEN doc_id % 5 <> 0 THEN concat('2024-0', CAST(1 + doc_id % 7 AS VARCHAR(4)), '-28') END AS end_date,
+            CASE WHEN doc_id % 6 <> 0 THEN substr(text, 1, CAST(30 * (doc_id % 23) AS INT)) END AS summary, CASE WHEN doc_id % 3 = 0 THEN 'product' ELSE 'campaign' END AS record_kind
+        FROM {documents}""",
     "banks": "SELECT n_nationkey AS bank_id, lower(n_name) AS slug, n_name AS name FROM {nation}",
     "campaigns": """
         SELECT o_orderkey AS id, c_nationkey AS bank_id, concat('Order ', CAST(o_orderkey AS VARCHAR(20)), ' ', o_orderpriority) AS title,
@@ -30,10 +36,12 @@ ADAPTERS = {
     "observations": "SELECT concat('r', CAST(user_id AS VARCHAR(20))) AS record_id, event_type AS content_hash, ts AS observed_at, event_id FROM {events}",
     "offers": """
         SELECT concat('o', CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(5))) AS id, l_suppkey AS bank_id,
-            CASE WHEN l_linenumber % 6 = 0 THEN NULL WHEN l_returnflag = 'R' THEN 'investment' ELSE 'financing' END AS product_type,
+            CASE WHEN l_linenumber % 6 = 0 THEN NULL WHEN l_returnflag = 'R' THEN 'investment' WHEN l_returnflag = 'A' THEN 'card' ELSE 'financing' END AS product_type,
             CASE WHEN l_linestatus = 'F' AND l_linenumber % 4 = 0 THEN 'USD' WHEN l_linenumber % 5 <> 0 THEN 'TRY' END AS currency,
             CASE WHEN l_linenumber % 3 <> 0 THEN l_discount END AS rate, CASE WHEN l_linenumber % 4 <> 1 THEN l_extendedprice END AS max_amount,
-            CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_quantity AS INT) END AS term_months, l_tax AS tax, l_shipdate AS end_date
+            CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_quantity AS INT) END AS term_months, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_quantity * 30 AS INT) END AS duration_days, l_tax AS tax, l_shipdate AS end_date,
+            CASE WHEN l_tax = 0 THEN 'masrafsız' END AS fee, CASE l_orderkey % 4 WHEN 1 THEN 'retiree' WHEN 2 THEN 'student' END AS audience, CASE l_partkey % 3 WHEN 0 THEN 'housing' WHEN 1 THEN 'vehicle' END AS financing_type,
+            CASE WHEN l_orderkey % 3 = 0 THEN l_quantity * 10 END AS reward, CASE WHEN l_linenumber % 2 = 1 THEN l_discount END AS discount, CASE WHEN l_linenumber % 5 < 3 THEN CAST(l_partkey % 12 AS INT) END AS instalments
         FROM {lineitem}""",
 }
 
