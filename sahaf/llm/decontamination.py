@@ -34,32 +34,36 @@ def ordinary_words(texts: DataFrame) -> bytes:
     large = texts.select(F.lit(-1).alias("n"), F.explode(F.transform(F.regexp_extract_all("text", F.lit(INSIDE), F.lit(0)), F.lower)).alias("w"))
     words = common.materialize(small.unionByName(large).groupBy("w").agg(F.sum("n").alias("n"), F.max("n").alias("small")).where("n >= 0 and small = 1").select("w"), "ordinary")
     bits = min(max(BITS[0], 1 << (words.count() * BITS_PER_WORD).bit_length()), BITS[1])
-    longs = words.select(F.pmod(F.xxhash64("w"), F.lit(bits)).alias("at")).select(F.floor(F.col("at") / 64).alias("k"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bits"))
+    capital = F.concat(F.upper(F.substring("w", 1, 1)), F.substr("w", F.lit(2)))  # as it begins a sentence
+    longs = words.select(F.pmod(F.xxhash64(capital), F.lit(bits)).alias("at")).select(F.floor(F.col("at") / 64).alias("k"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bits"))
     every = longs.unionByName(texts.sparkSession.range(bits // 64).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("bits")))
     row = every.groupBy("k").agg(F.bit_or("bits").alias("bits")).agg(F.array_sort(F.collect_list(F.struct("k", "bits"))).alias("b"))
     return bytes(row.select(F.unhex(F.array_join(F.transform("b", lambda x: F.lpad(F.hex(x["bits"]), 16, "0")), "")).alias("b")).first()["b"])  # at most 8 MB
 
 
-def _in_bitmap(word: Column, bitmap: bytes) -> Column:
-    at = F.pmod(F.xxhash64(word), F.lit(8 * len(bitmap)))
-    byte = F.substr(F.lit(bitmap), (F.floor(at / 64) * 8 + 8 - F.floor(at % 64 / 8)).cast("int"), F.lit(1))
-    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (at % 8).cast("int")) == 1
+def marked(texts: DataFrame, ordinary: bytes | None) -> DataFrame:
+    """texts with m in place of text: in lower case, names as §name¤, numbers as №12 and units as ¢km; without a bitmap no names.
 
-
-def marked(text: Column, ordinary: bytes | None) -> Column:
-    """A text in lower case with its names as §name¤, numbers as №12 and units as ¢km; without a bitmap no names."""
-    t = F.translate(text, "§¤№¢", "    ")
-    if ordinary is not None:
-
-        def named(part: Column) -> Column:
-            word = F.lower(F.regexp_extract(part, "^" + CAPITALISED, 0))
-            return F.when((word == "") | _in_bitmap(word, ordinary), part).otherwise(F.regexp_replace(part, "^" + CAPITALISED, "§$0¤"))
-
-        parts = F.split(t, r"(?=\p{Lu}\p{Ll})(?<!\p{L})", -1)
-        t = F.replace(F.array_join(F.transform(parts, named), ""), F.lit("¤ §"), F.lit("_"))
-    t = F.lower(t)
-    numbers = F.regexp_replace(F.regexp_replace(t, NUMBER, " №$0 "), r"(№\S+)\s+(" + "|".join(UNITS) + r")(?!\p{L})", "$1 ¢$2")
-    return F.when(t.rlike("[0-9]"), numbers).otherwise(t)
+    Each step is a column of its own, so that none is evaluated more than once.
+    """
+    rest = [c for c in texts.columns if c != "text"]
+    t = F.translate("text", "§¤№¢", "    ")
+    if ordinary is None:
+        steps = texts.select(*rest, F.lower(t).alias("t"))
+    else:
+
+        def name(word: Column, at: Column) -> Column:
+            byte = F.substr(F.lit(ordinary), (F.floor(at / 64) * 8 + 8 - F.floor(at % 64 / 8)).cast("int"), F.lit(1))
+            known = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (at % 8).cast("int")) == 1
+            return F.when((word != "") & ~known, F.concat(F.lit("§"), word, F.lit("¤"))).otherwise("")
+
+        steps = texts.select(*rest, F.split(t, r"(?=\p{Lu}\p{Ll})(?<!\p{L})", -1).alias("parts"))
+        steps = steps.select(*rest, "parts", F.transform("parts", lambda p: F.regexp_extract(p, "^" + CAPITALISED, 0)).alias("words"))
+        steps = steps.select(*rest, "parts", F.zip_with("words", F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(8 * len(ordinary)))), name).alias("names"))
+        told = F.zip_with("parts", "names", lambda p, n: F.when(n != "", F.concat(n, F.substr(p, F.length(n) - 1))).otherwise(p))
+        steps = steps.select(*rest, F.lower(F.replace(F.array_join(told, ""), F.lit("¤ §"), F.lit("_"))).alias("t"))
+    numbers = F.regexp_replace(F.regexp_replace("t", NUMBER, " №$0 "), r"(№\S+)\s+(" + "|".join(UNITS) + r")(?!\p{L})", "$1 ¢$2")
+    return steps.select(*rest, F.when(F.col("t").rlike("[0-9]"), numbers).otherwise(F.col("t")).alias("m"))
 
 
 def surface(marked: Column) -> Column:
@@ -67,17 +71,20 @@ def surface(marked: Column) -> Column:
     return F.regexp_extract_all(marked, F.lit(r"§[^¤]+¤|№[0-9.,]+|¢\p{L}+|\p{L}+"), F.lit(0))
 
 
-def template(marked: Column) -> Column:
-    """The same tokens with names, numbers and units as §p, §n and §u."""
-    t = F.regexp_replace(marked, "§[^¤]+¤", "§p")
-    t = F.when(t.rlike("№"), F.regexp_replace(F.regexp_replace(t, r"№[0-9.,]+", "§n"), r"¢\p{L}+", "§u")).otherwise(t)
-    return F.regexp_extract_all(t, F.lit(r"§[pnu]|\p{L}+"), F.lit(0))
+def with_template(marked: DataFrame, name: str) -> DataFrame:
+    """marked() texts with the same tokens under a name, names, numbers and units as §p, §n and §u."""
+    slots = F.regexp_replace(F.regexp_replace("t", r"№[0-9.,]+", "§n"), r"¢\p{L}+", "§u")
+    steps = marked.select("*", F.regexp_replace("m", "§[^¤]+¤", "§p").alias("t")).select(*marked.columns, F.when(F.col("t").contains("№"), slots).otherwise(F.col("t")).alias("t"))
+    return steps.select(*marked.columns, F.regexp_extract_all("t", F.lit(r"§[pnu]|\p{L}+"), F.lit(0)).alias(name))
 
 
-def _windows(tokens: str, width: int, stride: int) -> Column:
-    """(pos, hash) of every stride-th window; none if there are fewer tokens than width."""
-    starts = F.when(F.size(tokens) >= width, F.sequence(F.lit(0), F.size(tokens) - width, F.lit(stride)))
-    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(F.col(tokens), i + 1, F.lit(width))).alias("hash")))
+def _windows(df: DataFrame, tokens: str, width: int, stride: int) -> DataFrame:
+    """df's columns but tokens, with pos and hash of every stride-th window; no rows where there are fewer tokens than width."""
+    rest = [c for c in df.columns if c != tokens]
+    hashed = df.select(*rest, F.transform(tokens, lambda x: F.xxhash64(x)).alias("h"))
+    one = lambda i: F.struct(i.alias("pos"), F.xxhash64(*(F.get(F.col("h"), i + k) for k in range(width))).alias("hash"))
+    starts = F.when(F.size("h") >= width, F.sequence(F.lit(0), F.size("h") - width, F.lit(stride)))  # no filter, which would evaluate all steps once more
+    return hashed.select(*rest, F.inline(F.transform(starts, one)))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, stride: int = STRIDE, coverage: float = COVERAGE) -> DataFrame:
@@ -93,13 +100,13 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, stride: int
     """
     given = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
     ordinary = ordinary_words(given)
-    variants = [given.select("item_id", F.lit(k).alias("variant"), marked(F.col("text"), o).alias("m")) for k, o in enumerate((ordinary, None))]
-    items = variants[0].unionByName(variants[1]).select("item_id", "variant", template(F.col("m")).alias("item"), surface(F.col("m")).alias("item_words"))
+    variants = [marked(given.select("item_id", F.lit(k).alias("variant"), "text"), o) for k, o in enumerate((ordinary, None))]
+    items = with_template(variants[0].unionByName(variants[1]), "item").select("item_id", "variant", "item", surface(F.col("m")).alias("item_words"))
     items = common.materialize(items.where(F.size("item") >= width).dropDuplicates(["item_id", "item", "item_words"]), "items")
-    item_windows = items.select("item_id", "variant", (F.size("item") - width + 1).alias("windows"), F.explode(_windows("item", width, 1)).alias("w")).select("item_id", "variant", "windows", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"))
+    item_windows = _windows(items.select("item_id", "variant", (F.size("item") - width + 1).alias("windows"), "item"), "item", width, 1).withColumnRenamed("pos", "item_pos")
     item_windows = common.materialize(item_windows, "item-windows")
     texts = common.texts_of(docs).where("doc_id is not null and text is not null")
-    doc_windows = texts.select("doc_id", template(marked(F.col("text"), ordinary)).alias("tokens")).select("doc_id", F.explode(_windows("tokens", width, stride)).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"))
+    doc_windows = _windows(with_template(marked(texts, ordinary), "tokens").select("doc_id", "tokens"), "tokens", width, stride)
     hits = doc_windows.join(common.sized(item_windows), "hash").groupBy("doc_id", "item_id", "variant", (F.col("pos") - F.col("item_pos")).alias("shift"), "windows").count()
     # Unmatched windows come in runs of `width` inside an item, so a match of that coverage leaves at least this many hits.
     # Beyond stride 1 an item of fewer than stride + width - 1 tokens can lie between the windows that are looked up.
@@ -107,7 +114,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, stride: int
     least = F.floor((coverage * F.col("windows") - (stride - 1) * (lost * F.col("windows") / width + 1)) / stride)
     candidates = common.materialize(hits.where(F.col("count") >= F.greatest(least, F.lit(1))).select("doc_id", "item_id", "variant", "shift"), "candidates")
     wanted = common.materialize(candidates.select("doc_id").distinct(), "wanted")
-    held = texts.join(common.sized(wanted), "doc_id", "left_semi").select("doc_id", marked(F.col("text"), ordinary).alias("m")).select("doc_id", template(F.col("m")).alias("doc"), surface(F.col("m")).alias("doc_words"))
+    held = with_template(marked(texts.join(common.sized(wanted), "doc_id", "left_semi"), ordinary), "doc").select("doc_id", "doc", surface(F.col("m")).alias("doc_words"))
     both = candidates.join(held, "doc_id").join(items, ["item_id", "variant"])
     at = F.sequence(F.lit(0), F.size("item") - 1)
     aligned = both.select("doc_id", "item_id", "shift", "item", "item_words", F.transform(at, lambda j: F.get(F.col("doc"), j + F.col("shift"))).alias("doc"), F.transform(at, lambda j: F.get(F.col("doc_words"), j + F.col("shift"))).alias("doc_words"))
