@@ -25,7 +25,7 @@ INSIDE = r"(?<=[\p{Ll}\p{N}][,;]? )" + CAPITALISED
 ORDINARY = r"(?<!\p{L})\p{Ll}+(?!\p{L})"
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
 #: Bits of the bitmap for each word, and at the least and most.
-BITS_PER_WORD, BITS = 64, (1 << 12, 1 << 26)
+BITS_PER_WORD, BITS = 64, (1 << 16, 1 << 26)
 
 
 def ordinary_words(texts: DataFrame) -> bytes:
