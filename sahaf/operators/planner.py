@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,6 +146,12 @@ def plans(x: pd.Series) -> pd.DataFrame:
     return frame.astype({"amount": "float64", "months": "Int32"})
 
 
+def planned(df: DataFrame, question: str) -> DataFrame:
+    """df with p, the plan of each row's question; each distinct question is planned once."""
+    made = df.select(question).distinct().withColumn("p", plans(question))
+    return df.join(made, question)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def claim_signatures(x: pd.Series) -> pd.Series:
     return x.map(claims)

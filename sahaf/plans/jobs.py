@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sahaf.functions import values
 from sahaf.operators import learning as le
 from sahaf.operators import planner
-from sahaf.sources import io
+from sahaf.sources import io, store
 from sahaf.streaming import jobs as st
 
 from .decisions import HISTORY
@@ -28,11 +29,66 @@ def s02(spark, d):
     return spark.read.schema("vec_id long, label int").json(path)
 
 
-@query("s03_store_round_trip", sql_with("SELECT id, product_type, rate FROM campaigns", "campaigns"))
+@query("s03_store", sql_with("SELECT id, bank_id, title, product_type, rate, CAST(NULL AS VARCHAR) AS financing_type FROM campaigns", "campaigns"))
 def s03(spark, d):
+    """A store is laid out and filled; a column that the rows lack is null."""
     path = io.work_folder(spark, "store")
-    frame(spark, d, "campaigns").write.partitionBy("record_kind").parquet(path)
-    return spark.read.option("mergeSchema", True).parquet(path).where("record_kind = 'campaign'").select("id", "product_type", "rate")
+    store.open_store(spark, path)
+    store.append(frame(spark, d, "campaigns").select("id", "bank_id", "title", "product_type", "rate"), path, "campaigns")
+    return store.open_store(spark, path)["campaigns"].select("id", "bank_id", "title", "product_type", "rate", "financing_type")
+
+
+@query("s20_guarded_save", "SELECT step, saved, bytes FROM (VALUES ('new', true, (SELECT count(*) FROM nation)), ('stale', false, (SELECT count(*) FROM nation)), ('current', true, 2 * (SELECT count(*) FROM nation))) t(step, saved, bytes)")
+def s20(spark, d):
+    """A file is replaced only by a writer that knows what it holds now."""
+    path, n = io.work_folder(spark, "notes") + "/notes.txt", frame(spark, d, "nation").count()
+    first = store.save(spark, path, b"x" * n, None)
+    rows = [("new", True, n)]
+    for step, expected in (("stale", "0" * 64), ("current", first)):
+        try:
+            store.save(spark, path, b"y" * 2 * n, expected)
+            saved = True
+        except store.Changed:
+            saved = False
+        rows.append((step, saved, spark.read.format("binaryFile").load(path).select("length").first()["length"]))
+    return spark.createDataFrame(rows, "step string, saved boolean, bytes long")
+
+
+@query("s24_command_line", "SELECT count(*) AS banks, count(*) AS stored FROM nation")
+def s24(spark, d):
+    """A store that the command line lays out and loads."""
+    from sahaf.__main__ import main
+
+    path = io.work_folder(spark, "cli")
+    main(["db", "load", path, "--tables", d], spark)
+    stored = store.open_store(spark, path)["banks"].agg(F.count("*").alias("stored"))
+    return frame(spark, d, "banks").agg(F.count("*").alias("banks")).crossJoin(F.broadcast(stored))
+
+
+@query("r14_file_cache", "SELECT step, hit, n FROM (VALUES ('first', false, (SELECT count(*) FROM benchmark)), ('again', true, (SELECT count(*) FROM benchmark)), ('changed', false, 2 * (SELECT count(*) FROM benchmark))) t(step, hit, n)")
+def r14(spark, d):
+    """A corpus is read again only after its files have changed."""
+    path, own = io.work_folder(spark, "corpus"), frame(spark, d, "benchmark")
+    own.write.parquet(path)
+    cache, rows = store.FileCache(spark, lambda s, p: s.read.parquet(p).count()), []
+    for step in ("first", "again", "changed"):
+        if step == "changed":
+            own.write.mode("append").parquet(path)
+        n, hit = cache.get(path)
+        rows.append((step, hit, n))
+    return spark.createDataFrame(rows, "step string, hit boolean, n long")
+
+
+@query("st09_recent_keys", """WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER w AS pos, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT a.event_id, a.before IS NOT NULL AND (SELECT count(DISTINCT b.event_type) FROM e b WHERE b.user_id = a.user_id AND b.event_id > a.before AND b.event_id < a.event_id) < 2 AS hit FROM e a""")
+def st09(spark, d):
+    """Whether a cache of each user's two last kinds of event holds the next one; a user's events are read in order by one task."""
+
+    def run(f):
+        f = f.sort_values("event_id")
+        return f[["event_id"]].assign(hit=values.recent_hits(f["event_type"], 2))
+
+    return frame(spark, d, "events").select("user_id", "event_id", "event_type").groupBy("user_id").applyInPandas(run, "event_id long, hit boolean")
 
 
 @query("s04_strict_lines", "SELECT 'good' AS kind, count(*) AS n FROM labels WHERE doc_id % 10 <> 0 UNION ALL SELECT 'bad', count(*) FROM labels WHERE doc_id % 10 = 0")

@@ -289,7 +289,7 @@ Q_SQL = "q(k, question, intent, route, action) AS (VALUES " + ", ".join(f"({k},
 
 def questions(spark, d):
     q = spark.createDataFrame([(k, q) for k, (q, *_) in enumerate(QUESTIONS)], "k long, question string")
-    return frame(spark, d, "orders").select(F.col(K).alias("id"), (F.col(K) % len(QUESTIONS)).alias("k")).join(F.broadcast(q), "k").select("id", p.plans("question").alias("p"))
+    return frame(spark, d, "orders").select(F.col(K).alias("id"), (F.col(K) % len(QUESTIONS)).alias("k")).join(F.broadcast(p.planned(q, "question")), "k").select("id", "p")  # as many rows as QUESTIONS
 
 
 @query("q01_plans", f"WITH {Q_SQL} SELECT {K} AS id, intent, route, action FROM orders JOIN q ON k = {K} % {len(QUESTIONS)}")

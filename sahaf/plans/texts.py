@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sahaf.functions import numbers as n
 from sahaf.functions import text as t
+from sahaf.functions import values
 from sahaf.operators import duplicates as dup
 
 from .registry import query
@@ -305,6 +306,13 @@ def m02(spark, d):
     return docs(spark, d).select("doc_id", F.sha2(F.to_json(F.struct("doc_id", "lang", "source")), 256).alias("h"))
 
 
+@query("m06_frozen_values", "SELECT doc_id, concat('{\"a\":[', doc_id, ',null,{\"lang\":\"', lang, '\"}],\"source\":\"', source, '\"}') AS j FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def m06(spark, d):
+    """Nested values that can't be changed any more, written with sorted keys."""
+    j = F.concat(F.lit('{"source": "'), "source", F.lit('", "a": ['), "doc_id", F.lit(', null, {"lang": "'), "lang", F.lit('"}]}'))
+    return docs(spark, d).where("lang is not null and source is not null").select("doc_id", values.frozen_json(j).alias("j"))
+
+
 @query("m03_field_lines", sql_with("SELECT id, concat('amount: ', amount::BIGINT, chr(10), 'kind: ', record_kind, CASE WHEN reward_currency IS NOT NULL THEN concat(chr(10), 'reward: ', reward_currency) ELSE '' END) AS x FROM campaigns", "campaigns").replace("amount::BIGINT", "floor(amount)::BIGINT"))
 def m03(spark, d):
     fields = F.create_map(F.lit("reward"), F.col("reward_currency"), F.lit("kind"), F.col("record_kind"), F.lit("amount"), F.floor("amount").cast("string"))
