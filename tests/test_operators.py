@@ -1,15 +1,20 @@
 """Golden values, ties, and inputs in another order."""
 
 import datetime
+import hashlib
 import json
+import random
+from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sahaf.functions import extract, numbers, text
-from sahaf.operators import catalogue, duplicates, offers, planner, ranking, retrieval, versions
-from sahaf.sources import io
+from sahaf.__main__ import main
+from sahaf.functions import extract, fields, numbers, text, values
+from sahaf.operators import catalogue, duplicates, evaluation, offers, planner, ranking, retrieval, versions
+from sahaf.sources import io, store
 from sahaf.streaming import jobs
 
 numbers_cases = [("10.000 TL", 10000.0, "TRY"), ("10,000.50 USD", 10000.5, "USD"), ("1,5 milyon TL", 1500000.0, "TRY"), ("£25.50", 25.5, "GBP"), ("USD hesapta 100 TL", 100.0, "TRY"), ("yalnız 5", None, None), (None, None, None)]
@@ -156,3 +161,141 @@ def test_bm25_does_not_depend_on_order(spark):
     q = spark.createDataFrame([(0, "beta alpha beta")], "query_id long, query string")
     a, b = (sorted(map(tuple, retrieval.bm25(d, q, 5).collect())) for d in (docs, docs.orderBy(F.desc("id")).repartition(7)))
     assert a == b
+
+
+def plain_simhash(value):
+    words = text.canonical(value).split()
+    found = words if len(words) < 3 else [" ".join(words[k : k + 3]) for k in range(len(words) - 2)]
+    if not found:
+        return (1 << 64) - 1
+    out = 0
+    hashed = [int.from_bytes(hashlib.sha256(f.encode()).digest()[:8], "big") for f in found]
+    for b in range(64):
+        out |= (2 * sum(h >> b & 1 for h in hashed) >= len(hashed)) << b
+    return out
+
+
+def test_simhashes_equal_a_plain_version():
+    texts = ["", None, "one", "one two", "one two three", "a b c d e f a b c", "ß Straße STRASSE", "x " * 900, *(f"w{k} v{k % 3} u t s" for k in range(700))]
+    assert [int(h) % (1 << 64) for h in text.simhashes(texts)] == [plain_simhash(t) for t in texts]
+
+
+@pytest.mark.parametrize("bands", [7, 8, 9, 10])
+def test_near_pairs_by_any_number_of_bands(spark, monkeypatch, bands):
+    monkeypatch.setattr(duplicates, "BANDS", ())
+    monkeypatch.setattr(duplicates, "MOST_BANDS", bands)
+    rng = random.Random(bands)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    prints = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 9))) for b in base for _ in range(6)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    got = {(r["a"], r["b"]) for r in duplicates.near_pairs(spark.createDataFrame([("x", p) for p in signed], "bank string, fp long")).collect()}
+    assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 6}
+
+
+def test_long_chains_are_one_cluster(spark):
+    chain = [(1 << (k + 1)) - 1 for k in range(60)]  # each a bit from the next
+    rows = [(k, "x", p, f"h{k:02d}") for k, p in enumerate(chain)]
+    assert duplicates.clusters(spark.createDataFrame(rows, "id long, bank string, fp long, content_hash string")).select("cluster").distinct().count() == 1
+
+
+def test_clean_resolves_and_joins():
+    cases = {
+        None: "", "  a \t b ": "a b", "a&nbsp;b&amp;c": "a b&c", "<p>x</p><p>y</p>": "x\n\ny", "a​b­c﻿": "abc", "é": "é", "a\n\n\n\nb \n c": "a\n\nb\nc", "1 < 2": "1 < 2", "\n\n a \n\n": "a",
+        "<script>no</script>yes": "yes", "a b\r\nc": "a b\nc",
+    }
+    assert {k: text.clean(k) for k in cases} == cases
+
+
+def test_titles_mojibake_and_excerpts(spark):
+    rows = [("Konut Finansmanı 1,89", "konut finansmanı 1,89"), ("abc", "xyz"), (None, "a")]
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(text.title_similarity("a", "b")).collect()]
+    assert got[0] == 1.0 and got[1] == 0.0 and got[2] == 0.0
+    df = spark.createDataFrame([("Ã¶dÃ¼l",), ("düz",), (None,)], "x string")
+    assert [r[0] for r in df.select(text.repair_mojibake("x")).collect()] == ["ödül", "düz", None]
+    df = spark.createDataFrame([("Bir. İki cümle var. Üç.", 12), ("kısa", 12), ("sözcükler noktasız uzar gider", 15), (None, 5)], "x string, n int")
+    assert [r[0] for r in df.select(text.excerpt("x", "n")).collect()] == ["Bir.", "kısa", "sözcükler…", ""]
+
+
+def test_windows_end_at_sentences_and_overlap():
+    words = " ".join(f"w{k}{'.' if k % 37 == 0 else ''}" for k in range(1, 1500))
+    parts = retrieval.windows(words, 100, 20, 0.7, 32, ".!?")
+    for a, b in zip(parts, parts[1:], strict=False):
+        assert len(a[3].split()) <= 100 and a[3] == words[a[1] : a[2]]
+        assert len(set(a[3].split()) & set(b[3].split())) == 20
+        sentence = [k for k, w in enumerate(a[3].split()) if w.endswith(".") and k >= 70]
+        assert not sentence or a[3].endswith(".")
+
+
+def test_nearest_in_blocks_equals_plain(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=6).tolist()) for k in range(80)] + [(90, [0.0] * 6), (91, [1.0]), (92, None), (None, [1.0] * 6)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 10 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in retrieval.nearest(v, q, 4).collect()}
+    for i, x in rows[:80:10]:
+        scored = sorted((-round(max(0.0, float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))), 6), k) for k, y in rows[:80] if k != i)
+        assert [got[i, r] for r in (1, 2, 3, 4)] == [(k, -s) for s, k in scored[:4]]
+
+
+def test_guarded_saves_caches_and_the_store(spark, tmp_path, capsys):
+    path = f"file://{tmp_path}/f.txt"
+    first = store.save(spark, path, b"one", None)
+    with pytest.raises(store.Changed):
+        store.save(spark, path, b"two", None)
+    assert store.save(spark, path, b"two", first) != first and (tmp_path / "f.txt").read_bytes() == b"two"
+    assert not [f for f in tmp_path.iterdir() if f.name.endswith(".tmp")]
+    cache = store.FileCache(spark, lambda _, p: len(p))
+    assert [cache.get(path)[1] for _ in range(2)] == [False, True]
+    with pytest.raises(FileNotFoundError):
+        cache.get(f"file://{tmp_path}/none")
+    folder = f"file://{tmp_path}/store"
+    store.append(spark.createDataFrame([(1, "t")], "id long, title string"), (store.open_store(spark, folder) and folder), "campaigns")
+    assert store.open_store(spark, folder)["campaigns"].select("id", "title", "rate").collect() == [(1, "t", None)]
+    with pytest.raises(ValueError, match="no columns"):
+        store.append(spark.createDataFrame([(1,)], "odd int"), folder, "campaigns")
+    (tmp_path / "old" / "banks").mkdir(parents=True)
+    with pytest.raises(ValueError, match="isn't known"):
+        store.open_store(spark, f"file://{tmp_path}/old")
+    assert main(["banks", "/root/testdata/sf0.001", "--limit", "2"], spark) == 0 and capsys.readouterr().out.count("\n") == 2
+    assert main(["validate", "/root/testdata/sf0.001"], spark) == 1
+
+
+def test_frozen_values_and_recent_keys():
+    frozen = values.freeze({"a": [1, {"b": None}]})
+    with pytest.raises(TypeError):
+        frozen["a"] = 1
+    assert frozen["a"][1]["b"] is None and values.thaw(frozen) == {"a": [1, {"b": None}]}
+    for bad in ({1: 2}, {"a": {3}}, object()):
+        with pytest.raises(TypeError):
+            values.freeze(bad)
+    assert values.recent_hits(list("abacab"), 2) == [False, False, True, False, True, False]
+
+
+def test_fields_of_notices():
+    f = fields.fields("Konut finansmanında %1,89 kâr payı oranı ile 120 ay vade. 1,5 milyon TL tutara kadar. Emekliler hariç; öğrenciler için. Ayrıca %2,10 oran.")
+    assert (f["product_type"], f["financing_type"], f["profit_share_rate"], f["rate_candidates"], f["term_months"], f["max_amount"]["minor"], f["target_audience"]) == ("financing", "housing", None, [0.0189, 0.021], 120, 150_000_000, "student")
+    f = fields.fields("Worldpuan kart ile 3 taksit ve %15 indirim! 2.000 TL harcamaya 250 TL ödül. En az 5.000 TL ile. Masrafsız. Başvuru mobil uygulama üzerinden.")
+    assert (f["product_type"], f["installment_count"], f["discount_rate"], f["reward_amount"]["amount"], f["min_amount"]["amount"], f["fee_information"], f["application_channel"]) == ("card", 3, 0.15, 250.0, 5000.0, "masrafsız", "mobil uygulama")
+    assert {k for k, v in fields.fields(None).items() if v} == set()
+    assert fields.number("1.234,50") == fields.number("1,234.50") == Decimal("1234.50") and fields.number("1.234") == 1234 and fields.number("2,5") == Decimal("2.5")
+
+
+def test_records_that_are_wrong(spark):
+    good = ("b", "Bank", "A title", "x" * 90, "https://bank.example/1", "2024-01-01", "2024-02-01", "short")
+    rows = [(1, *good), (2, "", None, "abc", "<b>x</b>", "http://bank.example", "2024-03-01", "2024-02-01", None), (3, *good[:4], "https://bank.example/3", None, "", "s" * 501), (3, *good[:4], "https://bank.example/1", *good[5:])]
+    df = spark.createDataFrame(rows, "id long, bank_slug string, bank_name string, title string, content string, source_url string, start_date string, end_date string, summary string")
+    got = sorted([x["field"] for x in r["issues"]] for r in evaluation.record_issues(df).collect())
+    assert got == sorted([["source_url_repeated"], ["bank_slug", "bank_name", "title", "content_length", "content_tags", "source_url", "date_order", "summary"], ["date_range", "summary_length", "id"], ["id", "source_url_repeated"]])
+    assert evaluation.quality_report(evaluation.record_issues(df.limit(0))).first()["score"] == 0.0
+
+
+def test_comparison_of_titles_and_exclusions(spark):
+    columns = "id string, product_type string, currency string, rate double, max_amount double, fee string, audience string, financing_type string, duration_days int, discount double, reward double, instalments int, title string"
+    rows = [("a", "financing", "TRY", 0.02, None, "masrafsız", "retiree", "housing", 360, None, None, None, "Konut finansmanı"), ("b", None, None, 0.03, 100.0, None, None, None, None, None, None, None, None), ("c", "financing", "TRY", 0.01, 1.0, None, "student", None, None, None, None, None, "x"), ("d", "card", "TRY", 0.01, 1.0, None, None, None, None, None, None, None, "x")]
+    wanted = offers.Wanted("financing", "TRY", duration_days=720, eligibility="retiree", financing_type="housing", amount=200.0, title="konut finansmanı")
+    got = {r["id"]: r for r in offers.compare(spark.createDataFrame(rows, columns), wanted).collect()}
+    assert set(got) == {"a", "b"} and got["b"]["match"] == 0.5 and got["b"]["missing"] == ["fee", "eligibility"]
+    assert got["a"]["match"] == round((0.35 + 0.20 + 0.15 * 0.5 + 0.10 + 0.10) / 0.9, 4)
+    assert got["a"]["advantage"] == round((0.45 * 1 + 0.15 * 0.5 + 0.10 * 0.5) / 0.7, 4) and got["a"]["confidence"] == 0.7
+    assert abs(sum(c["contribution"] for c in got["a"]["criteria"]) - got["a"]["advantage"]) < 2e-4
