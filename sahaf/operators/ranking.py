@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sahaf.sources.io import settle
+
 
 def finite(x: Column) -> Column:
     """x as a double, null unless it is a finite number."""
@@ -17,6 +19,15 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int =
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
 
 
+def positions(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with pos, its place in the order of those columns: ranges are numbered apart, then offset by the ranges before."""
+    ranged = settle(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    ranked = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    sizes = ranged.groupBy("__p").agg(F.count("*").alias("n"))  # a row per range
+    before = sizes.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    return ranked.join(before, "__p").withColumn("pos", F.col("__r") + F.col("__b")).drop("__p", "__r", "__b")
+
+
 def best_source(df: DataFrame, key: str, score: str, pos: str) -> DataFrame:
     """Per key the row of highest score, the first of equals; first_pos is where the key was first seen.
 

@@ -216,8 +216,7 @@ def a34(spark, d):
 
 @query("t05_quote_order", sql_with(QUOTES + "SELECT bank_id, row_number() OVER (ORDER BY status = 'unsupported', monthly IS NULL, coalesce(monthly, 0), bank_id) AS pos FROM quotes", "offers"))
 def t05(spark, d):
-    w = Window.orderBy(F.col("status") == "unsupported", F.col("monthly").isNull(), F.coalesce("monthly", F.lit(0.0)), "bank_id")
-    return quoted(spark, d).select("bank_id", F.row_number().over(w).cast("long").alias("pos"))
+    return r.positions(quoted(spark, d).select("bank_id", (F.col("status") == "unsupported").alias("last"), F.col("monthly").isNull().alias("unknown"), F.coalesce("monthly", F.lit(0.0)).alias("m")), ["last", "unknown", "m", "bank_id"]).select("bank_id", "pos")
 
 
 @query("f23_chartable_quotes", sql_with(QUOTES + "SELECT bank_id FROM quotes WHERE status <> 'unsupported' AND monthly IS NOT NULL", "offers"))

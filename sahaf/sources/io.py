@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,23 +49,32 @@ def write_envelopes(df: DataFrame, path: str, group: Column) -> None:
 
 
 def read_strict_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors): objects that lines hold, and the lines that hold none, each with its file and number."""
+    """(rows, errors): objects that lines hold, and the lines that hold none, each with its file and number.
+
+    Files are read in splits like any text; a line's number is its place in its split after the lines of the splits before.
+    """
     wanted = spark.createDataFrame([], schema).schema
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line")).where(F.trim("line") != "")
-    parsed = lines.withColumn("v", F.try_parse_json("line")).withColumn("good", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
-    good = parsed.where("good").select(F.from_json("line", wanted).alias("r")).select("r.*")
-    return good, parsed.where("not good").select("file", (F.col("pos") + 1).alias("number"), "line")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"))
+    splits = lines.groupBy("file", "at").agg(F.min("k").alias("first"), F.count("*").alias("n"))  # a row per split
+    before = splits.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("file", "at", "first", "before")
+    parsed = lines.where(F.trim("value") != "").withColumn("good", F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False)))
+    good = parsed.where("good").select(F.from_json("value", wanted).alias("r")).select("r.*")
+    numbered = parsed.where("not good").join(before, ["file", "at"])
+    return good, numbered.select("file", (F.col("before") + F.col("k") - F.col("first") + 1).alias("number"), F.col("value").alias("line"))
 
 
 def read_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of .jsonl, .csv (with a header) or .json (a list) by the path's suffix."""
+    """Rows of .jsonl, .csv (with a header) or .json by the path's suffix; .json holds a list, or an object with `records` or `campaigns`."""
     name = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if name == "jsonl":
         return spark.read.schema(schema).json(path)
     if name == "csv":
         return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     if name == "json":
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        row = spark.createDataFrame([], schema).schema
+        held = T.StructType([*row.fields, T.StructField("records", T.ArrayType(row)), T.StructField("campaigns", T.ArrayType(row))])
+        found = spark.read.schema(held).option("multiLine", True).json(path)
+        return found.select(F.explode(F.coalesce("records", "campaigns", F.array(F.struct(*row.fieldNames())))).alias("r")).select("r.*")
     raise ValueError(f"no reader for {path}")
 
 

@@ -299,3 +299,29 @@ def test_comparison_of_titles_and_exclusions(spark):
     assert got["a"]["match"] == round((0.35 + 0.20 + 0.15 * 0.5 + 0.10 + 0.10) / 0.9, 4)
     assert got["a"]["advantage"] == round((0.45 * 1 + 0.15 * 0.5 + 0.10 * 0.5) / 0.7, 4) and got["a"]["confidence"] == 0.7
     assert abs(sum(c["contribution"] for c in got["a"]["criteria"]) - got["a"]["advantage"]) < 2e-4
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    lines = [f'{{"a": {k}, "pad": "{"x" * 90}"}}' if k % 9 else ("" if k % 2 else f"[{k}]") for k in range(1, 400)]
+    (tmp_path / "f.jsonl").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        good, bad = io.read_strict_lines(spark, str(tmp_path), "a long")
+        assert sorted(r["a"] for r in good.collect()) == [k for k in range(1, 400) if k % 9]
+        assert sorted((r["number"], r["line"]) for r in bad.collect()) == [(k, f"[{k}]") for k in range(1, 400) if k % 18 == 0]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("held", ['[{"a": 1}, {"a": 2}]', '{"records": [{"a": 1}, {"a": 2}]}', '{"campaigns": [{"a": 1}, {"a": 2}]}'])
+def test_json_lists_and_envelopes(spark, tmp_path, held):
+    (tmp_path / "f.json").write_text(held)
+    assert sorted(r["a"] for r in io.read_any(spark, f"{tmp_path}/f.json", "a int").collect()) == [1, 2]
+
+
+def test_positions_over_ranges(spark):
+    rows = [(k * 7919 % 1000, k) for k in range(1000)] + [(5, 2000), (None, 3000)]
+    got = sorted(ranking.positions(spark.createDataFrame(rows, "a int, b int").repartition(7), ["a", "b"]).collect(), key=lambda r: r["pos"])
+    assert [(r["a"], r["b"]) for r in got] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])) and [r["pos"] for r in got] == list(range(1, 1003))
