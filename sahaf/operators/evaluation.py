@@ -142,3 +142,13 @@ def repeated_margins(pages: DataFrame, share: float = 0.35, least: int = 3, shor
     total = own.groupBy("document").agg(F.count("*").alias("pages"))
     counted = own.select("document", F.explode(F.array_distinct(keys)).alias("line")).where(F.length("line") >= shortest).groupBy("document", "line").agg(F.count("*").alias("n"))
     return counted.join(total, "document").where(F.col("n") >= F.greatest(F.lit(least), F.floor(share * F.col("pages")))).select("document", "line", "n")
+
+
+def golden_scores(pairs: DataFrame) -> DataFrame:
+    """(field, total, hits, accuracy) of pairs (field, kind, gold, got) that have a gold value.
+
+    A pair of kind `exact` hits if both are equal, one of kind `contains` if the gold text stands in what was got.
+    """
+    hit = F.when(F.col("kind") == "contains", F.contains(F.col("got"), F.col("gold"))).otherwise(F.col("got") == F.col("gold"))
+    counted = pairs.where(F.col("gold").isNotNull()).groupBy("field").agg(F.count("*").alias("total"), F.sum(F.coalesce(hit, F.lit(False)).cast("long")).alias("hits"))
+    return counted.withColumn("accuracy", F.round(F.col("hits") / F.col("total"), 6))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sahaf.functions import extract as x
 from sahaf.functions import fields as v
+from sahaf.operators import evaluation as ev
 from sahaf.operators import intents as i
 from sahaf.operators import planner as p
 
@@ -408,13 +409,21 @@ def q21(spark, d):
     return packed.select("lang", F.size("s").alias("sources"), F.array_max(F.transform("s", lambda v: F.length(v["t"]))).alias("longest"))
 
 
-@query("a24_golden_fields", f"SELECT 'rate' AS field, count(*) FILTER ({K} % 7 <> 0) AS exact, count(*) AS total FROM orders UNION ALL SELECT 'months', count(*), count(*) FROM orders")
+#: What the first sentence of a notice is about, by its place in SENTENCES.
+GOLD_PRODUCT = "CASE id % 10 WHEN 0 THEN 'financing' WHEN 1 THEN 'financing' WHEN 2 THEN 'financing' WHEN 3 THEN 'card' WHEN 4 THEN 'investment' WHEN 5 THEN 'shopping_points' WHEN 6 THEN 'new_customer' WHEN 7 THEN 'investment' END"
+GOLD_TERM = "CASE WHEN id % 10 < 3 THEN CAST(1 + id % 120 AS VARCHAR(4)) END"
+GOLD_BENEFIT = "CASE id % 10 WHEN 3 THEN 'indirim' WHEN 4 THEN 'avantaj' WHEN 5 THEN 'ödül' WHEN 6 THEN 'hediyesi' END"
+
+
+@query("a24_golden_fields", rf"""{B}, p AS (SELECT 'product_type' AS field, {GOLD_PRODUCT} AS gold, coalesce({PRODUCT} = {GOLD_PRODUCT}, false) AS hit FROM b UNION ALL SELECT 'term_months', {GOLD_TERM}, coalesce(CAST({TERM} AS VARCHAR) = {GOLD_TERM}, false) FROM b
+UNION ALL SELECT 'campaign_benefit', {GOLD_BENEFIT}, coalesce(contains(list_extract(list_filter(regexp_extract_all(text, '(?:[^.!?]|[.!?][^\s])+[.!?]?'), lambda s: regexp_matches(lower(s), 'avantaj|indirim|ödül|iade|masrafsız|ücretsiz|muafiyet|hediye')), 1), {GOLD_BENEFIT}), false) FROM b)
+SELECT field, count(*) AS total, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*), 6) AS accuracy FROM p WHERE gold IS NOT NULL GROUP BY 1""")
 def a24(spark, d):
-    """Exact matches of extracted fields with the values the announcements were made from."""
-    gold_rate = (F.col("id") % 5 + (10 + F.col("id") % 80) / 100) / 100
-    e = found(spark, d).select((F.abs(F.col("f.rate").cast("double") - gold_rate) < 1e-9).alias("rate"), (F.col("f.duration.value") == 1 + F.col("id") % 48).alias("months"))
-    both = e.agg(*(F.sum(F.coalesce(F.col(c), F.lit(False)).cast("long")).alias(c) for c in ("rate", "months")), F.count("*").alias("total"))
-    return both.select(F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("exact"), F.col("total")) for c in ("rate", "months")))))
+    """Extracted fields against what the notices were made from; a benefit counts if its word is in the sentence."""
+    own = told(spark, d)
+    one = lambda field, kind, gold, got: F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.expr(gold).alias("gold"), got.cast("string").alias("got"))
+    pairs = own.select(F.inline(F.array(one("product_type", "exact", GOLD_PRODUCT, F.col("f.product_type")), one("term_months", "exact", GOLD_TERM, F.col("f.term_months")), one("campaign_benefit", "contains", GOLD_BENEFIT, F.col("f.campaign_benefit")))))
+    return ev.golden_scores(pairs)
 
 
 @query("a26_answer_scores", r"""WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM conversations), p AS (SELECT a.conv_id, a.turn, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS n, len(b.w) AS m FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
