@@ -124,12 +124,19 @@ def s06(spark, d):
 
 @query("s06_page_records")
 def s06b(spark, d):
-    return frame(spark, d, "pages").select("page_id", io.page_fields("html").alias("f")).select("page_id", "f.*")
+    return frame(spark, d, "pages").select("page_id", io.page_fields("url", "html").alias("f")).select("page_id", "f.*")
 
 
-@query("s07_page_links", """SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS link FROM pages""")
+HOSTS = ["example.com", "blog.tionble.example.com"]
+
+
+@query("s07_page_links", r"""WITH p AS (SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN 'https://example.com/list/a?x#y' ELSE 'https://blog.tionble.example.com/' END AS base, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]+)"[^>]*>.*?</a>', 1)) AS href FROM pages),
+a AS (SELECT page_id, CASE WHEN starts_with(href, '/') THEN regexp_extract(base, '^https://[^/]*') || href WHEN contains(href, ':') THEN href ELSE regexp_extract(split_part(base, '?', 1), '^https://.*/') || href END AS link FROM (SELECT page_id, base, split_part(href, '#', 1) AS href FROM p))
+SELECT DISTINCT page_id, link FROM a WHERE regexp_matches(link, '^https://(example\.com|blog\.tionble\.example\.com)/[^?]*[a-m]')""")
 def s07(spark, d):
-    return io.page_links(frame(spark, d, "pages"), r"^/[^/]|^/$")
+    """Links of pages that stand at two allowed hosts, to paths that hold one of half the letters."""
+    own = frame(spark, d, "pages").withColumn("url", F.when(F.col("page_id") % 2 == 0, "https://example.com/list/a?x#y").otherwise("https://blog.tionble.example.com/"))
+    return io.page_links(own, HOSTS, "^/.*[a-m]")
 
 
 CRAWL = "links AS (SELECT DISTINCT user_id AS source, (user_id * 7 + length(event_type)) % 150 AS target FROM events)"
@@ -193,9 +200,20 @@ def s21(spark, d):
     return io.last_good(spark, folder)
 
 
-@query("s25_dataset_manifest", "SELECT source AS file, count(*) AS lines, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1")
+LISTED = "SELECT source, string_agg(doc_id, chr(10) ORDER BY doc_id) || chr(10) AS body, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1"
+
+
+def listed(spark, d):
+    """A file for each source with its doc_ids, and the manifest of those files."""
+    folder = io.work_folder(spark, "release")
+    own = frame(spark, d, "documents").where("source is not null").select("source", "doc_id").repartition("source").sortWithinPartitions("source", "doc_id")
+    own.select(F.col("doc_id").cast("string").alias("value"), "source").write.partitionBy("source").text(folder)
+    return io.manifest(spark, folder)
+
+
+@query("s25_dataset_manifest", f"SELECT source, strlen(body) AS bytes, n AS lines, sha256(body) AS sha256 FROM ({LISTED})")
 def s25(spark, d):
-    return frame(spark, d, "documents").groupBy(F.col("source").alias("file")).agg(F.count("*").alias("lines"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    return listed(spark, d).select(F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), "bytes", "lines", "sha256")
 
 
 @query("s26_listed_options", """SELECT page_id, len(list_filter(regexp_extract_all(html, '<li><a href="/([^"]*)"', 1), lambda v: lower(v) IN ('the', 'and', 'to', 'de', 'la', 'die', 'der')))::INT AS n FROM pages""")
@@ -341,8 +359,8 @@ def l11(spark, d):
     return le.manifest_errors(claimed, rows)
 
 
-@query("l12_tree_hash", "SELECT sha256(string_agg(sha256(concat(source, ':', n)), '' ORDER BY source)) AS tree FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)")
+@query("l12_tree_hash", f"SELECT sha256(string_agg(concat('source=', source, ' ', sha256(body)), chr(10) ORDER BY source)) AS tree FROM ({LISTED})")
 def l12(spark, d):
-    """One digest of sorted entries."""
-    per = frame(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).select("source", F.sha2(F.concat("source", F.lit(":"), F.col("n").cast("string")), 256).alias("h"))
-    return per.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "h"))), lambda v: v["h"]), ""), 256).alias("tree"))
+    """One digest of a folder's sorted paths and their files' digests."""
+    files = listed(spark, d)
+    return io.tree_hash(files.select(F.substring_index("path", "/", 1).alias("path"), "sha256"))

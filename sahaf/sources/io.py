@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sahaf.functions.text import strip_tags
+from sahaf.functions.text import BLOCK_TAGS
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -78,28 +80,129 @@ def read_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
     raise ValueError(f"no reader for {path}")
 
 
-PAGE = T.StructType([T.StructField("title", T.StringType()), T.StructField("heading", T.StringType()), T.StructField("content", T.StringType())])
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, bytes, lines, sha256) of the files under a folder, paths relative to it; names that begin with . or _ and empty files are left out.
 
-
-@F.pandas_udf(PAGE)
-def page_fields(x: pd.Series) -> pd.DataFrame:
-    """Title, first heading and text of pages, without navigation, header and footer."""
-    import html
-    import re
-
-    rows = []
-    for page in x:
-        page = page or ""
-        title, heading = (re.search(rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", page) for tag in ("title", "h1"))
-        text = strip_tags(page, frozenset({"nav", "header", "footer", "title"}))
-        rows.append((html.unescape(strip_tags(title[1])).strip() if title else None, html.unescape(strip_tags(heading[1])).strip() if heading else None, re.sub(r"\s+", " ", text).strip()))
-    return pd.DataFrame(rows, columns=["title", "heading", "content"])
-
-
-def page_links(pages: DataFrame, allowed: str = r"^/[^/]") -> DataFrame:
-    """(page_id, link): the distinct links of pages that the pattern allows."""
-    found = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))
-    return pages.select("page_id", F.explode(F.array_distinct(found)).alias("link")).where(F.col("link").rlike(allowed))
+    Each file is read as a whole, so one may have 2 GB at most.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    relative = F.substring_index("path", "/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    own = files.select(relative.alias("path"), F.col("length").alias("bytes"), F.regexp_count(F.col("content").cast("string"), F.lit("\n")).cast("long").alias("lines"), F.sha2("content", 256).alias("sha256"))
+    return own.where(~F.col("path").rlike("(^|/)[._]"))
+
+
+def manifest_differences(wanted: DataFrame, there: DataFrame) -> DataFrame:
+    """(path, difference) of two manifests: missing, unexpected or changed files; no rows if they are equal."""
+    both = wanted.select("path", F.col("bytes").alias("b"), F.col("sha256").alias("s")).join(there.select("path", "bytes", "sha256"), "path", "full_outer")
+    what = F.when(F.col("sha256").isNull(), "missing").when(F.col("s").isNull(), "unexpected").when((F.col("s") != F.col("sha256")) | (F.col("b") != F.col("bytes")), "changed")
+    return both.select("path", what.alias("difference")).where("difference is not null")
+
+
+def tree_hash(files: DataFrame) -> DataFrame:
+    """(tree): one digest of a manifest's sorted paths and digests; a row per file is gathered, so of a release's files, not a corpus'."""
+    entries = F.array_sort(F.collect_list(F.concat_ws(" ", "path", "sha256")))
+    return files.agg(F.sha2(F.array_join(entries, "\n"), 256).alias("tree"))
+
+
+class _Page(HTMLParser):
+    """Title, headings, metadata, and the text of a page's main part without navigation and the like."""
+
+    UNWANTED = frozenset({"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form"})
+    MAIN = frozenset({"main", "article"})
+    OWN_LINE = BLOCK_TAGS
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.meta: dict[str, str] = {}
+        self.image: str | None = None
+        self.parts: dict[str, list[str]] = {"title": [], "h1": [], "main": [], "body": [], "first": []}
+        self.first_closed = False
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag == "meta" and a.get("content"):
+            self.meta.setdefault((a.get("name") or a.get("property") or "").lower(), a["content"])
+        if tag == "img" and self.image is None and self.within(self.MAIN):
+            self.image = a.get("src") or a.get("data-src")
+        if tag not in VOID:
+            self.open.append(tag)
+        self.line(tag)
+
+    def handle_endtag(self, tag):
+        self.line(tag)
+        if tag in self.open:
+            while self.open and self.open.pop() != tag:
+                pass
+        if tag in ("p", "li") and "".join(self.parts["first"]).strip():
+            self.first_closed = True
+
+    def line(self, tag):
+        if tag in self.OWN_LINE:
+            self.parts["main"].append("\n")
+            self.parts["body"].append("\n")
+
+    def within(self, tags) -> bool:
+        return any(t in tags for t in self.open)
+
+    def handle_data(self, data):
+        if "title" in self.open:
+            self.parts["title"].append(data)
+        elif not self.within(self.UNWANTED):
+            if "h1" in self.open:
+                self.parts["h1"].append(data)
+            self.parts["body"].append(data)
+            if self.within(self.MAIN):
+                self.parts["main"].append(data)
+                if self.within({"p", "li"}) and not self.first_closed:
+                    self.parts["first"].append(data)
+
+
+#: Elements without an end.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
+def page_record(url: str | None, page: str | None) -> dict[str, str | None]:
+    """title (the first heading, else the page's), description (the first paragraph, else the metadata's), content (of main or article, else all), image."""
+    reader = _Page()
+    reader.feed(page or "")
+    reader.close()
+    joined = {k: "".join(v) for k, v in reader.parts.items()}
+    one = lambda x: " ".join(x.split())
+    lines = lambda x: "\n".join(v for v in map(one, x.split("\n")) if v)
+    image = reader.meta.get("og:image") or reader.image
+    description = one(joined["first"]) or one(reader.meta.get("description") or reader.meta.get("og:description") or "")
+    return {"title": one(joined["h1"]) or one(joined["title"]) or one(reader.meta.get("og:title") or "") or None, "description": description[:500] or None, "content": lines(joined["main"]) or lines(joined["body"]) or None, "image": urljoin(url or "", image) if image else None}
+
+
+def _pages(url: pd.Series, page: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([page_record(u, p) for u, p in zip(url, page, strict=True)], columns=["title", "description", "content", "image"]).astype(object)
+
+
+def page_fields(url: Column | str, page: Column | str) -> Column:
+    """page_record() of pages, as one struct."""
+    return F.pandas_udf(_pages, "title string, description string, content string, image string")(url, page)
+
+
+def absolute(base: Column, link: Column) -> Column:
+    """A link as the page at base means it, without its fragment."""
+    plain = F.substring_index(F.trim(link), "#", 1)
+    origin = F.regexp_extract(base, "^[^:/?#]+://[^/?#]*", 0)
+    folder = F.regexp_extract(F.substring_index(F.substring_index(base, "#", 1), "?", 1), "^(.*://[^/]*(?:/.*)?/)[^/]*$|$", 1)
+    return F.when(plain.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), plain).when(plain.startswith("//"), F.concat(F.regexp_extract(base, "^[^:/?#]+:", 0), plain)).when(plain.startswith("/"), F.concat(origin, plain)).otherwise(F.concat(F.when(folder != "", folder).otherwise(F.concat(origin, F.lit("/"))), plain))
+
+
+def page_links(pages: DataFrame, hosts: list[str], path: str) -> DataFrame:
+    """(page_id, link): the distinct links of pages (page_id, url, html) to https pages of those hosts whose path has the pattern.
+
+    Links are made absolute and lose their fragment; links to a hub of campaigns, by path or by text, are left out.
+    """
+    tags = F.regexp_extract_all("html", F.lit(r'(?is)(<a\s[^>]*href\s*=\s*["\']?[^"\'\s>]+[^>]*>.*?</a>)'), F.lit(1))
+    found = pages.select("page_id", "url", F.explode(tags).alias("tag")).select("page_id", absolute(F.col("url"), F.regexp_extract("tag", r'(?is)href\s*=\s*["\']?([^"\'\s>]+)', 1)).alias("link"), F.lower(F.trim(F.regexp_replace("tag", "(?s)<[^>]*>", ""))).alias("text"))
+    host = F.regexp_replace(F.lower(F.regexp_extract("link", r"^https://(?:[^@/?#]*@)?([^:/?#]*)", 1)), r"\.$", "")
+    where = F.regexp_extract("link", "^https://[^/?#]*([^?#]*)", 1)
+    hub = F.lower(where).rlike(r"/kampanyalar(\.html)?/?$") | F.col("text").isin("kampanyalar", "tüm kampanyalar")
+    return found.where(host.isin([h.lower() for h in hosts]) & where.rlike(path) & ~hub).select("page_id", "link").distinct()
 
 
 def crawl(links: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:

@@ -325,3 +325,31 @@ def test_positions_over_ranges(spark):
     rows = [(k * 7919 % 1000, k) for k in range(1000)] + [(5, 2000), (None, 3000)]
     got = sorted(ranking.positions(spark.createDataFrame(rows, "a int, b int").repartition(7), ["a", "b"]).collect(), key=lambda r: r["pos"])
     assert [(r["a"], r["b"]) for r in got] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])) and [r["pos"] for r in got] == list(range(1, 1003))
+
+
+def test_page_records():
+    page = """<html><head><title>Site | x</title><meta property="og:image" content="/i.png"><meta name="description" content="meta"></head><body><nav>menu</nav>
+    <article><h1>A &amp; <b>B</b></h1><p></p><p>First <i>one</i>.</p><script>no()</script><ul><li>second<br>third</li></ul><form>go</form></article><footer>end</footer></body></html>"""
+    assert io.page_record("https://a.example/x/y", page) == {"title": "A & B", "description": "First one.", "content": "A & B\nFirst one.\nsecond\nthird", "image": "https://a.example/i.png"}
+    bare = io.page_record(None, "<title>T</title><meta property='og:description' content=' d  e '><div>text</div>")
+    assert bare == {"title": "T", "description": "d e", "content": "text", "image": None}
+    assert io.page_record(None, None) == {"title": None, "description": None, "content": None, "image": None}
+
+
+def test_links_are_absolute_allowed_and_no_hubs(spark):
+    page = '<a href="b#f">x</a><a class=q href=\'/k/1\'>y</a><a href="//other.example/k/2">z</a><a href="http://a.example/k/3">z</a><a href="https://A.example./k/4?q=1">z</a><a href="/k/kampanyalar/">all</a><a href="/k/5">Tüm <b>Kampanyalar</b></a><a href="/k/1#again">y</a>'
+    df = spark.createDataFrame([(1, "https://a.example/k/dir/page?z", page), (2, "https://a.example", '<a href="k/9">q</a>'), (3, None, None)], "page_id int, url string, html string")
+    got = sorted((r["page_id"], r["link"]) for r in io.page_links(df, ["a.example"], "^/k/").collect())
+    assert got == [(1, "https://A.example./k/4?q=1"), (1, "https://a.example/k/1"), (1, "https://a.example/k/dir/b"), (2, "https://a.example/k/9")]
+
+
+def test_manifests_differ(spark, tmp_path):
+    for name, body in (("a/x.txt", "1\n2\n"), ("b.txt", "3\n"), ("_SUCCESS", "")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(body)
+    before = io.settle(io.manifest(spark, f"file://{tmp_path}"), "manifest")
+    assert {(r["path"], r["bytes"], r["lines"]) for r in before.collect()} == {("a/x.txt", 4, 2), ("b.txt", 2, 1)}
+    (tmp_path / "b.txt").write_text("4\n")
+    (tmp_path / "c.txt").write_text("5")
+    assert {tuple(r) for r in io.manifest_differences(before, io.manifest(spark, f"file://{tmp_path}")).collect()} == {("b.txt", "changed"), ("c.txt", "unexpected")}
+    assert io.tree_hash(before).first()[0] != io.tree_hash(io.manifest(spark, f"file://{tmp_path}")).first()[0]
