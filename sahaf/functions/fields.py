@@ -186,3 +186,11 @@ def contract(field: str, value: Column, raw: Column, text: Column, product_type:
     confidence = F.try_element_at(F.create_map(*[F.lit(v) for kv in CONFIDENCE.items() for v in kv]), status)
     evidence = F.when(F.coalesce(raw, F.lit("")) != "", F.struct(raw.alias("text"), F.when(at > 0, at - 1).alias("char_start"), F.when(at > 0, at - 1 + F.length(raw)).alias("char_end")))
     return F.struct(raw.alias("raw"), value.alias("value"), F.lit(FIELD_UNITS.get(field)).cast("string").alias("unit"), status.alias("status"), confidence.alias("confidence"), evidence.alias("evidence"))
+
+
+def contracts(text: Column, found: Column) -> Column:
+    """All core fields of prd_fields() with their contracts, by name; values as text, dates where the record gives them."""
+    product, shown = found["product_type"], found["evidence"]
+    value = lambda name: F.lit(None).cast("string") if name.startswith("campaign_") and name.endswith("_date") else found[name]["minor"].cast("string") if KINDS[name] == SUM else found[name].cast("string")
+    unit = lambda name, c: c.withField("unit", found[name]["currency"]) if KINDS.get(name) == SUM else c
+    return F.map_from_arrays(F.array(*map(F.lit, CORE)), F.array(*(unit(name, contract(name, value(name), F.try_element_at(shown, F.lit(name)), text, product, found["rate_candidates"] if name == "profit_share_rate" else None)) for name in CORE)))

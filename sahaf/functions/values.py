@@ -62,6 +62,11 @@ class Recent:
         return self.kept[key]
 
 
+def caches(makers: dict[str, Callable[[Hashable], Any]]) -> dict[str, Recent]:
+    """A cache of its fixed size for each name."""
+    return {name: Recent(make, CACHE_SIZES[name]) for name, make in makers.items()}
+
+
 def recent_hits(keys: pd.Series, size: int) -> list[bool]:
     """Of each key in turn, whether a cache of that size holds it."""
     cache, out = Recent(lambda k: k, size), []

@@ -66,12 +66,6 @@ def counters(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 
-def fill_rates(df: DataFrame, group: str, columns: list[str], expected: DataFrame) -> DataFrame:
-    """By group, of the expected ones too: rows and the share of rows in which each column has a value."""
-    filled = [F.round(F.avg(F.when(F.trim(F.col(c).cast("string")) != "", 1.0).otherwise(0.0)), 6).alias(f"{c}_rate") for c in columns]
-    return expected.join(df.groupBy(group).agg(F.count("*").alias("n"), *filled), group, "left").fillna(0)
-
-
 def issues(df: DataFrame, rules: dict[str, tuple[str, Column]]) -> Column:
     """The violations of a row: rules give, by field, a severity and when it is violated."""
     return F.array_compact(F.array(*(F.when(bad, F.struct(F.lit(s).alias("severity"), F.lit(f).alias("field"))) for f, (s, bad) in rules.items())))

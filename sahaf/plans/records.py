@@ -13,7 +13,7 @@ from sahaf.operators import planner as p
 from sahaf.operators import retrieval as rt
 from sahaf.sources import io
 
-from .language import ANNOUNCE, AUDIENCE, SHARES, B, K, announced, told
+from .language import ANNOUNCE, AUDIENCE, SHARES, B, announced, told
 from .registry import query
 from .search import BM25, asked, every
 from .tables import frame

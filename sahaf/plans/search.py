@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sahaf.functions import fields as v
 from sahaf.operators import evaluation as ev
 from sahaf.operators import ranking
 from sahaf.operators import retrieval as rt
 
+from .language import MOST, PRODUCT, SHARES, B, told
 from .registry import query
 from .tables import frame, sql_with
 
@@ -336,11 +338,20 @@ def a10(spark, d):
     return ev.quality_report(ev.record_issues(frame(spark, d, "records")))
 
 
-@query("a08_field_statuses", sql_with("SELECT field, status, count(*) AS n FROM (SELECT 'product_type' AS field, CASE WHEN trim(coalesce(product_type, '')) <> '' THEN 'EXPLICIT' ELSE 'NOT_STATED' END AS status FROM campaigns UNION ALL SELECT 'rate', CASE WHEN rate IS NOT NULL THEN 'EXPLICIT' ELSE 'NOT_STATED' END FROM campaigns) GROUP BY 1, 2", "campaigns"))
+#: The statuses of four core fields as SQL over the notices.
+STATUSES = {
+    "profit_share_rate": f"CASE WHEN len({SHARES}) > 1 THEN 'CONFLICT' WHEN len({SHARES}) = 1 THEN 'EXPLICIT' WHEN {PRODUCT} IN ('card', 'shopping_points', 'new_customer') THEN 'NOT_APPLICABLE' WHEN contains(low, 'avantajlı oran') THEN 'IMPLICIT' WHEN regexp_matches(low, 'k[aâ]r payı|oran') THEN 'EXTRACTION_FAILED' ELSE 'NOT_STATED' END",
+    "product_type": f"CASE WHEN {PRODUCT} IS NOT NULL THEN 'EXPLICIT' ELSE 'NOT_STATED' END",
+    "financing_amount": f"CASE WHEN {MOST} <> '' THEN 'EXPLICIT' WHEN {PRODUCT} IN ('card', 'shopping_points', 'new_customer') THEN 'NOT_APPLICABLE' ELSE 'NOT_STATED' END",
+    "installment_count": f"CASE WHEN regexp_matches(text, '[0-9]\\s*taksit') THEN 'EXPLICIT' WHEN {PRODUCT} = 'investment' THEN 'NOT_APPLICABLE' WHEN contains(low, 'taksit') THEN 'EXTRACTION_FAILED' ELSE 'NOT_STATED' END",
+}
+
+
+@query("a08_field_statuses", B + ", s AS (" + " UNION ALL ".join(f"SELECT '{name}' AS field, {sql} AS status FROM b" for name, sql in STATUSES.items()) + ") SELECT field, status, count(*) AS n FROM s GROUP BY 1, 2")
 def a08(spark, d):
-    status = lambda ok: F.when(ok, "EXPLICIT").otherwise("NOT_STATED")
-    fields = F.create_map(F.lit("product_type"), status(F.trim(F.coalesce("product_type", F.lit(""))) != ""), F.lit("rate"), status(F.col("rate").isNotNull()))
-    return frame(spark, d, "campaigns").select(F.explode(fields).alias("field", "status")).groupBy("field", "status").agg(F.count("*").alias("n"))
+    """How often each core field is stated, vague, missing, not to be expected, failed or in conflict."""
+    own = told(spark, d).select(F.explode(v.contracts(F.col("text"), F.col("f"))).alias("field", "c"))
+    return own.where(F.col("field").isin(*STATUSES)).groupBy("field", F.col("c.status").alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("a30_repeated_margins", r"""WITH p AS (SELECT source AS document, doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents), own AS (SELECT * FROM p WHERE len(l) > 0),
