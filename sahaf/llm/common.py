@@ -80,6 +80,7 @@ def free_shuffles(spark: SparkSession) -> None:
     import gc
 
     gc.collect()
+    release_memory()
     spark._jvm.System.gc()
 
 

@@ -80,7 +80,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
 
     taught = common.texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")  # at most `sample` rows are broadcast
     got = common.map_arrow(taught, extract, "doc_id long, quality int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(sample).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])  # at most `sample` rows, however often a doc_id repeats
-    return fit(np.array(got.column("x").to_pylist(), dtype=float).reshape(got.num_rows, -1), np.array(got.column("quality").to_pylist(), dtype=float))
+    x, y = np.array(got.column("x").to_pylist(), dtype=float).reshape(got.num_rows, -1), np.array(got.column("quality").to_pylist(), dtype=float)
+    del got
+    classifier = fit(x, y)
+    del x, y
+    common.release_memory()  # the driver lives on
+    return classifier
 
 
 def _logit(p: Column) -> Column:

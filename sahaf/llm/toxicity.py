@@ -149,8 +149,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), common.binary_column([terms(t).tobytes() for t in b.column(2).to_pylist()])], names=["doc_id", "toxic", "terms"])
 
     taught = common.texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # at most `sample` rows are broadcast
-    got = common.map_arrow(taught, extract, "doc_id long, toxic int, terms binary").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "terms").limit(sample).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])  # at most `sample` rows, however often a doc_id repeats
-    return fit([np.frombuffer(x, dtype=np.uint32) for x in got.column("terms").to_pylist()], np.array(got.column("toxic").to_pylist(), dtype=float))
+    rows = common.map_arrow(taught, extract, "doc_id long, toxic int, terms binary").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "terms").limit(sample)  # however often a doc_id repeats
+    got = rows.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    y = np.array(got.column("toxic").to_pylist(), dtype=float)
+    machine = fit(_arrays(got.column("terms").cast(pa.binary())), y)
+    del got
+    common.free_shuffles(docs.sparkSession)  # the driver lives on
+    return machine
+
+
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a binary column as arrays of hashes, without a copy."""
+    out: list[np.ndarray] = []
+    for c in column.chunks:
+        _, offsets, data = c.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int32)[c.offset : c.offset + len(c) + 1] // 4
+        flat = np.frombuffer(data, dtype=np.uint32) if data is not None and data.size else np.empty(0, dtype=np.uint32)
+        out += [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return out
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
