@@ -116,8 +116,14 @@ OF_FINANCING = [("rate", "rate", 0.45), ("amount", "max_amount", 0.30), ("fee",
 OF_INVESTMENT = [("rate", "rate", 0.60), ("amount", "max_amount", 0.20), ("duration", "duration_days", 0.10), ("eligibility", "CASE WHEN audience IS NOT NULL THEN 1.0 END", 0.10)]
 OF_CAMPAIGN = [("discount", "discount", 0.35), ("reward", "reward", 0.35), ("installment", "instalments", 0.20), ("eligibility", "CASE WHEN audience IS NOT NULL THEN 1.0 END", 0.10)]
 MATCH_FINANCING = [("product_type = 'financing'", 0.35), ("financing_type = 'housing'", 0.20), ("CASE WHEN duration_days IS NOT NULL THEN greatest(0.0, 1 - abs(duration_days - 600) / 600.0::DOUBLE) END", 0.15), ("CASE WHEN max_amount IS NOT NULL THEN greatest(0.0, 1 - abs(max_amount - 50000) / 50000.0::DOUBLE) END", 0.10)]
-#: Rounded from the digits that a double shows, as Spark rounds.
-ADVANTAGE = "round(CAST(CAST(CASE WHEN k > 0 THEN t / k END AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE"
+
+
+def shown(x: str) -> str:
+    """x to four places, rounded from the digits that a double shows, as Spark rounds."""
+    return f"round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE"
+
+
+ADVANTAGE, MATCH = shown("CASE WHEN k > 0 THEN t / k END"), shown("CASE WHEN mk > 0 THEN mt / mk END")
 
 
 def compared(kind: str, criteria: list[tuple[str, str, float]], match: list[tuple[str, float]] = (), extra: str = "") -> str:
@@ -134,14 +140,14 @@ scaled AS (SELECT *, {scores} FROM fit WINDOW w AS (PARTITION BY bank_id)), scor
 """
 
 
-@query("a15_weighted_scores", sql_with(compared("investment", OF_INVESTMENT, extra="AND coalesce(audience = 'retiree', true)") + f"SELECT id, {ADVANTAGE} AS advantage, round(k, 4) AS confidence, CASE WHEN s_duration IS NOT NULL THEN round(round(s_duration, 4) * 0.1::DOUBLE / k, 4) END AS duration_part, len(list_filter([s_rate, s_amount, s_duration, s_eligibility], lambda x: x IS NULL))::INT AS missing FROM scored", "offers"))
+@query("a15_weighted_scores", sql_with(compared("investment", OF_INVESTMENT, extra="AND coalesce(audience = 'retiree', true)") + f"SELECT id, {ADVANTAGE} AS advantage, round(k, 4) AS confidence, CASE WHEN s_duration IS NOT NULL THEN {shown('round(s_duration, 4) * 0.1::DOUBLE / k')} END AS duration_part, len(list_filter([s_rate, s_amount, s_duration, s_eligibility], lambda x: x IS NULL))::INT AS missing FROM scored", "offers"))
 def a15(spark, d):
     """Advantage and confidence, what the duration adds, and how many criteria are missing."""
     part = F.get(F.filter("criteria", lambda x: x["criterion"] == "duration"), 0)["contribution"]
     return o.compare(frame(spark, d, "offers"), INVESTMENT, ["bank_id"]).select("id", "advantage", "confidence", part.alias("duration_part"), F.size("missing").alias("missing"))
 
 
-@query("a16_match_scores", sql_with(compared("financing", OF_FINANCING, MATCH_FINANCING) + "SELECT id, coalesce(round(CASE WHEN mk > 0 THEN mt / mk END, 4), 0.0) AS match FROM scored", "offers"))
+@query("a16_match_scores", sql_with(compared("financing", OF_FINANCING, MATCH_FINANCING) + f"SELECT id, coalesce({MATCH}, 0.0) AS match FROM scored", "offers"))
 def a16(spark, d):
     return o.compare(frame(spark, d, "offers"), FINANCING, ["bank_id"]).select("id", "match")
 
@@ -151,7 +157,7 @@ def f12(spark, d):
     return frame(spark, d, "offers").select("id", o.exclusion_reason(INVESTMENT).alias("reason"))
 
 
-@query("q18_comparison", sql_with(compared("financing", OF_FINANCING, MATCH_FINANCING) + f""", final AS (SELECT bank_id, id, {ADVANTAGE} AS advantage, round(k, 4) AS confidence, coalesce(round(CASE WHEN mk > 0 THEN mt / mk END, 4), 0.0) AS match,
+@query("q18_comparison", sql_with(compared("financing", OF_FINANCING, MATCH_FINANCING) + f""", final AS (SELECT bank_id, id, {ADVANTAGE} AS advantage, round(k, 4) AS confidence, coalesce({MATCH}, 0.0) AS match,
     CASE WHEN s_rate IS NULL AND s_amount IS NULL THEN 'Yeterli karşılaştırılabilir alan yok' ELSE concat_ws(', ', CASE WHEN s_rate IS NOT NULL THEN 'düşük kâr payı oranı' END, CASE WHEN s_amount IS NOT NULL THEN 'açık tutar' END) END AS reason FROM scored)
 SELECT bank_id, id, row_number() OVER (PARTITION BY bank_id ORDER BY advantage IS NULL, confidence DESC, advantage DESC NULLS LAST, match DESC, id) AS pos, reason FROM final""", "offers"))
 def q18(spark, d):
