@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +106,24 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Runs of up to so many bytes are told apart by their first and last eight bytes and their length.
+SHORT = 16
+_masks = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1] * (SHORT - 7), dtype=np.uint64)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A scrambled form of 64-bit numbers, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def edges(raw: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last eight bytes, as numbers, of runs of at most SHORT bytes; what a run lacks is 0."""
+    wide = np.ndarray(len(raw) + 1, dtype="<u8", buffer=raw + bytes(8), strides=(1,))  # the eight bytes from each place on
+    return wide[begin] & _masks[end - begin], np.where(end - begin > 8, wide[np.maximum(end - 8, 0)], np.uint64(0))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

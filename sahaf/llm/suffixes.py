@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .common import mix
 
 LENGTH = 400
 #: Bytes of the anchors that filter, and of those that cut pieces.
@@ -52,12 +53,6 @@ _UP = _powers(_step, BLOCK + 2048)
 _DOWN = _powers(pow(_step, -1, 1 << 64), BLOCK + 2048)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def as_bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode(), dtype=np.uint8)
 
@@ -70,21 +65,24 @@ def word_bounds(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def as_words(text: str) -> np.ndarray:
-    """A 64-bit hash of each word of a text."""
-    a = as_bytes(text)
-    start, end = word_bounds(a)
-    up, down = (_UP, _DOWN) if len(a) <= len(_UP) else (_powers(_step, len(a)), _powers(pow(_step, -1, 1 << 64), len(a)))
-    total = np.zeros(len(a) + 1, dtype=np.uint64)
-    np.cumsum(_values[0][a] * up[: len(a)], out=total[1:])
-    return _mix((total[end] - total[start]) * down[start])
+    """A 64-bit hash of each word of a text: of its bytes' eights if they are few, else of its digest."""
+    raw = text.encode()
+    start, end = word_bounds(np.frombuffer(raw, dtype=np.uint8))
+    out = np.empty(len(start), dtype=np.uint64)
+    short = np.flatnonzero(end - start <= common.SHORT)
+    lead, tail = common.edges(raw, start[short], end[short])
+    out[short] = mix(mix(mix(lead) + tail) + (end - start)[short].astype(np.uint64))
+    for k in np.flatnonzero(end - start > common.SHORT).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(raw[start[k] : end[k]], digest_size=8).digest())
+    return out
 
 
 def gram_hashes(a: np.ndarray, k: int, table: int = 0) -> np.ndarray:
     """A 64-bit hash of each k symbols (bytes or words) of a, which has at most as many as there are powers."""
     total = np.zeros(len(a) + 1, dtype=np.uint64)
-    values = _values[table][a] if a.dtype == np.uint8 else _mix(a ^ _values[table][0])
+    values = _values[table][a] if a.dtype == np.uint8 else mix(a ^ _values[table][0])
     np.cumsum(values * _UP[: len(a)], out=total[1:])
-    return _mix((total[k:] - total[:-k]) * _DOWN[: len(a) - k + 1])
+    return mix((total[k:] - total[:-k]) * _DOWN[: len(a) - k + 1])
 
 
 def anchors(a: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -326,7 +324,7 @@ def find(docs: DataFrame, length: int | None = LENGTH, shard: int = SHARD, often
                             unit.append(np.full(len(first), j, dtype=np.int32))
                             starts.append(first)
                             hashed.append((hashes ^ np.uint64(j)).view(np.int64))
-                            subs.append((_mix(first.astype(np.uint64) + seed) % np.uint64(salts)).astype(np.int32) if salts > 1 else np.full(len(first), -1, dtype=np.int32))
+                            subs.append((mix(first.astype(np.uint64) + seed) % np.uint64(salts)).astype(np.int32) if salts > 1 else np.full(len(first), -1, dtype=np.int32))
                             pieces += [raw[f:g] for f, g in zip((first * u.width).tolist(), ((first + count + (u.length - 1)) * u.width).tolist(), strict=True)]
                 if row:
                     row, *columns = (np.concatenate(c) for c in (row, unit, hashed, subs, starts))

@@ -1,22 +1,26 @@
 """Byte-level BPE ids of whole texts, at the speed of a word cache.
 
 The tokenizers library gives every id.  A text is cut at single spaces whose two neighbours are not white space: the
-pre-tokenizer always starts a new piece there, so the parts can be encoded apart.  numpy hashes all parts of a batch
-at once and looks them up in a table; each part that the table does not hold is encoded once by the library, and a text
-with any other run of white space is encoded whole.
+pre-tokenizer always starts a new piece there, so the parts can be encoded apart.  numpy looks all parts of a batch up
+in a table at once, by length and bytes, so that no two parts are ever taken for one; each part that the table does not
+hold is encoded once by the library.  A text with any other run of white space, or with the string of an added token
+(`<|endoftext|>`), which the library finds before it cuts a text up, is encoded whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from .common import SHORT, edges, mix
+
 #: Parts that a worker remembers (about 40 MB); what comes later is remembered for its block only.
 CACHE_PARTS = 400_000
 SLOTS = 1 << 20
 #: Bytes of text that are cut up at once.
 BLOCK = 1 << 20
-_step = 0x9E3779B97F4A7C15 | 1
-_back = pow(_step, -1, 1 << 64)
+#: Bytes of the longest part that is remembered.
+LONGEST = 256
+_masks = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1] * (SHORT - 7), dtype=np.uint64)
 
 
 def default_tokenizer() -> str:
@@ -26,56 +30,47 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 class Encoder:
     def __init__(self, path: str, cache_parts: int = CACHE_PARTS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache_parts = min(cache_parts, SLOTS // 2)
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # ids whose token begins with a space
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
-        self.values = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
-        self.keys, self.numbers = np.zeros(SLOTS, dtype=np.uint64), np.zeros(SLOTS, dtype=np.int32)
+        self.keys, self.numbers = np.zeros((3, SLOTS), dtype=np.uint64), np.zeros(SLOTS, dtype=np.int32)
+        self.long: dict[tuple[bytes, bool], int] = {}  # the numbers of longer parts
         self.flat, self.used = np.empty(1 << 20, dtype=np.uint32), 0
         self.first, self.count, self.n = np.zeros(1 << 18, dtype=np.int64), np.zeros(1 << 18, dtype=np.int32), 0
-        self.up, self.down = _powers(_step, BLOCK + 1), _powers(_back, BLOCK + 1)
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """The number of each hash in the table, or -1."""
-        out = np.full(len(h), -1, dtype=np.int32)
-        left, slot = np.arange(len(h)), (h >> np.uint64(44)).astype(np.int64)
+    @staticmethod
+    def _slots(keys: np.ndarray) -> np.ndarray:
+        return (mix(mix(keys[0]) + keys[1] * np.uint64(3) + keys[2]) >> np.uint64(44)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key (first bytes, last bytes, size and place) in the table, or -1."""
+        out = np.full(keys.shape[1], -1, dtype=np.int32)
+        left, slot = np.arange(keys.shape[1]), self._slots(keys)
         while len(left):
-            there = self.keys[slot]
-            hit = there == h[left]
+            tag = self.keys[2, slot]
+            hit = (tag == keys[2, left]) & (self.keys[0, slot] == keys[0, left]) & (self.keys[1, slot] == keys[1, left])
             out[left[hit]] = self.numbers[slot[hit]]
-            on = ~hit & (there != 0)
+            on = ~hit & (tag != 0)
             left, slot = left[on], (slot[on] + 1) & (SLOTS - 1)
         return out
 
-    def _insert(self, h: np.ndarray, numbers: np.ndarray) -> None:
-        slot = (h >> np.uint64(44)).astype(np.int64)
-        while len(h):
-            free = np.flatnonzero(self.keys[slot] == 0)
+    def _insert(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        slot = self._slots(keys)
+        while len(slot):
+            free = np.flatnonzero(self.keys[2, slot] == 0)
             _, pick = np.unique(slot[free], return_index=True)
             done = free[pick]
-            self.keys[slot[done]], self.numbers[slot[done]] = h[done], numbers[done]
-            on = np.ones(len(h), dtype=bool)
+            self.keys[:, slot[done]], self.numbers[slot[done]] = keys[:, done], numbers[done]
+            on = np.ones(len(slot), dtype=bool)
             on[done] = False
-            h, numbers, slot = h[on], numbers[on], (slot[on] + 1) & (SLOTS - 1)
+            keys, numbers, slot = keys[:, on], numbers[on], (slot[on] + 1) & (SLOTS - 1)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -121,37 +116,54 @@ class Encoder:
 
     def _block(self, texts: list[bytes]) -> list[np.ndarray]:
         raw = b" " + b" ".join(texts)
-        if len(raw) > len(self.up):
-            self.up, self.down = _powers(_step, len(raw)), _powers(_back, len(raw))
-        a = np.frombuffer(raw, dtype=np.uint8)
-        space = np.flatnonzero(a == 32)
+        space = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 32)
         begin, end = space + 1, np.append(space[1:], len(raw))
-        total = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(self.values[a] * self.up[: len(raw)], out=total[1:])
+        size = end - begin
         doc = np.searchsorted(space, np.cumsum([0, *(len(t) + 1 for t in texts[:-1])]))  # the first part of each text
         head = np.zeros(len(space), dtype=bool)
         head[doc] = True
-        h = _mix(_mix((total[end] - total[begin]) * self.down[np.minimum(begin, len(raw) - 1)]) + ((end - begin) * 2 + head).astype(np.uint64)) | np.uint64(1)
-        number = self._find(h)
+        tag = size * 2 + head + 1
+        number = np.full(len(space), -1, dtype=np.int32)
+        short = np.flatnonzero(size <= SHORT)
+        keys = np.stack([*edges(raw, begin[short], end[short]), tag[short].astype(np.uint64)])
+        number[short] = self._find(keys)
         mark = self.n, self.used
-        if len(new := np.flatnonzero(number < 0)):
-            hashes, at, back = np.unique(h[new], return_index=True, return_inverse=True)
-            at = new[at]
-            self._learn([raw[x:y].decode() for x, y in zip(begin[at].tolist(), end[at].tolist(), strict=True)], head[at])
-            fresh = np.arange(mark[0], self.n, dtype=np.int32)
-            number[new] = fresh[back]
+        new = np.flatnonzero(number[short] < 0)
+        order = new[np.lexsort(keys[:, new])]
+        fresh_key = np.ones(len(order), dtype=bool)
+        fresh_key[1:] = (keys[:, order[1:]] != keys[:, order[:-1]]).any(axis=0)
+        first = order[fresh_key]
+        at = short[first]
+        number[short[order]] = self.n + np.cumsum(fresh_key) - 1
+        parts = [raw[x:y] for x, y in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
+        heads = head[at].tolist()
+        longer: dict[tuple[bytes, bool], int] = {}
+        for k in np.flatnonzero(size > SHORT).tolist():
+            key = raw[begin[k] : end[k]], bool(head[k])
+            n = self.long.get(key, longer.get(key, -1))
+            if n < 0:
+                n = longer[key] = self.n + len(parts)
+                parts.append(key[0])
+                heads.append(key[1])
+            number[k] = n
+        if parts:
+            self._learn([x.decode() for x in parts], np.array(heads, dtype=bool))
         n = self.count[number]
         real = np.maximum(n, 0)
         ends = np.cumsum(real)
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.first[number] - (ends - real), real)]
         cut = np.append(np.append(0, ends)[doc], ends[-1])
         bad = np.logical_or.reduceat(n < 0, doc)
+        for token in self.added:
+            if token in raw:
+                bad |= np.array([token in t for t in texts])
         out = [ids[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
         for k in np.flatnonzero(bad):
             out[k] = np.array(self._whole([texts[k].decode()])[0] if texts[k] else [], dtype=np.uint32)
-        if len(new):
+        if parts:
             if self.n <= self.cache_parts:
-                self._insert(hashes, fresh)
+                self._insert(keys[:, first], np.arange(mark[0], mark[0] + len(first), dtype=np.int32))
+                self.long |= {k: n for k, n in longer.items() if len(k[0]) <= LONGEST}
             else:
                 self.n, self.used = mark
         return out

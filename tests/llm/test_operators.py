@@ -9,7 +9,10 @@ import zlib
 import numpy as np
 import pytest
 import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from sahaf.llm import chat, common, decontamination, huffman, neardup, packing, quality, suffixes, tokens, topk, toxicity, urls
 from sahaf.llm.components import connected_components
@@ -34,15 +37,49 @@ def documents(spark, data):
     return spark.read.parquet(f"{data}/documents.parquet")
 
 
+TOKENIZER = Tokenizer.from_file(tokens.default_tokenizer())  # as the contract calls it, untouched by the operators
+
+
 def ids_of(text, end):
-    t = tokens.encoder(tokens.default_tokenizer()).tokenizer
-    return np.append(np.array(t.encode(text or "", add_special_tokens=False).ids, dtype="<u4"), np.uint32(end)).astype("<u4")
+    return np.append(np.array(TOKENIZER.encode(text or "", add_special_tokens=False).ids, dtype="<u4"), np.uint32(end)).astype("<u4")
 
 
 def test_encoder_equals_the_library():
     e = tokens.Encoder(tokens.default_tokenizer(), cache_parts=5)
-    texts = ["a b c", " lead", "trail ", "x  y", "", None, "tab\tz \n q", "a b c d e f g h", "é ü x y", "b", "<|endoftext|> b"] * 2
-    assert [list(x) for x in e.encode(texts)] == [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    texts = ["a b c", " lead", "trail ", "x  y", "", None, "tab\tz \n q", "a b c d e f g h", "é ü x y", "b", "<|endoftext|> b", "a<|endoftext|>", "hello <|endoftext|> world<|endoftext|>", "thirteenbytes fourteen_bytes fifteenth_bytes sixteen_bytes_16 seventeen_bytes_2 sixteen_bytes_17"] * 2
+    assert [list(x) for x in e.encode(texts)] == [TOKENIZER.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def thue_morse(n):
+    bits = "a"
+    while len(bits) < n:
+        bits += bits.translate({97: "b", 98: "a"})
+    return bits, bits.translate({97: "b", 98: "a"})
+
+
+def test_parts_that_hash_alike_stay_apart(spark):
+    """Polynomial hashes modulo a power of two take the two words for one."""
+    one, two = thue_morse(2048)
+    specials = "hello <|endoftext|> world<|endoftext|>"
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {two} y"), (3, specials), (4, two), (5, one)], "doc_id long, text string").coalesce(1)
+    texts = dict(docs.collect())
+    e = tokens.Encoder(tokens.default_tokenizer())
+    assert [list(x) for x in e.encode([*texts.values()] * 2)] == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in [*texts.values()] * 2]
+    for r in huffman.round_trip(docs).collect():
+        assert r.ids_crc32 == zlib.crc32(ids_of(texts[r.doc_id], 0).tobytes())
+    for r in packing.pack(docs).collect():
+        assert r.ids_crc32 == zlib.crc32(ids_of(texts[r.doc_id], 2)[r.start : r.start + r.length].tobytes())
+    assert (suffixes.as_words(one) != suffixes.as_words(two)).all()
+
+
+@given(st.lists(st.text(alphabet="ab éx<|endoftext|>\t \n", max_size=40), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_encoder_equals_the_library_on_any_text(texts):
+    texts = [*texts, "<|endoftext|>".join(texts)]
+    assert [list(x) for x in tokens.Encoder.encode(ENCODER, texts)] == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+ENCODER = tokens.Encoder(tokens.default_tokenizer(), cache_parts=200)
 
 
 def brute_cost(roles, costs=chat.Costs()):

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -76,9 +77,9 @@ def test_run_equals_brute_force_after_the_learned_stage(spark, tmp_path):
     left = {d: t.replace(passage + " ", "") if t else t for d, t in left.items()}
     del left[72]
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    e = tokens.encoder(tokens.default_tokenizer())
+    library = Tokenizer.from_file(tokens.default_tokenizer())
     for d, t in left.items():
-        ids = [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         own = got[got.doc_id == d].sort_values("piece")
         assert own.length.sum() == len(ids)
         for r in own.itertuples():
