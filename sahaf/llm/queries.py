@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, huffman, neardup, packing, quality, suffixes, topk, toxicity, urls
+from . import chat, decontamination, huffman, kmeans, neardup, packing, pieces, quality, structure, suffixes, topk, toxicity, urls
 from .common import table
 
 #: Fixed values of the queries' contract.
@@ -63,7 +63,19 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_role_repair, op2_best_fit_packing, op3_toxicity_machine, op4_benchmark_templates, op5_chosen_path, op6_url_filter, op7_suffix_arrays, op8_quality_bayes, op9_token_store, op10_exact_top_k)}
+def op11_piece_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, scale=256, salt="2:").drop("measured")
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.repair(structure.damage(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_role_repair, op2_best_fit_packing, op3_toxicity_machine, op4_benchmark_templates, op5_chosen_path, op6_url_filter, op7_suffix_arrays, op8_quality_bayes, op9_token_store, op10_exact_top_k, op11_piece_prefixes, op12_elkan_clusters, op13_structure_repair)}
 
 SQL = {
     "op6_url_filter": r"""
@@ -161,3 +173,33 @@ SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(c.n_removed, 0) AS n_remove
 FROM documents d JOIN bytes USING (doc_id) LEFT JOIN cut c ON c.doc_id = d.doc_id AND c.unit = 'bytes' LEFT JOIN whole w ON w.doc_id = d.doc_id
 """,
 }
+
+
+def _rounds(n: int) -> str:
+    """SQL of n rounds of assignment a<i> of all vectors v and centroids c<i + 1>, and of the last assignment a<n>."""
+    out = []
+    for i in range(n + 1):
+        out.append(f"""a{i} AS MATERIALIZED (
+    SELECT id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d
+    FROM (SELECT v.id, c.cluster, list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v CROSS JOIN c{i} c) GROUP BY id
+)""")
+        if i < n:
+            out.append(f"""c{i + 1} AS MATERIALIZED (
+    SELECT cluster, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN (
+        SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY pos) AS e
+        FROM (SELECT cluster, pos, sum(x) AS s, count(*) AS n FROM (SELECT a.cluster, unnest(range(64)) AS pos, unnest(v.e) AS x FROM a{i} a JOIN v USING (id)) GROUP BY 1, 2) GROUP BY 1
+    ) m USING (cluster)
+)""")
+    return ", ".join(out)
+
+
+SQL["op12_elkan_clusters"] = f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), e)::INT - 1 AS cluster, e FROM v WHERE vec_id IS NOT NULL QUALIFY cluster < 40
+), {_rounds(5)}
+SELECT v.vec_id, a.cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a5 a JOIN v USING (id) JOIN c5 c USING (cluster)
+"""
