@@ -1,5 +1,5 @@
 """The queries of the engine's own operators; importing the package registers them all."""
 
-from . import dashboard, decisions, jobs, language, records, search, texts
+from . import dashboard, decisions, indexes, jobs, language, records, search, texts
 
-__all__ = ["dashboard", "decisions", "jobs", "language", "records", "search", "texts"]
+__all__ = ["dashboard", "decisions", "indexes", "jobs", "language", "records", "search", "texts"]

@@ -78,23 +78,6 @@ def r05(spark, d):
     return frame(spark, d, "documents").where(F.length("text") > 0).select("doc_id", (odd / F.length("text") <= 0.02).alias("good"))
 
 
-@query("r15_hash_embeddings", "SELECT item_id, list_transform(range(1, 9), lambda i: (CAST(concat('0x', substr(md5(text), (4 * i - 3)::INT, 4)) AS BIGINT) / 65535)::DOUBLE) AS embedding FROM benchmark")
-def r15(spark, d):
-    """Eight numbers from a digest: stand-ins for embeddings where there is no model."""
-    h = F.md5("text")
-    return frame(spark, d, "benchmark").select("item_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(h, 4 * i + 1, F.lit(4)), 16, 10).cast("double") / 65535).alias("embedding"))
-
-
-@query("s22_index_upsert", "SELECT item_id AS id, CASE WHEN item_id % 5 = 0 THEN 'new' ELSE 'old' END AS version FROM benchmark WHERE item_id % 4 <> 0 AND (item_id % 3 <> 0 OR item_id % 5 = 0)")
-def s22(spark, d):
-    """Old rows that are still wanted, with the new ones over them."""
-    own = frame(spark, d, "benchmark").select(F.col("item_id").alias("id"))
-    wanted = own.where("id % 4 <> 0")
-    old = own.where("id % 3 <> 0").join(wanted, "id", "left_semi").withColumn("version", F.lit("old"))
-    new = wanted.where("id % 5 = 0").withColumn("version", F.lit("new"))
-    return old.join(new.select("id"), "id", "left_anti").unionByName(new)
-
-
 @query("s23_rule_tables", "SELECT event_id, CASE event_type WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'sale' ELSE 'other' END AS kind FROM events")
 def s23(spark, d):
     """Rules that are kept as JSON, joined by broadcast."""
@@ -169,13 +152,6 @@ def q17(spark, d):
     return frame(spark, d, "events").select("user_id", "event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(w).alias("amount"))
 
 
-@query("st08_index_markers", "SELECT k, CASE WHEN k = 2 THEN 'building' ELSE 'ready' END AS state FROM (VALUES (0), (1), (2)) t(k)")
-def st08(spark, d):
-    """An index is ready when all its parts are; its marker is its last part's."""
-    parts = spark.range(9).select((F.col("id") % 3).cast("int").alias("k"), (F.col("id") != 8).alias("done"))
-    return parts.groupBy("k").agg(F.when(F.bool_and("done"), "ready").otherwise("building").alias("state"))
-
-
 @query("l03_gated_predictions", "SELECT doc_id, CASE WHEN quality = 0 AND regexp_matches(text, '[%&$#*|!]{2,}|[|]') THEN 'junk' WHEN quality = 0 THEN 'unsure' ELSE 'good' END AS label FROM documents JOIN labels USING (doc_id)")
 def l03(spark, d):
     """A label that needs evidence is unsure without it."""

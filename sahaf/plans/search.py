@@ -128,15 +128,6 @@ def r04(spark, d):
     return rt.chunk(frame(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 450, 50, 0.65, 24, ".!?:;")
 
 
-@query("r13_incremental_index", """SELECT coalesce(a.item_id, b.item_id) AS id, CASE WHEN a.item_id IS NULL THEN 'stale' ELSE 'changed' END AS action FROM (SELECT item_id, md5(text) AS h FROM benchmark WHERE item_id % 4 <> 0) a
-FULL JOIN (SELECT item_id, md5(CASE WHEN item_id % 5 = 0 THEN lower(text) ELSE text END) AS h FROM benchmark WHERE item_id % 3 <> 0) b USING (item_id) WHERE a.h IS DISTINCT FROM b.h""")
-def r13(spark, d):
-    from sahaf.operators.catalogue import index_diff
-
-    b = frame(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return index_diff(b.where("id % 4 <> 0").select("id", F.md5("text").alias("hash")), b.where("id % 3 <> 0").select("id", F.md5(F.when(F.col("id") % 5 == 0, F.lower("text")).otherwise(F.col("text"))).alias("hash")))
-
-
 EDGES_SQL = """SELECT concat('s', CAST(l_suppkey AS VARCHAR(20))) AS source, concat('p', CAST(l_partkey % 500 AS VARCHAR(20))) AS target, CASE WHEN l_returnflag = 'R' THEN 'related' ELSE 'part_of' END AS relation, 1 - l_discount * 4 AS confidence FROM {lineitem}"""
 EDGES = f"edges AS ({EDGES_SQL.replace('{lineitem}', 'lineitem')}), good AS (SELECT * FROM edges WHERE confidence >= 0.8), adj AS (SELECT source, target, relation, confidence FROM good UNION SELECT target, source, relation, confidence FROM good), simple AS (SELECT source, target, max(confidence) AS confidence FROM adj GROUP BY 1, 2)"
 
