@@ -199,22 +199,6 @@ def u07(spark, d):
     return x.merged_spans(own.where("id % 2 = 0"), own.where("id % 3 = 0")).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("e14_weak_labels", A + " SELECT id, CASE WHEN contains(text, 'Konut') THEN 'housing' WHEN contains(text, 'İhtiyaç') THEN 'personal' WHEN contains(text, 'kart') THEN 'card' ELSE 'other' END AS label FROM a")
-def e14(spark, d):
-    """Rules in order; the first that fits labels the record."""
-    rules = [("Konut", "housing"), ("İhtiyaç", "personal"), ("kart", "card")]
-    label = F.lit("other")
-    for word, name in reversed(rules):
-        label = F.when(F.contains("text", F.lit(word)), name).otherwise(label)
-    return announced(spark, d).select("id", label.alias("label"))
-
-
-@query("e18_gated_labels", f"{B} SELECT id, {AUDIENCE} IS NOT NULL AS kept FROM b")
-def e18(spark, d):
-    """A sensitive label stays only with evidence in a sentence that doesn't exclude."""
-    return told(spark, d).select("id", F.col("f.target_audience").isNotNull().alias("kept"))
-
-
 @query("e19_suggestions", "SELECT user_id, event_type AS field, CASE WHEN count(DISTINCT floor(value / 400)) = 1 THEN min(event_id) END AS suggestion, count(DISTINCT floor(value / 400)) > 1 AS conflict FROM events GROUP BY 1, 2")
 def e19(spark, d):
     """By record and field: one value, from the method that comes first; values that differ drop each other."""
