@@ -1,21 +1,13 @@
-"""Typed fields, spans and dates out of record texts."""
+"""Evidence in record texts."""
 
 from __future__ import annotations
 
-import re
-from datetime import date
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import numbers as n
 
-SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("text", T.StringType())]))
 FREE = r"(?iu)(?<!\p{L})(masrafsız|ücretsiz|dosya masrafı yok)(?!\p{L})"
-EXCLUSION = r"(?iu)(hariç|dışında|geçerli değil)"
-MONTH = {m: k for k, m in enumerate(n.MONTHS, 1)}
 
 
 def anchored(text: Column, start: Column, end: Column, value: Column) -> Column:
@@ -26,77 +18,6 @@ def anchored(text: Column, start: Column, end: Column, value: Column) -> Column:
     return F.when(there, start).when(F.coalesce(once & (at > 0), F.lit(False)), at - 1)
 
 
-@F.pandas_udf(SPANS)
-def weak_spans(x: pd.Series) -> pd.Series:
-    """Sums of money, rates, durations, dates and channels; what comes first in that order takes its place alone."""
-    rules = [
-        ("MONEY", re.compile(r"\d[\d.,]*(?:\s+milyon)?\s*(?:TL|TRY|USD|EUR|₺|\$|€)(?!\w)", re.I)),
-        ("RATE", re.compile(r"%\s*\d[\d.,]*|\d[\d.,]*\s*%")),
-        ("DURATION", re.compile(r"(?<!\d)\d{1,4}\s*(?:gün|ay|yıl)(?!\w)", re.I)),
-        ("DATE", re.compile(r"\d{1,2}[./]\d{1,2}[./]\d{4}|\d{1,2}\s+(?:" + "|".join(n.MONTHS) + r")(?:\s+\d{4})?", re.I)),
-        ("CHANNEL", re.compile(r"mobil\w*|internet\w*|şube\w*", re.I)),
-    ]
-
-    def allocate(text: str | None) -> list[dict]:
-        taken: list[tuple[int, int]] = []
-        out = []
-        for label, pattern in rules:
-            for m in pattern.finditer(text or ""):
-                if all(m.end() <= a or m.start() >= b for a, b in taken):
-                    taken.append(m.span())
-                    out.append({"start": m.start(), "end": m.end(), "label": label, "text": m.group()})
-        return sorted(out, key=lambda s: s["start"])
-
-    return x.map(allocate)
-
-
-@F.pandas_udf(SPANS)
-def longest_spans(x: pd.Series) -> pd.Series:
-    """Of spans that overlap the longest stays, the earlier of equals."""
-
-    def resolve(spans) -> list[dict]:
-        out: list[dict] = []
-        for s in sorted([dict(v) for v in spans] if spans is not None else [], key=lambda s: (s["start"] - s["end"], s["start"], s["label"])):
-            if 0 <= s["start"] < s["end"] and all(s["end"] <= o["start"] or s["start"] >= o["end"] for o in out):
-                out.append(s)
-        return sorted(out, key=lambda s: s["start"])
-
-    return x.map(resolve)
-
-
-def date_ranges(year: int):
-    """A function of texts for (start, end) of the first date range; a shared month or a missing year is filled in."""
-
-    def read(day: str, month: str | None, y: str | None) -> date | None:
-        try:
-            return date(int(y or year), int(month) if month and month.isdigit() else MONTH[(month or "").replace("İ", "i").replace("I", "ı").lower()], int(day))
-        except (KeyError, ValueError):
-            return None
-
-    names = "|".join(n.MONTHS)
-    numeric = re.compile(r"(\d{1,2})[./](\d{1,2})[./](\d{4})\s*[-–]\s*(\d{1,2})[./](\d{1,2})[./](\d{4})")
-    textual = re.compile(rf"(\d{{1,2}})\s+(?:({names})\s*)?(\d{{4}})?\s*[-–]\s*(\d{{1,2}})\s+({names})\s*(\d{{4}})?", re.I)
-    until = re.compile(rf"(\d{{1,2}})\s+({names})\s*(\d{{4}})?\s*(?:tarihine kadar|'?[a-zışğüöç]*\s+kadar)", re.I)
-
-    @F.pandas_udf(T.StructType([T.StructField("start", T.DateType()), T.StructField("end", T.DateType())]))
-    def run(x: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in x:
-            text = text or ""
-            a = b = None
-            if m := numeric.search(text):
-                a, b = read(*m.group(1, 2, 3)), read(*m.group(4, 5, 6))
-            elif m := textual.search(text):
-                b = read(*m.group(4, 5, 6))
-                a = read(m.group(1), m.group(2) or m.group(5), m.group(3) or m.group(6))
-            elif (m := until.search(text)) and not re.search(r"(?i)(ödül|puan)\w*", text[max(0, m.start() - 40) : m.start()]):
-                b = read(*m.group(1, 2, 3))
-            rows.append((a, b))
-        return pd.DataFrame(rows, columns=["start", "end"])
-
-    return run
-
-
 def merged_spans(model: DataFrame, rules: DataFrame) -> DataFrame:
     """Spans (id, start, end, label) of both, each place and label once."""
     return model.unionByName(rules).dropDuplicates(["id", "start", "end", "label"])

@@ -1,48 +1,71 @@
-"""A record's fields out of its text: one Arrow function for all of them, with evidence and status."""
+"""A record's fields out of its text, as columns of Spark, with evidence and status.
+
+Each field is an expression of its own in one struct, so a plan that takes one field computes no other.
+"""
 
 from __future__ import annotations
 
-import re
-from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import CURRENCIES, UNITS
+from . import numbers as n
+from . import patterns as pt
 
 # What fields look like in texts, in the order in which they are tried.
 NUMBER = r"\d[\d.,]*"
 SHARE = r"k[aâ]r\s+pay[ıi](?:\s+oran[ıi])?"
 MONEY = rf"(?:[₺$€£]\s*{NUMBER}|{NUMBER}(?:\s+milyon)?\s*(?:TL|₺|TRY|USD|\$|EUR|€|GBP|£))"
-RATES = (rf"%\s*({NUMBER})\s*{SHARE}", rf"{SHARE}\s*%\s*({NUMBER})", rf"({NUMBER})\s*%\s*{SHARE}", rf"%\s*({NUMBER})\s*(?:k[aâ]r\s+pay[ıi]\s+)?oran", rf"oran[ıi]?\s*%\s*({NUMBER})")
+RATES = [rf"%\s*({NUMBER})\s*{SHARE}", rf"{SHARE}\s*%\s*({NUMBER})", rf"({NUMBER})\s*%\s*{SHARE}", rf"%\s*({NUMBER})\s*(?:k[aâ]r\s+pay[ıi]\s+)?oran(?:[ıi]|ından|li|lı)?", rf"oran(?:ı|i)?\s*%\s*({NUMBER})", rf"%\s*({NUMBER})\s+oran"]
 DISCOUNT = rf"(?:%\s*({NUMBER})|({NUMBER})\s*%)\s*(?:indirim|iade)"
-TERM = r"(?<!\d)(\d{1,3})\s*ay\s*vade"
-DURATION = r"(?<!\d)(\d{1,4})\s*(gün|gun|ay|yıl|yil)"
+TERM = r"(?<!\d)(\d{1,3})\s*ay\s*(?:vade|vadeli)"
+DURATION = r"(?<!\d)\d{1,4}\s*(?:gün|gun|ay|yıl|yil)(?:\s*(?:vade|vadeli))?"
 INSTALMENT = r"(?<!\d)(\d{1,3})\s*(?:aya\s+varan\s+|ay\s+)?taksit"
-REWARDS = "ödül odul iade puan bonus hediye bankkart\\s+lira parafpara worldpuan"
-CHANNEL = r"\b(mobil uygulama|mobil bankac[ıi]l[ıi]k|mobilden|internet [şs]ubesi|internet [şs]ube|g[öo]r[üu]nt[üu]l[üu] g[öo]r[üu][şs]me|[şs]ube|[çc]a[ğg]r[ıi] merkezi)\b"
-CONDITION = r"(en\s+az\s+[^!?]{1,80}?|[^.!?]{1,80}?)\s+(?:şart|koşul)"
-PRODUCTS = (
-    ("financing", r"finansman"),
-    ("investment", r"kur fırsat(?=.*müşterimiz olun)|günlük hesap(?=.*vadeni boz)"),
-    ("card", r"kart|bonus"),
-    ("investment", r"yat[ıi]r[ıi]m|kat[ıi]lma hesab|alt[ıi]n"),
-    ("shopping_points", r"al[ıi][şs]veri[şs] puan|worldpuan|parafpara"),
-    ("new_customer", r"yeni m[üu][şs]teri|ilk kez m[üu][şs]teri"),
-)
-FINANCINGS = (("housing", r"konut"), ("vehicle", r"ta[şs][ıi]t|ara[çc]"), ("consumer", r"ihtiya[çc]"))
-AUDIENCES = (
-    ("new_customer", r"yeni\s+m[üu][şs]teri|ilk\s+kez\s+m[üu][şs]teri|m[üu][şs]teri\s+ol(?:an|un)|kart\s+sahibi\s+olun|ho[şs]\s+geldin|onboarding"),
-    ("retiree", r"emekli"),
-    ("public_sector", r"kamu\s+(?:[çc]al[ıi][şs]an|personel)|sa[ğg]l[ıi]k\s+meslek|\bdoktor|\b[öo][ğg]retmen"),
-    ("commercial", r"\b(?:esnaf|kobi|ticari|t[üu]zel|[çc]ift[çc]i|tar[ıi]m|i[şs]letme|pilot\w*)\b"),
-    ("student", r"\b(?:[öo][ğg]renci|gen[çc]|[üu]niversite|kamp[üu]s)"),
-    ("existing_customer", r"kart[ıi]n[ıi]z|kart\s+sahip|(?:debit|sanal)\s+kart|(?:bireysel|mevcut|bankam[ıi]z)\s+m[üu][şs]teri|m[üu][şs]teri(?:lerimize|lerine|mize)\s+[öo]zel|m[üu][şs]teri\s+bazl[ıi]|i[şs]lem\s+yapan\s+m[üu][şs]teri"),
-)
-EXCLUDED = r"dahil de[ğg]il|ge[çc]erli de[ğg]il|hari[çc]|kapsam d[ıi][şs][ıi]"
-BENEFITS = r"avantaj|indirim|[öo]d[üu]l|iade|masrafs[ıi]z|[üu]cretsiz|muafiyet|hediye"
-FREE = r"masrafs[ıi]z"
+REWARD = rf"({MONEY})(?=[^.!?]{{0,60}}(?:ödül|odul|iade|puan|bonus|bankkart\s+lira|parafpara|worldpuan|altın\s+puan|altin\s+puan|hediye\s+bakiye|hediye))"
+MOST = rf"({MONEY})(?:['’]?ye|\s+tutar[aı])?\s+kadar"
+LEAST = rf"en\s+az\s+({MONEY})(?:\s+ile)?"
+CHANNEL = r"\b(mobil uygulama|mobil bankacılık|mobil bankacilik|mobilden|internet şubesi|internet subesi|internet şube|internet sube|görüntülü görüşme|goruntulu gorusme|şube|sube|çağrı merkezi|cagri merkezi)\b"
+CONDITION = r"((?:en\s+az\s+[^!?]{1,80}?|[^.!?]{1,80}?))\s+(?:şart(?:ı|ını)?|koşul(?:u|uyla)?)"
+#: A product: words of which all sets must have one in the text in lower case, and what shows it.
+PRODUCTS = [
+    ("financing", [["finansman"]]),
+    ("investment", [["kur fırsat"], ["müşterimiz olun"]]),
+    ("investment", [["günlük hesap"], ["vadeni boz"]]),
+    ("card", [["kart", "bonus"]]),
+    ("investment", [["yatırım", "yatirim", "katılma hesab", "katilma hesab", "altın", "altin"]]),
+    ("shopping_points", [["alışveriş puan", "alisveris puan", "worldpuan", "parafpara"]]),
+    ("new_customer", [["yeni müşteri", "yeni musteri", "ilk kez müşteri", "ilk kez musteri"]]),
+]
+PRODUCT_SHOWN = {
+    "financing": r"(?:[^\s.]+\s+)?finansman(?:[ıi])?\b",
+    "card": "kart|bonus",
+    "investment": r"yatırım|yatirim|katılma hesabı|katilma hesabı|altın|altin|kur\s+fırsat\w*|günlük\s+hesap\w*|vadeni\s+boz\w*",
+    "shopping_points": "alışveriş puanı|alisveris puanı|alisveris puan|worldpuan|parafpara",
+    "new_customer": "yeni müşteri|yeni musteri|ilk kez müşteri|ilk kez musteri",
+}
+FINANCINGS = [("housing", ["konut"]), ("vehicle", ["taşıt", "tasit", "araç", "arac"]), ("consumer", ["ihtiyaç", "ihtiyac"])]
+FINANCING_SHOWN = "konut|taşıt|tasit|araç|arac|ihtiyaç|ihtiyac"
+#: An audience: words of which one must be in the sentence in lower case, and the pattern that must match it and shows it.
+AUDIENCES = [
+    (
+        "new_customer",
+        ["yeni müşteri", "yeni musteri", "ilk kez müşteri", "ilk kez musteri", "müşteri olan", "musteri olan", "müşteri olun", "musteri olun", "türkiye finanslı", "turkiye finansli", "kuveyt türklü", "kuveyt turklu", "albarakalı", "albarakali", "hayat finanslı", "hayat finansli", "vakıf katılımlı", "vakif katilimli", "ziraat katılımlı", "ziraat katilimli", "hadi'li", "hadili", "kart sahibi olun", "hoş geldin", "hos geldin", "onboarding"],
+        r"yeni\s+müşteri(?:ler[ea]?|miz)?|yeni\s+musteri(?:ler[ea]?|miz)?|ilk\s+kez\s+müşteri(?:ler[ea]?|miz)?|ilk\s+kez\s+musteri(?:ler[ea]?|miz)?|müşteri\s+olan(?:lar)?|musteri\s+olan(?:lar)?|müşteri\s+olun|musteri\s+olun|mobilden\s+[^.!?\n]{1,30}?\s*müşteri\s+ol\w*|mobilden\s+[^.!?\n]{1,30}?\s*musteri\s+ol\w*|(?:türkiye\s+finanslı|turkiye\s+finansli|kuveyt\s+türklü|kuveyt\s+turklu|albarakalı|albarakali|hayat\s+finanslı|hayat\s+finansli|vakıf\s+katılımlı|vakif\s+katilimli|ziraat\s+katılımlı|ziraat\s+katilimli|hadi'li|hadili)\s+ol\w*|kart\s+sahibi\s+olun|hoş\s+geldin|hos\s+geldin|onboarding",
+    ),
+    ("retiree", ["emekli"], r"emekli(?:ler[ea]?|miz|ye)?|emekli\s+maaş\w*|emekli\s+maas\w*"),
+    ("public_sector", ["kamu çalışan", "kamu calisan", "kamu personel", "sağlık meslek", "saglik meslek", "doktor", "öğretmen", "ogretmen"], r"kamu\s+(?:çalışan|calisan|personel)\w*|sağlık\s+meslek|saglik\s+meslek|\bdoktor\w*|\böğretmen\w*|\bogretmen\w*"),
+    ("commercial", ["esnaf", "kobi", "ticari", "tüzel", "tuzel", "çiftçi", "ciftci", "tarım", "tarim", "işletme", "isletme", "pilot"], r"\b(?:esnaf|kobi|ticari|tüzel|tuzel|çiftçi|ciftci|tarım|tarim|işletme|isletme|pilot\w*)\b"),
+    ("student", ["öğrenci", "ogrenci", "genç", "genc", "üniversite", "universite", "kampüs", "kampus"], r"\b(?:öğrenci\w*|ogrenci\w*|genç\w*|genc\w*|üniversite\w*|universite\w*|kampüs\w*|kampus\w*)\b"),
+    (
+        "existing_customer",
+        ["bankkart", "paraf", "world", "sağlam kart", "saglam kart", "hadi", "vkart", "biz kart", "dkart", "troy", "kartınız", "kartiniz", "kart sahip", "debit kart", "sanal kart", "bireysel müşteri", "bireysel musteri", "mevcut müşteri", "mevcut musteri", "bankamız müşteri", "bankamiz musteri", "müşterilerimize özel", "musterilerimize ozel", "müşterilerine özel", "musterilerine ozel", "müşterimize özel", "musterimize ozel", "müşteri bazlı", "musteri bazli", "işlem yapan müşteri", "islem yapan musteri", "katılma hesabı", "katilma hesabi", "mevduat", "vadesiz hesap", "avantajlı hesap", "avantajli hesap"],
+        r"(?:bankkart|paraf|world|sağlam\s+kart|saglam\s+kart|hadi|vkart|biz\s+kart|dkart|troy)\s+(?:kredi\s+)?kart\w*|kartınız(?:la)?|kartiniz(?:la)?|kart\s+sahip\w*|debit\s+kart\w*|sanal\s+kart\w*|(?:bireysel|tüm\s+bireysel|mevcut|bankamız|bankamiz)\s+müşteri\w*|(?:bireysel|tüm\s+bireysel|mevcut|bankamız|bankamiz)\s+musteri\w*|müşteri(?:lerimize|lerine|mize)\s+özel|musteri(?:lerimize|lerine|mize)\s+ozel|müşteri\s+bazlı|musteri\s+bazli|işlem\s+yapan\s+müşteri\w*|islem\s+yapan\s+musteri\w*|(?:hayat\s+finanslı|kuveyt\s+türklü|albarakalı|türkiye\s+finanslı|ziraat\s+katılımlı|vakıf\s+katılımlı|hadi'li)\w*\s+özel|(?:avantajlı|katılma|mevduat|vadesiz)\s+hesap\s+(?:açan\s+)?(?:bireysel\s+)?müşteri\w*",
+    ),
+]
+EXCLUDED = ["dahil değil", "dahil degil", "geçerli değil", "gecerli degil", "hariç", "haric", "kapsam dışı", "kapsam disi"]
+BENEFITS = ["avantaj", "indirim", "ödül", "odul", "iade", "masrafsız", "masrafsiz", "ücretsiz", "ucretsiz", "muafiyet", "hediye"]
+FREE = ["masrafsız", "masrafsiz"]
 #: Units of fields, words that promise one, fields that a product has none of, confidence by status.
 FIELD_UNITS = {"profit_share_rate": "RATIO", "discount_rate": "RATIO", "term_months": "MONTH", "installment_count": "COUNT", "campaign_start_date": "DATE", "campaign_end_date": "DATE"}
 PROMISES = {
@@ -62,115 +85,115 @@ KINDS = {
 }
 
 
-def _pattern(p: str) -> re.Pattern:
-    return re.compile(p, re.IGNORECASE)
-
-
-_rates, _products, _financings, _audiences = [*map(_pattern, RATES)], [(k, _pattern(p)) for k, p in PRODUCTS], [(k, _pattern(p)) for k, p in FINANCINGS], [(k, _pattern(p)) for k, p in AUDIENCES]
-_one = {"discount_rate": DISCOUNT, "term_months": TERM, "duration": DURATION, "installment_count": INSTALMENT, "application_channel": CHANNEL, "condition": CONDITION, "fee_information": FREE}
-_one = {k: _pattern(p) for k, p in _one.items()}
-_reward = _pattern(rf"({MONEY})(?=[^.!?]{{0,60}}(?:{'|'.join(REWARDS.split())}))")
-_most, _least = _pattern(rf"({MONEY})(?:['’]?ye|\s+tutar[aı])?\s+kadar"), _pattern(rf"en\s+az\s+({MONEY})(?:\s+ile)?")
-_excluded, _benefits, _mark, _number = _pattern(EXCLUDED), _pattern(BENEFITS), re.compile(r"[₺$€£]|TL|TRY|USD|EUR|GBP", re.I), re.compile(NUMBER)
-
-
-def number(raw: str) -> Decimal | None:
-    """A number as numbers.parse_number reads it: the last of two kinds of separator, or a lone one before one or two digits, parts decimals."""
-    last = max(raw.rfind("."), raw.rfind(","))
-    kinds = {c for c in raw if c in ".,"}
-    parts = last >= 0 and (len(kinds) == 2 or 1 <= len(raw) - 1 - last <= 2)
-    digits = lambda s: re.sub(r"[.,]", "", s)
-    text = f"{digits(raw[:last])}.{digits(raw[last + 1 :])}" if parts else digits(raw)
-    return Decimal(text.rstrip(".") or "0") if text else None
-
-
-def total(raw: str | None) -> dict | None:
-    """A sum of money as (amount, currency, minor units)."""
-    if not raw or not (m := _number.search(raw)):
-        return None
-    amount = number(m[0]) * (1_000_000 if "milyon" in raw.lower() else 1)
-    return {"amount": float(amount), "currency": CURRENCIES.get(_mark.search(raw)[0].lower()), "minor": int((amount * 100).to_integral_value(ROUND_HALF_UP))}
-
-
-def small(text: str) -> str:
-    return text.casefold().replace("i̇", "i")
-
-
-def ratio(raw: str) -> float:
-    return round(float(number(raw) / 100), 6)
-
-
-def _label(table: list[tuple[str, re.Pattern]], text: str) -> tuple[str | None, str | None]:
-    return next(((k, m[0]) for k, p in table if (m := p.search(text))), (None, None))
-
-
-def audience(text: str) -> tuple[str | None, str | None]:
-    """The first audience of the first sentence that names one and excludes nothing, and the words that show it."""
-    for sentence in re.split(r"[\n.!?;]+|\s{2,}", text):
-        if not _excluded.search(low := small(sentence)):
-            label, shown = _label(_audiences, low)
-            if label:
-                at = low.find(shown)
-                return label, sentence[at : at + len(shown)]
-    return None, None
-
-
-def fields(text: str | None) -> dict:
-    """All fields of a text; what it doesn't say is None.  Rates that differ leave the rate empty, as candidates."""
-    text = text or ""
-    low = small(text)
-    shown: dict[str, str] = {}
-    out: dict = dict.fromkeys(("profit_share_rate", "rate_candidates", "discount_rate", "term_months", "duration", "installment_count", "campaign_benefit"))
-    found = sorted((m for p in _rates for m in p.finditer(text)), key=lambda m: m.span())
-    if found:
-        values = sorted({ratio(m[1]) for m in found})
-        out["profit_share_rate"], out["rate_candidates"] = (values[0], None) if len(values) == 1 else (None, values)
-        shown["profit_share_rate"] = found[0][0]
-    one = {k: m for k, p in _one.items() if (m := p.search(text))}
-    for k in ("term_months", "installment_count"):
-        if k in one:
-            out[k] = int(one[k][1])
-    if m := one.get("discount_rate"):
-        out["discount_rate"] = ratio(m[1] or m[2])
-    if "term_months" in one:
-        out["duration"] = {"value": out["term_months"], "unit": "month", "approx_days": 30 * out["term_months"]}
-    elif m := one.get("duration"):
-        name, days = UNITS[m[2].lower()]
-        out["duration"] = {"value": int(m[1]), "unit": name, "approx_days": int(m[1]) * days}
-    shown |= {k: m[0] for k, m in one.items() if k != "duration"}
-    rewards = _reward.findall(text)
-    most, least = _most.search(text), _least.search(text)
-    out |= {"reward_amount": total(rewards[-1]) if rewards else None, "max_amount": total(most and most[1]), "min_amount": total(least and least[1])}
-    out["financing_amount"] = out["max_amount"]
-    if rewards:
-        shown["reward_amount"] = rewards[-1]
-    if most:
-        shown["max_amount"] = shown["financing_amount"] = most[0]
-    if least:
-        shown["min_amount"] = least[0]
-    for k, (label, words) in {"product_type": _label(_products, low), "financing_type": _label(_financings, low), "target_audience": audience(text)}.items():
-        out[k] = label
-        if label:
-            shown[k] = words
-    out["fee_information"] = "masrafsız" if "fee_information" in one else None
-    out["application_channel"] = one["application_channel"][0] if "application_channel" in one else None
-    out["condition"] = one["condition"][1].strip(" ,;:-") if "condition" in one else None
-    if out["condition"]:
-        shown["condition"] = out["condition"]
-    sentence = next((s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if _benefits.search(small(s))), None)
-    if sentence:
-        out["campaign_benefit"] = shown["campaign_benefit"] = sentence[:500]
-    return out | {"evidence": shown}
-
-
-def _frame(x: pd.Series) -> pd.DataFrame:
-    rows = [fields(t) for t in x]
-    return pd.DataFrame({k: pd.Series([r[k] for r in rows], dtype=object) for k in KINDS})
+def lower(x: Column) -> Column:
+    return F.replace(F.lower(x), F.lit("i̇"), F.lit("i"))
+
+
+def _has(x: Column, words: list[str]) -> Column:
+    return x.rlike("|".join(words))
+
+
+def _found(text: Column, pattern: str, group: int = 0) -> Column:
+    """The first match, or a group of it; null if there is none."""
+    return F.nullif(F.regexp_extract(text, pt.java(pattern, True), group), F.lit(""))
+
+
+def _every(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(text, F.lit(pt.java(pattern, True)), F.lit(group))
+
+
+def ratio(raw: Column) -> Column:
+    """A percentage as a fraction of six places."""
+    return F.round(n.parse_number(raw).cast("double") / 100, 6)
+
+
+def total(raw: Column) -> Column:
+    """A sum of money as (amount, currency, minor units); null if raw is."""
+    amount = n.parse_number(raw) * F.when(lower(raw).contains("milyon"), 1_000_000).otherwise(1)
+    mark = F.lower(F.regexp_extract(raw, "(?i)[₺$€£]|TL|TRY|USD|EUR|GBP", 0))
+    currency = F.try_element_at(F.create_map(*[F.lit(v) for kv in n.CURRENCIES.items() for v in kv]), mark)
+    return F.when(raw.isNotNull(), F.struct(amount.cast("double").alias("amount"), currency.alias("currency"), n.minor_units(amount).alias("minor")))
+
+
+def rates(text: Column) -> Column:
+    """The distinct profit rates of a text, ascending."""
+    return F.array_sort(F.array_distinct(F.transform(F.concat(*(_every(text, p) for p in RATES)), ratio)))
+
+
+def rate_shown(text: Column) -> Column:
+    """The first words that give a profit rate."""
+
+    def place(pattern: str) -> Column:
+        raw, at = _found(text, pattern), F.regexp_instr(text, F.lit(pt.java(pattern, True)))
+        return F.when(raw.isNotNull(), F.struct(at.alias("at"), F.length(raw).alias("n"), raw.alias("raw")))
+
+    return F.array_min(F.array_compact(F.array(*map(place, RATES))))["raw"]
+
+
+def product_type(text: Column) -> Column:
+    low = lower(text)
+    return reduce(lambda c, p: c.when(reduce(lambda a, b: a & b, (_has(low, words) for words in p[1])), p[0]), PRODUCTS[1:], F.when(_has(low, PRODUCTS[0][1][0]), PRODUCTS[0][0]))
+
+
+def financing_type(text: Column) -> Column:
+    low = lower(text)
+    return reduce(lambda c, p: c.when(_has(low, p[1]), p[0]), FINANCINGS[1:], F.when(_has(low, FINANCINGS[0][1]), FINANCINGS[0][0]))
+
+
+def audience(text: Column) -> Column:
+    """(label, shown): the first audience of the first sentence that names one and excludes nothing, and the words that show it."""
+
+    def told(sentence: Column) -> Column:
+        low = lower(sentence)
+        out = None
+        for label, words, pattern in AUDIENCES:
+            this = _has(low, words) & sentence.rlike(pt.java(pattern, True))
+            value = F.struct(F.lit(label).alias("label"), _found(sentence, pattern).alias("shown"))
+            out = F.when(this, value) if out is None else out.when(this, value)
+        return F.when(~_has(low, EXCLUDED), out)
+
+    sentences = F.split(text, r"(?U)[\n.!?;]+|\s{2,}")
+    return F.get(F.filter(F.transform(sentences, told), lambda x: x.isNotNull()), 0)
+
+
+def benefit(text: Column) -> Column:
+    """The first sentence about an advantage, at most 500 characters of it."""
+    return F.left(F.get(F.filter(F.split(F.regexp_replace(text, r"(?U)\A\s+|\s+\z", ""), r"(?U)(?<=[.!?])\s+"), lambda s: _has(lower(s), BENEFITS)), 0), F.lit(500))
+
+
+def duration(text: Column) -> Column:
+    return n.duration(F.coalesce(_found(text, TERM), _found(text, DURATION)))
+
+
+def evidence(text: Column, product: Column, told: Column) -> Column:
+    """The words that show each field that has some."""
+    shown_product = F.try_element_at(F.create_map(*[x for k, p in PRODUCT_SHOWN.items() for x in (F.lit(k), _found(text, p))]), product)
+    most = _found(text, MOST)
+    shown = {
+        "profit_share_rate": rate_shown(text), "term_months": _found(text, TERM), "installment_count": _found(text, INSTALMENT), "discount_rate": _found(text, DISCOUNT),
+        "reward_amount": F.try_element_at(_every(text, REWARD), F.lit(-1)), "max_amount": most, "financing_amount": most, "min_amount": _found(text, LEAST),
+        "application_channel": _found(text, CHANNEL), "condition": condition(text), "target_audience": told["shown"], "product_type": shown_product,
+        "financing_type": F.when(financing_type(text).isNotNull(), _found(text, FINANCING_SHOWN)), "fee_information": F.when(_has(lower(text), FREE), FREE[0]), "campaign_benefit": benefit(text),
+    }
+    return F.map_filter(F.create_map(*[x for k, c in shown.items() for x in (F.lit(k), c)]), lambda k, v: v.isNotNull())
+
+
+def condition(text: Column) -> Column:
+    return F.btrim(_found(text, CONDITION, 1), F.lit(" ,;:-"))
 
 
 def prd_fields(x: Column | str) -> Column:
-    """fields() of each text, as one struct."""
-    return F.pandas_udf(_frame, ", ".join(f"{k} {t}" for k, t in KINDS.items()))(x)
+    """All fields of a text, as one struct; what it doesn't say is null.  Rates that differ leave the rate empty, as candidates."""
+    text = F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
+    found, told, most = rates(text), audience(text), total(_found(text, MOST, 1))
+    own = {
+        "product_type": product_type(text), "financing_type": financing_type(text), "profit_share_rate": F.when(F.size(found) == 1, F.get(found, 0)), "rate_candidates": F.when(F.size(found) > 1, found),
+        "financing_amount": most, "term_months": _found(text, TERM, 1).cast("int"), "duration": duration(text), "installment_count": _found(text, INSTALMENT, 1).cast("int"), "campaign_benefit": benefit(text),
+        "reward_amount": total(F.try_element_at(_every(text, REWARD), F.lit(-1))), "min_amount": total(_found(text, LEAST, 1)), "max_amount": most,
+        "discount_rate": ratio(F.coalesce(_found(text, DISCOUNT, 1), _found(text, DISCOUNT, 2))), "target_audience": told["label"], "fee_information": F.when(_has(lower(text), FREE), FREE[0]),
+        "application_channel": _found(text, CHANNEL), "condition": condition(text), "evidence": evidence(text, product_type(text), told),
+    }
+    return F.struct(*(own[k].cast(t).alias(k) if t != "map<string,string>" else own[k].alias(k) for k, t in KINDS.items()))
 
 
 def contract(field: str, value: Column, raw: Column, text: Column, product_type: Column, conflicts: Column | None = None) -> Column:

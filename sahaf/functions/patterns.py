@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from re import _parser as parser
 
 from pyspark.sql import Column
@@ -75,12 +76,44 @@ def grams(text: Column, sizes: set[int]) -> Column:
     return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1)) for n in sorted(sizes))))
 
 
-def places(text: Column, pattern: str, group: int = 0) -> Column:
-    """(start, end, text) of every match of a pattern, or of a group that has text on neither side in the match."""
-    marked = F.regexp_replace(F.translate(text, OPEN + CLOSE, "  "), pattern, f"{OPEN}${group}{CLOSE}")
-    parts = F.split(marked, f"[{OPEN}{CLOSE}]", -1)
-    every = F.transform(parts, lambda x: F.length(x))
-    step = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS ARRAY<INT>)").alias("ends"))
-    ends = F.aggregate(every, step, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["ends"], F.array(a["at"] + n)).alias("ends")), lambda a: a["ends"])
-    odd = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda k: k % 2 == 0)
-    return F.when(F.size(parts) > 1, F.transform(odd, lambda k: F.struct(F.element_at(ends, k - 1).alias("start"), F.element_at(ends, k).alias("end"), F.element_at(parts, k).alias("text")))).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, text: STRING>>)"))
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x evaluated once however often it is used."""
+    return F.get(F.transform(F.array(x), use), 0)
+
+
+#: Numbers that are summed up one by one; sums of longer arrays are put together from theirs.
+CHUNK = 256
+
+
+def running_sums(numbers: Column) -> Column:
+    """The sum up to each of an array of ints, in steps that stay nearly linear for long arrays."""
+
+    def grow(values: Column) -> Column:
+        start = F.struct(F.lit(0).alias("sum"), F.expr("CAST(array() AS ARRAY<INT>)").alias("sums"))
+        return F.aggregate(values, start, lambda a, n: F.struct((a["sum"] + n).alias("sum"), F.concat(a["sums"], F.array(a["sum"] + n)).alias("sums")), lambda a: a["sums"])
+
+    def put_together(own: Column) -> Column:
+        return let(grow(F.transform(own, lambda e: F.element_at(e, -1))), lambda ends: F.flatten(F.transform(own, lambda e, k: F.transform(e, lambda v: v + F.when(k > 0, F.get(ends, k - 1)).otherwise(0)))))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / CHUNK).cast("int")), lambda c: grow(F.slice(numbers, c * CHUNK + 1, F.lit(CHUNK))))
+    return F.when(F.size(numbers) <= CHUNK, grow(numbers)).otherwise(let(chunks, put_together))
+
+
+NO_PLACES = "CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, text: STRING>>)"
+
+
+def between_marks(marked: Column) -> Column:
+    """(start, end, text) of what stands between marks, places counted without them."""
+
+    def cut(parts: Column) -> Column:
+        ends = running_sums(F.transform(parts, lambda x: F.length(x)))
+        both = F.arrays_zip(parts.alias("text"), ends.alias("end"))
+        inner = F.filter(both, lambda x, k: k % 2 == 1)
+        return F.transform(inner, lambda x: F.struct((x["end"] - F.length(x["text"])).alias("start"), x["end"].alias("end"), x["text"].alias("text")))
+
+    return F.when(F.contains(marked, F.lit(OPEN)), let(F.split(marked, f"[{OPEN}{CLOSE}]", -1), cut)).otherwise(F.when(marked.isNotNull(), F.expr(NO_PLACES)))
+
+
+def places(text: Column, pattern: str) -> Column:
+    """(start, end, text) of every match of a pattern."""
+    return between_marks(F.regexp_replace(F.translate(text, OPEN + CLOSE, "  "), f"({pattern})", f"{OPEN}$1{CLOSE}"))

@@ -33,7 +33,8 @@ def announced(spark, d):
 #: Notices in natural wording, put together from sentences that the order's number picks.
 SENTENCES = [
     ["Konut finansmanında %1,{n} kâr payı oranı ile {m} ay vade.", "Taşıt finansmanı: kâr payı oranı %2,{n} ve {m} ay vadeli.", "İhtiyaç finansmanı %3,{n} oranla {m} ay vade sunar.", "Worldpuan kart ile {m} taksit; %{n} indirim.",
-     "Yatırım için altın hesabı açın, avantaj kazanın.", "Alışveriş puan fırsatı: 2.000 TL harcamaya {n} TL ödül.", "Yeni müşterilere hoş geldin hediyesi.", "Günlük hesap fırsatı; vadeni boz ve %4,{n} oran kazan.", "Kur fırsatı var.", "Avantajlı oran için başvurun."],
+     "Yatırım için altın hesabı açın, avantaj kazanın.", "Alışveriş puan fırsatı: 2.000 TL harcamaya {n} TL ödül.", "Yeni müşterilere hoş geldin hediyesi.", "Günlük hesap fırsatı; vadeni boz ve %4,{n} oran kazan.", "Kur fırsatı var.", "Avantajlı oran için başvurun.",
+     "Müşterimiz olun, kur fırsatı yakalayın.", "Kur fırsatı kazandırır; müşterimiz olun.", "Vadeni boz, günlük hesap aç.", "Hayat Finanslı olun, {n} TL kazanın.", "Paraf kredi kart fırsatı."],
     ["1{n}.000 TL kadar.", "En az 5.0{n} TL ile başvurun.", "1,5 milyon TL tutara kadar.", "", "3 gün içinde sonuç.", "$ 2{n} ile başlar."],
     ["Emekliler için geçerlidir.", "Öğrenciler hariç.", "KOBİ ve esnaf için.", "Mevcut müşterilerimiz kartınızla kazanır.", "Doktorlara açıktır.", "", "Bireysel müşteriler dahil değil; üniversite öğrencileri katılır."],
     ["Başvuru mobil uygulama üzerinden.", "İnternet şubesi yeterlidir.", "Sigorta yaptırma şartı vardır.", "Masrafsız işlem.", ""],
@@ -62,11 +63,11 @@ def told(spark, d):
 
 #: The same rules over the texts, in SQL.
 SHARES = r"list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(text, '%\s*([0-9][0-9.,]*)\s*(?:[Kk][aâ]r\s+pay[ıi]|[Oo]ran)', 1), regexp_extract_all(text, '(?:[Kk][aâ]r\s+pay[ıi](?:\s+oran[ıi])?|[Oo]ran[ıi]?)\s*%\s*([0-9][0-9.,]*)', 1)), lambda x: round(replace(trim(x, ',.'), ',', '.')::DOUBLE / 100, 6))))"
-PRODUCT = "CASE WHEN contains(low, 'finansman') THEN 'financing' WHEN contains(low, 'günlük hesap') AND contains(low, 'vadeni boz') THEN 'investment' WHEN contains(low, 'kart') OR contains(low, 'bonus') THEN 'card' WHEN contains(low, 'yatırım') OR contains(low, 'katılma hesab') OR contains(low, 'altın') THEN 'investment' WHEN contains(low, 'alışveriş puan') THEN 'shopping_points' WHEN contains(low, 'yeni müşteri') THEN 'new_customer' END"
+PRODUCT = "CASE WHEN contains(low, 'finansman') THEN 'financing' WHEN (contains(low, 'günlük hesap') AND contains(low, 'vadeni boz')) OR (contains(low, 'kur fırsat') AND contains(low, 'müşterimiz olun')) THEN 'investment' WHEN contains(low, 'kart') OR contains(low, 'bonus') THEN 'card' WHEN contains(low, 'yatırım') OR contains(low, 'katılma hesab') OR contains(low, 'altın') THEN 'investment' WHEN contains(low, 'alışveriş puan') THEN 'shopping_points' WHEN contains(low, 'yeni müşteri') THEN 'new_customer' END"
 SUM_OF = r"replace(replace(regexp_extract({0}, '[0-9][0-9.,]*'), '.', ''), ',', '.')::DOUBLE * CASE WHEN contains({0}, 'milyon') THEN 1000000 ELSE 1 END"
 MOST = r"regexp_extract(text, '([0-9][0-9.,]*(?:\s+milyon)?\s*TL)(?:\s+tutar[aı])?\s+kadar', 1)"
 LEAST = r"regexp_extract(text, '[Ee]n\s+az\s+([0-9][0-9.,]*\s*TL)', 1)"
-AUDIENCE = r"list_extract(list_filter(list_transform(list_filter(regexp_split_to_array(low, '[\n.!?;]+'), lambda s: NOT regexp_matches(s, 'hariç|dahil değil|geçerli değil|kapsam dışı')), lambda s: CASE WHEN regexp_matches(s, 'yeni müşteri|hoş geldin|müşteri ol[au]n') THEN 'new_customer' WHEN contains(s, 'emekli') THEN 'retiree' WHEN contains(s, 'doktor') THEN 'public_sector' WHEN regexp_matches(s, 'kobi|esnaf') THEN 'commercial' WHEN regexp_matches(s, 'öğrenci|üniversite') THEN 'student' WHEN regexp_matches(s, 'kartınız|(bireysel|mevcut) müşteri') THEN 'existing_customer' END), lambda x: x IS NOT NULL), 1)"
+AUDIENCE = r"list_extract(list_filter(list_transform(list_filter(regexp_split_to_array(low, '[\n.!?;]+'), lambda s: NOT regexp_matches(s, 'hariç|dahil değil|geçerli değil|kapsam dışı')), lambda s: CASE WHEN regexp_matches(s, 'yeni müşteri|hoş geldin|müşteri ol[au]n|hayat finanslı ol') THEN 'new_customer' WHEN contains(s, 'emekli') THEN 'retiree' WHEN contains(s, 'doktor') THEN 'public_sector' WHEN regexp_matches(s, 'kobi|esnaf') THEN 'commercial' WHEN regexp_matches(s, 'öğrenci|üniversite') THEN 'student' WHEN regexp_matches(s, 'kartınız|(bireysel|mevcut) müşteri|paraf kredi kart') THEN 'existing_customer' END), lambda x: x IS NOT NULL), 1)"
 TERM = r"try_cast(regexp_extract(text, '([0-9]{1,3})\s*ay\s*vade', 1) AS INT)"
 
 
@@ -149,50 +150,6 @@ def x23(spark, d):
     return announced(spark, d).select("id", x.anchored(F.col("text"), F.lit(0), F.lit(5), value).alias("start"))
 
 
-@query("x22_span_sentences", f"SELECT {K} AS id, concat('En fazla ', 1 + {K} % 9, '00.000 TL verilir.') AS sentence, false AS excluded FROM orders")
-def x22(spark, d):
-    """The sentence that holds a span, and whether it excludes."""
-    sentences = F.split("text", r"(?<=[.!?])\s+")
-    s = F.filter(sentences, lambda v: v.contains("En fazla"))[0]
-    return announced(spark, d).select("id", s.alias("sentence"), s.rlike(x.EXCLUSION).alias("excluded"))
-
-
-@query("n11_date_ranges", f"SELECT {K} AS id, strftime(make_date(2024, 3, (1 + {K} % 28)::INT), '%Y-%m-%d') AS start, strftime(make_date(2024, 5, (1 + {K} % 28)::INT), '%Y-%m-%d') AS \"end\" FROM orders")
-def n11(spark, d):
-    return announced(spark, d).select("id", x.date_ranges(2024)("text").alias("r")).select("id", F.col("r.start").cast("string").alias("start"), F.col("r.end").cast("string").alias("end"))
-
-
-@query("n12_end_dates", f"SELECT {K} AS id, CASE WHEN {K} % 3 <> 0 THEN strftime(make_date(2025, 6, (1 + {K} % 28)::INT), '%Y-%m-%d') END AS \"end\" FROM orders")
-def n12(spark, d):
-    """An end without a start counts, unless it is a reward's."""
-    lead = F.when(F.col(K) % 3 == 0, "Puanlar ").otherwise("Kampanya ")
-    own = frame(spark, d, "orders").select(F.col(K).alias("id"), F.concat(lead, (1 + F.col(K) % 28).cast("string"), F.lit(" Haziran tarihine kadar geçerlidir.")).alias("text"))
-    return own.select("id", x.date_ranges(2025)("text").alias("r")).select("id", F.col("r.end").cast("string").alias("end"))
-
-
-@query("e15_weak_spans", f"SELECT {K} AS id, 1 AS money, CASE WHEN {K} % 7 = 0 THEN 2 ELSE 1 END AS rates, 1 AS durations FROM orders")
-def e15(spark, d):
-    s = announced(spark, d).select("id", x.weak_spans("text").alias("s"))
-    count = lambda label: F.size(F.filter("s", lambda v: v["label"] == label))
-    return s.select("id", count("MONEY").alias("money"), count("RATE").alias("rates"), count("DURATION").alias("durations"))
-
-
-@query("w11_exclusive_spans", f"{A} SELECT id, true AS apart FROM a")
-def w11(spark, d):
-    """No two spans of a text overlap."""
-    s = announced(spark, d).select("id", x.weak_spans("text").alias("s"))
-    return s.select("id", F.forall(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.get(F.col("s"), i)["start"] >= F.get(F.col("s"), i - 1)["end"]).alias("apart"))
-
-
-@query("e16_longest_spans", "SELECT event_id, 2 AS n FROM events")
-def e16(spark, d):
-    def span(a, b, label):
-        return F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(label).alias("label"), F.lit("").alias("text"))
-
-    own = frame(spark, d, "events").select("event_id", F.array(span(0, 5, "a"), span(3, 12, "b"), span(12, 14, "c"), span(13, 14, "d")).alias("s"))
-    return own.select("event_id", F.size(x.longest_spans("s")).alias("n"))
-
-
 @query("u07_merged_spans", "SELECT event_type AS label, count(*) AS n FROM (SELECT event_id, user_id, event_type FROM events WHERE event_id % 2 = 0 UNION SELECT event_id, user_id, event_type FROM events WHERE event_id % 3 = 0) GROUP BY 1")
 def u07(spark, d):
     own = frame(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("start"), (F.col("user_id") + 3).alias("end"), F.col("event_type").alias("label"))
@@ -221,14 +178,6 @@ def e22(spark, d):
     return frame(spark, d, "conversations").select("conv_id", "turn", F.when(F.contains(low, F.lit("the")), "en").when(F.contains(low, F.lit("der")), "de").otherwise("other").alias("intent"))
 
 
-@query("e23_entity_overlay", "SELECT user_id, list_sort(list(DISTINCT CASE WHEN event_type = 'error' THEN 'failure' ELSE event_type END)) AS labels FROM events GROUP BY 1")
-def e23(spark, d):
-    """The labels of one set are replaced, the others stay."""
-    old = frame(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("l"))
-    kept, new = F.filter("l", lambda v: v != "error"), F.when(F.array_contains("l", "error"), F.array(F.lit("failure"))).otherwise(F.array().cast("array<string>"))
-    return old.select("user_id", F.array_sort(F.concat(kept, new)).alias("labels"))
-
-
 @query("e24_stale_labels", "SELECT doc_id, CASE WHEN l.h IS NULL THEN 'missing' WHEN l.h <> md5(text) THEN 'stale' ELSE 'good' END AS state FROM documents LEFT JOIN (SELECT doc_id, md5(CASE WHEN doc_id % 11 = 0 THEN upper(text) || '!' ELSE text END) AS h FROM documents WHERE doc_id % 6 <> 0) l USING (doc_id)")
 def e24(spark, d):
     own = frame(spark, d, "documents")

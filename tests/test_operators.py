@@ -131,13 +131,6 @@ def test_conversation_carries_criteria():
     assert [p.amount for p in planner.conversation(turns)] == [500000.0, 500000.0]
 
 
-def test_date_ranges(spark):
-    rows = ["1 Mart - 31 Mayıs 2024", "5 - 9 Haziran", "01.02.2024 - 03.02.2024", "ödül 5 Mart tarihine kadar", "30 Şubat tarihine kadar", None]
-    df = spark.createDataFrame(pd.DataFrame({"k": range(6), "x": rows}))
-    got = [tuple(map(str, r["r"])) for r in df.select("k", extract.date_ranges(2025)("x").alias("r")).orderBy("k").collect()]
-    assert got == [("2024-03-01", "2024-05-31"), ("2025-06-05", "2025-06-09"), ("2024-02-01", "2024-02-03"), ("None", "None"), ("None", "None"), ("None", "None")]
-
-
 def test_breaker_opens_and_probes(spark):
     rows = [(1, k, k, k not in (0, 1, 2)) for k in range(4)] + [(1, 9, 700, True), (1, 10, 701, True)]
     got = [r["state"] for r in jobs.breaker(spark.createDataFrame(rows, "provider long, event_id long, at long, ok boolean"), 3, 600).orderBy("event_id").collect()]
@@ -272,13 +265,62 @@ def test_frozen_values_and_recent_keys():
     assert values.recent_hits(list("abacab"), 2) == [False, False, True, False, True, False]
 
 
-def test_fields_of_notices():
-    f = fields.fields("Konut finansmanında %1,89 kâr payı oranı ile 120 ay vade. 1,5 milyon TL tutara kadar. Emekliler hariç; öğrenciler için. Ayrıca %2,10 oran.")
+def fields_of(spark, *texts):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    return [r.f for r in df.select("k", fields.prd_fields("text").alias("f")).orderBy("k").collect()]
+
+
+def test_fields_of_notices(spark):
+    f, g, none, empty = fields_of(
+        spark,
+        "Konut finansmanında %1,89 kâr payı oranı ile 120 ay vade. 1,5 milyon TL tutara kadar. Emekliler hariç; öğrenciler için. Ayrıca %2,10 oran.",
+        "Worldpuan kart ile 3 taksit ve %15 indirim! 2.000 TL harcamaya 250 TL ödül. En az 5.000 TL ile. Masrafsız. Başvuru mobil uygulama üzerinden.",
+        None,
+        "",
+    )
     assert (f["product_type"], f["financing_type"], f["profit_share_rate"], f["rate_candidates"], f["term_months"], f["max_amount"]["minor"], f["target_audience"]) == ("financing", "housing", None, [0.0189, 0.021], 120, 150_000_000, "student")
-    f = fields.fields("Worldpuan kart ile 3 taksit ve %15 indirim! 2.000 TL harcamaya 250 TL ödül. En az 5.000 TL ile. Masrafsız. Başvuru mobil uygulama üzerinden.")
-    assert (f["product_type"], f["installment_count"], f["discount_rate"], f["reward_amount"]["amount"], f["min_amount"]["amount"], f["fee_information"], f["application_channel"]) == ("card", 3, 0.15, 250.0, 5000.0, "masrafsız", "mobil uygulama")
-    assert {k for k, v in fields.fields(None).items() if v} == set()
-    assert fields.number("1.234,50") == fields.number("1,234.50") == Decimal("1234.50") and fields.number("1.234") == 1234 and fields.number("2,5") == Decimal("2.5")
+    assert f["duration"].asDict() == {"value": 120, "unit": "month", "approx_days": 3600}
+    assert f["evidence"] == {"profit_share_rate": "%1,89 kâr payı oranı", "term_months": "120 ay vade", "max_amount": "1,5 milyon TL tutara kadar", "financing_amount": "1,5 milyon TL tutara kadar", "target_audience": "öğrenciler", "financing_type": "Konut"}
+    assert (g["product_type"], g["installment_count"], g["discount_rate"], g["reward_amount"]["amount"], g["min_amount"]["amount"], g["fee_information"], g["application_channel"]) == ("card", 3, 0.15, 250.0, 5000.0, "masrafsız", "mobil uygulama")
+    for r in (none, empty):
+        assert {k: v for k, v in r.asDict().items() if v} == {}
+
+
+PRODUCT_TEXTS = [
+    ("Müşterimiz olun, kur fırsatı yakalayın", "investment"),
+    ("Kur fırsatı.\nMüşterimiz olun", "investment"),
+    ("Günlük hesap açın.\nVadeni boz", "investment"),
+    ("Vadeni boz günlük hesap", "investment"),
+    ("Kur fırsatı var", None),
+    ("KART FIRSATI", "card"),
+    ("Alışveriş puan kazanın", "shopping_points"),
+    ("Yeni müşteri olun", "new_customer"),
+    ("Taşıt finansmanı ve kart", "financing"),
+]
+AUDIENCE_TEXTS = [
+    ("Hayat Finanslı olun", "new_customer", "Hayat Finanslı olun"),
+    ("Hayat Finanslı müşteriler", None, None),
+    ("Mobilden 5 dakikada müşteri olun", "new_customer", "müşteri olun"),
+    ("Emekliler hariç. Doktorlara özel", "public_sector", "Doktorlara"),
+    ("Esnafımız", None, None),
+    ("KOBİ'ler için", "commercial", "KOBİ"),
+    ("Gençlere kartınızla", "student", "Gençlere"),
+    ("Paraf kart", "existing_customer", "Paraf kart"),
+    ("Paraf", None, None),
+    ("Kuveyt Türklülere özel", "existing_customer", None),
+]
+
+
+def test_products_and_audiences(spark):
+    assert [f["product_type"] for f in fields_of(spark, *(t for t, _ in PRODUCT_TEXTS))] == [p for _, p in PRODUCT_TEXTS]
+    got = [(f["target_audience"], f["evidence"].get("target_audience")) for f in fields_of(spark, *(t for t, _, _ in AUDIENCE_TEXTS))]
+    assert got == [(a, s) for _, a, s in AUDIENCE_TEXTS]
+
+
+def test_one_field_computes_no_other_and_no_python(spark):
+    df = spark.createDataFrame([("x",)], "text string").select(fields.prd_fields("text").alias("f"))
+    whole, one = (d._jdf.queryExecution().executedPlan().toString() for d in (df, df.select("f.fee_information")))
+    assert "Python" not in whole and "Pandas" not in whole and "taksit" not in one
 
 
 def test_records_that_are_wrong(spark):
