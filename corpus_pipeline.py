@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sahaf.llm import decontamination, neardup, packing, suffixes, toxicity
-from sahaf.llm.common import drop, materialize, table
+from sahaf.llm.common import drop, materialize, scratch, table
 
 #: Near-duplicates share 0.8 of their five-word shingles.
 NEAR = neardup.Similarity(width=5, percent=80)
@@ -70,13 +70,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of sf_dir, each on the written result of the one before, which is deleted after it."""
+    """All stages on the documents of sf_dir, each on the written result of the one before.
+
+    What a stage wrote for itself is deleted when its result is written, and that result when the next one is.
+    """
     docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, name)
-            if before is not None:
-                drop(before)
-            before = docs
-    return docs
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with scratch() as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), name))
+        if before is not None:
+            drop(before)
+        before = docs
