@@ -28,9 +28,9 @@ from . import common
 #: The mark that stands for a space.
 SPACE = "▁"
 #: Segments that a worker remembers, and the characters of the longest of them; what comes later is encoded again.
-CACHE_SEGMENTS, CACHED_CHARACTERS = 500_000, 64
+CACHE_SEGMENTS, CACHED_CHARACTERS = 400_000, 64
 #: Pairs of pieces whose test a worker remembers before it starts anew.
-CACHE_PAIRS = 2_000_000
+CACHE_PAIRS = 500_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 
 
