@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numbers import MONTHS
-
+#: The months as texts spell them.
+MONTHS = {"ocak": 1, "şubat": 2, "subat": 2, "mart": 3, "nisan": 4, "mayıs": 5, "mayis": 5, "haziran": 6, "temmuz": 7, "ağustos": 8, "agustos": 8, "eylül": 9, "eylul": 9, "ekim": 10, "kasım": 11, "kasim": 11, "aralık": 12, "aralik": 12}
 MONTH = "|".join(MONTHS)
 NUMERIC = r"(?<!\d)\d{1,2}[./-]\d{1,2}[./-]\d{4}"
 TEXTUAL = rf"(?<!\d)\d{{1,2}}\s*(?:{MONTH})(?:\s*\d{{4}})?"
@@ -55,7 +55,7 @@ def _date(day: Column, month: Column, year: Column) -> Column:
 
 
 def _numbered(month: Column) -> Column:
-    return F.array_position(F.array(*map(F.lit, MONTHS)), lower(month)).cast("string")
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv]), lower(month)).cast("string")
 
 
 def parse(x: Column, year: Column) -> Column:

@@ -1,12 +1,11 @@
-"""Intents, slots and routes of questions, by a table of rules in order of precedence."""
+"""Intents, slots and routes of questions: a table of rules in order of precedence, applied as columns of Spark."""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from functools import reduce
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,128 +69,136 @@ STRUCTURED = {"bank_list": None, "campaign_count": None, "rate_query": "PROFIT_R
 REDIRECTED = {"complaint_support", "transaction_howto", "unknown"}
 
 
-@dataclass(frozen=True)
-class Question:
-    intent: str
-    route: str
-    canonical: str
-    banks: tuple[str, ...] = ()
-    product_type: str | None = None
-    financing_type: str | None = None
-    metric: str | None = None
-    aggregation: str | None = None
-    confidence: float = 0.0
-    sources: tuple[str, ...] = ()
-    warnings: tuple[str, ...] = field(default=())
-
-
-def small(text: str) -> str:
-    return " ".join(text.replace("I", "ı").replace("İ", "i").lower().split())
-
-
-def says(text: str, how: str, words: str) -> list[str]:
-    """Which of the words (parted by |) the text has."""
-    edge = {INSIDE: "{}", PHRASE: r"(?<!\w){}(?!\w)", STEM: r"(?<!\w){}\w*"}[how]
-    return [w for w in words.split("|") if re.search(edge.format(re.escape(w)), text)]
-
-
-def rewritten(text: str) -> tuple[str, tuple[str, ...]]:
-    """The text in the domain's own words, the longest of the others first, and which were replaced."""
-    used = []
-    for surface in sorted(ALIASES, key=len, reverse=True):
-        changed = re.sub(rf"(?<!\w){re.escape(surface)}(?!\w)", ALIASES[surface], text)
-        if changed != text:
-            used.append(surface)
-            text = changed
-    return text, tuple(used)
-
-
-def metric_of(text: str) -> tuple[str | None, str | None]:
-    """What is asked about, and whether the least or the most of it."""
-    if says(text, STEM, "kâr payı|kar payı|oran"):
-        return "PROFIT_RATE", "MIN" if "düşük" in text else "MAX" if "yüksek" in text else None
-    if says(text, INSIDE, "vade|kaç ay"):
-        return "MATURITY", "MAX" if "uzun" in text else None
-    if says(text, INSIDE, "masraf|ücret|aidat"):
-        return "FEE", "MIN" if says(text, INSIDE, "düşük|az") else None
-    if says(text, INSIDE, "ödül|puan"):
-        return "REWARD_AMOUNT", "MAX" if "yüksek" in text else None
-    return None, None
-
-
-def product_of(text: str) -> tuple[str | None, str | None]:
-    """The most telling product term: one with a financing type first, then others before `finansman`, then the longest."""
-    found = [t for t in PRODUCT_TERMS if says(text, STEM, t)]
-    if not found:
-        return None, None
-    return PRODUCT_TERMS[max(found, key=lambda t: (2 if PRODUCT_TERMS[t][1] else 0 if t == "finansman" else 1, len(t)))]
-
-
-def flags_of(text: str, product: str | None, banks: tuple[str, ...], metric: str | None) -> set[str]:
+def small(text: Column) -> Column:
+    """Lower case as the language has it, with single blanks."""
+    return F.trim(F.regexp_replace(F.lower(F.translate(text, "Iİ", "ıi")), r"(?U)\s+", " "))
+
+
+_WORD = r"[\p{L}\p{N}_]"
+_EDGES = {INSIDE: "(?:{})", PHRASE: f"(?<!{_WORD})(?:{{}})(?!{_WORD})", STEM: f"(?<!{_WORD})(?:{{}})"}
+
+
+def says(text: Column, how: str, words: str) -> Column:
+    """Whether the text has one of the words (parted by |)."""
+    return text.rlike(_EDGES[how].replace("{}", "|".join(map(re.escape, words.split("|")))))
+
+
+def _count(text: Column, how: str, words: str) -> Column:
+    return reduce(lambda a, b: a + b, (says(text, how, w).cast("int") for w in words.split("|")))
+
+
+def rewritten(text: Column) -> Column:
+    """The text in the domain's own words, the longest of the others first."""
+    return reduce(lambda c, w: F.regexp_replace(c, _EDGES[PHRASE].replace("{}", re.escape(w)), ALIASES[w]), sorted(ALIASES, key=len, reverse=True), text)
+
+
+#: What is asked about, the words that show it, and those that ask for the least or the most of it.
+METRICS = (
+    ("PROFIT_RATE", (STEM, "kâr payı|kar payı|oran"), "düşük", "yüksek"),
+    ("MATURITY", (INSIDE, "vade|kaç ay"), None, "uzun"),
+    ("FEE", (INSIDE, "masraf|ücret|aidat"), "düşük|az", None),
+    ("REWARD_AMOUNT", (INSIDE, "ödül|puan"), None, "yüksek"),
+)
+
+
+def metric_of(text: Column) -> Column:
+    """(metric, aggregation): what is asked about, and whether the least or the most of it."""
+    nothing = F.lit(None).cast("string")
+
+    def pair(name: str, least: str | None, most: str | None) -> Column:
+        wish = F.when(says(text, INSIDE, least), "MIN") if least else None
+        if most:
+            wish = F.when(says(text, INSIDE, most), "MAX") if wish is None else wish.when(says(text, INSIDE, most), "MAX")
+        return F.struct(F.lit(name).alias("metric"), (nothing if wish is None else wish).alias("aggregation"))
+
+    (name, words, least, most), *others = METRICS
+    out = F.when(says(text, *words), pair(name, least, most))
+    return reduce(lambda c, m: c.when(says(text, *m[1]), pair(m[0], *m[2:])), others, out).otherwise(F.struct(nothing.alias("metric"), nothing.alias("aggregation")))
+
+
+def product_of(text: Column) -> Column:
+    """The most telling product term (product_type, financing_type): one with a financing type first, then others before
+    `finansman`, then the longest, then the first."""
+
+    def term(k: int, t: str) -> Column:
+        product, financing = PRODUCT_TERMS[t]
+        rank = 2 if financing else 0 if t == "finansman" else 1
+        return F.when(says(text, STEM, t), F.struct(F.lit(rank).alias("rank"), F.lit(len(t)).alias("n"), F.lit(-k).alias("k"), F.lit(product).alias("product_type"), F.lit(financing).cast("string").alias("financing_type")))
+
+    return F.array_max(F.array_compact(F.array(*(term(k, t) for k, t in enumerate(PRODUCT_TERMS)))))
+
+
+def banks_in(text: Column, banks: dict[str, str]) -> Column:
+    """The slugs of the named banks in the order of their first places, longer names before shorter ones at one place."""
+    if not banks:
+        return F.array().cast("array<string>")
+    place = lambda name, slug: F.when(says(text, STEM, name), F.struct(F.position(F.lit(name), text).alias("at"), F.lit(-len(name)).alias("n"), F.lit(slug).alias("slug")))
+    found = F.array_sort(F.array_compact(F.array(*(place(*b) for b in banks.items()))))
+    return F.array_distinct(F.transform(found, lambda x: x["slug"]))
+
+
+TERMS = "katılım banka|katılım finans|katılım esas|kâr payı|kar payı|fon havuzu|gecikme cezası|cezai şart|temerrüt|" + "|".join(CONTRACTS)
+
+
+def _flags(text: Column, product: Column, banks: Column, metric: Column) -> dict[str, Column]:
     """What the rules need: a product, the domain, a campaign, a metric."""
-    topic = says(text, PHRASE, "taksit|alışveriş|harcama|akaryakıt|ekstre|bonus|indirim")
-    signal = bool(topic) and bool(says(text, STEM, "banka|kart"))
-    terms = says(text, STEM, "katılım banka|katılım finans|katılım esas|kâr payı|kar payı|fon havuzu|gecikme cezası|cezai şart|temerrüt|" + "|".join(CONTRACTS))
-    domain = product or banks or signal or terms or metric in ("REWARD_AMOUNT", "FEE") or "vade" in text
-    out = {metric} if metric else set()
-    out |= {"product"} if product else set()
-    out |= {"domain"} if domain else set()
-    out |= {"domain or banks"} if domain or len(banks) > 1 else set()
-    return out | ({"campaign"} if signal or says(text, STEM, "kampanya") else set())
-
-
-def intent_of(text: str, flags: set[str]) -> tuple[str, float]:
-    """The first rule that fits, else the intent with the most words, else a product search within the domain."""
-    for rule in RULES:
-        if set(rule.needs) <= flags and all(says(text, how, words) for how, words in rule.groups) and not (rule.forbids and says(text, INSIDE, rule.forbids)):
-            return rule.intent, rule.confidence
-    scores = {i: len(says(text, STEM, words)) for i, words in SCORED.items() if i not in DOMAIN_ONLY or "domain" in flags}
-    best = max(scores, key=scores.get, default=None)
-    if best and scores[best]:
-        return best, min(0.98, 0.78 + 0.08 * scores[best])
-    return ("product_search", 0.55) if "domain" in flags else ("unknown", 0.0)
-
-
-def route_of(intent: str, metric: str | None, aggregation: str | None, trusted: bool) -> str:
+    signal = says(text, PHRASE, "taksit|alışveriş|harcama|akaryakıt|ekstre|bonus|indirim") & says(text, STEM, "banka|kart")
+    asked = lambda *names: F.coalesce(metric.isin(*names), F.lit(False))
+    domain = product.isNotNull() | (F.size(banks) > 0) | signal | says(text, STEM, TERMS) | asked("REWARD_AMOUNT", "FEE") | says(text, INSIDE, "vade")
+    out = {"product": product.isNotNull(), "domain": domain, "domain or banks": domain | (F.size(banks) > 1), "campaign": signal | says(text, STEM, "kampanya")}
+    return out | {name: asked(name) for name, *_ in METRICS}
+
+
+def _intent(text: Column, flags: dict[str, Column]) -> Column:
+    """(intent, confidence): the first rule that fits, else the intent with the most words, else a product search within the domain."""
+    verdict = lambda intent, sure: F.struct(F.lit(intent).alias("intent"), (F.lit(sure) if isinstance(sure, float) else sure).cast("double").alias("confidence"))
+
+    def fits(rule: Rule) -> Column:
+        parts = [flags[k] for k in rule.needs] + [says(text, how, words) for how, words in rule.groups] + [~says(text, INSIDE, rule.forbids)] * bool(rule.forbids)
+        return reduce(lambda a, b: a & b, parts)
+
+    out = reduce(lambda c, r: c.when(fits(r), verdict(r.intent, r.confidence)), RULES[1:], F.when(fits(RULES[0]), verdict(RULES[0].intent, RULES[0].confidence)))
+    scores = {i: _count(text, STEM, words) * flags["domain"].cast("int") if i in DOMAIN_ONLY else _count(text, STEM, words) for i, words in SCORED.items()}
+    most = F.greatest(*scores.values())
+    for i, score in scores.items():
+        out = out.when((most > 0) & (score == most), verdict(i, F.least(F.lit(0.98), F.lit(0.78) + F.lit(0.08) * score)))
+    return out.when(flags["domain"], verdict("product_search", 0.55)).otherwise(verdict("unknown", 0.0))
+
+
+def route_of(intent: Column, metric: Column, aggregation: Column, trusted: Column) -> Column:
     """Where the answer comes from: typed tables only for what they hold and where the domain is sure."""
-    if intent in REDIRECTED:
-        return "SAFE_REDIRECT"
-    typed = intent in STRUCTURED and STRUCTURED[intent] in (None, metric) or intent == "product_comparison" and metric is not None and aggregation in ("MIN", "MAX")
-    return "STRUCTURED_SQL" if typed and trusted else "HYBRID_RAG"
-
-
-def compile_question(question: str | None, banks: dict[str, str] | None = None) -> Question:
-    """The plan of a question; banks has the slugs of known names.  Without any text nothing is known."""
-    original = " ".join((question or "").split())
-    low = small(original)
-    if not low:
-        return Question("unknown", "SAFE_REDIRECT", "")
-    if says(low, STEM, OUTSIDE):
-        return Question("unknown", "SAFE_REDIRECT", original, warnings=("conventional_finance",))
-    text, _ = rewritten(low)
-    named = sorted((text.find(n), -len(n), slug) for n, slug in (banks or {}).items() if says(text, STEM, n))
-    found = tuple(dict.fromkeys(slug for *_, slug in named))
-    product, financing = product_of(text)
-    metric, aggregation = metric_of(text)
-    flags = flags_of(text, product, found, metric)
-    intent, confidence = intent_of(text, flags)
-    aggregation = "COUNT" if intent == "campaign_count" else aggregation
-    sources = {"product_term": product, "bank_alias": found, "domain_terminology": says(text, STEM, "kâr payı|kar payı|fon havuzu|" + "|".join(CONTRACTS)), "participation_bank_phrase": says(text, STEM, "katılım banka"), "campaign_phrase": says(text, STEM, "kampanya"), "reward_metric_phrase": metric == "REWARD_AMOUNT"}
-    trusted = tuple(sorted(k for k, v in sources.items() if v))
-    warnings = ("no_transactions",) * (intent == "complaint_support") + ("banks_not_named",) * (intent == "product_comparison" and len(found) < 2)
-    return Question(intent, route_of(intent, metric, aggregation, bool(trusted)), text, found, product, financing, metric, aggregation, round(confidence, 6), trusted, warnings)
+    held = reduce(lambda a, b: a | b, ((intent == i) if m is None else (intent == i) & (metric == m) for i, m in STRUCTURED.items()))
+    typed = F.coalesce(held, F.lit(False)) | F.coalesce((intent == "product_comparison") & metric.isNotNull() & aggregation.isin("MIN", "MAX"), F.lit(False))
+    return F.when(intent.isin(*REDIRECTED), "SAFE_REDIRECT").when(typed & trusted, "STRUCTURED_SQL").otherwise("HYBRID_RAG")
 
 
 KINDS = "intent string, route string, product_type string, financing_type string, metric string, aggregation string, confidence double, banks array<string>, sources array<string>, warnings array<string>"
 
 
 def compiled(df: DataFrame, question: str, banks: dict[str, str] | None = None) -> DataFrame:
-    """df with q, the plan of each row's question; each distinct question is compiled once."""
-    names = [k.split()[0] for k in KINDS.split(", ")]
-
-    def run(x: pd.Series) -> pd.DataFrame:
-        made = [compile_question(v, banks) for v in x]
-        return pd.DataFrame({n: pd.Series([list(v) if isinstance(v := getattr(m, n), tuple) else v for m in made], dtype=object) for n in names})
-
-    plan: Column = F.pandas_udf(run, KINDS)(question)
-    return df.join(df.select(question).distinct().withColumn("q", plan), question)
+    """df with q, the plan of each row's question; banks has the slugs of known names.  Of an empty question nothing is known.
+
+    Every step is a projection of its own, so the rules read the rewritten text and don't rewrite it each.
+    """
+    low, text = F.col("_low"), F.col("_text")
+    staged = df.withColumn("_low", F.coalesce(small(F.col(question)), F.lit(""))).withColumn("_text", rewritten(low))
+    staged = staged.withColumns({"_product": product_of(text), "_metric": metric_of(text), "_banks": banks_in(text, banks or {}), "_closed": (low == "") | says(low, STEM, OUTSIDE)})
+    product, metric, found = F.col("_product"), F.col("_metric"), F.col("_banks")
+    staged = staged.withColumn("_intent", _intent(text, _flags(text, product, found, metric["metric"])))
+    intent = F.col("_intent.intent")
+    sources = {
+        "bank_alias": F.size(found) > 0, "campaign_phrase": says(text, STEM, "kampanya"), "domain_terminology": says(text, STEM, "kâr payı|kar payı|fon havuzu|" + "|".join(CONTRACTS)),
+        "participation_bank_phrase": says(text, STEM, "katılım banka"), "product_term": product.isNotNull(), "reward_metric_phrase": F.coalesce(metric["metric"] == "REWARD_AMOUNT", F.lit(False)),
+    }
+    listed = lambda named: F.array_compact(F.array(*(F.when(c, k) for k, c in named.items())))
+    staged = staged.withColumn("_sources", listed(sources))
+    warnings = listed({"no_transactions": intent == "complaint_support", "banks_not_named": (intent == "product_comparison") & (F.size(found) < 2)})
+    aggregation = F.when(intent == "campaign_count", "COUNT").otherwise(metric["aggregation"])
+    whole = {
+        "intent": intent, "route": route_of(intent, metric["metric"], aggregation, F.size("_sources") > 0), "product_type": product["product_type"], "financing_type": product["financing_type"], "metric": metric["metric"],
+        "aggregation": aggregation, "confidence": F.round("_intent.confidence", 6), "banks": found, "sources": F.col("_sources"), "warnings": warnings,
+    }
+    nothing = {"intent": F.lit("unknown"), "route": F.lit("SAFE_REDIRECT"), "confidence": F.lit(0.0), "banks": F.array(), "sources": F.array(), "warnings": F.when(low == "", F.array()).otherwise(F.array(F.lit("conventional_finance")))}
+    kinds = dict(k.split() for k in KINDS.split(", "))
+    struct = lambda own: F.struct(*(own.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()))
+    return staged.withColumn("q", F.when(F.col("_closed"), struct(nothing)).otherwise(struct(whole))).drop("_low", "_text", "_product", "_metric", "_banks", "_closed", "_intent", "_sources")

@@ -1,5 +1,5 @@
 """The queries of the engine's own operators; importing the package registers them all."""
 
-from . import campaigns, dashboard, decisions, indexes, jobs, language, periods, records, search, texts
+from . import campaigns, dashboard, decisions, indexes, jobs, language, periods, policies, records, search, texts
 
-__all__ = ["campaigns", "dashboard", "decisions", "indexes", "jobs", "language", "periods", "records", "search", "texts"]
+__all__ = ["campaigns", "dashboard", "decisions", "indexes", "jobs", "language", "periods", "policies", "records", "search", "texts"]

@@ -7,10 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sahaf.functions import extract
 from sahaf.functions import labels as fixed
 from sahaf.functions import patterns as pt
 from sahaf.functions import spans
-from sahaf.operators import labelling
+from sahaf.operators import labelling, learning
 
 from .registry import query
 from .tables import frame
@@ -263,3 +264,52 @@ def e23(spark, d):
     both = texts.select("id", spans.overlaid(F.col("old"), new, "HEDEF_KITLE").alias("o"))
     named = F.transform("o.spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"), F.lit(" "), s["label"]))
     return both.select("id", "o.added", "o.skipped", F.array_sort(named).alias("spans"))
+
+
+_later = "CASE WHEN id % 7 = 0 THEN concat('Yeni! ', text) WHEN id % 11 = 0 THEN replace(text, 'müşteri', 'kişi') ELSE text END"
+
+
+@query("e24_stale_labels", f"""{SPANS_SQL}, r AS (SELECT id, text, {_later} AS now, list_transform(list_filter(kept, lambda x: x.label = 'HEDEF_KITLE'), lambda x: {{'s': x.s, 'e': x.e, 't': substr(text, x.s + 1, x.e - x.s)}}) AS l FROM k),
+h AS (SELECT id, text, now, l, len(list_filter(l, lambda x: substr(now, x.s + 1, x.e - x.s) = x.t)) AS kept, len(list_filter(l, lambda x: substr(now, x.s + 1, x.e - x.s) <> x.t AND instr(now, x.t) > 0 AND instr(substr(now, instr(now, x.t) + 1), x.t) = 0)) AS moved FROM r)
+SELECT id, CASE WHEN id % 13 = 0 THEN 'missing' WHEN md5(text) <> md5(now) THEN 'stale' ELSE 'good' END AS state, CASE WHEN id % 13 = 0 THEN 0 ELSE kept END::INT AS kept, CASE WHEN id % 13 = 0 THEN 0 ELSE moved END::INT AS moved, CASE WHEN id % 13 = 0 THEN 0 ELSE len(l) - kept - moved END::INT AS removed FROM h""")
+def e24(spark, d):
+    """Audiences that were labelled in campaigns whose texts have changed since: kept, moved, removed, missing."""
+    texts = campaigns(spark, d)
+    labels = texts.where("id % 13 <> 0").select("id", F.md5("text").alias("hash"), F.filter(spans.weak_spans(F.col("text")), lambda s: s["label"] == "HEDEF_KITLE").alias("spans"))
+    now = texts.select("id", F.expr(_later).alias("text")).withColumn("hash", F.md5("text"))
+    rows, _ = learning.revalidated(now, labels)
+    return rows.select("id", "state", "kept", "moved", "removed")
+
+
+@query("f16_fee_free", f"""WITH t AS (SELECT id, regexp_matches({_fold("text")}, '(?i)(?:^|[^\\p{{L}}])(?:masrafsiz|ücretsiz|dosya masrafi yok)(?:$|[^\\p{{L}}])') AS free, regexp_matches({_fold("text")}, '(?i)masraf|ücret') AS about FROM ({CAMPAIGNS}))
+SELECT id, free FROM t WHERE free OR (NOT (SELECT bool_or(free) FROM t) AND about)""")
+def f16(spark, d):
+    """Campaigns that show that they are free of fees; without any, those that speak of fees at all."""
+    own = campaigns(spark, d).select("id", F.col("text").rlike(extract.FREE).alias("free"), F.col("text").rlike("(?iu)masraf|ücret").alias("about"))
+    any_free = F.broadcast(own.agg(F.coalesce(F.bool_or("free"), F.lit(False)).alias("some")))  # one row
+    return own.crossJoin(any_free).where(F.col("free") | (~F.col("some") & F.col("about"))).select("id", "free")
+
+
+#: What shows each type of financing.
+TYPES = {"consumer": r"ihtiyaç|tüketici", "vehicle": r"taşıt|araç|otomobil", "housing": r"konut|\bev\b|kentsel\s+dönüşüm", "commercial": r"ticari|kobi|esnaf|işletme", "agriculture": r"tarım|çiftçi|gübre|tohum", "education": r"eğitim|okul", "land": r"arsa", "workplace": r"iş\s*yeri", "sustainable": r"yeşil|\bges\b"}
+
+
+@query("f17_type_evidence", f"WITH t AS (SELECT id, {_fold('text')} AS x FROM ({CAMPAIGNS})) " + " UNION ALL ".join(f"SELECT id, '{k}' AS kind FROM t WHERE regexp_matches(x, '(?i){p.translate(str.maketrans(*pt.SAME))}')" for k, p in TYPES.items()))
+def f17(spark, d):
+    """The types of financing that a text gives evidence of; rules meet texts by their grams."""
+    met = labelling.meet(campaigns(spark, d), list(TYPES.items()), "kind string", pt.folded(F.col("text")), ignore_case=True)
+    return met.where("pattern is not null").where(F.expr("text rlike pattern")).select("id", "kind").distinct()  # several grams may bring a rule
+
+
+#: Labels of documents that count only with evidence, and what shows them.
+JUNK = r"[%&$#*|!]{2,}|[|]"
+
+
+@query("l03_gated_predictions")
+def l03(spark, d):
+    """Margins of the heads on held-out documents; junk counts only where marks of it stand in the text.  Learned, so no SQL."""
+    own = frame(spark, d, "documents").select("doc_id", "text").join(frame(spark, d, "labels"), "doc_id").withColumns({"junk": 1 - F.col("quality")})
+    model = learning.label_heads(own.where("doc_id % 5 <> 0"), ["junk", "toxic"])
+    held = own.where("doc_id % 5 = 0")
+    evidence = held.where(F.col("text").rlike(JUNK)).select("doc_id", F.lit("junk").alias("label"))
+    return learning.gated_labels(learning.label_margins(model, held, "doc_id"), evidence, "doc_id", ["junk"])

@@ -171,12 +171,14 @@ def q18_campaigns(spark, d):
     return o.compare(frame(spark, d, "offers"), CAMPAIGN, ["bank_id"]).select("id", "advantage", "confidence")
 
 
-@query("j18_pair_keys", sql_with(""", top AS (SELECT bank_id, id FROM offers QUALIFY row_number() OVER (PARTITION BY bank_id ORDER BY max_amount DESC NULLS LAST, id) <= 5)
-SELECT a.bank_id, concat(a.id, ':', b.id) AS key FROM top a JOIN top b ON a.bank_id = b.bank_id AND a.id < b.id""", "offers"))
+@query("j18_pair_keys", sql_with(""", top AS (SELECT bank_id, product_type, id, n_regionkey FROM offers JOIN supplier ON s_suppkey = bank_id JOIN nation ON n_nationkey = s_nationkey WHERE product_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY bank_id, product_type ORDER BY max_amount DESC NULLS LAST, id) = 1)
+SELECT a.product_type, concat(a.id, ':', b.id) AS key FROM top a JOIN top b ON a.product_type = b.product_type AND a.n_regionkey = b.n_regionkey AND a.id < b.id""", "offers"))
 def j18(spark, d):
-    """Keys of the pairs among each bank's five best results."""
-    top = r.first_per_key(frame(spark, d, "offers"), ["bank_id"], [F.desc_nulls_last("max_amount"), F.col("id")], 5).select("bank_id", "id")
-    return top.join(top.withColumnRenamed("id", "other"), "bank_id").where("id < other").select("bank_id", F.concat_ws(":", "id", "other").alias("key"))
+    """Keys of all pairs of a comparison's results: of each product, one result a bank, among the banks of one region."""
+    region = frame(spark, d, "supplier").join(frame(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("bank_id"), "n_regionkey")
+    best = r.first_per_key(frame(spark, d, "offers").where("product_type is not null"), ["bank_id", "product_type"], [F.desc_nulls_last("max_amount"), F.col("id")], 1)
+    top = best.join(region, "bank_id").select("product_type", "n_regionkey", "id")
+    return top.join(top.withColumnRenamed("id", "other"), ["product_type", "n_regionkey"]).where("id < other").select("product_type", F.concat_ws(":", "id", "other").alias("key"))
 
 
 @query("t04_comparison_order", sql_with("SELECT id, row_number() OVER (PARTITION BY bank_id ORDER BY rate IS NULL, max_amount DESC NULLS LAST, rate DESC NULLS LAST, id) AS pos FROM offers", "offers"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from sahaf.functions import values
 from sahaf.operators import learning as le
-from sahaf.operators import planner
 from sahaf.sources import io, store
 from sahaf.streaming import jobs as st
 
@@ -148,25 +147,28 @@ def s08(spark, d):
     return io.crawl(links, spark.createDataFrame([(1,), (2,)], "node long"), 2)
 
 
-@query("s11_known_banks", "SELECT n_nationkey AS bank_id, n_name IN ('NATION_1', 'NATION_2') AS known FROM nation")
+@query("s11_known_banks", "SELECT n_nationkey AS bank_id, lower(trim(n_name)) AS slug, count(s_suppkey) AS branches FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2")
 def s11(spark, d):
-    names = spark.createDataFrame([("NATION_1",), ("NATION_2",)], "n_name string").withColumn("k", F.lit(True))
-    return frame(spark, d, "nation").join(F.broadcast(names), "n_name", "left").select(F.col("n_nationkey").alias("bank_id"), F.coalesce("k", F.lit(False)).alias("known"))
+    """Banks that the register's page lists, by their known names; an unknown one would stop the job."""
+    listed = frame(spark, d, "supplier").join(frame(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit(" "), F.upper("n_name"), F.lit(" ")).alias("name"))
+    known = frame(spark, d, "nation").select(F.col("n_nationkey").alias("bank_id"), F.lower(F.trim("n_name")).alias("slug"))
+    return io.known_banks(listed, known).groupBy("bank_id", "slug").agg(F.count("*").alias("branches"))
 
 
-@query("s13_content_registry", "SELECT count(*) AS files, true AS same FROM (VALUES (1), (2)) t")
+@query("s13_content_registry", "SELECT sha256(text) AS digest, lower(min(concat(source, '/', lang, '-', doc_id, '.TXT'))) AS name, count(*) AS names FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def s13(spark, d):
-    """Files by content: read twice, their digests agree."""
-    both = [spark.read.format("binaryFile").load([f"{d}/region.parquet", f"{d}/nation.parquet"]).select("path", F.sha2("content", 256).alias(c)) for c in ("a", "b")]
-    return both[0].join(both[1], "path").agg(F.count("*").alias("files"), F.min(F.col("a") == F.col("b")).alias("same"))
+    """Documents as files: one entry for each content, under its first name."""
+    files = frame(spark, d, "documents").where("text is not null").select(F.concat("source", F.lit("/"), "lang", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".TXT")).alias("name"), F.encode("text", "UTF-8").alias("content"))
+    return io.content_registry(files)
 
 
-@query("s15_unified_catalogue", "SELECT campaign_key, min_by(display_name, pos) AS display_name, list_sort(list(DISTINCT source)) AS sources FROM (SELECT p_brand AS campaign_key, min(p_name) AS display_name, 'parts' AS source, 0 AS pos FROM part WHERE p_size < 20 GROUP BY 1 UNION ALL SELECT p_brand, max(p_type), 'types', 1 FROM part WHERE p_size > 45 GROUP BY 1) GROUP BY 1")
+@query("s15_unified_catalogue", "SELECT n_name AS campaign_key, coalesce(min(s_name), min(c_name), n_name) AS display_name, list_filter([CASE WHEN count(s_suppkey) > 0 THEN 'suppliers' END, CASE WHEN count(c_custkey) > 0 THEN 'customers' END, 'nations'], lambda x: x IS NOT NULL).list_sort() AS sources FROM nation LEFT JOIN (SELECT s_nationkey, min(s_name) AS s_name, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey LEFT JOIN (SELECT c_nationkey, min(c_name) AS c_name, min(c_custkey) AS c_custkey FROM customer WHERE c_acctbal > 9900 GROUP BY 1) ON c_nationkey = n_nationkey GROUP BY n_name")
 def s15(spark, d):
-    p = frame(spark, d, "part")
-    a = p.where("p_size < 20").groupBy(F.col("p_brand").alias("campaign_key")).agg(F.min("p_name").alias("display_name"))
-    b = p.where("p_size > 45").groupBy(F.col("p_brand").alias("campaign_key")).agg(F.max("p_type").alias("display_name"))
-    return io.unify({"parts": a, "types": b})
+    """Three catalogues by nation: suppliers, customers of high balance, and the nations themselves."""
+    nations = frame(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("campaign_key"))
+    by = lambda t, key, name: frame(spark, d, t).join(nations, F.col(key) == F.col("n_nationkey")).groupBy("campaign_key").agg(F.min(name).alias("display_name"))
+    rich = frame(spark, d, "customer").where("c_acctbal > 9900").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("campaign_key").agg(F.min("c_name").alias("display_name"))
+    return io.unify({"suppliers": by("supplier", "s_nationkey", "s_name"), "customers": rich, "nations": nations.select("campaign_key", F.col("campaign_key").alias("display_name"))})
 
 
 @query("s17_trace_log", "SELECT event_id FROM events WHERE event_type = 'view' AND event_id % 2 = 0 OR event_type = 'view' AND event_id % 2 = 1")
@@ -267,20 +269,6 @@ def st06(spark, d):
     return frame(spark, d, "events").where((F.col("ts") > now - F.expr("INTERVAL 15 MINUTES")) & (F.col("ts") <= now)).groupBy("user_id").agg(F.max_by("event_id", "ts").alias("event_id"))
 
 
-@query("st07_conversation_criteria")
-def st07(spark, d):
-    """Plans of each conversation's user turns in order; what one names carries on to the next."""
-    import pandas as pd
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("turn")
-        own = planner.conversation(list(zip(f["role"], f["text"], strict=True)))
-        return pd.DataFrame({"conv_id": f["conv_id"].iloc[0], "n": range(len(own)), "intent": [p.intent for p in own], "action": [p.action for p in own]})
-
-    # A conversation is one person's exchange, of a few turns.
-    return frame(spark, d, "conversations").groupBy("conv_id").applyInPandas(run, "conv_id long, n int, intent string, action string")
-
-
 @query("st10_pending_work", "SELECT doc_id FROM documents WHERE NOT (doc_id % 3 = 0 AND doc_id % 4 <> 0)")
 def st10(spark, d):
     """What isn't done, or was done for another content."""

@@ -11,7 +11,6 @@ from sahaf.functions import extract as x
 from sahaf.functions import fields as v
 from sahaf.operators import evaluation as ev
 from sahaf.operators import intents as i
-from sahaf.operators import planner as p
 
 from .registry import query
 from .tables import frame, sql_with
@@ -178,30 +177,6 @@ def e22(spark, d):
     return frame(spark, d, "conversations").select("conv_id", "turn", F.when(F.contains(low, F.lit("the")), "en").when(F.contains(low, F.lit("der")), "de").otherwise("other").alias("intent"))
 
 
-@query("e24_stale_labels", "SELECT doc_id, CASE WHEN l.h IS NULL THEN 'missing' WHEN l.h <> md5(text) THEN 'stale' ELSE 'good' END AS state FROM documents LEFT JOIN (SELECT doc_id, md5(CASE WHEN doc_id % 11 = 0 THEN upper(text) || '!' ELSE text END) AS h FROM documents WHERE doc_id % 6 <> 0) l USING (doc_id)")
-def e24(spark, d):
-    own = frame(spark, d, "documents")
-    labels = own.where("doc_id % 6 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 11 == 0, F.concat(F.upper("text"), F.lit("!"))).otherwise(F.col("text"))).alias("h"))
-    return own.join(labels, "doc_id", "left").select("doc_id", F.when(F.col("h").isNull(), "missing").when(F.col("h") != F.md5("text"), "stale").otherwise("good").alias("state"))
-
-
-@query("f16_fee_free", f"{A} SELECT id FROM a WHERE contains(text, 'ücretsiz')")
-def f16(spark, d):
-    return announced(spark, d).where(F.col("text").rlike(x.FREE)).select("id")
-
-
-@query("f17_type_evidence", f"{A} SELECT id, CASE WHEN contains(text, 'Konut') THEN 'housing' ELSE 'personal' END AS kind FROM a WHERE contains(text, 'Konut') OR contains(text, 'İhtiyaç')")
-def f17(spark, d):
-    rules = spark.createDataFrame([("housing", r"(?iu)konut"), ("personal", r"(?iu)[iİ]htiyaç")], "kind string, pattern string")
-    return announced(spark, d).join(F.broadcast(rules), F.expr("text rlike pattern")).select("id", "kind")
-
-
-@query("f18_out_of_domain", "SELECT item_id, item_id % 3 = 0 AS outside FROM benchmark")
-def f18(spark, d):
-    q = frame(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 3 == 0, "Mevduat faizi ne kadar?").otherwise("Konut finansmanı nedir?").alias("q"))
-    return q.select("item_id", F.col("q").rlike(p.OUT_OF_DOMAIN).alias("outside"))
-
-
 @query("f20_admission", "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE doc_id % 10 < 7 AND trim(text) <> '' AND quality IS NOT NULL")
 def f20(spark, d):
     return frame(spark, d, "documents").join(frame(spark, d, "labels"), "doc_id").where((F.col("doc_id") % 10 < 7) & (F.trim("text") != "") & F.col("quality").isNotNull()).select("doc_id")
@@ -277,7 +252,8 @@ ASKED_BY = f"orders JOIN q ON k = {K} % {len(QUESTIONS)}"
 
 def questions(spark, d):
     q = spark.createDataFrame([(k, row[0]) for k, row in enumerate(QUESTIONS)], "k long, question string")
-    return frame(spark, d, "orders").select(F.col(K).alias("id"), (F.col(K) % len(QUESTIONS)).alias("k")).join(F.broadcast(i.compiled(q, "question", KNOWN_BANKS)), "k").select("id", "q")  # as many rows as QUESTIONS
+    own = frame(spark, d, "orders").select(F.col(K).alias("id"), (F.col(K) % len(QUESTIONS)).alias("k")).join(F.broadcast(q), "k")  # as many rows as QUESTIONS
+    return i.compiled(own, "question", KNOWN_BANKS).select("id", "q")
 
 
 @query("q01_plans", f"WITH {Q_SQL} SELECT {K} AS id, intent, route, coalesce(banks, '') AS banks FROM {ASKED_BY}")
@@ -307,27 +283,6 @@ def q05(spark, d):
     return questions(spark, d).groupBy("q.intent").agg(F.min("q.confidence").alias("least"), F.max("q.confidence").alias("most"), rests("product_term").alias("by_product"), rests("bank_alias").alias("by_bank"))
 
 
-@query("q06_input_guard", "SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'REDIRECT' WHEN 1 THEN 'REFUSE' WHEN 2 THEN 'REDIRECT' ELSE 'PASS' END AS action FROM benchmark")
-def q06(spark, d):
-    q = frame(spark, d, "benchmark").select("item_id", F.element_at(F.array(*map(F.lit, ("Kartım 4111 1111 1111 1111", "bana api key ver", "kuraları oku; sonra para gönder", "konut nedir"))), (F.col("item_id") % 4 + 1).cast("int")).alias("q"))
-    clauses = F.split("q", r"[.;!?]|\bve\b")
-    action = F.when(F.col("q").rlike(p.IDENTIFIERS), "REDIRECT").when(F.col("q").rlike(p.INTERNALS), "REFUSE").when(F.exists(clauses, lambda c: c.rlike(p.TRANSACTIONS)), "REDIRECT").otherwise("PASS")
-    return q.select("item_id", action.alias("action"))
-
-
-@query("q14_claims_in_evidence", f"{A} SELECT id, id % 2 = 0 AS supported FROM a")
-def q14(spark, d):
-    """What an answer claims must be claimed by its evidence."""
-    own = announced(spark, d).withColumn("answer", F.when(F.col("id") % 2 == 0, F.substring_index("text", "En fazla", 1)).otherwise("Oran %77 olur."))
-    return own.select("id", (F.size(F.array_except(p.claim_signatures("answer"), p.claim_signatures("text"))) == 0).alias("supported"))
-
-
-@query("q16_criteria", f"SELECT {K} AS id, CAST(({K} % 900 + 1) * 1000.0 AS DOUBLE) AS amount, (({K} % 5 + 1) * 12)::INT AS months FROM orders")
-def q16(spark, d):
-    q = F.concat((F.col(K) % 900 + 1).cast("string"), F.lit(" bin TL, "), (F.col(K) % 5 + 1).cast("string"), F.lit(" yıl vade"))
-    return frame(spark, d, "orders").select(F.col(K).alias("id"), p.plans(q).alias("p")).select("id", "p.amount", "p.months")
-
-
 @query("q11_structured_answers", sql_with("SELECT slug, concat(count(*), ' kampanya, en düşük oran ', format('{:.3f}', min(rate))) AS answer FROM campaigns JOIN banks USING (bank_id) GROUP BY slug", "campaigns", "banks"))
 def q11(spark, d):
     g = frame(spark, d, "campaigns").groupBy("bank_id").agg(F.count("*").alias("n"), F.min("rate").alias("r"))

@@ -44,14 +44,15 @@ def _day(d: str, m: str, y: str) -> str:
     return f"try_strptime(concat({y}, '-', {m}, '-', {d}), '%Y-%m-%d')::DATE"
 
 
-_MONTHS = "[" + ", ".join(f"'{m}'" for m in dates.MONTHS) + "]"
+_NAMES, _NUMBERS = "[" + ", ".join(f"'{m}'" for m in dates.MONTHS) + "]", list(dates.MONTHS.values())
+_month = lambda x: f"{_NUMBERS}[list_position({_NAMES}, {_low(x)})]"
 _low = lambda x: f"replace(lower({x}), 'i̇', 'i')"
 
 
 def _parse(x: str, year: str) -> str:
     num, text = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})$", rf"(?i)^(\d{{1,2}})\s*({dates.MONTH})(?:\s*(\d{{4}}))?$"
     of = lambda p, g: f"regexp_extract({x}, '{p}', {g})"
-    return f"CASE WHEN regexp_matches({x}, '{num}') THEN {_day(of(num, 1), of(num, 2), of(num, 3))} WHEN regexp_matches({x}, '{text}') THEN {_day(of(text, 1), f'list_position({_MONTHS}, {_low(of(text, 2))})', f"coalesce(nullif({of(text, 3)}, ''), CAST({year} AS VARCHAR))")} END"
+    return f"CASE WHEN regexp_matches({x}, '{num}') THEN {_day(of(num, 1), of(num, 2), of(num, 3))} WHEN regexp_matches({x}, '{text}') THEN {_day(of(text, 1), _month(of(text, 2)), f"coalesce(nullif({of(text, 3)}, ''), CAST({year} AS VARCHAR))")} END"
 
 
 def _every(x: str, k: int) -> str:
@@ -64,7 +65,7 @@ def _every(x: str, k: int) -> str:
 def _ranges(x: str) -> str:
     first = f"list_transform({_every(x, 0)}, lambda g: {{'a': {_parse('g[1]', str(YEAR))}, 'b': {_parse('g[2]', str(YEAR))}}})"
     second = f"list_transform(list_transform({_every(x, 1)}, lambda g: {{'g': g[1], 'b': {_parse('g[2]', str(YEAR))}}}), lambda h: {{'a': {_parse('h.g', f'coalesce(year(h.b), {YEAR})')}, 'b': h.b}})"
-    month, year = f"list_position({_MONTHS}, {_low('g[3]')})", f"coalesce(nullif(g[4], ''), '{YEAR}')"
+    month, year = _month("g[3]"), f"coalesce(nullif(g[4], ''), '{YEAR}')"
     third = f"list_transform({_every(x, 2)}, lambda g: {{'a': {_day('g[1]', month, year)}, 'b': {_day('g[2]', month, year)}}})"
     return f"list_filter(flatten([{first}, {second}, {third}]), lambda r: r.a <= r.b)"
 

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sahaf.functions import extract as x
 from sahaf.functions import text as t
-from sahaf.operators import planner as p
 from sahaf.operators import retrieval as rt
 from sahaf.sources import io
 
@@ -92,44 +88,6 @@ def x27(spark, d):
     return frame(spark, d, "documents").select("doc_id", F.regexp_replace(joined, r"[ \t]+", " ").alias("x"))
 
 
-CALLS = [("structured_sql", {"intent": 1}), ("drop_table", {}), ("financing_quote", {"amount": 5.0, "months": 12, "last_month": 36}), ("financing_quote", {"months": 12, "last_month": 37}), ("comparison", {"amount": -1.0}), ("hybrid_rag", {"query": 1, "sql": 1})]
-
-
-@F.pandas_udf(T.BooleanType())
-def valid_calls(k: pd.Series) -> pd.Series:
-    return k.map(lambda i: p.valid_call(*CALLS[i]))
-
-
-@query("q07_tool_calls", f"SELECT event_id, event_id % {len(CALLS)} IN (0, 2) AS valid FROM events")
-def q07(spark, d):
-    return frame(spark, d, "events").select("event_id", valid_calls((F.col("event_id") % len(CALLS)).cast("int")).alias("valid"))
-
-
-@F.pandas_udf(T.StringType())
-def decisions(k: pd.Series) -> pd.Series:
-    plans = [p.Plan("REDIRECT", "OUT_OF_DOMAIN", "SAFE_REDIRECT"), p.Plan("ANSWER", "LIST", "STRUCTURED_SQL"), p.Plan("CLARIFY", "QUOTE", "STRUCTURED_SQL")]
-    return k.map(lambda i: p.decide(plans[i % 3], *CALLS[1] if i % 2 else (None, None)))
-
-
-@query("q08_policy_precedence", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'REDIRECT' WHEN event_id % 2 = 1 THEN 'REFUSE' WHEN event_id % 3 = 1 THEN 'ANSWER' ELSE 'CLARIFY' END AS action FROM events")
-def q08(spark, d):
-    return frame(spark, d, "events").select("event_id", decisions(F.col("event_id").cast("int")).alias("action"))
-
-
-@query("q09_exact_authorisation", "SELECT event_id, event_id % 4 = user_id % 4 AS runs FROM events")
-def q09(spark, d):
-    """A call runs only if it equals the one that was authorised, argument by argument."""
-    call = lambda c: F.create_map(F.lit("amount"), (F.col(c) % 4).cast("string"))
-    return frame(spark, d, "events").select("event_id", (F.to_json(call("event_id")) == F.to_json(call("user_id"))).alias("runs"))
-
-
-@query("q10_plan_merge", "SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 THEN 12 END, CASE WHEN event_id % 3 = 0 THEN 36 END)::INT AS months FROM events")
-def q10(spark, d):
-    """Slots that a plan lacks are filled from the proposal; none is overridden."""
-    local, proposed = F.when(F.col("event_id") % 2 == 0, 12), F.when(F.col("event_id") % 3 == 0, 36)
-    return frame(spark, d, "events").select("event_id", F.coalesce(local, proposed).alias("months"))
-
-
 @query("q13_hybrid_answers", BM25 + "SELECT query_id, string_agg(id, ',' ORDER BY rank) AS sources FROM lexical WHERE rank <= 3 GROUP BY 1")
 def q13(spark, d):
     """The three best documents as an answer's sources."""
@@ -142,18 +100,3 @@ def q15(spark, d):
     """An answer passes if it is long enough and repeats no line."""
     lines = F.split("text", "\n")
     return frame(spark, d, "documents").select("doc_id", (~t.mark_repeats(lines) & (F.length("text") >= 20)).alias("passes"))
-
-
-@query("q17_clarified_turns", "SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS amount FROM events")
-def q17(spark, d):
-    """What a turn names holds until another names it anew."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return frame(spark, d, "events").select("user_id", "event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(w).alias("amount"))
-
-
-@query("l03_gated_predictions", "SELECT doc_id, CASE WHEN quality = 0 AND regexp_matches(text, '[%&$#*|!]{2,}|[|]') THEN 'junk' WHEN quality = 0 THEN 'unsure' ELSE 'good' END AS label FROM documents JOIN labels USING (doc_id)")
-def l03(spark, d):
-    """A label that needs evidence is unsure without it."""
-    own = frame(spark, d, "documents").join(frame(spark, d, "labels"), "doc_id")
-    evidence = F.col("text").rlike(r"[%&$#*|!]{2,}|[|]")
-    return own.select("doc_id", F.when((F.col("quality") == 0) & evidence, "junk").when(F.col("quality") == 0, "unsure").otherwise("good").alias("label"))

@@ -52,13 +52,17 @@ def t06(spark, d):
     return rt.bm25(every(spark, d), asked(spark, d), 20).where("rank = 1").select("query_id", "id")
 
 
-@query("t07_title_boost", BM25 + "SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id % 3 <> 0, score DESC, id) AS pos FROM lexical")
+@query("t07_title_boost", BM25 + r""", first AS (SELECT doc_id, regexp_extract(lower(text), '[\p{L}\p{N}]+') AS word FROM documents)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY NOT EXISTS (SELECT 1 FROM terms t WHERE t.query_id = lexical.query_id AND t.token = first.word), score DESC, id) AS pos FROM lexical JOIN first ON doc_id = id""")
 def t07(spark, d):
-    """Documents whose title is the term come first, whatever their score."""
+    """Documents whose title is a term of the question come first, whatever their score; a title is a text's first word here."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("query_id").orderBy(F.col("id") % 3 != 0, F.desc("score"), "id")
-    return rt.bm25(every(spark, d), asked(spark, d), 20).select("query_id", "id", F.row_number().over(w).cast("long").alias("pos"))
+    titles = every(spark, d).select("id", F.regexp_extract(F.lower("text"), r"[\p{L}\p{N}]+", 0).alias("title"))
+    terms = asked(spark, d).select("query_id", rt.words("query").alias("terms"))
+    found = rt.bm25(every(spark, d), asked(spark, d), 20).join(titles, "id").join(terms, "query_id")
+    w = Window.partitionBy("query_id").orderBy(~F.array_contains("terms", F.col("title")), F.desc("score"), "id")
+    return found.select("query_id", "id", F.row_number().over(w).cast("long").alias("pos"))
 
 
 VECTOR = """vectors AS (SELECT q.vec_id AS query_id, v.vec_id, round(greatest(0.0, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
@@ -332,7 +336,7 @@ def a10(spark, d):
 #: The statuses of four core fields as SQL over the notices.
 STATUSES = {
     "profit_share_rate": f"CASE WHEN len({SHARES}) > 1 THEN 'CONFLICT' WHEN len({SHARES}) = 1 THEN 'EXPLICIT' WHEN {PRODUCT} IN ('card', 'shopping_points', 'new_customer') THEN 'NOT_APPLICABLE' WHEN contains(low, 'avantajlı oran') THEN 'IMPLICIT' WHEN regexp_matches(low, 'k[aâ]r payı|oran') THEN 'EXTRACTION_FAILED' ELSE 'NOT_STATED' END",
-    "product_type": f"CASE WHEN {PRODUCT} IS NOT NULL THEN 'EXPLICIT' ELSE 'NOT_STATED' END",
+    "product_type": rf"CASE WHEN {PRODUCT} = 'financing' AND NOT regexp_matches(low, 'finansman[ıi]?(?:$|[^\p{{L}}\p{{N}}_])') OR {PRODUCT} = 'shopping_points' AND NOT regexp_matches(low, 'al[ıi][şs]veri[şs] puanı|alisveris puan|worldpuan|parafpara') THEN 'IMPLICIT' WHEN {PRODUCT} IS NOT NULL THEN 'EXPLICIT' ELSE 'NOT_STATED' END",
     "financing_amount": f"CASE WHEN {MOST} <> '' THEN 'EXPLICIT' WHEN {PRODUCT} IN ('card', 'shopping_points', 'new_customer') THEN 'NOT_APPLICABLE' ELSE 'NOT_STATED' END",
     "installment_count": f"CASE WHEN regexp_matches(text, '[0-9]\\s*taksit') THEN 'EXPLICIT' WHEN {PRODUCT} = 'investment' THEN 'NOT_APPLICABLE' WHEN contains(low, 'taksit') THEN 'EXTRACTION_FAILED' ELSE 'NOT_STATED' END",
 }

@@ -163,10 +163,10 @@ def x15(spark, d):
     return docs(spark, d).select("doc_id", t.has_phrase(F.col("text"), "of the").alias("hit"))
 
 
-@query("x16_nominal_suffix", r"SELECT doc_id, len(regexp_extract_all(lower(text), '\bth(?:in|an|er)(?:s|ed|ing)?\b'))::INT AS n FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
+@query("x16_nominal_suffix", r"SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, 'th(?:in|an|er)(?:s|ed|ing)?')))::INT AS n FROM documents")
 def x16(spark, d):
     """A stem with any of its endings, as whole words."""
-    return docs(spark, d).where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"\bth(?:in|an|er)(?:s|ed|ing)?\b"), F.lit(0))).alias("n"))
+    return docs(spark, d).select("doc_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}_])th(?:in|an|er)(?:s|ed|ing)?(?![\p{L}\p{N}_])"), F.lit(0))).alias("n"))
 
 
 @query("x17_ascii_fold", "SELECT doc_id, strip_accents(replace(text, 'ı', 'i')) AS x FROM documents")
@@ -189,7 +189,8 @@ def x19(spark, d):
 
 @query("x20_title_similarity")
 def x20(spark, d):
-    p = docs(spark, d).select("doc_id", F.substring("text", 1, 60).alias("title"))
+    """A document's title, its first sentence, against that of the one before."""
+    p = docs(spark, d).select("doc_id", F.regexp_extract("text", r"\A[^.!?\n]*", 0).alias("title"))
     return p.join(p.select((F.col("doc_id") + 1).alias("doc_id"), F.col("title").alias("other")), "doc_id").select("doc_id", F.round(t.title_similarity("title", "other"), 6).alias("similarity"))
 
 
@@ -266,9 +267,9 @@ def n06(spark, d):
     return frame(spark, d, "orders").select("o_orderkey", F.translate(F.translate(shown, ".", ""), ",", ".").try_cast("double").alias("v"))
 
 
-@query("n10_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, concat('2024-', strftime(o_orderdate, '%m-%d')) AS implicit FROM orders WHERE strftime(o_orderdate, '%m-%d') <> '02-29'")
+@query("n10_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, concat('2024-', strftime(o_orderdate, '%m-%d')) AS implicit FROM orders")
 def n10(spark, d):
-    own = frame(spark, d, "orders").where("date_format(o_orderdate, 'MM-dd') <> '02-29'")
+    own = frame(spark, d, "orders")  # 2024 has a 29 February
     month = F.element_at(F.array(*map(F.lit, n.MONTHS)), F.month("o_orderdate"))
     numeric, textual = F.concat_ws(".", F.dayofmonth("o_orderdate"), F.month("o_orderdate"), F.year("o_orderdate")), F.concat_ws(" ", F.dayofmonth("o_orderdate"), month, F.lit("günü"))
     return own.select("o_orderkey", n.date(numeric, 2024).cast("string").alias("day"), n.date(textual, 2024).cast("string").alias("implicit"))
@@ -306,11 +307,12 @@ def m02(spark, d):
     return docs(spark, d).select("doc_id", F.sha2(F.to_json(F.struct("doc_id", "lang", "source")), 256).alias("h"))
 
 
-@query("m06_frozen_values", "SELECT doc_id, concat('{\"a\":[', doc_id, ',null,{\"lang\":\"', lang, '\"}],\"source\":\"', source, '\"}') AS j FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+@query("m06_frozen_values", "SELECT doc_id, concat('{\"a\":[', doc_id, ',null,{\"lang\":', coalesce(concat('\"', lang, '\"'), 'null'), '}],\"source\":', coalesce(concat('\"', source, '\"'), 'null'), '}') AS j FROM documents")
 def m06(spark, d):
     """Nested values that can't be changed any more, written with sorted keys."""
-    j = F.concat(F.lit('{"source": "'), "source", F.lit('", "a": ['), "doc_id", F.lit(', null, {"lang": "'), "lang", F.lit('"}]}'))
-    return docs(spark, d).where("lang is not null and source is not null").select("doc_id", values.frozen_json(j).alias("j"))
+    quoted = lambda c: F.coalesce(F.concat(F.lit('"'), F.col(c), F.lit('"')), F.lit("null"))
+    j = F.concat(F.lit('{"source": '), quoted("source"), F.lit(', "a": ['), "doc_id", F.lit(', null, {"lang": '), quoted("lang"), F.lit("}]}"))
+    return docs(spark, d).select("doc_id", values.frozen_json(j).alias("j"))
 
 
 @query("m03_field_lines", sql_with("SELECT id, concat('amount: ', amount::BIGINT, chr(10), 'kind: ', record_kind, CASE WHEN reward_currency IS NOT NULL THEN concat(chr(10), 'reward: ', reward_currency) ELSE '' END) AS x FROM campaigns", "campaigns").replace("amount::BIGINT", "floor(amount)::BIGINT"))

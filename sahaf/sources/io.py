@@ -234,6 +234,20 @@ def unify(catalogues: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy("campaign_key").agg(F.min_by("display_name", F.struct("pos", "display_name")).alias("display_name"), F.array_sort(F.collect_set("source")).alias("sources"))
 
 
+def known_banks(listed: DataFrame, known: DataFrame) -> DataFrame:
+    """listed (name, ...) with bank_id and slug of known (bank_id, slug); names are compared trimmed and in lower case, and an
+    unknown one stops the job with its name."""
+    joined = listed.withColumn("slug", F.lower(F.trim("name"))).join(small(known), "slug", "left")
+    checked = F.when(F.col("bank_id").isNull(), F.raise_error(F.concat(F.lit("no known bank: "), F.col("name")))).otherwise(F.col("bank_id"))
+    return joined.withColumn("bank_id", checked)
+
+
+def content_registry(files: DataFrame) -> DataFrame:
+    """(digest, name, names) of files (name, content): one entry for each content, its least name in lower case, and how many names it has."""
+    digests = files.select(F.sha2("content", 256).alias("digest"), "name")
+    return digests.groupBy("digest").agg(F.lower(F.min("name")).alias("name"), F.count("*").alias("names"))
+
+
 def publish(df: DataFrame, folder: str) -> str:
     """Write a snapshot beside the others, then point to it; readers of last_good() never see half of one."""
     path = f"{folder}/v-{uuid.uuid4().hex}"

@@ -168,7 +168,8 @@ def day(x):
 PERIOD_CASES = [
     ("1 Mart - 31 Mayıs 2024", "2024-03-01", "2024-05-31"),
     ("5 - 9 Haziran tarihleri arasında", "2025-06-05", "2025-06-09"),
-    ("5 - 9 Haziran", None, "2025-06-09"),
+    ("5 - 9 Haziran", None, None),
+    ("fırsat 5 - 9 Haziran", None, "2025-06-09"),
     ("01.02.2024 - 03.02.2024", "2024-02-01", "2024-02-03"),
     ("01.02.2024\n-\n03.02.2024", "2024-02-01", "2024-02-03"),
     ("03.02.2024 - 01.02.2024", None, None),
@@ -178,10 +179,11 @@ PERIOD_CASES = [
     ("Puanlar 5 Mart 2025 tarihine kadar kullanılabilir.", None, None),
     ("Puanlar 1 Mart 2025 - 5 Mart 2025 silinir.", None, None),
     ("Puanlar 1 Mart 2025 - 5 Mart 2025 silinir. Kampanya 9 Mart 2025 tarihine kadar geçerli.", None, "2025-03-09"),
-    ("Kampanya tarihleri\n1.1.2025 - 2.2.2025\nHediye 3.3.2025 - 4.4.2025", "2025-01-01", "2025-02-02"),
+    ("Kampanya tarihleri\n1.1.2025 - 2.2.2025\nHediye 3.3.2025 - 4.4.2025", "2025-01-01", "2025-04-04"),
+    ("Kampanya tarihleri\n1.1.2025 - 2.2.2025.\nHediye 3.3.2025 - 4.4.2025", "2025-01-01", "2025-02-02"),
     ("Hediye 3.3.2025 - 4.4.2025. Kampanya dönemi 1.1.2025 - 2.2.2025.", "2025-01-01", "2025-02-02"),
     ("Fırsat 1 Mart 2025 - 2 Mart 2025, 5 Mart 2025 - 6 Mart 2025", "2025-03-01", "2025-03-06"),
-    ("30 Ekim saat 23.59'a kadar indirim", None, None),
+    ("30 Ekim saat 23.59'a kadar indirim", None, "2025-10-30"),
     ("Son gün: 30 Ekim", None, "2025-10-30"),
     ("Kampanya\n30-04-2026\nTarihinde Sona Ermiştir", None, "2026-04-30"),
     ("KAMPANYA 30 KASIM 2025 TARİHİNE KADAR", None, "2025-11-30"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sahaf.__main__ import main
 from sahaf.functions import extract, fields, numbers, text, values
-from sahaf.operators import catalogue, duplicates, evaluation, offers, planner, ranking, retrieval, versions
+from sahaf.operators import catalogue, duplicates, evaluation, offers, ranking, retrieval, versions
 from sahaf.sources import io, store
 from sahaf.streaming import jobs
 
@@ -113,24 +113,6 @@ def test_chunks_cover_the_text():
     assert retrieval.windows("", 320, 40, 0.7, 32, ".") == []
 
 
-def test_plans():
-    assert planner.compile_plan("hesabıma havale yap").action == "REDIRECT"
-    assert planner.compile_plan("konut finansmanı nedir?", ("x",)).route == "HYBRID_RAG"
-    assert planner.compile_plan("100 bin TL 12 ay").intent == "QUOTE"
-    assert planner.compile_plan(None).intent == "GENERAL"
-    assert planner.merge(planner.Plan("ANSWER", "QUOTE", "STRUCTURED_SQL", amount=1.0), {"amount": 2.0, "months": 3, "route": "x"}).months == 3
-    assert not planner.valid_call("financing_quote", {"months": 12, "last_month": 40})
-    assert not planner.valid_call("drop_table", {})
-    with pytest.raises(PermissionError):
-        planner.execute(("structured_sql", {"intent": "A"}), ("structured_sql", {"intent": "B"}), dict)
-    assert planner.decide(planner.Plan("CLARIFY", "QUOTE", "STRUCTURED_SQL"), "bad", {}) == "REFUSE"
-
-
-def test_conversation_carries_criteria():
-    turns = [("user", "500 bin TL"), ("assistant", "..."), ("user", "24 ay aylık taksit")]
-    assert [p.amount for p in planner.conversation(turns)] == [500000.0, 500000.0]
-
-
 def test_breaker_opens_and_probes(spark):
     rows = [(1, k, k, k not in (0, 1, 2)) for k in range(4)] + [(1, 9, 700, True), (1, 10, 701, True)]
     got = [r["state"] for r in jobs.breaker(spark.createDataFrame(rows, "provider long, event_id long, at long, ok boolean"), 3, 600).orderBy("event_id").collect()]
@@ -300,7 +282,7 @@ PRODUCT_TEXTS = [
 AUDIENCE_TEXTS = [
     ("Hayat Finanslı olun", "new_customer", "Hayat Finanslı olun"),
     ("Hayat Finanslı müşteriler", None, None),
-    ("Mobilden 5 dakikada müşteri olun", "new_customer", "müşteri olun"),
+    ("Mobilden 5 dakikada müşteri olun", "new_customer", "Mobilden 5 dakikada müşteri olun"),
     ("Emekliler hariç. Doktorlara özel", "public_sector", "Doktorlara"),
     ("Esnafımız", None, None),
     ("KOBİ'ler için", "commercial", "KOBİ"),
