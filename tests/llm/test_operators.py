@@ -572,7 +572,7 @@ def test_passages_by_words_equal_brute_force(spark, monkeypatch):
 
 
 def test_texts_that_share_64_bits_of_a_hash_are_not_copies(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "_mix", lambda x: x & np.uint64(3))
+    monkeypatch.setattr(suffixes, "mix", lambda x: x & np.uint64(3))
     texts = ["a" + "b" * k + "c" * (500 - k) + f"{k:03d}" * 70 for k in range(40, 60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert digests(df) == brute_removal([t.encode() for t in texts])
