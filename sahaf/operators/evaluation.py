@@ -55,9 +55,59 @@ def calibration_error(rows: DataFrame, bins: int = 10) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).agg(F.coalesce(F.round(F.sum(F.abs(F.col("a") - F.col("c")) * F.col("n") / F.col("total")), 6), F.lit(0.0)).alias("ece"))
 
 
-def event_summary(events: DataFrame) -> DataFrame:
-    """By event: count, error rate, and the values at nearest rank of 50 and 95 of 100."""
-    return events.groupBy("event").agg(F.count("*").alias("n"), F.round(F.avg(F.col("failed").cast("double")), 6).alias("error_rate"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency)").alias("p95"))
+def event_summary(events: DataFrame, dimensions: list[str] | None = None) -> DataFrame:
+    """By event: count, failures, their rate, the latencies at nearest rank of 50 and 95 of 100, and for every dimension
+    how often each of its values occurs (`field=value: n`, in order); null values don't count."""
+    rank = lambda p: F.expr(f"round(percentile_disc({p}) WITHIN GROUP (ORDER BY latency), 3)")
+    rate = F.round(F.avg(F.col("failed").cast("double")), 4).alias("error_rate")
+    own = events.groupBy("event").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("errors"), rate, rank(0.5).alias("p50"), rank(0.95).alias("p95"))
+    if not dimensions:
+        return own
+    named = F.filter(F.array(*(F.struct(F.lit(d).alias("field"), F.col(d).cast("string").alias("value")) for d in dimensions)), lambda x: x["value"].isNotNull())
+    counted = events.select("event", F.inline(named)).groupBy("event", "field", "value").agg(F.count("*").alias("n"))
+    lists = counted.groupBy("event").agg(F.array_sort(F.collect_list(F.concat("field", F.lit("="), "value", F.lit(": "), F.col("n").cast("string")))).alias("dimensions"))
+    return own.join(lists, "event", "left").withColumn("dimensions", F.coalesce("dimensions", F.array().cast("array<string>")))
+
+
+def kpi_report(values: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """(kpi, value, target, passed, all_passed, synthetic) of one row of values: a missing value doesn't pass; with
+    synthetic rows among the measured the report says so."""
+    each = F.array(*(F.struct(F.lit(k).alias("kpi"), F.round(F.col(k).cast("double"), 6).alias("value"), F.lit(float(t)).alias("target"), F.coalesce(F.col(k) >= t, F.lit(False)).alias("passed")) for k, t in targets.items()))
+    rows = values.select("synthetic", each.alias("x"))
+    return rows.select(F.explode("x").alias("v"), F.forall("x", lambda v: v["passed"]).alias("all_passed"), (F.coalesce("synthetic", F.lit(0)) > 0).alias("synthetic")).select("v.*", "all_passed", "synthetic")
+
+
+#: The answer that says that the sources don't tell.
+FALLBACK = "Bu bilgi sağlanan dokümanlarda bulunmamaktadır."
+CODES = r"(?<![\p{L}\p{N}_])(?:%?\d[\d.,/-]*|[A-ZÇĞİÖŞÜ][A-ZÇĞİÖŞÜ0-9_-]{3,})(?![\p{L}\p{N}_])"
+
+
+def answer_tokens(x: Column) -> Column:
+    return F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9çğıöşü%]+"), F.lit(0))
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """How many words two arrays share, each as often as it stands in both."""
+    times = lambda of, w: F.size(F.filter(of, lambda x: x == w))
+    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, w: n + F.least(times(a, w), times(b, w)))
+
+
+def answer_score(answer: Column, gold: Column, facts: Column, evidence: Column) -> Column:
+    """0.68 of the facts that an answer covers and 0.32 of its token F1 with the gold one, less 0.08 for each number or code
+    that neither evidence nor gold has (0.35 at most) and 0.08 if it is too long; where the gold answer is that the
+    sources don't tell, only that answer scores.  Nulls are empty texts."""
+    text = F.trim(F.coalesce(answer, F.lit("")))
+    given, wanted = answer_tokens(text), answer_tokens(F.coalesce(gold, F.lit("")))
+    said = F.array_join(given, " ")
+    covered = F.size(F.filter(facts, lambda f: F.contains(said, F.array_join(answer_tokens(f), " "))))
+    coverage = F.when(F.size(facts) > 0, covered / F.size(facts)).otherwise(1.0)
+    f1 = F.when((F.size(given) == 0) | (F.size(wanted) == 0), (F.size(given) == F.size(wanted)).cast("double")).otherwise(2 * _shared(given, wanted) / (F.size(given) + F.size(wanted)))
+    codes = lambda x: F.transform(F.regexp_extract_all(x, F.lit(CODES), F.lit(0)), lambda c: F.lower(c))
+    known = codes(F.concat_ws(" ", F.coalesce(evidence, F.lit("")), F.coalesce(gold, F.lit(""))))
+    invented = F.size(F.array_except(codes(text), known))
+    long = F.when(F.length(text) > F.greatest(F.lit(900), 2 * F.length(F.coalesce(gold, F.lit("")))), 0.08).otherwise(0.0)
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.68 * coverage + 0.32 * f1 - F.least(F.lit(0.35), 0.08 * invented) - long))
+    return F.round(F.when(F.trim(gold) == FALLBACK, (text == FALLBACK).cast("double")).otherwise(score), 6)
 
 
 def counters(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -314,12 +314,25 @@ def a24(spark, d):
     return ev.golden_scores(pairs)
 
 
-@query("a26_answer_scores", r"""WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM conversations), p AS (SELECT a.conv_id, a.turn, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS n, len(b.w) AS m FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
-SELECT conv_id, turn, round(CASE WHEN k = 0 THEN 0.0 ELSE 0.68 * k / n + 0.32 * 2 * k / (n + m) END, 6) AS score FROM p""")
+#: An answer is a turn, its gold the next one (or that the sources don't tell), its evidence the one before, its facts the gold's first two sentences.
+_words = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9çğıöşü%]+')"
+_codes = lambda x: f"list_distinct(list_transform(regexp_extract_all(replace({x}, ' ', '  '), '(?:^|[^\\p{{L}}\\p{{N}}_])(%?[0-9][0-9.,/-]*|[A-ZÇĞİÖŞÜ][A-ZÇĞİÖŞÜ0-9_-]{{3,}})(?:$|[^\\p{{L}}\\p{{N}}_])', 1), lambda c: lower(c)))"
+
+
+@query("a26_answer_scores", f"""WITH t AS (SELECT a.conv_id, a.turn, trim(coalesce(a.text, '')) AS answer, CASE WHEN (a.conv_id + a.turn) % 9 = 0 THEN '{ev.FALLBACK}' ELSE coalesce(b.text, '') END AS gold, coalesce(c.text, '') AS evidence
+    FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 LEFT JOIN conversations c ON c.conv_id = a.conv_id AND c.turn = a.turn - 1),
+f AS (SELECT *, list_filter(string_split(gold, '.')[1:2], lambda x: trim(x) <> '') AS facts, {_words("answer")} AS g, {_words("gold")} AS w FROM t),
+s AS (SELECT *, CASE WHEN len(facts) > 0 THEN len(list_filter(facts, lambda x: contains(array_to_string(g, ' '), array_to_string({_words("x")}, ' ')))) / len(facts) ELSE 1.0 END AS coverage,
+    coalesce(list_sum(list_transform(list_distinct(g), lambda x: least(len(list_filter(g, lambda y: y = x)), len(list_filter(w, lambda y: y = x))))), 0) AS shared FROM f)
+SELECT conv_id, turn, round(CASE WHEN trim(gold) = '{ev.FALLBACK}' THEN (answer = '{ev.FALLBACK}')::INT::DOUBLE ELSE greatest(0.0, least(1.0, 0.68 * coverage + 0.32 * CASE WHEN len(g) = 0 OR len(w) = 0 THEN (len(g) = len(w))::INT ELSE 2 * shared / (len(g) + len(w)) END
+    - least(0.35, 0.08 * len(list_filter({_codes("answer")}, lambda c: NOT list_contains({_codes("concat(evidence, ' ', gold)")}, c)))) - CASE WHEN length(answer) > greatest(900, 2 * length(gold)) THEN 0.08 ELSE 0.0 END)) END, 6)::DOUBLE AS score FROM s""")
 def a26(spark, d):
-    """Coverage of the question's words and token F1 of each answer."""
-    w = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    t = frame(spark, d, "conversations").select("conv_id", "turn", w.alias("w"))
-    b = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
-    k, n, m = F.size(F.array_intersect("w", "v")), F.size("w"), F.size("v")
-    return t.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(F.when(k == 0, 0.0).otherwise(0.68 * k / n + 0.32 * 2 * k / (n + m)), 6).alias("score"))
+    """Each turn scored as an answer: facts covered, words shared with the gold answer as often as they stand there, length."""
+    t = frame(spark, d, "conversations").select("conv_id", "turn", "text")
+    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("evidence"))
+    both = t.join(after, ["conv_id", "turn"]).join(before, ["conv_id", "turn"], "left")
+    gold = F.when((F.col("conv_id") + F.col("turn")) % 9 == 0, ev.FALLBACK).otherwise(F.coalesce("next", F.lit("")))
+    own = both.select("conv_id", "turn", "text", gold.alias("gold"), "evidence")
+    facts = F.filter(F.slice(F.split("gold", r"\."), 1, 2), lambda x: F.trim(x) != "")
+    return own.select("conv_id", "turn", ev.answer_score(F.col("text"), F.col("gold"), facts, F.col("evidence")).alias("score"))

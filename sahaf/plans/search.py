@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sahaf.functions import fields as v
+from sahaf.functions import spans
 from sahaf.operators import evaluation as ev
 from sahaf.operators import ranking
 from sahaf.operators import retrieval as rt
 
+from .campaigns import SPANS_SQL, campaigns
 from .language import MOST, PRODUCT, SHARES, B, told
 from .registry import query
 from .tables import frame, sql_with
@@ -298,9 +300,18 @@ def a29(spark, d):
     return frame(spark, d, "labels").agg(F.count("*").alias("total"), F.sum((q == 1).cast("long")).alias("approved"), F.sum((q == 0).cast("long")).alias("pending"))
 
 
-@query("a11_event_summary", "SELECT event_type AS event, count(*) AS n, round(avg((user_id % 10 = 0)::INT), 6) AS error_rate, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
+#: Dimensions of events, as expressions of both engines.
+DIMENSIONS = {"provider": "concat('p', CAST(user_id % 4 AS VARCHAR(4)))", "circuit_state": "CASE user_id % 7 WHEN 0 THEN 'open' WHEN 1 THEN 'half-open' ELSE 'closed' END", "fallback_reason": "CASE WHEN user_id % 11 = 0 THEN 'timeout' WHEN user_id % 13 = 0 THEN 'quota' END", "action": "CASE WHEN value > 100 THEN 'ANSWER' ELSE 'CLARIFY' END"}
+
+
+@query("a11_event_summary", f"""WITH e AS (SELECT event_type AS event, value, user_id % 10 = 0 AS failed, {", ".join(f"{x} AS {k}" for k, x in DIMENSIONS.items())} FROM events),
+c AS (SELECT event, field, value, count(*) AS n FROM ({" UNION ALL ".join(f"SELECT event, '{k}' AS field, {k} AS value FROM e WHERE {k} IS NOT NULL" for k in DIMENSIONS)}) GROUP BY 1, 2, 3),
+d AS (SELECT event, list_sort(list(concat(field, '=', value, ': ', n))) AS dimensions FROM c GROUP BY 1)
+SELECT event, count(*) AS n, sum(failed::INT)::BIGINT AS errors, round(avg(failed::INT), 4) AS error_rate, round(quantile_disc(value, 0.5), 3) AS p50, round(quantile_disc(value, 0.95), 3) AS p95, any_value(dimensions) AS dimensions FROM e JOIN d USING (event) GROUP BY event""")
 def a11(spark, d):
-    return ev.event_summary(frame(spark, d, "events").select(F.col("event_type").alias("event"), F.col("value").alias("latency"), (F.col("user_id") % 10 == 0).alias("failed")))
+    """Counts, failures, latencies and what every dimension's values come to."""
+    own = frame(spark, d, "events").select(F.col("event_type").alias("event"), F.col("value").alias("latency"), (F.col("user_id") % 10 == 0).alias("failed"), *(F.expr(x).alias(k) for k, x in DIMENSIONS.items()))
+    return ev.event_summary(own, list(DIMENSIONS))
 
 
 FILLED = ["title", "start_date", "end_date", "summary", "source_url"]
@@ -362,15 +373,26 @@ def a31(spark, d):
     return frame(spark, d, "documents").rollup("lang").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("characters"))
 
 
-@query("a32_weak_label_status", "SELECT user_id, min(value) AS confidence, CASE WHEN min(value) >= 0.9 THEN 'auto' ELSE 'review' END AS status FROM events GROUP BY 1")
+@query("a32_weak_label_status", f"""{SPANS_SQL} SELECT id, coalesce(list_min(list_transform(kept, lambda x: x.confidence)), 0.0) AS confidence, len(kept) > 1 AND list_min(list_transform(kept, lambda x: x.confidence)) >= 0.9 AS eligible FROM k""")
 def a32(spark, d):
-    return frame(spark, d, "events").groupBy("user_id").agg(F.min("value").alias("confidence")).withColumn("status", F.when(F.col("confidence") >= 0.9, "auto").otherwise("review"))
+    """A text's weak labels are as sure as the least of its entities; texts of one entity or none need a look."""
+    own = campaigns(spark, d).select("id", spans.weak_spans(F.col("text")).alias("s"))
+    least = F.coalesce(F.array_min(F.transform("s", lambda x: x["confidence"])), F.lit(0.0))
+    return own.select("id", least.alias("confidence"), ((F.size("s") > 1) & (least >= 0.9)).alias("eligible"))
+
+
+#: What is measured, and the least that is wanted of it.
+TARGETS = {"quality": 0.8, "harmless": 0.8, "labelled": 0.2}
 
 
-@query("a33_targets", "WITH k AS (SELECT avg(quality) AS quality, avg(toxic) AS toxic FROM labels) SELECT 'quality' AS kpi, round(quality, 6) AS value, quality >= 0.8 AS met FROM k UNION ALL SELECT 'toxic', round(toxic, 6), toxic <= 0.2 FROM k")
+@query("a33_targets", f"""WITH k AS (SELECT avg(quality) AS quality, 1 - avg(toxic) AS harmless, count(l.doc_id) / (SELECT count(*) FROM documents) AS labelled, count(*) FILTER (l.doc_id % 17 = 0) AS synthetic FROM labels l),
+t AS (SELECT unnest({list(TARGETS)}) AS kpi, unnest([quality, harmless, labelled]) AS value, unnest({list(TARGETS.values())}) AS target, synthetic FROM k)
+SELECT kpi, round(value, 6) AS value, target::DOUBLE AS target, value >= target AS passed, bool_and(value >= target) OVER () AS all_passed, synthetic > 0 AS synthetic FROM t""")
 def a33(spark, d):
-    k = frame(spark, d, "labels").agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"))
-    return k.select(F.inline(F.array(F.struct(F.lit("quality").alias("kpi"), F.round("quality", 6).alias("value"), (F.col("quality") >= 0.8).alias("met")), F.struct(F.lit("toxic").alias("kpi"), F.round("toxic", 6).alias("value"), (F.col("toxic") <= 0.2).alias("met")))))
+    """Measures of the labels against their targets, and whether synthetic rows are among them."""
+    total = frame(spark, d, "documents").agg(F.count("*").alias("total"))
+    k = frame(spark, d, "labels").agg(F.avg("quality").alias("quality"), (1 - F.avg("toxic")).alias("harmless"), F.count("doc_id").alias("n"), F.sum((F.col("doc_id") % 17 == 0).cast("long")).alias("synthetic"))
+    return ev.kpi_report(k.crossJoin(total).withColumn("labelled", F.col("n") / F.col("total")), TARGETS)  # one row each
 
 
 @query("a35_split_leakage", "SELECT md5(text) AS family, count(DISTINCT doc_id % 3) AS splits FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 3) > 1")

@@ -53,10 +53,16 @@ def read_envelopes(spark: SparkSession, path: str, record: str) -> DataFrame:
     return checked.select(F.inline("records"))
 
 
-def write_envelopes(df: DataFrame, path: str, group: Column) -> None:
-    """Envelopes of a group's records each, committed as a whole."""
-    rows = df.groupBy(group.alias("g")).agg(F.collect_list(F.struct(*df.columns)).alias("records"))
-    rows.select(F.lit("1").alias("schema_version"), "records").write.json(path)
+def write_envelopes(df: DataFrame, path: str, group: Column, records: int = 10_000) -> None:
+    """Envelopes of a group's records, at most about so many in one, committed as a whole.
+
+    A large group is dealt to several envelopes by a hash of its rows, after a count of every group.
+    """
+    rows = df.withColumn("_g", group)
+    sizes = rows.groupBy(F.col("_g").alias("_of")).agg(F.count("*").alias("_n"))  # a row a group
+    dealt = rows.join(small(sizes), F.col("_g").eqNullSafe(F.col("_of"))).withColumn("_k", F.pmod(F.xxhash64(*df.columns), F.ceil(F.col("_n") / records)))
+    held = dealt.groupBy("_g", "_k").agg(F.collect_list(F.struct(*df.columns)).alias("records"))
+    held.select(F.lit("1").alias("schema_version"), "records").write.json(path)
 
 
 def read_strict_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

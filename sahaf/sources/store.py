@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import os
+import time
 import uuid
 from collections.abc import Callable
 
@@ -72,28 +75,70 @@ class Changed(RuntimeError):
     """The file is no longer what the writer had read."""
 
 
+#: Seconds after which a writer that holds a file's claim counts as dead.
+CLAIM_SECONDS = 600
+
+
+def _claim(spark: SparkSession, path: str, expected: str | None):
+    """The path of a file that one writer at a time can create for what it expects to find; an old one is taken over."""
+    fs, at = filesystem(spark, f"{path}.{(expected or 'absent')[:16]}.claim")
+    for _ in range(2):
+        try:
+            fs.create(at, False).close()
+            return fs, at
+        except Exception as e:  # the JVM's, of whatever file system
+            if not fs.exists(at):
+                raise
+            if time.time() * 1000 - fs.getFileStatus(at).getModificationTime() < 1000 * CLAIM_SECONDS:
+                raise Changed(path) from e
+            fs.delete(at, False)
+    raise Changed(path)
+
+
+def _replace(spark: SparkSession, fs, beside: str, path: str, data: bytes) -> None:
+    """Flush data to the file beside, and put it in the place of path in one step."""
+    own, to = (fs.makeQualified(filesystem(spark, p)[1]) for p in (beside, path))
+    if fs.getUri().getScheme() == "file":  # where the JVM's rename deletes first
+        local = to.toUri().getPath()
+        with open(own.toUri().getPath(), "wb") as out:
+            out.write(data)
+            out.flush()
+            os.fsync(out.fileno())
+        with contextlib.suppress(FileNotFoundError):  # a checksum of what was there
+            os.remove(f"{os.path.dirname(local)}/.{os.path.basename(local)}.crc")
+        os.replace(own.toUri().getPath(), local)
+        return
+    out = fs.create(own, False)
+    try:
+        out.write(bytearray(data))
+        out.hsync()
+    finally:
+        out.close()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    rename = getattr(jvm, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(own, to, how)
+
+
 def save(spark: SparkSession, path: str, data: bytes, expected: str | None) -> str:
     """Write a small file if it still has the expected digest (None: is still absent), and return the new digest.
 
-    The bytes are flushed to a file beside it, which then takes its place by one rename, so readers see either file whole.
+    The bytes are flushed to a file beside it, which then takes its place in one step, so readers always find one of the
+    two whole.  Of several writers that expect the same digest one gets the claim to it; the others fail, as do those
+    that come when the file has changed.
     """
     if digest_of(spark, path) != expected:
         raise Changed(path)
-    fs, at = filesystem(spark, path)
-    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(beside, False)
+    fs, claim = _claim(spark, path, expected)
+    beside = f"{path}.{uuid.uuid4().hex}.tmp"
     try:
-        out.write(bytearray(data))
-        out.hsync()
+        if digest_of(spark, path) != expected:  # before the claim was ours
+            raise Changed(path)
+        _replace(spark, fs, beside, path, data)
     finally:
-        out.close()
-    if digest_of(spark, path) != expected:
-        fs.delete(beside, False)
-        raise Changed(path)
-    if expected is not None:
-        fs.delete(at, False)
-    if not fs.rename(beside, at):
-        raise Changed(path)
+        fs.delete(filesystem(spark, beside)[1], False)
+        fs.delete(claim, False)
     return hashlib.sha256(data).hexdigest()
 
 
@@ -107,8 +152,11 @@ class FileCache:
         fs, at = filesystem(self.spark, path)
         if not fs.exists(at):
             raise FileNotFoundError(path)
-        files = [fs.getFileStatus(at)] if fs.getFileStatus(at).isFile() else list(fs.listStatus(at))
-        return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+        files, found = fs.listFiles(at, True), []  # of all folders below, as tables in partitions have
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        return tuple(sorted(found))
 
     def get(self, path: str) -> tuple[object, bool]:
         """(what make() gives for path, whether it was known)."""
