@@ -150,43 +150,52 @@ def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(a=norm(x), b=norm(y)).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(T.StringType())
-def ascii_fold(x: pd.Series) -> pd.Series:
-    fold = lambda v: "".join(c for c in unicodedata.normalize("NFKD", v.replace("ı", "i")) if not unicodedata.combining(c))
-    return x.map(lambda v: None if v is None else fold(v))
+def _one_letter(c: str) -> str | None:
+    """The letter that is left of a character's compatible form without marks, if one is left."""
+    plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+    return plain if plain != c and len(plain) == 1 else None
 
 
-@F.pandas_udf(T.StringType())
-def repair_mojibake(x: pd.Series) -> pd.Series:
-    """Text that was UTF-8 read as a one-byte encoding, if undoing that leaves fewer odd marks."""
-    marks = re.compile("[ÃÂÄÅâ€™]")
+#: Characters of the basic plane that are one letter without their marks, and that letter.
+_MARKED = "".join(c for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0xFFFE)]) if _one_letter(c))
+_PLAIN = "".join(map(_one_letter, _MARKED))
 
-    def fix(v: str | None) -> str | None:
-        best = v
-        for encoding in ("cp1252", "latin-1"):
-            try:
-                other = v.encode(encoding).decode("utf-8") if v else v
-            except UnicodeError:
-                continue
-            if other and len(marks.findall(other)) < len(marks.findall(best)):
-                best = other
-        return best
 
-    return x.map(fix)
+def ascii_fold(x: Column | str) -> Column:
+    """Letters without their marks, the dotless i as i; characters that stand for several letters stay."""
+    return F.translate(F.regexp_replace(x, r"\p{Mn}+", ""), _MARKED + "ı", _PLAIN + "i")
 
 
-@F.pandas_udf(T.StringType())
-def excerpt(x: pd.Series, limit: pd.Series) -> pd.Series:
-    """Whole sentences up to limit characters; a longer first sentence is cut at a word."""
+#: What one byte is in the encodings that texts are misread in, where they differ.
+_ODD_BYTES = {b: bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+_ODD = "".join(_ODD_BYTES.values())
+_ODD_AS_LATIN = "".join(chr(b) for b, c in _ODD_BYTES.items() if c)
+MARKS = "[ÃÂÄÅâ€™]"
+
 
-    def cut(v: str | None, n: int) -> str:
-        v = " ".join((v or "").split())
-        if len(v) <= n:
-            return v
-        ends = [m.end() for m in re.finditer(r"[.!?](?=\s|$)", v) if m.end() <= n]
-        return v[: ends[-1]] if ends else v[: n - 1].rsplit(" ", 1)[0] + "…"
+def repair_mojibake(x: Column | str) -> Column:
+    """Text that was UTF-8 read as a one-byte encoding, if undoing that leaves fewer odd marks; the first encoding of equals."""
+    x = F.col(x) if isinstance(x, str) else x
+    odd = lambda v: F.size(F.regexp_extract_all(v, F.lit(MARKS), F.lit(0)))
 
-    return pd.Series([cut(v, n) for v, n in zip(x, limit, strict=True)])
+    def undone(latin: Column, known: Column) -> Column:
+        safe = F.when(known, latin).otherwise("")
+        raw = F.encode(safe, "ISO-8859-1").cast("string")
+        return F.when(known & F.is_valid_utf8(raw), raw)
+
+    as_1252 = undone(F.translate(x, _ODD, _ODD_AS_LATIN), x.rlike(rf"\A[\x00-\x7F\xA0-\xFF{_ODD}]*\z"))
+    as_latin = undone(x, x.rlike(r"\A[\x00-\xFF]*\z"))
+    first = F.when((F.coalesce(as_1252, F.lit("")) != "") & (odd(as_1252) < odd(x)), as_1252).otherwise(x)
+    return F.when((F.coalesce(as_latin, F.lit("")) != "") & (odd(as_latin) < odd(first)), as_latin).otherwise(first)
+
+
+def excerpt(x: Column | str, limit: int = 360) -> Column:
+    """Whole sentences up to limit characters; a longer first sentence is cut at a word."""
+    x = F.col(x) if isinstance(x, str) else x
+    v = F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " "), r"\A | \z", "")
+    whole = F.regexp_extract(v, rf"(?s)\A.{{0,{limit - 1}}}[.!?](?=\s)", 0)
+    cut = F.concat(F.regexp_replace(F.left(v, F.lit(limit - 1)), r" [^ ]*\z", ""), F.lit("…"))
+    return F.when(F.length(v) <= limit, v).when(whole != "", whole).otherwise(cut)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -36,13 +36,9 @@ def thaw(value: Any) -> Any:
     return [*map(thaw, value)] if isinstance(value, tuple) else value
 
 
-def _frozen(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None else json.dumps(thaw(freeze(json.loads(v))), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
-
-
 def frozen_json(x: Column | str) -> Column:
-    """JSON texts by way of frozen values, with sorted keys and no blanks."""
-    return F.pandas_udf(_frozen, "string")(x)
+    """JSON texts with sorted keys and no blanks, as values that hold only what JSON knows; what is no JSON is an error."""
+    return F.to_json(F.parse_json(x))
 
 
 class Recent:

@@ -4,6 +4,8 @@ import datetime
 import hashlib
 import json
 import random
+import re
+import unicodedata
 from decimal import Decimal
 
 import numpy as np
@@ -187,8 +189,41 @@ def test_titles_mojibake_and_excerpts(spark):
     assert got[0] == 1.0 and got[1] == 0.0 and got[2] == 0.0
     df = spark.createDataFrame([("Ã¶dÃ¼l",), ("düz",), (None,)], "x string")
     assert [r[0] for r in df.select(text.repair_mojibake("x")).collect()] == ["ödül", "düz", None]
-    df = spark.createDataFrame([("Bir. İki cümle var. Üç.", 12), ("kısa", 12), ("sözcükler noktasız uzar gider", 15), (None, 5)], "x string, n int")
-    assert [r[0] for r in df.select(text.excerpt("x", "n")).collect()] == ["Bir.", "kısa", "sözcükler…", ""]
+    df = spark.createDataFrame([(0, "Bir. İki cümle var. Üç."), (1, "kısa"), (2, "sözcükler noktasız uzar gider"), (3, None)], "k int, x string")
+    assert [r[0] for r in df.orderBy("k").select(text.excerpt("x", 15)).collect()] == ["Bir.", "kısa", "sözcükler…", ""]
+
+
+def plain_excerpt(v, n):
+    v = " ".join((v or "").split())
+    if len(v) <= n:
+        return v
+    ends = [m.end() for m in re.finditer(r"[.!?](?=\s|$)", v) if m.end() <= n]
+    return v[: ends[-1]] if ends else v[: n - 1].rsplit(" ", 1)[0] + "…"
+
+
+def plain_repair(v):
+    marks, best = re.compile(text.MARKS), v
+    for encoding in ("cp1252", "latin-1"):
+        try:
+            other = v.encode(encoding).decode("utf-8")
+        except UnicodeError:
+            continue
+        if other and len(marks.findall(other)) < len(marks.findall(best)):
+            best = other
+    return best
+
+
+def test_native_text_functions_equal_plain_ones(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("ab é.!? \n\tçğıİß€’“ñ中ﬁ²Ａ") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    broken = [t.encode().decode(rng.choice(["cp1252", "latin-1"]), "replace") for t in base]
+    rows = [*base, *broken, "Ã", "â€™s", "Ã©Ã", "\x81Ã©"]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, x string")
+    got = df.select("k", text.excerpt("x", 25).alias("e"), text.repair_mojibake("x").alias("r"), text.ascii_fold("x").alias("a")).orderBy("k").collect()
+    assert [r.e for r in got] == [plain_excerpt(t, 25) for t in rows]
+    assert [r.r for r in got] == [plain_repair(t) for t in rows]
+    fold = lambda v: "".join(c for c in unicodedata.normalize("NFKD", v.replace("ı", "i").replace("ﬁ", "")) if not unicodedata.combining(c))
+    assert [r.a.replace("ﬁ", "") for r in got[: len(base)]] == [fold(t) for t in base]  # the others hold characters of several letters
 
 
 def test_windows_end_at_sentences_and_overlap():
