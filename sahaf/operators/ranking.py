@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +73,24 @@ def reciprocal_ranks(lists: DataFrame, constants: dict[str, float], digits: int
     again = once.withColumn("rank", F.row_number().over(Window.partitionBy(*group, "source").orderBy("rank", "key")))
     k = F.create_map(*[F.lit(x) for pair in constants.items() for x in pair])
     return again.groupBy(*group, "key").agg(F.round(F.sum(F.lit(1.0) / (F.try_element_at(k, F.col("source")) + F.col("rank"))), digits).alias("score"))
+
+
+def cascade(queries: DataFrame, vectors: dict[str, DataFrame], lexical: DataFrame, graph: DataFrame, limit: int = 5) -> DataFrame:
+    """(query_id, backend, key, score, rank): what the first vector backend that answers a query gives, fused with the lexical
+    and the graph's list; without any vectors the lexical list alone, fused with the graph's if it has one.
+
+    vectors come in the order in which they are asked; lists are (query_id, key, rank).  A query's backend names what its
+    answer came from, and that it fell back; a query that nothing answers has no key.
+    """
+    found = reduce(DataFrame.unionByName, (df.select("query_id", F.lit(k).alias("k"), F.lit(name).alias("name"), "key", "rank") for k, (name, df) in enumerate(vectors.items())))
+    first = found.groupBy("query_id").agg(F.min(F.struct("k", "name")).alias("first")).select("query_id", "first.k", "first.name")
+    chosen = found.join(first.select("query_id", "k"), ["query_id", "k"]).select("query_id", F.lit("vector").alias("source"), "key", "rank")
+    lists = chosen.unionByName(lexical.select("query_id", F.lit("lexical").alias("source"), "key", "rank")).unionByName(graph.select("query_id", F.lit("graph").alias("source"), "key", "rank"))
+    fused = reciprocal_ranks(lists, {"vector": 60.0, "lexical": 60.0, "graph": 10.0}, group=["query_id"])
+    has = lambda df, name: df.select("query_id").distinct().withColumn(name, F.lit(True))
+    known = queries.select("query_id").join(first, "query_id", "left").join(has(graph, "by_graph"), "query_id", "left").join(has(lexical, "by_words"), "query_id", "left")
+    with_graph = F.when(F.col("by_graph"), "+knowledge-graph").otherwise("")
+    fallback = F.when(F.col("by_graph") | F.col("by_words"), F.concat(F.lit("bm25"), with_graph, F.lit("-fallback"))).otherwise("none")
+    backend = F.when(F.col("name").isNotNull(), F.concat("name", F.lit("+bm25"), with_graph)).otherwise(fallback)
+    ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))).where(F.col("rank") <= limit)
+    return known.select("query_id", backend.alias("backend")).join(ranked, "query_id", "left")

@@ -62,7 +62,7 @@ def told(spark, d):
 
 #: The same rules over the texts, in SQL.
 SHARES = r"list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(text, '%\s*([0-9][0-9.,]*)\s*(?:[Kk][aâ]r\s+pay[ıi]|[Oo]ran)', 1), regexp_extract_all(text, '(?:[Kk][aâ]r\s+pay[ıi](?:\s+oran[ıi])?|[Oo]ran[ıi]?)\s*%\s*([0-9][0-9.,]*)', 1)), lambda x: round(replace(trim(x, ',.'), ',', '.')::DOUBLE / 100, 6))))"
-PRODUCT = "CASE WHEN contains(low, 'finansman') THEN 'financing' WHEN (contains(low, 'günlük hesap') AND contains(low, 'vadeni boz')) OR (contains(low, 'kur fırsat') AND contains(low, 'müşterimiz olun')) THEN 'investment' WHEN contains(low, 'kart') OR contains(low, 'bonus') THEN 'card' WHEN contains(low, 'yatırım') OR contains(low, 'katılma hesab') OR contains(low, 'altın') THEN 'investment' WHEN contains(low, 'alışveriş puan') THEN 'shopping_points' WHEN contains(low, 'yeni müşteri') THEN 'new_customer' END"
+PRODUCT = "CASE WHEN contains(low, 'finansman') THEN 'financing' WHEN (contains(low, 'günlük hesap') AND contains(low, 'vadeni boz')) OR (contains(low, 'kur fırsat') AND contains(low, 'müşterimiz olun')) THEN 'investment' WHEN contains(low, 'kart') OR contains(low, 'bonus') THEN 'card' WHEN contains(low, 'yatırım') OR contains(low, 'katılma hesab') OR contains(low, 'altın') THEN 'investment' WHEN contains(low, 'alışveriş puan') OR contains(low, 'worldpuan') OR contains(low, 'parafpara') THEN 'shopping_points' WHEN contains(low, 'yeni müşteri') OR contains(low, 'ilk kez müşteri') THEN 'new_customer' END"
 SUM_OF = r"replace(replace(regexp_extract({0}, '[0-9][0-9.,]*'), '.', ''), ',', '.')::DOUBLE * CASE WHEN contains({0}, 'milyon') THEN 1000000 ELSE 1 END"
 MOST = r"regexp_extract(text, '([0-9][0-9.,]*(?:\s+milyon)?\s*TL)(?:\s+tutar[aı])?\s+kadar', 1)"
 LEAST = r"regexp_extract(text, '[Ee]n\s+az\s+([0-9][0-9.,]*\s*TL)', 1)"

@@ -50,14 +50,6 @@ def e21(spark, d):
     return own.select("doc_id", "source", "text", t.clean_text("text").alias("clean")).select("doc_id", t.content_hash("source", "clean").alias("content_hash"), F.size(t.tokens("clean")).alias("token_count"))
 
 
-@query("r02_trusted_advice", "SELECT doc_id, doc_id % 2 = 0 AND doc_id % 3 = 0 AS used FROM documents")
-def r02(spark, d):
-    """Advice counts only if its hash and its version are the record's."""
-    own = frame(spark, d, "documents").select("doc_id", F.md5("text").alias("h"), F.lit(1).alias("v"))
-    advice = own.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("h")).otherwise("old").alias("ah"), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("av"))
-    return own.join(advice, "doc_id").select("doc_id", ((F.col("h") == F.col("ah")) & (F.col("v") == F.col("av"))).alias("used"))
-
-
 @query("r03_gated_chunks", "SELECT item_id AS id FROM benchmark WHERE item_id % 5 <> 0 AND item_id % 7 <> 0")
 def r03(spark, d):
     """Chunks whose document the manifest knows with the same hash and enough pages."""

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sahaf.functions import fields as v
+from sahaf.functions import labels as fixed
 from sahaf.functions import spans
 from sahaf.operators import evaluation as ev
-from sahaf.operators import ranking
+from sahaf.operators import labelling, ranking
 from sahaf.operators import retrieval as rt
 
-from .campaigns import SPANS_SQL, campaigns
+from .campaigns import EVIDENCE_SQL, SPANS_SQL, campaigns
 from .language import MOST, PRODUCT, SHARES, B, told
 from .registry import query
 from .tables import frame, sql_with
@@ -117,16 +118,62 @@ def a18(spark, d):
     return fused(spark, d).select("query_id", "key", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key")).cast("long").alias("pos"))
 
 
-@query("r11_backend_cascade", BM25 + "SELECT query_id, 'lexical' AS backend FROM asked WHERE query_id IN (SELECT query_id FROM lexical) UNION ALL SELECT query_id, 'none' FROM asked WHERE query_id NOT IN (SELECT query_id FROM lexical)")
-def r11(spark, d):
-    """The first backend that has an answer: vectors (there are none of these queries), then the lexical one."""
-    lexical = rt.bm25(every(spark, d), asked(spark, d), 1).select("query_id", F.lit("lexical").alias("backend"))
-    return asked(spark, d).select("query_id").join(lexical, "query_id", "left").select("query_id", F.coalesce("backend", F.lit("none")).alias("backend"))
+RECORD_SQL = f"""{EVIDENCE_SQL}, g AS (SELECT p.id, p.dimension, p.label, e.s::INT AS s, (e.s + e.n)::INT AS e, substr(e.text, e.s + 1, e.n) AS surface FROM predicted p JOIN evident e ON p.id = e.id AND p.label = e.label),
+own AS MATERIALIZED (SELECT t.id, t.text, coalesce(list_sort(list(DISTINCT {{'d': g.dimension, 'v': g.label, 'x': g.surface}}) FILTER (g.id IS NOT NULL)), []) AS signals FROM labelled t LEFT JOIN g ON g.id = t.id GROUP BY ALL),
+advised AS MATERIALIZED (SELECT id, text, CASE WHEN id % 5 = 0 OR id % 7 = 0 OR id % 11 = 0 OR id % 13 = 0 THEN []::VARCHAR[] ELSE list_transform(signals, lambda x: concat('{rt.SIGNAL}', x.d, ': ', x.v, '; kanıt: ', x.x)) END AS lines FROM own)"""
+
+
+def advised(spark, d):
+    """Campaigns with the lines of their advice that may be quoted; some advice is of another content, version, contract or text."""
+    texts = campaigns(spark, d)
+    found = labelling.weak_labels(texts)
+    listed = lambda k, c: F.transform(c, lambda v: F.struct(F.lit(k).alias("dimension"), v.alias("label")))
+    predicted = found.select("id", F.inline(F.concat(listed(fixed.PRODUCT, F.array(fixed.PRODUCT)), *(listed(k, F.col(k)) for k in fixed.DIMENSION_RULES))))
+    signals = predicted.join(labelling.evidence(texts), ["id", "label"]).groupBy("id").agg(F.collect_list(F.struct("dimension", F.col("label").alias("value"), "start", "end", "surface")).alias("signals"))
+    i, text = F.col("id"), F.col("text")
+    record = F.struct("text", F.md5("text").alias("content_hash"), F.lit(1).alias("source_version"))
+    advice = F.struct(
+        F.when(i % 5 == 0, "other").otherwise(rt.CONTRACT).alias("contract"), F.lit(rt.PROVENANCE).alias("provenance"), F.when(i % 7 == 0, "old").otherwise(F.md5("text")).alias("content_hash"),
+        F.when(i % 11 == 0, 2).otherwise(1).alias("source_version"), F.when(i % 13 == 0, F.lit("x")).otherwise(F.sha2(F.encode(text, "UTF-8"), 256)).alias("text_sha256"), F.col("signals"),
+    )
+    return texts.join(signals, "id", "left").select("id", "text", F.coalesce(rt.trusted_lines(record, advice), F.array().cast("array<string>")).alias("lines"))
+
+
+@query("r02_trusted_advice", f"{RECORD_SQL} SELECT id, lines FROM advised")
+def r02(spark, d):
+    """What analysis may be quoted: of this contract, content, version and text, with its evidence at its place."""
+    return advised(spark, d).select("id", "lines")
+
+
+def chunk_records(spark, d):
+    """Campaigns as records to be indexed; those whose number is that of a document have its text behind their own."""
+    docs = frame(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("more"))
+    own = advised(spark, d).join(docs, "id", "left")
+    rate = F.format_string("product_type: %s", F.col("f.product_type"))
+    fields = F.array_compact(F.array(F.when(F.col("f.product_type").isNotNull(), rate), F.when(F.col("f.term_months").isNotNull(), F.format_string("term_months: %d MONTH", F.col("f.term_months")))))
+    shaped = own.withColumn("f", v.prd_fields("text"))
+    return shaped.select("id", F.concat(F.lit("Kampanya "), F.col("id").cast("string")).alias("title"), F.lit("").alias("bank"), F.concat_ws(" ", "text", "more").alias("content"), fields.alias("fields"), F.col("lines").alias("advice"))
+
+
+_low_text = "replace(lower(replace(text, 'İ', 'i')), 'i̇', 'i')"
+_product = PRODUCT.replace("contains(low,", f"contains({_low_text},")
 
 
 @query("r01_chunks")
 def r01(spark, d):
-    return rt.chunk(frame(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    """Every chunk of campaigns and the documents behind them: overviews, windows of content, fields with advice.  Windows are beyond SQL."""
+    return rt.campaign_chunks(chunk_records(spark, d))
+
+
+@query("r01_field_chunks", f"""{RECORD_SQL}, f AS (SELECT a.id, a.text, a.lines, concat_ws(' ', a.text, d.text) AS content, list_filter([CASE WHEN {_product.replace("text", "a.text")} IS NOT NULL THEN concat('product_type: ', {_product.replace("text", "a.text")}) END, CASE WHEN regexp_matches(a.text, '(?i)(?:^|[^0-9])([0-9]{{1,3}})\\s*ay\\s*vade') THEN concat('term_months: ', regexp_extract(a.text, '(?i)(?:^|[^0-9])([0-9]{{1,3}})\\s*ay\\s*vade', 1)::INT, ' MONTH') END], lambda x: x IS NOT NULL) AS fields
+    FROM advised a LEFT JOIN documents d ON d.doc_id = a.id),
+x AS (SELECT id, fields, concat('Başlık: Kampanya ', id) AS header, trim(content) AS content, concat_ws(chr(10), CASE WHEN len(fields) > 0 THEN concat('{rt.FIELDS}', array_to_string(fields, '; ')) END, CASE WHEN len(lines) > 0 THEN concat('NLP danışmanlık sinyalleri (otoriter filtre değildir):', chr(10), array_to_string(lines, chr(10))) END) AS extra FROM f),
+w AS (SELECT *, concat_ws(chr(10), header, nullif(content, ''), nullif(extra, '')) AS whole FROM x), n AS (SELECT *, len(regexp_extract_all(whole, '\\S+')) AS words FROM w)
+SELECT id, 'overview' AS section, sha256(whole) AS index_hash FROM n WHERE words <= 320
+UNION ALL SELECT id, CASE WHEN len(fields) > 0 THEN 'structured_fields' ELSE 'nlp_advisory' END, sha256(concat_ws(chr(10), header, extra)) FROM n WHERE words > 320 AND extra <> ''""")
+def r01_fields(spark, d):
+    """Overviews of short campaigns, and the chunk of fields and advice of long ones, by their hashes."""
+    return rt.campaign_chunks(chunk_records(spark, d)).where("section <> 'content'").select("id", "section", "index_hash")
 
 
 @query("r04_page_windows")
@@ -176,10 +223,18 @@ def j12(spark, d):
     return own.join(terms, "node").select("seed", "id")
 
 
-@query("r09_graph_ranking", HOPS + "SELECT seed, count(*) AS n, round(sum(score), 4) AS mass FROM best GROUP BY 1")
+@query("r09_graph_ranking", HOPS + """, kept AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY seed ORDER BY hop, score DESC, node) <= 50),
+d AS (SELECT seed, p_partkey AS id, min(hop) AS hop, arg_min(score, hop) AS score FROM kept JOIN part ON node = concat('p', p_partkey % 500) GROUP BY 1, 2)
+SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY hop, round(score, 6) DESC, id) AS rank FROM d QUALIFY rank <= 20""")
 def r09(spark, d):
-    own = rt.expand(edges(spark, d), spark.createDataFrame([("s1",), ("s2",), ("s3",), ("s50",)], "node string"), 2, 1_000_000)
-    return own.groupBy("seed").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("mass"))
+    """The documents that a seed's graph reaches: nearest first, then surest, twenty of each seed."""
+    from pyspark.sql import Window
+
+    reached = rt.expand(edges(spark, d), spark.createDataFrame([("s1",), ("s2",), ("s3",), ("s50",)], "node string"), 2, 50)
+    own = frame(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("p"), (F.col("p_partkey") % 500).cast("string")).alias("node"))
+    best = own.join(reached, "node").groupBy("seed", "id").agg(F.min("hop").alias("hop"), F.min_by("score", "hop").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy("hop", F.desc("score"), "id"))
+    return best.select("seed", "id", rank.cast("long").alias("rank")).where("rank <= 20")
 
 
 ALIASES = [("of the", 1), ("the", 1), ("thing", 2), ("was", 3), ("ou", 4), ("la", 5), ("que", 6), ("ein", 7), ("with", 8)]
@@ -192,11 +247,49 @@ def r12(spark, d):
     return rt.find_terms(frame(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), aliases, 3)
 
 
-@query("r07_query_expansion", f"""WITH aliases(surface, term_id) AS (VALUES {", ".join(map(str, ALIASES))}) SELECT item_id AS query_id, count(DISTINCT term_id) AS terms FROM benchmark JOIN aliases ON length(surface) >= 3 AND contains(concat(' ', array_to_string({TOK}, ' '), ' '), concat(' ', surface, ' ')) GROUP BY 1""")
+@query("r07_query_expansion", f"""WITH {EDGES}, aliases(surface, term_id) AS (VALUES {", ".join(map(str, ALIASES))}), hits AS (SELECT item_id AS id, term_id, surface FROM benchmark JOIN aliases ON length(surface) >= 3 AND contains(concat(' ', array_to_string({TOK}, ' '), ' '), concat(' ', surface, ' '))),
+once AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY id, term_id ORDER BY length(surface) DESC, surface) = 1), terms AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(surface) DESC, surface) <= 8),
+near AS (SELECT source, target, round(confidence, 6) AS score FROM simple QUALIFY row_number() OVER (PARTITION BY source ORDER BY confidence DESC, target) <= 3),
+names AS (SELECT id, string_agg(surface, ' ' ORDER BY length(surface) DESC, surface) AS t FROM terms GROUP BY 1),
+nodes AS (SELECT id, target, row_number() OVER (PARTITION BY id ORDER BY n DESC, surface, score DESC, target) AS k FROM (SELECT id, target, length(surface) AS n, surface, score FROM terms JOIN near ON source = concat('s', term_id) QUALIFY row_number() OVER (PARTITION BY id, target ORDER BY length(surface) DESC, surface, score DESC) = 1))
+SELECT b.item_id AS id, concat_ws(' ', b.text, t, g) AS expanded FROM benchmark b LEFT JOIN names ON names.id = b.item_id LEFT JOIN (SELECT id, string_agg(target, ' ' ORDER BY k) AS g FROM nodes WHERE k <= 3 GROUP BY 1) n ON n.id = b.item_id""")
 def r07(spark, d):
+    """Questions with the terms found in them, and those terms' surest neighbours in the graph."""
+    aliases = spark.createDataFrame(ALIASES, "surface string, term_id int")
+    nodes = aliases.select("term_id", F.concat(F.lit("s"), F.col("term_id").cast("string")).alias("node")).distinct()
+    questions = frame(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return rt.expanded_queries(questions, aliases, edges(spark, d), nodes, 8, 3).select("id", "expanded")
+
+
+@query("r11_backend_cascade", BM25 + f""", aliases(surface, term_id) AS (VALUES {", ".join(map(str, ALIASES))}), told AS (SELECT item_id AS id, concat(' ', array_to_string({TOK}, ' '), ' ') AS x FROM benchmark), said AS (SELECT doc_id AS id, concat(' ', array_to_string({TOK}, ' '), ' ') AS x FROM documents),
+tq AS (SELECT DISTINCT id, term_id FROM told JOIN aliases ON length(surface) >= 3 AND contains(x, concat(' ', surface, ' '))), td AS (SELECT DISTINCT id, term_id FROM said JOIN aliases ON length(surface) >= 3 AND contains(x, concat(' ', surface, ' '))),
+graph AS (SELECT tq.id AS query_id, td.id AS key, row_number() OVER (PARTITION BY tq.id ORDER BY count(*) DESC, td.id) AS rank FROM tq JOIN td USING (term_id) GROUP BY 1, 2 QUALIFY rank <= 20),
+pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS key, q.label, round(greatest(0.0, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id IN (SELECT query_id FROM asked) AND q.vec_id <> v.vec_id AND q.label = v.label AND q.label < 4),
+vector AS (SELECT query_id, key, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM pairs QUALIFY rank <= 15),
+lists AS (SELECT query_id, key, rank, 60 AS c FROM vector UNION ALL SELECT query_id, id, rank, 60 FROM lexical UNION ALL SELECT query_id, key, rank, 10 FROM graph),
+fused AS (SELECT query_id, key, round(sum(1.0::DOUBLE / (c + rank)), 6) AS score FROM lists GROUP BY 1, 2), best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key)::INT AS rank FROM fused QUALIFY rank <= 5),
+named AS (SELECT query_id, CASE WHEN query_id IN (SELECT query_id FROM graph) THEN '+knowledge-graph' ELSE '' END AS g, (SELECT any_value(label) FROM vector v WHERE v.query_id = asked.query_id) AS label FROM asked)
+SELECT n.query_id, CASE WHEN label < 2 THEN concat('remote+bm25', g) WHEN label < 4 THEN concat('local+bm25', g) WHEN g <> '' OR n.query_id IN (SELECT query_id FROM lexical) THEN concat('bm25', g, '-fallback') ELSE 'none' END AS backend, key, score, rank FROM named n LEFT JOIN best USING (query_id)""")
+def r11(spark, d):
+    """Answers of the first backend that has any: vectors of two labels are remote, of two others local, the rest falls back."""
+    from pyspark.sql import Window
+
+    embedded, questions = frame(spark, d, "embeddings"), asked(spark, d)
+    vectors = {}
+    for name, labels in (("remote", (0, 1)), ("local", (2, 3))):
+        found = None
+        for label in labels:
+            own = embedded.where(F.col("label") == label)
+            q = own.join(questions.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+            near = rt.nearest(own.select("vec_id", "embedding"), q, 15).select("query_id", F.col("vec_id").alias("key"), "rank")
+            found = near if found is None else found.unionByName(near)
+        vectors[name] = found
+    lexical = rt.bm25(every(spark, d), questions, 20).select("query_id", F.col("id").alias("key"), "rank")
     aliases = spark.createDataFrame(ALIASES, "surface string, term_id int")
-    found = rt.find_terms(frame(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), aliases, 8)
-    return found.groupBy(F.col("id").alias("query_id")).agg(F.countDistinct("term_id").alias("terms"))
+    terms = lambda df: rt.find_terms(df, aliases, len(ALIASES)).select("id", "term_id")
+    shared = terms(questions.select(F.col("query_id").alias("id"), F.col("query").alias("text"))).withColumnRenamed("id", "query_id").join(terms(every(spark, d)).withColumnRenamed("id", "key"), "term_id").groupBy("query_id", "key").agg(F.count("*").alias("n"))
+    graph = shared.select("query_id", "key", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "key")).alias("rank")).where("rank <= 20")
+    return ranking.cascade(questions, vectors, lexical, graph, 5)
 
 
 @query("j08_topic_terms", "SELECT event_type AS topic, list_sort(list(DISTINCT user_id % 7)) AS term_ids FROM events GROUP BY 1")
