@@ -43,10 +43,10 @@ def e17(spark, d):
 CANON = r"array_to_string(regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\p{L}\p{N}]+'), ' ')"
 
 
-@query("e21_preprocessed_records", f"SELECT doc_id, sha256(concat(lower(source), chr(0), {CANON})) AS content_hash, len(regexp_extract_all(lower(translate(text, 'Iİ', 'ıi')), '\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)*|\\p{{L}}+(?:[''’]\\p{{L}}+)?'))::INT AS token_count FROM documents WHERE NOT regexp_matches(text, '[<&]') AND nfc_normalize(text) = text")
+@query("e21_preprocessed_records", f"SELECT doc_id, sha256(concat(lower(source), chr(0), {CANON})) AS content_hash, len(regexp_extract_all(lower(translate(text, 'Iİ', 'ıi')), '\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)*|\\p{{L}}+(?:[''’]\\p{{L}}+)?'))::INT AS token_count FROM documents")
 def e21(spark, d):
-    """Clean text, tokens and digests of texts that cleaning leaves alone but for white space."""
-    own = frame(spark, d, "documents").where(~F.col("text").rlike("[<&]"))
+    """Tokens and digests of clean texts."""
+    own = frame(spark, d, "documents")
     return own.select("doc_id", "source", "text", t.clean_text("text").alias("clean")).select("doc_id", t.content_hash("source", "clean").alias("content_hash"), F.size(t.tokens("clean")).alias("token_count"))
 
 

@@ -40,9 +40,17 @@ def x01(spark, d):
 
 @query("x02_clean_text")
 def x02(spark, d):
+    """The readable text of pages; tags and entities are beyond SQL."""
     return frame(spark, d, "pages").select("page_id", t.clean_text("html").alias("text"))
 
 
+@query("x02_clean_documents", r"""WITH l AS (SELECT doc_id, array_to_string(list_transform(string_split(translate(text, chr(9) || chr(13) || chr(160), '   '), chr(10)), lambda v: trim(regexp_replace(v, ' +', ' ', 'g'), ' ')), chr(10)) AS x FROM documents)
+SELECT doc_id, trim(regexp_replace(x, '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM l""")
+def x02_documents(spark, d):
+    """Documents with single blanks and at most one empty line in a row."""
+    return docs(spark, d).select("doc_id", t.clean_text("text").alias("text"))
+
+
 @query("x03_tokens", r"SELECT doc_id, len(regexp_extract_all(lower(translate(text, 'Iİ', 'ıi')), '\p{Nd}+(?:[.,]\p{Nd}+)*|\p{L}+(?:[''’]\p{L}+)?'))::INT AS n, array_to_string(regexp_extract_all(lower(translate(text, 'Iİ', 'ıi')), '\p{Nd}+(?:[.,]\p{Nd}+)*|\p{L}+(?:[''’]\p{L}+)?')[1:20], ' ') AS head FROM documents")
 def x03(spark, d):
     tokens = t.tokens("text")
