@@ -1,6 +1,6 @@
 """Quality by hierarchical empirical Bayes: what a document's text says, joined with what its site and path are like.
 
-A logistic classifier on statistics of the whole text gives each document a probability of being good.  Grouped sums
+A logistic classifier on statistics and hashed words of the whole text gives each document a probability of being good.  Grouped sums
 of those give every site a posterior mean that is shrunk toward the global mean, and every path of a site one that is
 shrunk toward its site's; how strongly, the spread of the groups themselves says.  The document's own evidence is
 taken out of its groups before they are used on it.
@@ -8,8 +8,10 @@ taken out of its groups before they are used on it.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from math import sqrt
 from typing import NamedTuple
 
 import numpy as np
@@ -26,10 +28,12 @@ LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 HIGH = bytes(range(128, 256))
 CLASSES = (bytes(range(65, 91)), LETTERS + HIGH, b"0123456789", b".,;:'\"-()?", b"!", b"|", b"%#$&*@~^", b"\n", b"<>{}[]\\/=_+")
 MARGIN = 1e-4
+#: Hashed words whose shares are evidence, and how much more weight on them costs than on the other statistics.
+WORDS, WORD_DECAY = 256, 100.0
 
 
 def statistics(text: str | None) -> list[float]:
-    """Shares of character classes and of repetition in a whole text; all finite, also without text."""
+    """Shares of character classes, of repetition and of hashed words in a whole text; all finite, also without text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     n, m = max(len(raw), 1), max(len(words), 1)
@@ -38,7 +42,11 @@ def statistics(text: str | None) -> list[float]:
     lines = raw.split(b"\n")
     shares = [(len(raw) - len(raw.translate(None, c))) / n for c in CLASSES]
     follow = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    return [np.log1p(len(raw)), np.log1p(len(words)), len(raw) / m / 10, len(seen) / m, top / m, follow / m, len(set(lines)) / len(lines), float(not words), *shares, *(np.sqrt(x) for x in shares)]
+    hashed = [0.0] * WORDS
+    for word, times in seen.items():
+        hashed[zlib.crc32(word.lower()) % WORDS] += times
+    said = [sqrt(x / m) for x in hashed]
+    return [np.log1p(len(raw)), np.log1p(len(words)), len(raw) / m / 10, len(seen) / m, top / m, follow / m, len(set(lines)) / len(lines), float(not words), *shares, *(sqrt(x) for x in shares), *said]
 
 
 class Classifier(NamedTuple):
@@ -60,7 +68,9 @@ def fit(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, steps: int = 30) -> C
     mean, scale = x.mean(0), x.std(0) + 1e-6
     z = np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(y), 1))])
     w = np.zeros(z.shape[1])
-    ridge = decay * len(y) * np.eye(len(w))
+    dear = np.ones(len(w))
+    dear[-1 - WORDS : -1] = WORD_DECAY  # the last statistics; behind them is the bias
+    ridge = decay * len(y) * np.diag(dear)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ w)
@@ -80,8 +90,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
 
     taught = common.texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")  # at most `sample` rows are broadcast
     got = common.map_arrow(taught, extract, "doc_id long, quality int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(sample).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])  # at most `sample` rows, however often a doc_id repeats
-    x, y = np.array(got.column("x").to_pylist(), dtype=float).reshape(got.num_rows, -1), np.array(got.column("quality").to_pylist(), dtype=float)
-    del got
+    flat = got.column("x").combine_chunks().flatten().to_numpy() if got.num_rows else np.empty(0)
+    x, y = flat.reshape(got.num_rows, -1) if got.num_rows else np.empty((0, len(statistics(None)))), np.array(got.column("quality").to_pylist(), dtype=float)
+    del got, flat
     classifier = fit(x, y)
     del x, y
     common.release_memory()  # the driver lives on
