@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sahaf.llm import decontamination, neardup, packing, suffixes, toxicity
-from sahaf.llm.common import drop, materialize, scratch, table
+from sahaf.llm.common import drop, free_shuffles, materialize, scratch, table
 
 #: Near-duplicates share 0.8 of their five-word shingles.
 NEAR = neardup.Similarity(width=5, percent=80)
@@ -13,6 +13,10 @@ NEAR = neardup.Similarity(width=5, percent=80)
 PASSAGE_WORDS = 51
 
 
+#: Characters of each plan's text that the driver keeps for its history; there are hundreds of plans.
+PLAN_CHARACTERS = 20_000
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go; the machine learns from the labelled ones among docs.
 
@@ -74,8 +78,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What a stage wrote for itself is deleted when its result is written, and that result when the next one is.
     """
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARACTERS))
     docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
+        free_shuffles(spark)
         if k + 1 == len(STAGES):
             return stage(spark, docs, sf_dir)
         with scratch() as keep:

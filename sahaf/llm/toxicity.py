@@ -152,6 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     rows = common.map_arrow(taught, extract, "doc_id long, toxic int, terms binary").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "terms").limit(sample)  # however often a doc_id repeats
     got = rows.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
     y = np.array(got.column("toxic").to_pylist(), dtype=float)
+    common.free_shuffles(docs.sparkSession)  # what the rows came through goes before the fit needs memory
     machine = fit(_arrays(got.column("terms").cast(pa.binary())), y)
     del got
     common.free_shuffles(docs.sparkSession)  # the driver lives on
