@@ -7,6 +7,8 @@ the events from their block's.  A key of any number of events is spread over tas
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +76,18 @@ def carried(blocks: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return joined.withColumns({v: F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col(f"_from_{v}")) for v in values}).drop(*(f"_from_{v}" for v in values))
 
 
+def recent(events: DataFrame, keys: list[str], order: list[str | Column], name: str, names: list[str], size: int, block: int = BLOCK) -> DataFrame:
+    """events with hit: whether a cache of a key's `size` last names holds the event's name.
+
+    What the cache holds is one of the arrangements of at most `size` of the names, so the events of a key are a scan.
+    names are few (their arrangements are states); a null name, or one that is none of them, is no hit and changes nothing.
+    """
+    held = [p for n in range(min(size, len(names)) + 1) for p in permutations(names, n)]
+    place = {p: k for k, p in enumerate(held)}
+    after = {w: [place[(w, *(x for x in p if x != w))[:size]] for p in held] for w in names}
+    table = F.create_map(*[c for w in names for c in (F.lit(w), F.array(*map(F.lit, after[w])))])
+    known = F.create_map(*[c for w in names for c in (F.lit(w), F.array(*(F.lit(w in p) for p in held)))])
+    step = F.coalesce(F.try_element_at(table, F.col(name)), F.sequence(F.lit(0), F.lit(len(held) - 1)))
+    seen = states(in_blocks(events.withColumn("_step", step), keys, order, block), keys, "_step", len(held), 0, block)
+    hit = F.coalesce(F.element_at(F.try_element_at(known, F.col(name)), F.col("before") + 1), F.lit(False))
+    return seen.withColumn("hit", hit).drop("_step", "_place", "_block", "before", "after")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sahaf.functions import values
 from sahaf.operators import learning as le
+from sahaf.operators import scan
 from sahaf.sources import io, store
 from sahaf.streaming import jobs as st
 
@@ -81,13 +81,10 @@ def r14(spark, d):
 @query("st09_recent_keys", """WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER w AS pos, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT a.event_id, a.before IS NOT NULL AND (SELECT count(DISTINCT b.event_type) FROM e b WHERE b.user_id = a.user_id AND b.event_id > a.before AND b.event_id < a.event_id) < 2 AS hit FROM e a""")
 def st09(spark, d):
-    """Whether a cache of each user's two last kinds of event holds the next one; a user's events are read in order by one task."""
-
-    def run(f):
-        f = f.sort_values("event_id")
-        return f[["event_id"]].assign(hit=values.recent_hits(f["event_type"], 2))
-
-    return frame(spark, d, "events").select("user_id", "event_id", "event_type").groupBy("user_id").applyInPandas(run, "event_id long, hit boolean")
+    """Whether a cache of each user's two last kinds of event holds the next one."""
+    own = frame(spark, d, "events").select("user_id", "event_id", "event_type")
+    kinds = sorted(r["event_type"] for r in own.select("event_type").where("event_type is not null").distinct().collect())  # a handful
+    return scan.recent(own, ["user_id"], ["event_id"], "event_type", kinds, 2).select("event_id", "hit")
 
 
 @query("s04_strict_lines", "SELECT 'good' AS kind, count(*) AS n FROM labels WHERE doc_id % 10 <> 0 UNION ALL SELECT 'bad', count(*) FROM labels WHERE doc_id % 10 = 0")
@@ -250,7 +247,11 @@ def st02b(spark, d):
     return st.run_to_parquet(st.hourly(st.source(spark, f"{folder}/in", own, 1000)), "append", "hourly")
 
 
-@query("st03_circuit_breaker")
+@query("st03_circuit_breaker", """WITH RECURSIVE e AS MATERIALIZED (SELECT provider, event_id, sec, ok, row_number() OVER (PARTITION BY provider ORDER BY sec, event_id) AS k FROM (SELECT user_id % 10 AS provider, event_id, floor(epoch(ts))::BIGINT AS sec, event_type <> 'error' AS ok FROM events)),
+w AS (SELECT provider, 0::BIGINT AS k, NULL::BIGINT AS event_id, '' AS state, 0 AS bad, NULL::BIGINT AS opened FROM (SELECT DISTINCT provider FROM e)
+    UNION ALL SELECT provider, k, event_id, state, CASE WHEN state = 'open' THEN bad WHEN ok THEN 0 ELSE bad + 1 END, CASE WHEN state = 'open' THEN opened WHEN ok THEN NULL WHEN state = 'half-open' OR bad + 1 >= 2 THEN sec END
+    FROM (SELECT e.provider, e.k, e.event_id, e.sec, e.ok, w.bad, w.opened, CASE WHEN w.opened IS NULL THEN 'closed' WHEN e.sec - w.opened >= 3600 THEN 'half-open' ELSE 'open' END AS state FROM w JOIN e ON e.provider = w.provider AND e.k = w.k + 1))
+SELECT provider, event_id, state, state <> 'open' AS allowed FROM w WHERE k > 0""")
 def st03(spark, d):
     e = frame(spark, d, "events").select((F.col("user_id") % 10).alias("provider"), "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_type") != "error").alias("ok"))
     return st.breaker(e, 2, 3600)

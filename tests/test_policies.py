@@ -201,3 +201,17 @@ def test_scan_equals_a_walk(spark, size, shape):
 def test_scan_of_nothing(spark):
     empty = spark.createDataFrame([], "key int, at int, step array<int>")
     assert scan.states(scan.in_blocks(empty, ["key"], ["at"]), ["key"], "step", 2).count() == 0
+
+
+def test_recent_names(spark):
+    from sahaf.functions.values import recent_hits
+
+    rng = random.Random(6)
+    rows = [(k % 3 if k % 2 else 9, k, rng.choice(["a", "b", "c", "d", None, "x"])) for k in range(900)]
+    df = spark.createDataFrame(rows, "who int, k int, name string").repartition(4)
+    for size in (1, 2, 3):
+        got = {r.k: r.hit for r in scan.recent(df, ["who"], ["k"], "name", list("abcd"), size, block=32).collect()}
+        for who in {r[0] for r in rows}:
+            own = [(k, n) for w, k, n in rows if w == who and n in {*"abcd"}]
+            assert [got[k] for k, _ in own] == recent_hits([n for _, n in own], size)
+        assert not any(got[k] for _, k, n in rows if n in (None, "x"))
