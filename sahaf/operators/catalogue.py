@@ -123,7 +123,8 @@ def unique_product(wanted: DataFrame, products: DataFrame) -> DataFrame:
 
 def excluded(campaigns: DataFrame, banned: DataFrame) -> DataFrame:
     """The records that the curated (bank_id, title) pairs do not ban; only campaigns can be banned."""
-    return campaigns.join(F.broadcast(banned.distinct()).withColumn("record_kind", F.lit("campaign")), ["bank_id", "title", "record_kind"], "left_anti")
+    pairs = banned.distinct().withColumn("record_kind", F.lit("campaign"))  # the adaptive planner sees how large it is
+    return campaigns.join(pairs, ["bank_id", "title", "record_kind"], "left_anti")
 
 
 def keep_in_snapshot(current: DataFrame, snapshot: DataFrame, complete: bool) -> DataFrame:

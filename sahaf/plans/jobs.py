@@ -233,6 +233,18 @@ def st01(spark, d):
     return st.current_versions(st.source(spark, f"{folder}/in", own, 1000))
 
 
+@query("s14_last_good_quotes", """WITH e AS (SELECT user_id % 25 AS provider, event_id, ts, event_type <> 'error' AS ok, value FROM events), w AS (SELECT *, last_value(CASE WHEN ok THEN value END IGNORE NULLS) OVER p AS held, last_value(CASE WHEN ok THEN ts END IGNORE NULLS) OVER p AS at FROM e
+    WINDOW p AS (PARTITION BY provider ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT provider, event_id, CASE WHEN ok THEN 'live' WHEN ts - w.at <= INTERVAL '15' MINUTE THEN 'last-good' ELSE 'unavailable' END AS status, CASE WHEN ok THEN value WHEN ts - w.at <= INTERVAL '15' MINUTE THEN held END AS value FROM w""")
+def s14(spark, d):
+    """Snapshots of sources that fail at times, as a stream: the last good quote stands in for a quarter of an hour."""
+    folder = io.work_folder(spark, "snapshots")
+    own = frame(spark, d, "events").select((F.col("user_id") % 25).alias("provider"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"), "value")
+    own.write.parquet(f"{folder}/in")
+    quotes = st.run_to_parquet(st.last_good(st.source(spark, f"{folder}/in", own, 1000)), "append", "quotes")
+    return quotes.select("provider", "event_id", "status", "value")
+
+
 @query("st02_ring_buffer", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 2000")
 def st02(spark, d):
     return st.ring(frame(spark, d, "events")).select("event_id")

@@ -47,6 +47,53 @@ def current_versions(stream: DataFrame) -> DataFrame:
     return last.select("record_id", "v.*")
 
 
+#: Seconds for which a source's last good quote stands in for one that fails.
+LAST_GOOD_SECONDS = 15 * 60
+QUOTE = "provider long, event_id long, ts timestamp, status string, value double"
+
+
+def last_good(stream: DataFrame, seconds: int = LAST_GOOD_SECONDS, late: str = "1 hour") -> DataFrame:
+    """Snapshots (provider, event_id, ts, ok, value) of sources as a stream of quotes: live, or the last good one, or none.
+
+    A failed snapshot gives the last good value of its provider if that is at most so many seconds older, told as
+    last-good; else nothing is available.  State is one value a provider, and goes when the watermark has passed its time.
+    Snapshots of a batch are taken in order of time; one that comes more than `late` behind the newest of earlier batches may be left out, and
+    one that is older than the value in state can't use it.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    zone = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+
+    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, at = state.get if state.exists else (None, None)
+        at = None if at is None else pd.Timestamp(at)
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        out = []
+        for event, ts, ok, value in zip(rows["event_id"], rows["ts"], rows["ok"], rows["value"], strict=True):
+            if ok:
+                held, at = (value, ts) if at is None or ts >= at else (held, at)
+                out.append((key[0], event, ts, "live", value))
+            elif at is not None and 0 <= (ts - at).total_seconds() <= seconds:
+                out.append((key[0], event, ts, "last-good", held))
+            else:
+                out.append((key[0], event, ts, "unavailable", None))
+        if at is not None:
+            state.update((float(held), at.to_pydatetime()))
+            expiry = int(at.tz_localize(zone).timestamp() * 1000) + 1000 * seconds
+            if expiry > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(expiry)
+            else:
+                state.remove()
+        frame = pd.DataFrame(out, columns=[f.split()[0] for f in QUOTE.split(", ")])
+        yield frame.astype({"value": "float64"})
+
+    dated = stream.withWatermark("ts", late)
+    return dated.groupBy("provider").applyInPandasWithState(run, QUOTE, "held double, at timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def hourly(stream: DataFrame) -> DataFrame:
     """Counts and sums by hour and type; what is over an hour late is left out."""
     return stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("hour"), "event_type", "n", "total")

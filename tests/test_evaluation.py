@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sahaf.functions import spans
 from sahaf.operators import evaluation, learning
+from sahaf.plans import campaigns, jobs
 from sahaf.sources import io, store
 
 ANSWERS = [
@@ -154,3 +155,14 @@ def test_margins_and_evidence(spark):
     kept = {r.id: r.kept for r in learning.gated_labels(margins, evidence, "id", ["good"]).collect()}
     assert kept == {k: k < 10 for k in range(1, 40, 2)}
     assert all(r.kept for r in learning.gated_labels(margins, evidence, "id", []).collect())
+
+
+def test_learned_queries_are_right_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    languages = jobs.l01(spark, sf).collect()
+    assert sum(r.accuracy * r.n for r in languages) >= 0.95 * sum(r.n for r in languages)
+    heads = jobs.l02(spark, sf).first()
+    assert heads.quality_accuracy >= 0.85 and heads.toxic_accuracy >= 0.85
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    kept = [r for r in campaigns.l03(spark, sf).collect() if r.kept]
+    assert sum({"junk": labels[r.doc_id].quality == 0, "toxic": labels[r.doc_id].toxic == 1}[r.label] for r in kept) >= 0.75 * len(kept) > 0
