@@ -27,6 +27,8 @@ LAYOUT = "cells-1"
 MOST_CELLS, SAMPLE_PER_CELL = 4096, 64
 #: Share of the true neighbours of the measured queries that probing must find, how many each has, and how many queries are measured.
 TARGET, NEIGHBOURS, MEASURED = 0.93, 20, 256
+#: Entries of a list's file, about.
+FILE_ROWS = 200_000
 MARKER = "seq long, status string, model string, layout string, cells int, probes int, total long"
 #: The list of entries without a direction: null, empty, zero or not finite.  No search finds them.
 NOWHERE = -1
@@ -168,7 +170,9 @@ def build(entries: DataFrame, folder: str, embed: Callable[[DataFrame], DataFram
     else:
         content = placed
     if touched:
-        spread = content.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8)))  # a list may be large: eight files of it at most
+        files = content.groupBy("cell").agg(F.ceil(F.count("*") / FILE_ROWS).alias("_files"))  # MOST_CELLS rows at most
+        dealt = content.join(F.broadcast(files), "cell").withColumn("_file", F.pmod(F.xxhash64("id"), F.col("_files")))
+        spread = dealt.repartition("cell", "_file").select(*content.columns)  # a large list is written by many tasks
         spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cell").parquet(f"{folder}/lists")
         left = {r["cell"] for r in content.select("cell").distinct().collect()}
         for cell in set(touched) - left:
