@@ -257,7 +257,7 @@ def _claims_sql(text: str) -> str:
 
 
 @query("q14_claims_in_evidence", f"""WITH t AS (SELECT a.id, a.text, {_ANSWER.replace("text", "a.text").replace("id %", "a.id %")} AS answer, coalesce(b.text, '') AS second FROM ({CAMPAIGNS}) a LEFT JOIN ({CAMPAIGNS}) b ON b.id = a.id + 1),
-l AS (SELECT id, text, second, unnest(range(1, 9)) AS k, unnest(string_split(answer, chr(10))) AS line FROM t), s AS MATERIALIZED (SELECT id, {_claims_sql("text")} AS one, {_claims_sql("second")} AS two FROM t),
+l AS (SELECT id, text, second, unnest(range(1, len(string_split(answer, chr(10))) + 1)) AS k, unnest(string_split(answer, chr(10))) AS line FROM t), s AS MATERIALIZED (SELECT id, {_claims_sql("text")} AS one, {_claims_sql("second")} AS two FROM t),
 c AS (SELECT l.id, k, line, {_claims_sql("line")} AS own, list_distinct(list_transform(regexp_extract_all(line, '{p.CITATION}', 1), lambda x: x::INT)) AS cited, one, two FROM l JOIN s USING (id)),
 v AS (SELECT id, k, line, NOT regexp_matches(line, '^- ') OR len(own) = 0 OR (len(cited) > 0 AND len(list_filter(own, lambda x: NOT ((list_contains(cited, 1) AND list_contains(one, x)) OR (list_contains(cited, 2) AND list_contains(two, x))))) = 0) AS holds FROM c)
 SELECT id, string_agg(line, chr(10) ORDER BY k) FILTER (holds) AS text, count(*) FILTER (NOT holds)::INT AS dropped FROM v GROUP BY id""")
