@@ -324,7 +324,7 @@ AUDIENCE_TEXTS = [
     ("Gençlere kartınızla", "student", "Gençlere"),
     ("Paraf kart", "existing_customer", "Paraf kart"),
     ("Paraf", None, None),
-    ("Kuveyt Türklülere özel", "existing_customer", None),
+    ("Kuveyt Türklülere özel", None, None),
 ]
 
 
