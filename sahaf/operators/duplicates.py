@@ -36,12 +36,13 @@ def near_pairs(records: DataFrame, bank: str = "bank", threshold: int = THRESHOL
 
     Equal fingerprints are one, so a group of copies makes no pairs.  Of k bands k - threshold agree, and groups of so
     many bands are the keys of an equi-join; the larger the largest bank, the more bands, so that keys stay rare.
+    A row has up to 210 keys, which the planner's estimate leaves out, so the join is told not to broadcast them.
     """
     own = settle(records.select(F.col(bank).alias("bank"), "fp").distinct(), "fingerprints")
     most = own.groupBy("bank").count().agg(F.max("count")).first()[0] or 0
     keyed = own.select("bank", "fp", _keys("fp", bands(most, threshold), threshold).alias("key"))
     left, right = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
-    return left.join(right, ["bank", "key"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold)).select("bank", "a", "b").distinct()
+    return left.hint("merge").join(right, ["bank", "key"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold)).select("bank", "a", "b").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def nearest_existing(new: DataFrame, stored: DataFrame, threshold: int = THRESHO
     keys = _keys("fp", bands(most, threshold), threshold).alias("key")
     known = stored.groupBy("bank", "fp").agg(F.min("cluster").alias("found")).select("bank", F.col("fp").alias("other"), "found", keys)
     probes = new.select("bank", "fp").distinct().select("bank", "fp", keys)
-    near = probes.join(known, ["bank", "key"]).where(hamming(F.col("fp"), F.col("other")) <= threshold).groupBy("bank", "fp").agg(F.min("found").alias("found"))
+    near = probes.hint("merge").join(known, ["bank", "key"]).where(hamming(F.col("fp"), F.col("other")) <= threshold).groupBy("bank", "fp").agg(F.min("found").alias("found"))
     return new.join(near, ["bank", "fp"], "left").select("id", F.least("cluster", "found").alias("cluster"))
 
 
