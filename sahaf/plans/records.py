@@ -28,7 +28,7 @@ def t11(spark, d):
 @query("e13_rules_then_spans", rf"{B}, r AS (SELECT id, text, {SHARES} AS rates, regexp_extract(text, '%\s*([0-9][0-9.,]*)', 1) AS span FROM b) SELECT id, CASE WHEN len(rates) = 1 THEN list_extract(rates, 1) WHEN span <> '' THEN round(replace(rtrim(span, ',.'), ',', '.')::DOUBLE / 100, 6) END AS rate, CASE WHEN len(rates) = 1 THEN 'rules' WHEN span <> '' THEN 'spans' ELSE 'none' END AS method FROM r")
 def e13(spark, d):
     """A rate that the rules leave empty is filled from the text's first rate span."""
-    own = told(spark, d).select("id", F.col("f.profit_share_rate").alias("rate"), F.regexp_extract("text", r"%\s*\d[\d.,]*|\d[\d.,]*\s*%", 0).alias("s"))
+    own = told(spark, d, "profit_share_rate").select("id", F.col("f.profit_share_rate").alias("rate"), F.regexp_extract("text", r"%\s*\d[\d.,]*|\d[\d.,]*\s*%", 0).alias("s"))
     filled = F.round(x.n.rate(F.col("s")).cast("double"), 6)
     return own.select("id", F.coalesce("rate", filled).alias("rate"), F.when(F.col("rate").isNotNull(), "rules").when(filled.isNotNull(), "spans").otherwise("none").alias("method"))
 
@@ -37,7 +37,7 @@ def e13(spark, d):
 def e17(spark, d):
     """An audience that a text names counts unless its sentence excludes it."""
     named = F.col("text").rlike("(?iu)emekli|öğrenci|doktor|kobi|KOBİ|müşteri|hoş geldin")
-    return told(spark, d).where(named).select("id", F.col("f.target_audience").isNotNull().alias("valid"))
+    return told(spark, d, "target_audience").where(named).select("id", F.col("f.target_audience").isNotNull().alias("valid"))
 
 
 CANON = r"array_to_string(regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\p{L}\p{N}]+'), ' ')"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sahaf.operators import duplicates
+from sahaf.plans import campaigns, language, registry
 
 
 def plan(df) -> str:
@@ -17,3 +18,14 @@ def test_keys_of_fingerprints_are_not_broadcast(spark):
         joins = [line for line in plan(df).splitlines() if "Join" in line and "key" in line]
         assert joins and not any("Broadcast" in line for line in joins)
     assert duplicates.near_pairs(own).count() == 28
+
+
+def test_notices_hold_only_the_fields_that_are_asked_for(spark, data):
+    assert language.told(spark, data, "product_type", "term_months").select("f.*").columns == ["product_type", "term_months"]
+    shown = language.told(spark, data, "term_months", shown=["term_months"]).select(F.explode("f.evidence").alias("field", "words"))
+    assert [r.field for r in shown.select("field").distinct().collect()] == ["term_months"]
+
+
+def test_small_files_of_orders_are_dealt_to_many_tasks(spark, data):
+    for df in (language.noticed(spark, data), campaigns.campaigns(spark, data)):
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
