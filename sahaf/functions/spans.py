@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -58,10 +59,21 @@ SPAN = "STRUCT<start: INT, end: INT, text: STRING, label: STRING, confidence: DO
 EMPTY = f"CAST(array() AS ARRAY<{SPAN}>)"
 
 
-def places(text: Column, rule: Rule) -> Column:
-    """(start, end, text) of a rule's spans, as they stand."""
-    flags = "(?U)" if rule.sharp else "(?iuU)"
-    marked = F.regexp_replace(F.translate(text, pt.OPEN + pt.CLOSE, "  "), f"{flags}({rule.before})({rule.pattern})({rule.behind})", f"$1{pt.OPEN}$2{pt.CLOSE}$3")
+class Seen(NamedTuple):
+    """A text without marks, and the same folded."""
+
+    text: Column
+    low: Column
+
+
+def seen(text: Column, use: Callable[[Seen], Column]) -> Column:
+    return pt.let(pt.unmarked(text), lambda own: pt.let(pt.folded(own), lambda low: use(Seen(own, low))))
+
+
+def places(own: Seen, rule: Rule) -> Column:
+    """(start, end, text) of a rule's spans, as they stand; the rule runs only on texts that hold its literals."""
+    flags, whole = "(?U)" if rule.sharp else "(?iuU)", f"({rule.before})({rule.pattern})({rule.behind})"
+    marked = F.when(pt.may_match(own.low, whole), F.regexp_replace(own.text, flags + whole, f"$1{pt.OPEN}$2{pt.CLOSE}$3")).otherwise(own.text)
     return pt.between_marks(marked)
 
 
@@ -70,34 +82,38 @@ def _trimmed(found: Column, label: Column, confidence: Column) -> Column:
     return F.struct(found["start"].alias("start"), (found["start"] + F.length(kept)).alias("end"), kept.alias("text"), label.alias("label"), confidence.cast("double").alias("confidence"))
 
 
-def _labelled(text: Column, rule: Rule) -> Column:
+def _labelled(text: Seen, rule: Rule) -> Column:
     return F.transform(places(text, rule), lambda s: _trimmed(s, F.lit(rule.label), F.lit(rule.confidence)))
 
 
-def _sums(text: Column) -> Column:
+def _sums(own: Seen) -> Column:
     """Sums of money, told by the words around them."""
 
     def told(s: Column) -> Column:
         first = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        window = F.substring(text, first + 1, s["end"] + CONTEXT - first)
+        window = F.substring(own.text, first + 1, s["end"] + CONTEXT - first)
         label, sure = F.lit(SUMS[-1][0]), F.lit(SUMS[-1][1])
         for name, confidence, words in reversed(SUMS[:-1]):
             near = window.rlike(f"(?iu){words}")
             label, sure = F.when(near, name).otherwise(label), F.when(near, confidence).otherwise(sure)
         return _trimmed(s, label, sure)
 
-    return F.transform(places(text, Rule("", 0.0, MONEY)), told)
+    return F.transform(places(own, Rule("", 0.0, MONEY)), told)
 
 
 def candidates(text: Column, bank: Column | None = None) -> Column:
     """All spans that rules find in a text, the first to take their places first: the bank's name, codes, the rules, sums."""
+    return seen(text, lambda own: _candidates(text, own, bank))
+
+
+def _candidates(text: Column, own: Seen, bank: Column | None) -> Column:
     named = F.expr(EMPTY)
     if bank is not None:
         at = F.position(bank, text)
         named = F.when((at > 0) & (bank != ""), F.array(F.struct((at - 1).alias("start"), (at - 1 + F.length(bank)).alias("end"), bank.alias("text"), F.lit("BANKA").alias("label"), F.lit(1.0).alias("confidence")))).otherwise(named)
     size = lambda s: F.length(F.split_part(s["text"], F.lit(" "), F.lit(1))).between(*CODE_SIZE)
-    codes = F.filter(F.concat(*(_labelled(text, r) for r in CODES)), lambda s: size(s) & ~F.upper(s["text"]).isin(NO_CODES))
-    return F.concat(F.coalesce(named, F.expr(EMPTY)), codes, *(_labelled(text, r) for r in RULES), _sums(text))
+    codes = F.filter(F.concat(*(_labelled(own, r) for r in CODES)), lambda s: size(s) & ~F.upper(s["text"]).isin(NO_CODES))
+    return F.concat(F.coalesce(named, F.expr(EMPTY)), codes, *(_labelled(own, r) for r in RULES), _sums(own))
 
 
 def _apart(found: Column, empty: str) -> Column:
@@ -191,11 +207,14 @@ def context_entities(text: Column) -> Column:
         behind = F.substring(text, s["end"] + 1, F.lit(25)).rlike(f"{flag}\\A{OTHER_BANKKART}")
         return ~((low == "bonus") & ~about) & ~(low.endswith("bankkart") & behind)
 
-    channels = _apart(F.concat(*(F.transform(places(text, word(p)), channel(name)) for name, p in CHANNELS)), NO_ENTITY)
-    cards = F.filter(F.transform(places(text, word(CARDS)), card), real)
-    customers = F.transform(places(text, word(CUSTOMERS)), customer)
-    each = [_longest(x, NO_ENTITY) for x in (channels, cards, customers)]
-    placed = F.array_sort(F.transform(F.concat(*each), lambda s: F.struct(s["start"].alias("at"), s["end"].alias("to"), s["label"].alias("label"), s.alias("s"))))
+    def each(own: Seen) -> Column:
+        channels = _apart(F.concat(*(F.transform(places(own, word(p)), channel(name)) for name, p in CHANNELS)), NO_ENTITY)
+        cards = F.filter(F.transform(places(own, word(CARDS)), card), real)
+        customers = F.transform(places(own, word(CUSTOMERS)), customer)
+        return F.concat(*(_longest(x, NO_ENTITY) for x in (channels, cards, customers)))
+
+    found = seen(text, each)
+    placed = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("at"), s["end"].alias("to"), s["label"].alias("label"), s.alias("s"))))
     return F.coalesce(F.transform(placed, lambda x: x["s"]), F.expr(NO_ENTITY))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sahaf.functions import patterns, spans
 from sahaf.operators import duplicates
 from sahaf.plans import campaigns, language, registry
 
@@ -29,3 +30,13 @@ def test_notices_hold_only_the_fields_that_are_asked_for(spark, data):
 def test_small_files_of_orders_are_dealt_to_many_tasks(spark, data):
     for df in (language.noticed(spark, data), campaigns.campaigns(spark, data)):
         assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_rule_runs_only_on_texts_that_hold_its_literals(spark):
+    texts = ["12 ay vade", "", None, "BAHAR İNDİRİM KODU", "İNDIRIM yüzde 5 indirim", "Tahsis ücreti", "tahs\x01is"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for rule in [*spans.CODES, *spans.RULES, *(spans.Rule("", 0.0, p, *spans.NO_LETTER) for _, p in spans.CHANNELS)]:
+        whole = f"({rule.before})({rule.pattern})({rule.behind})"
+        rows = df.select(patterns.may_match(patterns.folded(F.col("t")), whole).alias("may"), F.col("t").rlike(("(?U)" if rule.sharp else "(?iuU)") + whole).alias("does")).collect()
+        assert all(r.may or not r.does for r in rows)
+        assert rows[2].may is None and not rows[1].may
