@@ -88,6 +88,8 @@ def _claim(spark: SparkSession, path: str, expected: str | None):
             return fs, at
         except Exception as e:  # the JVM's, of whatever file system
             if not fs.exists(at):
+                if "FileAlreadyExists" in str(e):  # let go since; who gets it looks at the file again
+                    continue
                 raise
             if time.time() * 1000 - fs.getFileStatus(at).getModificationTime() < 1000 * CLAIM_SECONDS:
                 raise Changed(path) from e

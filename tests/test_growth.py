@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
+
 from pyspark.sql import functions as F
 
 from sahaf.functions import patterns, spans
 from sahaf.operators import duplicates
 from sahaf.plans import campaigns, language, registry
+from sahaf.sources import store
 
 
 def plan(df) -> str:
@@ -47,3 +50,21 @@ def test_texts_of_marks_and_other_scripts_are_repaired(spark, tmp_path):
     spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.QUERIES["x19_mojibake_repair"](spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [r.repaired for r in got] == own
+
+
+def test_a_claim_that_is_let_go_meanwhile_is_tried_again(monkeypatch):
+    class Files:
+        tries = 0
+
+        def create(self, at, overwrite):
+            self.tries += 1
+            if self.tries == 1:
+                raise RuntimeError("org.apache.hadoop.fs.FileAlreadyExistsException: File already exists")
+            return io.BytesIO()
+
+        def exists(self, at):
+            return False
+
+    files = Files()
+    monkeypatch.setattr(store, "filesystem", lambda spark, path: (files, path))
+    assert store._claim(None, "note", None) == (files, "note.absent.claim")
