@@ -14,13 +14,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sahaf.sources.io import forget, settle
 from sahaf.sources.store import filesystem
 
-from .retrieval import QUERY_BLOCK, nearest, unit
+from .retrieval import CELLS, QUERY_BLOCK, Best, cosines, matrix, nearest, unit
 
 LAYOUT = "cells-1"
 #: Cells at most, and sampled vectors a cell that the centroids are fitted on: the fit's bound.
@@ -113,9 +115,10 @@ def _assign(embedded: DataFrame, centroids: np.ndarray) -> DataFrame:
         if len(sent.value):
             right = np.flatnonzero(x.map(lambda v: v is not None and len(v) == sent.value.shape[1]).to_numpy(dtype=bool))
             if len(right):
-                u = unit([np.asarray(x.iloc[k], dtype=float) for k in right])
-                score = u @ sent.value.T
-                out[right] = np.where(np.isfinite(u).all(1), np.nan_to_num(score).argmax(1), NOWHERE)
+                step = max(1, CELLS // max(sent.value.shape))
+                for a in range(0, len(right), step):
+                    u = unit([np.asarray(x.iloc[k], dtype=float) for k in right[a : a + step]])
+                    out[right[a : a + step]] = np.where(np.isfinite(u).all(1), np.nan_to_num(u @ sent.value.T, copy=False).argmax(1), NOWHERE)
         return pd.Series(out)
 
     return embedded.withColumn("cell", cell("embedding"))
@@ -222,7 +225,7 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int, probes:
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     reads = probed(spark, folder, queries, probes).groupBy("query_id").agg(F.collect_list("cell").alias("cells"))
     held = lists(spark, folder)
-    held = (held if where is None else held.where(where)).select("id", "embedding", "cell")
+    held = (held if where is None else held.where(where)).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), "cell")
     out = None
     for block in range(blocks):
         asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).join(reads, "query_id").collect()  # about QUERY_BLOCK rows
@@ -233,26 +236,22 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int, probes:
         ids, q = np.array([r["query_id"] for r in asked], dtype=np.int64), unit([r["query"] for r in asked]) if asked else np.empty((0, 1))
         sent = spark.sparkContext.broadcast((ids, q, {c: np.array(n) for c, n in by_cell.items()}))
 
-        def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q, by_cell = sent.value
-            best: pd.DataFrame | None = None
-            for f in frames:
-                for cell, own in f.groupby("cell"):
+            best = Best(len(ids), k)
+            for b in batches:
+                for cell in pc.unique(b.column("cell")).to_pylist():
                     who = by_cell.get(cell)
                     if who is None:
                         continue
-                    vec = own["id"].to_numpy()
-                    score = np.round(np.maximum(unit(list(own["embedding"])) @ q[who].T, 0.0), digits)
-                    score[(vec[:, None] == ids[who][None, :]) | ~np.isfinite(score)] = -1.0
-                    edge = np.partition(score, max(len(vec) - k, 0), axis=0)[max(len(vec) - k, 0)]
-                    at, col = np.nonzero((score >= edge[None, :]) & (score >= 0))
-                    new = pd.DataFrame({"query_id": ids[who][col], "id": vec[at], "score": score[at, col]})
-                    best = new if best is None else pd.concat([best, new])
-                if best is not None:
-                    best = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            if best is not None:
-                yield best
-
-        found = held.where(F.col("cell").isin(sorted(by_cell))).mapInPandas(run, schema)
+                    own = b.filter(pc.equal(b.column("cell"), cell))
+                    step = max(1, CELLS // max(len(who), q.shape[1]))
+                    for a in range(0, len(own), step):
+                        some = own.slice(a, step)
+                        vec = some.column("id")
+                        best.add(vec, cosines(matrix(some.column("embedding"), q.shape[1]), q[who], vec.to_numpy(), ids[who], digits), who)
+            yield from best.batches(pa.array(ids), "id")
+
+        found = held.where(F.col("cell").isin(sorted(by_cell))).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)

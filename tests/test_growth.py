@@ -6,6 +6,8 @@ import io
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sahaf.functions import patterns, spans
@@ -99,3 +101,26 @@ def test_lexical_scores_shuffle_only_the_best_rows(spark, monkeypatch):
         got = {(r.query_id, r.id): r.score for r in retrieval.bm25(docs, queries, 7).where("id is null or id <> 'd3'").collect()}
         assert all(math.isclose(got[k], s, abs_tol=2e-6) for k, s in want.items())
     assert [(r.id, r["rank"]) for r in one.where("query_id = 3").collect()] == [("d3", 1)]
+
+
+def test_a_task_holds_a_bounded_slice_of_scores(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    own = [(k, rng.integers(-3, 4, 4).astype(float).tolist()) for k in range(300)] + [(300, None), (301, [0.0] * 4), (302, [1.0, float("nan"), 0.0, 0.0]), (303, [1.0, 2.0]), (304, [])]
+    vectors = spark.createDataFrame(own, "vec_id long, embedding array<double>").coalesce(2)
+    asked = vectors.where("vec_id % 7 = 0 or vec_id > 299").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    whole = sorted(map(tuple, retrieval.nearest(vectors, asked, 5).collect()))
+    monkeypatch.setattr(retrieval, "CELLS", 100)
+    assert sorted(map(tuple, retrieval.nearest(vectors, asked, 5).collect())) == whole
+    q, v = np.array([own[k][1] for k in range(0, 300, 7)]), np.array([own[k][1] for k in range(300)])
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    with np.errstate(invalid="ignore"):
+        score = np.round(np.maximum(unit(q) @ unit(v).T, 0), 6)
+    score[np.isnan(score)] = -1
+    for n, row in enumerate(score):
+        row[7 * n] = -1
+        best = sorted((-s, k) for k, s in enumerate(row) if s >= 0)[:5]
+        assert [(r[1], r[2]) for r in sorted(whole, key=lambda r: r[3]) if r[0] == 7 * n] == [(k, -s) for s, k in best]
+    task = retrieval.Best(3, 2)
+    for a in range(0, 12, 4):
+        task.add(pa.array(range(a, a + 4)), np.ones((4, 3)))
+        assert task.held.num_rows <= 6 and task.held["id"].to_pylist() == [0, 1] * 3
