@@ -43,9 +43,9 @@ def best_source(df: DataFrame, key: str, score: str, pos: str) -> DataFrame:
 
 def extrema(df: DataFrame, group: str, value: str, lowest: bool = True) -> DataFrame:
     """All rows that reach the group's least (or greatest) value; rows without value take no part."""
-    w = Window.partitionBy(group)
-    edge = F.min(value).over(w) if lowest else F.max(value).over(w)
-    return df.where(F.col(value).isNotNull()).withColumn("__e", edge).where(F.col(value) == F.col("__e")).drop("__e")
+    known = df.where(F.col(value).isNotNull())
+    edge = known.groupBy(F.col(group).alias("__g")).agg((F.min(value) if lowest else F.max(value)).alias("__e"))  # a row a group, however many rows one has
+    return known.join(edge, F.col(group).eqNullSafe(F.col("__g")) & (F.col(value) == F.col("__e"))).select(*df.columns)
 
 
 def min_max(df: DataFrame, column: str, group: list[str], lower_is_better: bool = False) -> Column:
