@@ -98,6 +98,17 @@ def features(value: str | None) -> list[str]:
     return words if len(words) < 3 else list(map(" ".join, zip(words, words[1:], words[2:], strict=False)))
 
 
+#: Characters of texts that a task takes apart at once.
+CHARACTERS = 1 << 20
+
+
+def slices(texts: pd.Series) -> list[tuple[int, int]]:
+    """(first, end) of runs of texts; what follows a run's first text has fewer than CHARACTERS characters."""
+    of = np.cumsum(texts.str.len().fillna(0).to_numpy()) // CHARACTERS
+    edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(texts)]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b]
+
+
 def simhashes(values: Iterable[str | None]) -> np.ndarray:
     """Of each text 64 bits, one set if as many features have it as don't; a feature of several texts is hashed once."""
     known: dict[str, int] = {}
@@ -140,7 +151,7 @@ def content_hash(title: pd.Series, content: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.LongType())
 def simhash(x: pd.Series) -> pd.Series:
-    return pd.Series(simhashes(x), dtype="int64")
+    return pd.Series(np.concatenate([simhashes(x.iloc[a:b]) for a, b in slices(x)] or [np.empty(0)]), dtype="int64")
 
 
 @F.pandas_udf(T.DoubleType())
