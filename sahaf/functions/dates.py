@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .patterns import let
+
 #: The months as texts spell them.
 MONTHS = {"ocak": 1, "şubat": 2, "subat": 2, "mart": 3, "nisan": 4, "mayıs": 5, "mayis": 5, "haziran": 6, "temmuz": 7, "ağustos": 8, "agustos": 8, "eylül": 9, "eylul": 9, "ekim": 10, "kasım": 11, "kasim": 11, "aralık": 12, "aralik": 12}
 MONTH = "|".join(MONTHS)
@@ -66,9 +68,10 @@ def parse(x: Column, year: Column) -> Column:
 
 
 def _groups(x: Column, pattern: str, *groups: int) -> Column:
-    """For every match the array of some groups."""
-    found = [F.regexp_extract_all(x, F.lit(FLAGS + pattern), F.lit(g)) for g in groups]
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(found[0]), F.lit(1))), lambda k: F.array(*(F.get(f, k - 1) for f in found)))
+    """For every match the array of some groups; each group is looked for once, whatever the matches."""
+    names = [f"g{g}" for g in groups]
+    found = F.arrays_zip(*(F.regexp_extract_all(x, F.lit(FLAGS + pattern), F.lit(g)).alias(n) for n, g in zip(names, groups, strict=True)))
+    return F.transform(found, lambda m: F.array(*(m[n] for n in names)))
 
 
 def ranges(x: Column, year: Column) -> Column:
@@ -105,8 +108,8 @@ def expires(low: Column) -> Column:
 
 def end_only(x: Column, year: Column) -> Column:
     """The first date up to which something runs, if the segment is about an offer and not about a reward's end."""
-    dates = F.filter(F.transform(F.regexp_extract_all(x, F.lit(FLAGS + UNTIL), F.lit(1)), lambda d: parse(d, year)), lambda d: d.isNotNull())
-    return F.when((F.size(dates) > 0) & _has(lower(x), ABOUT) & ~expires(lower(x)), F.get(dates, 0))
+    found = F.filter(F.transform(F.regexp_extract_all(x, F.lit(FLAGS + UNTIL), F.lit(1)), lambda d: parse(d, year)), lambda d: d.isNotNull())
+    return let(found, lambda dates: F.when(F.size(dates) > 0, let(lower(x), lambda low: F.when(_has(low, ABOUT) & ~expires(low), F.get(dates, 0)))))
 
 
 def score(low: Column) -> Column:
@@ -119,18 +122,19 @@ DATED = r"\d\s*[./-]\s*\d|\d\s*(?iu:" + MONTH + r")"  # what no segment with a d
 
 def _period(x: Column, year: Column) -> Column:
     """(start, end) of a segment; null if it has none."""
-    own = ranges(x, year)
-    whole = F.struct(F.array_min(F.transform(own, lambda r: r["start"])).alias("start"), F.array_max(F.transform(own, lambda r: r["end"])).alias("end"))
-    low = lower(x)
-    valid = low.rlike("kampanya|fırsat|firsat") & low.rlike("geçerli|gecerli")
-    until = end_only(x, year)
-    alone = F.when(until.isNotNull(), F.struct(F.lit(None).cast("date").alias("start"), until.alias("end")))
-    return F.when(F.size(own) > 0, F.when(~expires(low) | valid, whole)).otherwise(alone)
+
+    def told(own: Column, low: Column) -> Column:
+        whole = F.struct(F.array_min(F.transform(own, lambda r: r["start"])).alias("start"), F.array_max(F.transform(own, lambda r: r["end"])).alias("end"))
+        valid = low.rlike("kampanya|fırsat|firsat") & low.rlike("geçerli|gecerli")
+        alone = let(end_only(x, year), lambda until: F.when(until.isNotNull(), F.struct(F.lit(None).cast("date").alias("start"), until.alias("end"))))
+        return F.when(F.size(own) > 0, F.when(valid | ~expires(low), whole)).otherwise(alone)
+
+    return let(ranges(x, year), lambda own: let(lower(x), lambda low: told(own, low)))
 
 
 def _joins(x: Column, year: Column) -> Column:
     """Whether lines that are joined to x hold a date together."""
-    return F.when(x.rlike(DATED), (F.size(ranges(x, year)) > 0) | end_only(x, year).isNotNull()).otherwise(False)
+    return F.when(x.rlike(DATED), let(x, lambda v: (F.size(ranges(v, year)) > 0) | end_only(v, year).isNotNull())).otherwise(False)
 
 
 def lines(text: Column) -> Column:
@@ -168,6 +172,6 @@ def with_period(texts: DataFrame, text: str, year: int | Column) -> DataFrame:
     staged = staged.withColumn("_taken", F.aggregate(F.coalesce("_joins", F.array().cast("array<struct<two: boolean, three: boolean, line: string, k: int>>")), empty, take, lambda a: a["taken"]))
     parts = F.flatten(F.transform("_taken", lambda v: F.flatten(F.transform(F.split(v, FLAGS + CLAUSE), lambda c: F.split(c, SENTENCE)))))
     staged = staged.withColumn("_parts", F.filter(F.transform(parts, lambda v: F.trim(F.regexp_replace(v, r"(?U)\s+", " "))), lambda v: v != ""))
-    found = F.transform("_parts", lambda v, k: F.when(v.rlike(DATED), F.struct(score(lower(v)).alias("score"), (-k).alias("k"), _period(v, y).alias("period"))))
+    found = F.transform("_parts", lambda v, k: F.when(v.rlike(DATED), F.struct(let(lower(v), score).alias("score"), (-k).alias("k"), _period(v, y).alias("period"))))
     staged = staged.withColumn("_best", F.array_max(F.filter(F.transform(found, lambda x: F.when(x["period"].isNotNull(), F.struct(x["score"].alias("score"), x["k"].alias("k"), x["period"]["start"].alias("start"), x["period"]["end"].alias("end")))), lambda x: x.isNotNull())))
     return staged.withColumns({"start": F.col("_best.start"), "end": F.col("_best.end")}).drop("_lines", "_joins", "_taken", "_parts", "_best")

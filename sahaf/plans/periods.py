@@ -8,7 +8,7 @@ from sahaf.functions import dates
 
 from .campaigns import _group, _parted
 from .registry import query
-from .tables import frame
+from .tables import frame, spread
 
 PERIODS = [
     "Kampanya dönemi\n{d}.03.2025 - {d}.06.2025", "Kampanya tarihleri {d} Mart - {d} Nisan 2025.", "{d} Ocak 2025\n-\n{d} Şubat 2025 arası geçerlidir.", "Kampanya {d}.12.2025 tarihine kadar geçerlidir.", "3-{d} Haziran 2024 tarihleri arasında fırsat.",
@@ -25,7 +25,7 @@ YEAR = 2025
 
 
 def dated(spark, d):
-    return spark.sql(DATED, orders=frame(spark, d, "orders"))
+    return spark.sql(DATED, orders=spread(frame(spark, d, "orders").select("o_orderkey", "o_custkey")))
 
 
 _BEFORE, _BEHIND = "(?:^|[^0-9])", r"(?:$|[^\p{L}\p{N}_])"
