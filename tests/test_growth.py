@@ -7,12 +7,14 @@ import math
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sahaf.functions import patterns, spans
-from sahaf.operators import duplicates, retrieval
-from sahaf.plans import campaigns, language, registry
+from sahaf.functions import text as tx
+from sahaf.operators import duplicates, labelling, ranking, retrieval
+from sahaf.plans import campaigns, language, periods, registry
 from sahaf.sources import store
 
 
@@ -124,3 +126,37 @@ def test_a_task_holds_a_bounded_slice_of_scores(spark, monkeypatch):
     for a in range(0, 12, 4):
         task.add(pa.array(range(a, a + 4)), np.ones((4, 3)))
         assert task.held.num_rows <= 6 and task.held["id"].to_pylist() == [0, 1] * 3
+
+
+def test_a_group_of_all_rows_is_not_one_tasks(spark):
+    rows = [(k, "a" if k < 90 else None, float("nan") if k == 3 else [0.5, 0.25, None, -0.0][k % 4] if k < 90 else 2.0) for k in range(100)]
+    df = spark.createDataFrame(rows, "id long, g string, x double")
+    for lowest, want in ((True, {k for k in range(90) if k % 4 == 3 and k != 3} | set(range(90, 100))), (False, {3} | set(range(90, 100)))):
+        found = ranking.extrema(df, "g", "x", lowest)
+        assert "Window" not in plan(found) and found.columns == df.columns
+        assert {r.id for r in found.collect()} == want
+
+
+def test_texts_are_taken_apart_in_bounded_slices(monkeypatch):
+    monkeypatch.setattr(tx, "CHARACTERS", 50)
+    texts = pd.Series(["a b c d " * (k % 5) for k in range(40)] + [None, "", "x" * 400, "y"])
+    cut = tx.slices(texts)
+    assert [k for a, b in cut for k in range(a, b)] == list(range(len(texts)))
+    assert all(texts[a + 1 : b].str.len().sum() < 50 for a, b in cut) and tx.slices(texts[:0]) == []
+    seen, whole = [], tx.simhashes(texts)
+    simhashes = tx.simhashes
+    monkeypatch.setattr(tx, "simhashes", lambda x: seen.append(len(x)) or simhashes(x))
+    assert tx.simhash.func(texts).tolist() == whole.tolist() and len(seen) == len(cut) > 10
+
+
+def test_labels_and_evidence_are_columns_of_their_texts(spark):
+    texts = spark.createDataFrame([(1, "İnternet şubesi veya şubeden ATM. KOBİ müşterileri yararlanamaz."), (2, None), (3, ""), (4, "KOBİ ve esnaf: %0 taksit")], "id long, text string")
+    labels, evident = labelling.weak_labels(texts), labelling.evidence(texts)
+    for df in (labels, evident):
+        assert not any(x in plan(df) for x in ("Exchange", "Join"))
+    assert {(r.id, r.label, r.start, r.end, r.surface) for r in evident.collect()} == {(1, "internet_branch", 0, 15, "İnternet şubesi"), (1, "physical_branch", 21, 28, "şubeden"), (1, "atm", 29, 32, "ATM"), (4, "commercial_sme", 0, 4, "KOBİ"), (4, "installment", 18, 24, "taksit")}
+    assert {r.id: r.channels for r in labels.collect()}[2] == ["unspecified"]
+
+
+def test_dated_texts_are_dealt_to_many_tasks(spark, data):
+    assert periods.dated(spark, data).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
