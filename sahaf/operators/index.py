@@ -100,7 +100,8 @@ def _fit(embedded: DataFrame, cells: int) -> list[tuple[int, list[float]]]:
     if sample.isEmpty():
         return []
     points = sample.select(array_to_vector("embedding").alias("features"))
-    model = KMeans(k=cells, seed=7, maxIter=15, distanceMeasure="cosine", initMode="k-means||").fit(points)
+    # blocks of rows are multiplied by all centers; by rows, distances of all pairs of centers would be sent to the driver in each round
+    model = KMeans(k=cells, seed=7, maxIter=15, distanceMeasure="cosine", initMode="k-means||", solver="block").fit(points)
     forget(sample)
     return [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())]
 

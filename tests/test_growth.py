@@ -9,11 +9,12 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from sahaf.functions import patterns, spans
 from sahaf.functions import text as tx
-from sahaf.operators import duplicates, labelling, ranking, retrieval
+from sahaf.operators import duplicates, index, labelling, ranking, retrieval
 from sahaf.plans import campaigns, language, periods, registry
 from sahaf.sources import store
 
@@ -160,3 +161,12 @@ def test_labels_and_evidence_are_columns_of_their_texts(spark):
 
 def test_dated_texts_are_dealt_to_many_tasks(spark, data):
     assert periods.dated(spark, data).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+
+
+def test_centers_are_fitted_without_distances_of_all_pairs(spark, monkeypatch):
+    asked, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, rows: asked.append(self.getSolver()) or fit(self, rows))
+    rows = spark.range(60).select("id", F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("embedding"))
+    assert len(index._fit(rows, 5)) == 5 and asked == ["block"]
