@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
-from sahaf.functions import patterns, spans
+from sahaf.functions import fields, patterns, spans
 from sahaf.functions import text as tx
 from sahaf.operators import duplicates, index, labelling, ranking, retrieval
 from sahaf.plans import campaigns, language, periods, registry
@@ -164,6 +164,13 @@ def test_dated_texts_are_dealt_to_many_tasks(spark, data):
 
 
 
+def test_an_audience_without_its_words_is_its_label(spark):
+    texts = ["Emekliler için. Öğrenciler hariç.", "KOBİ ve esnaf için", "Öğrenciler hariç", "", None, "doktorlara açık; emekliler"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(fields.audience(F.col("t")).alias("a"), fields.audience(F.col("t"), shown=False).alias("b")).collect()
+    assert [r.b for r in rows] == [r.a and r.a.label for r in rows] == ["retiree", "commercial", None, None, None, "public_sector"]
+    assert fields.KINDS["target_audience"] == "string" and "shown" not in plan(df.select(fields.prd_fields("t", ["target_audience"])))
+
 
 def test_centers_are_fitted_without_distances_of_all_pairs(spark, monkeypatch):
     asked, fit = [], KMeans.fit
