@@ -263,9 +263,9 @@ v AS (SELECT id, k, line, NOT regexp_matches(line, '^- ') OR len(own) = 0 OR (le
 SELECT id, string_agg(line, chr(10) ORDER BY k) FILTER (holds) AS text, count(*) FILTER (NOT holds)::INT AS dropped FROM v GROUP BY id""")
 def q14(spark, d):
     """Answers without the items whose claims the campaigns that they cite don't hold; the second source is the next campaign."""
-    own = campaigns(spark, d)
-    second = own.select((F.col("id") - 1).alias("id"), F.col("text").alias("second"))
-    both = own.join(second, "id", "left").select("id", F.expr(_ANSWER).alias("answer"), F.array(p.claims(F.col("text")), p.claims(F.coalesce("second", F.lit("")))).alias("s"))
+    own = campaigns(spark, d).withColumn("claims", p.claims(F.col("text")))
+    second = own.select((F.col("id") - 1).alias("id"), F.col("claims").alias("second"))
+    both = own.join(second, "id", "left").select("id", F.expr(_ANSWER).alias("answer"), F.array("claims", F.coalesce("second", F.array().cast("array<string>"))).alias("s"))
     return both.select("id", p.supported(F.col("answer"), F.col("s")).alias("a")).select("id", "a.text", "a.dropped")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sahaf.functions import fields, patterns, spans
 from sahaf.functions import text as tx
-from sahaf.operators import duplicates, index, labelling, ranking, retrieval
+from sahaf.operators import duplicates, index, labelling, policy, ranking, retrieval
 from sahaf.plans import campaigns, language, periods, registry
 from sahaf.sources import store
 
@@ -162,6 +162,21 @@ def test_labels_and_evidence_are_columns_of_their_texts(spark):
 def test_dated_texts_are_dealt_to_many_tasks(spark, data):
     assert periods.dated(spark, data).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
+def test_claims_look_only_at_places_where_a_claim_may_begin(spark):
+    texts = ["%5 kâr", "5 % oran", "₺100 ve 1.500 TL", "1,5 milyon TL, 12 ay", "Masrafsız", "MASRAFSIZ", "ÜCRETSİZ", "ucretsiz", "[1] 7. madde", "3) 25 gün", "a1 9b 19.12.2025", "", "yok"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = f"(?iu){policy.RATE_CLAIM}|{policy.MONEY_CLAIM}|{policy.DURATION_CLAIM}"
+    ahead = f"(?iu){policy.STARTS}(?:{whole[5:]})"
+    for old, new in ((whole, ahead), (f"(?iu){policy.FREE_CLAIM}", f"(?iu)(?=[müu])(?:{policy.FREE_CLAIM})")):
+        assert all(r.a == r.b for r in df.select(F.regexp_extract_all("t", F.lit(old), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(new), F.lit(0)).alias("b")).collect())
+    got = [sorted(r.c) for r in df.select(policy.claims(F.col("t")).alias("c")).collect()]
+    assert got[:4] == [["rate:5.0"], ["rate:5.0"], ["money:100.0:TRY", "money:1500.0:TRY"], ["duration:12:month", "money:1500000.0:TRY"]]
+    assert got[4:6] == [["fee:free"]] * 2 and got[7] == ["fee:free"] and got[8] == [] and got[11:] == [[], []]
+
+
+def test_the_claims_of_a_campaign_are_told_once(spark, data):
+    asked = registry.QUERIES["q14_claims_in_evidence"](spark, data)._jdf.queryExecution().analyzed().toString()
+    assert 1 <= asked.count(policy.MARKER) <= 3  # both sides of the join, and the lines of the answer
 
 
 def test_an_audience_without_its_words_is_its_label(spark):
