@@ -192,3 +192,14 @@ def test_centers_are_fitted_without_distances_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(KMeans, "fit", lambda self, rows: asked.append(self.getSolver()) or fit(self, rows))
     rows = spark.range(60).select("id", F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("embedding"))
     assert len(index._fit(rows, 5)) == 5 and asked == ["block"]
+
+
+def test_pairs_of_one_group_are_many_tasks_work(spark):
+    own = spark.range(300).select(F.lit("g").alias("g"), F.concat(F.lit("o"), "id").alias("id")).unionByName(spark.createDataFrame([("h", "a"), (None, "b"), (None, "c")], "g string, id string"))
+    pairs = ranking.pairs_within(own, ["g"], "id").withColumn("task", F.spark_partition_id())
+    assert pairs.count() == pairs.select("id", "other").where("id < other").distinct().count() == 300 * 299 // 2
+    assert pairs.select("task").distinct().count() > 8
+
+
+def test_pair_keys_are_dealt_by_cells(spark, data):
+    assert "__b" in plan(registry.QUERIES["j18_pair_keys"](spark, data))
