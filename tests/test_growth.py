@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sahaf.functions import fields, patterns, spans
 from sahaf.functions import text as tx
-from sahaf.operators import duplicates, index, labelling, policy, ranking, retrieval
+from sahaf.operators import duplicates, index, labelling, learning, policy, ranking, retrieval
 from sahaf.plans import campaigns, language, periods, registry
 from sahaf.sources import store
 
@@ -203,3 +203,15 @@ def test_pairs_of_one_group_are_many_tasks_work(spark):
 
 def test_pair_keys_are_dealt_by_cells(spark, data):
     assert "__b" in plan(registry.QUERIES["j18_pair_keys"](spark, data))
+
+
+def test_words_of_many_texts_are_hashed_once_into_the_same_vectors(spark):
+    from pyspark.ml.feature import HashingTF
+
+    texts = ["", None, "a", "ab c", "  abc  d ", "İSTANBUL ığüş", "x1yy2zzz3wwww4vvvvv5", "𐐀𐐁𐐂 a𐐀b 𐐀", "..", "é éx\n\tq", "日本語テキスト 中", "tekrar tekrar Tekrar"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string").coalesce(1)
+    grams = """flatten(transform(filter(split(lower(substring(coalesce(text, ''), 1, 100000)), '[^\\\\p{L}]+'), w -> w <> ''), w -> flatten(transform(sequence(3, 5),
+        n -> transform(sequence(1, greatest(length(w) + 3 - n, 1)), i -> substring(concat(' ', w, ' '), i, n))))))"""
+    plain = HashingTF(inputCol="grams", outputCol="tf", numFeatures=1 << 14).transform(df.withColumn("grams", F.expr(grams)))
+    assert {r.id: r.tf for r in learning.gram_counts(df, "text", 1 << 14).collect()} == {r.id: r.tf for r in plain.collect()}
+    assert len(learning.grams_of("tekrar")) == 6 + 5 + 4 and "transform(" not in plan(learning.gram_counts(df, "text", 1 << 14))
