@@ -230,3 +230,12 @@ def test_contracts_hold_dates_of_the_record_and_values_in_conflict(spark):
     assert (got["campaign_start_date"].value, got["campaign_start_date"].status) == ("2024-03-01", "IMPLICIT")
     assert got["campaign_end_date"].status == "EXTRACTION_FAILED" and none["campaign_start_date"].status == "NOT_STATED"
     assert got["profit_share_rate"].conflicting_values == [0.015, 0.02] and none["profit_share_rate"].conflicting_values == []
+
+
+def test_labels_and_their_evidence_stay_in_the_text_s_row(spark, data):
+    for name in ("e18_gated_labels", "r02_trusted_advice"):
+        shown = plan(registry.QUERIES[name](spark, data))
+        assert "Join" not in shown and "SortAggregate" not in shown and "ObjectHashAggregate" not in shown
+    texts = spark.createDataFrame([(1, "Yeni müşteri dahil değildir. Nakit iade!"), (2, ""), (3, None)], "id long, text string")
+    got = {(r.id, r.label): (r.start, r.end, r.surface) for r in labelling.shown_labels(texts).select("id", F.inline_outer("labels")).collect() if r.dimension == "campaign_mechanics" or r.dimension == "target_segments" or r.dimension == "channels"}
+    assert got == {(1, "cashback"): (29, 39, "Nakit iade"), (1, "new_customer"): (None, None, None), **{(k, "unspecified"): (None, None, None) for k in (1, 2, 3)}}
