@@ -239,3 +239,16 @@ def test_labels_and_their_evidence_stay_in_the_text_s_row(spark, data):
     texts = spark.createDataFrame([(1, "Yeni müşteri dahil değildir. Nakit iade!"), (2, ""), (3, None)], "id long, text string")
     got = {(r.id, r.label): (r.start, r.end, r.surface) for r in labelling.shown_labels(texts).select("id", F.inline_outer("labels")).collect() if r.dimension == "campaign_mechanics" or r.dimension == "target_segments" or r.dimension == "channels"}
     assert got == {(1, "cashback"): (29, 39, "Nakit iade"), (1, "new_customer"): (None, None, None), **{(k, "unspecified"): (None, None, None) for k in (1, 2, 3)}}
+
+
+def test_words_are_told_apart_in_small_batches(spark):
+    texts = spark.range(2 * learning.BATCH + 1).select(F.concat(F.lit("kart "), F.repeat(F.lit("ev "), (F.col("id") % 3).cast("int"))).alias("text"), "id").coalesce(1)
+    got = learning.gram_counts(texts, "text", 64)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(learning.BATCH)
+    assert got.count() == 2 * learning.BATCH + 1 and got.groupBy((F.col("id") % 3).alias("k")).agg(F.countDistinct(F.col("tf").cast("string")).alias("n")).where("n > 1").count() == 0
+
+
+def test_only_the_entities_that_are_asked_for_are_looked_for(spark):
+    texts = spark.createDataFrame([("Yeni müşteri için Bonus kartı ATM ve şube.",), ("",), (None,)], "text string")
+    rows = texts.select(spans.context_entities(F.col("text")).alias("a"), spans.context_entities(F.col("text"), ["CUSTOMER_REFERENCE"]).alias("b")).collect()
+    assert all([x for x in r.a if x.label == "CUSTOMER_REFERENCE"] == r.b for r in rows) and len(rows[0].a) > len(rows[0].b) == 1
