@@ -181,8 +181,8 @@ def _entity(s: Column, label: str, normalized: Column, kind: Column) -> Column:
     return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.lit(label).alias("label"), normalized.alias("normalized"), kind.alias("kind"))
 
 
-def context_entities(text: Column) -> Column:
-    """Channels, cards and customers that a text names (start, end, text, label, normalized, kind), by place.
+def context_entities(text: Column, labels: list[str] | None = None) -> Column:
+    """Channels, cards and customers that a text names (start, end, text, label, normalized, kind), or those of labels, by place.
 
     A channel's place goes to the first rule that finds it; of overlapping spans of a label the longest stays.  `bonus`
     is a card only in a sentence about cards, and a bankkart that goes on as a currency or a partner is none.
@@ -207,11 +207,15 @@ def context_entities(text: Column) -> Column:
         behind = F.substring(text, s["end"] + 1, F.lit(25)).rlike(f"{flag}\\A{OTHER_BANKKART}")
         return ~((low == "bonus") & ~about) & ~(low.endswith("bankkart") & behind)
 
+    # of each label on its own, so that others need not be made.
+    kinds = {
+        "APPLICATION_CHANNEL": lambda own: _apart(F.concat(*(F.transform(places(own, word(p)), channel(name)) for name, p in CHANNELS)), NO_ENTITY),
+        "CARD_NAME": lambda own: F.filter(F.transform(places(own, word(CARDS)), card), real),
+        "CUSTOMER_REFERENCE": lambda own: F.transform(places(own, word(CUSTOMERS)), customer),
+    }
+
     def each(own: Seen) -> Column:
-        channels = _apart(F.concat(*(F.transform(places(own, word(p)), channel(name)) for name, p in CHANNELS)), NO_ENTITY)
-        cards = F.filter(F.transform(places(own, word(CARDS)), card), real)
-        customers = F.transform(places(own, word(CUSTOMERS)), customer)
-        return F.concat(*(_longest(x, NO_ENTITY) for x in (channels, cards, customers)))
+        return F.concat(*(_longest(found(own), NO_ENTITY) for label, found in kinds.items() if labels is None or label in labels))
 
     found = seen(text, each)
     placed = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("at"), s["end"].alias("to"), s["label"].alias("label"), s.alias("s"))))
@@ -250,6 +254,8 @@ def overlaid(old: Column, new: Column, label: str, empty: str = EMPTY) -> Column
     """
     kept = F.filter(old, lambda s: s["label"] != label)
 
-    out = _apart(F.concat(kept, new), empty)
-    added = F.size(out) - F.size(kept)
-    return F.struct(F.array_sort(out).alias("spans"), added.alias("added"), (F.size(new) - added).alias("skipped"))
+    def told(kept: Column, out: Column) -> Column:
+        added = F.size(out) - F.size(kept)
+        return F.struct(F.array_sort(out).alias("spans"), added.alias("added"), (F.size(new) - added).alias("skipped"))
+
+    return pt.let(kept, lambda own: pt.let(_apart(F.concat(own, new), empty), lambda out: told(own, out)))
